@@ -16,7 +16,7 @@ from abode.constants import NO_MATCH_UI, UI_MAX_CARDS
 from abode.functions import predicates
 from abode.functions.derive import profile_text
 from abode.functions.parse import parse_request
-from abode.operators.topk import exact_topk
+from abode.operators.topk import exact_topk, join_ranked
 from abode.schema import RESPONSE_FIELDS
 from abode.sources.requests import validate_k
 
@@ -34,18 +34,20 @@ def vector_corpus(listings: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def vector_hits(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,
-                **topk_opts) -> DataFrame:
-    """(qid, id, similarity_score, search_rank) with rank <= max_results.
+                carry=(), **topk_opts) -> DataFrame:
+    """(qid, id, similarity_score, search_rank, *carry) with rank <= max_results.
 
-    The request vector is ``embeddings`` at the request's ``vec_id``."""
+    The request vector is ``embeddings`` at the request's ``vec_id``; ``carry``
+    request columns ride along so later steps need no join back on qid."""
     per_key = requests.groupBy("vec_id").agg(F.max("max_results").alias("kq"))
     qv = per_key.join(embeddings.select("vec_id", "embedding"), "vec_id")
-    ranked = exact_topk(qv, vector_corpus(listings, embeddings), qkey="vec_id", qcol="embedding",
-                        kcol="kq", ckey="id", ccol="embedding", kind="dense",
-                        score_col="similarity_score", rank_col="search_rank", **topk_opts)
-    return (requests.select("qid", "vec_id", "max_results").join(ranked, "vec_id")
+    ranked, bound = exact_topk(qv, vector_corpus(listings, embeddings), qkey="vec_id", qcol="embedding",
+                               kcol="kq", ckey="id", ccol="embedding", kind="dense",
+                               score_col="similarity_score", rank_col="search_rank", with_bound=True,
+                               **topk_opts)
+    return (join_ranked(requests.select("qid", "vec_id", "max_results", *carry), ranked, bound, "vec_id")
             .filter(F.col("search_rank") <= F.col("max_results"))
-            .select("qid", "id", "similarity_score", "search_rank"))
+            .select("qid", "id", "similarity_score", "search_rank", *carry))
 
 
 def profile_corpus(listings: DataFrame) -> DataFrame:
@@ -54,27 +56,31 @@ def profile_corpus(listings: DataFrame) -> DataFrame:
 
 
 def lexical_hits(requests: DataFrame, listings: DataFrame, text_col: str = "enhanced",
-                 **topk_opts) -> DataFrame:
+                 carry=(), **topk_opts) -> DataFrame:
     """Lexical cosine ranking of the (enhanced) request text against listing
     profile texts.  Listings sharing no term are never returned."""
     per_key = (requests.groupBy(F.coalesce(F.col(text_col), F.lit("")).alias("qtext"))
                        .agg(F.max("max_results").alias("kq")))
     qv = per_key.select("qtext", "kq", text_tokens(F.col("qtext")).alias("terms"))
-    ranked = exact_topk(qv, profile_corpus(listings), qkey="qtext", qcol="terms", kcol="kq",
-                        ckey="id", ccol="terms", kind="lexical",
-                        score_col="similarity_score", rank_col="search_rank", **topk_opts)
-    return (requests.select("qid", F.coalesce(F.col(text_col), F.lit("")).alias("qtext"), "max_results")
-            .join(ranked, "qtext")
+    ranked, bound = exact_topk(qv, profile_corpus(listings), qkey="qtext", qcol="terms", kcol="kq",
+                               ckey="id", ccol="terms", kind="lexical",
+                               score_col="similarity_score", rank_col="search_rank", with_bound=True,
+                               **topk_opts)
+    req = requests.select("qid", F.coalesce(F.col(text_col), F.lit("")).alias("qtext"), "max_results", *carry)
+    return (join_ranked(req, ranked, bound, "qtext")
             .filter(F.col("search_rank") <= F.col("max_results"))
-            .select("qid", "id", "similarity_score", "search_rank"))
+            .select("qid", "id", "similarity_score", "search_rank", *carry))
 
 
-PARSED_COLS = ["qid", "max_price", "want_bedrooms", "want_type", "want_amenities"]
+CONSTRAINT_COLS = ["max_price", "want_bedrooms", "want_type", "want_amenities"]
+CARRY = ["msg", "enhanced"] + CONSTRAINT_COLS
 
 
 def attach(hits: DataFrame, parsed: DataFrame, listings: DataFrame) -> DataFrame:
-    """hits joined with the request constraints and the listing row."""
-    return hits.join(parsed.select(*PARSED_COLS), "qid").join(listings, "id")
+    """hits joined with the request constraints (unless carried) and the listing row."""
+    if not all(c in hits.columns for c in CONSTRAINT_COLS):
+        hits = hits.join(parsed.select("qid", *CONSTRAINT_COLS), "qid")
+    return hits.join(listings, "id")
 
 
 def post_filter(hits: DataFrame, parsed: DataFrame, listings: DataFrame, mode: str = "api") -> DataFrame:
@@ -86,19 +92,25 @@ def _fmt(x: Column) -> Column:
     return F.format_number(x, 0)
 
 
-def summarise(kept: DataFrame) -> DataFrame:
-    """Per-request aggregate of surviving hits (groups are at most k rows)."""
-    prop = F.struct(
-        F.col("search_rank"),
-        *[F.col(c) for c in RESPONSE_FIELDS],
-    )
-    return kept.groupBy("qid").agg(
+def summarise(kept: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Per-request aggregate of surviving hits, every request included.
+
+    Surviving hits and one marker row per request are unioned and grouped
+    once by qid (one shuffle; a group holds at most k + 1 rows)."""
+    prop = F.struct(F.col("search_rank"), *[F.col(c) for c in RESPONSE_FIELDS])
+    hit = kept.select("qid", "msg", "enhanced", "id", "property_type", "city", "monthly_rent",
+                      prop.alias("__p"))
+    mark = parsed.select("qid", "msg", "enhanced", *[F.lit(None).cast(hit.schema[c].dataType).alias(c)
+                                                       for c in ("id", "property_type", "city", "monthly_rent", "__p")])
+    return hit.unionByName(mark).groupBy("qid").agg(
+        F.any_value("msg", True).alias("msg"),
+        F.any_value("enhanced", True).alias("enhanced"),
         F.count("id").cast("int").alias("total_found"),
         F.array_join(F.array_sort(F.collect_set("property_type")), ", ").alias("__types"),
         F.array_join(F.array_sort(F.collect_set("city")), ", ").alias("__cities"),
         F.min("monthly_rent").alias("__lo"),
         F.max("monthly_rent").alias("__hi"),
-        F.array_sort(F.collect_list(prop)).alias("properties"),
+        F.array_sort(F.collect_list("__p")).alias("properties"),
     )
 
 
@@ -112,15 +124,14 @@ def api_message(msg: Column, n: Column, types: Column, cities: Column, lo: Colum
 
 def respond(parsed: DataFrame, kept: DataFrame, answered_at: Column | None = None) -> DataFrame:
     """One response row per request (requests with no hits included)."""
-    agg = summarise(kept)
+    r = summarise(kept, parsed)
     ts = answered_at if answered_at is not None else F.current_timestamp()
-    r = parsed.select("qid", "msg", "enhanced").join(agg, "qid", "left")
     return r.select(
         "qid",
         api_message(F.col("msg"), F.col("total_found"), F.col("__types"), F.col("__cities"),
                     F.col("__lo"), F.col("__hi")).alias("message"),
-        F.coalesce(F.col("properties"), F.array().cast(agg.schema["properties"].dataType)).alias("properties"),
-        F.coalesce(F.col("total_found"), F.lit(0)).alias("total_found"),
+        "properties",
+        "total_found",
         F.col("enhanced").alias("query_processed"),
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
     )
@@ -131,9 +142,9 @@ def chat_batch(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,
     """Full request pipeline over a table of requests."""
     parsed = parse_request(validate_k(requests), mode=mode)
     if ranking == "vector":
-        hits = vector_hits(parsed, listings, embeddings, **topk_opts)
+        hits = vector_hits(parsed, listings, embeddings, carry=CARRY, **topk_opts)
     elif ranking == "lexical":
-        hits = lexical_hits(parsed, listings, **topk_opts)
+        hits = lexical_hits(parsed, listings, carry=CARRY, **topk_opts)
     else:
         raise ValueError(f"unknown ranking {ranking!r}")
     kept = post_filter(hits, parsed, listings, mode)

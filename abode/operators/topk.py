@@ -139,7 +139,8 @@ def _lexical_tile(q_tokens, c_tokens, nq: int, nc: int):
 def _make_tile_fn(kind: str, qkey: str, ckey: str, qcol: str, ccol: str, kcol: str,
                   score_type: pa.DataType, key_types: tuple):
     qkt, ckt = key_types
-    out_schema = pa.schema([(qkey, qkt), (ckey, ckt), ("__score", pa.float64()), ("__k", pa.int32())])
+    out_schema = pa.schema([(qkey, qkt), (ckey, ckt), ("__score", pa.float64()), ("__k", pa.int32()),
+                            ("__rank", pa.int32())])
 
     def fn(qt: pa.Table, ct: pa.Table) -> pa.Table:
         if qt.num_rows == 0 or ct.num_rows == 0:
@@ -177,11 +178,13 @@ def _make_tile_fn(kind: str, qkey: str, ckey: str, qcol: str, ccol: str, kcol: s
         rows = np.concatenate([o[0] for o in outs])
         cols = np.concatenate([o[1] for o in outs])
         sc = np.concatenate([o[2] for o in outs])
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
         return pa.table({
             qkey: qkeys.take(pa.array(rows)),
             ckey: pa.array(ckeys[cols], type=ckt),
             "__score": pa.array(sc, type=pa.float64()),
             "__k": pa.array(k[rows].astype(np.int32), type=pa.int32()),
+            "__rank": pa.array(rank.astype(np.int32), type=pa.int32()),
         }, schema=out_schema)
 
     return fn
@@ -190,18 +193,24 @@ def _make_tile_fn(kind: str, qkey: str, ckey: str, qcol: str, ccol: str, kcol: s
 _ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
 
 
+# ranked-side rows below which joining results back may broadcast them
+BROADCAST_ROWS_MAX = 500_000
+
+
 def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, kcol: str,
                ckey: str, ccol: str, kind: str = "dense",
                score_col: str = "score", rank_col: str = "rank",
                block_q: int = 4096, block_c: int = 16384,
-               min_parallel_pairs: float = 5e7) -> DataFrame:
+               min_parallel_pairs: float = 5e7, with_bound: bool = False):
     """Top-``kcol`` corpus rows per query row, ranked by score desc, key asc.
 
     ``kind='dense'``: ``qcol``/``ccol`` are ARRAY<FLOAT|DOUBLE> vectors and the
     score is their inner product.  ``kind='lexical'``: they are ARRAY<STRING>
     token lists and the score is the cosine of term counts (pairs without a
     shared term are never returned).  Query keys must be unique.
-    Returns (qkey, ckey, score DOUBLE, rank INT).
+    Returns (qkey, ckey, score DOUBLE, rank INT); with ``with_bound`` also an
+    upper bound on its row count (queries x largest k), used to decide a
+    broadcast downstream.
     """
     if kind not in ("dense", "lexical"):
         raise ValueError(f"unknown kind {kind!r}")
@@ -210,9 +219,18 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
     q = queries.select(F.col(qkey).alias(qkey), F.col(qcol).alias("__qv"),
                        F.col(kcol).cast("int").alias("__kq"))
     c = corpus.select(F.col(ckey).alias(ckey), F.col(ccol).alias("__cv"))
-    nq, nc = q.count(), c.count()
+    # one small job for the block plan: sizes of both sides and the largest k
+    sizes = {r["__s"]: r for r in
+             q.select(F.lit(0).alias("__s"), "__kq")
+              .unionByName(c.select(F.lit(1).alias("__s"), F.lit(None).cast("int").alias("__kq")))
+              .groupBy("__s").agg(F.count(F.lit(1)).alias("n"), F.max("__kq").alias("kmax")).collect()}
+    nq = sizes[0]["n"] if 0 in sizes else 0
+    nc = sizes[1]["n"] if 1 in sizes else 0
+    kmax = int(sizes[0]["kmax"] or 0) if 0 in sizes else 0
+    bound = nq * min(kmax, nc)
     if nq == 0 or nc == 0:
-        return _empty(spark, queries, corpus, qkey, ckey, score_col, rank_col)
+        out = _empty(spark, queries, corpus, qkey, ckey, score_col, rank_col)
+        return (out, 0) if with_bound else out
     bq = max(1, math.ceil(nq / block_q))
     bc = max(1, math.ceil(nc / block_c))
     par = spark.sparkContext.defaultParallelism
@@ -234,14 +252,30 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
         T.StructField(ckey, corpus.schema[ckey].dataType),
         T.StructField("__score", T.DoubleType()),
         T.StructField("__k", T.IntegerType()),
+        T.StructField("__rank", T.IntegerType()),
     ])
     tiles = (qx.groupBy("__qb", "__cb")
                .cogroup(cx.groupBy("__qb", "__cb"))
                .applyInArrow(fn, out_schema))
-    w = Window.partitionBy(qkey).orderBy(F.desc("__score"), F.asc(ckey))
-    return (tiles.withColumn(rank_col, F.row_number().over(w))
-                 .filter(F.col(rank_col) <= F.col("__k"))
-                 .select(qkey, ckey, F.col("__score").alias(score_col), F.col(rank_col).cast("int").alias(rank_col)))
+    if bc == 1:
+        # one corpus block: each query's tile is already its exact top-k
+        out = tiles.select(qkey, ckey, F.col("__score").alias(score_col), F.col("__rank").alias(rank_col))
+    else:
+        w = Window.partitionBy(qkey).orderBy(F.desc("__score"), F.asc(ckey))
+        out = (tiles.withColumn(rank_col, F.row_number().over(w))
+                    .filter(F.col(rank_col) <= F.col("__k"))
+                    .select(qkey, ckey, F.col("__score").alias(score_col),
+                            F.col(rank_col).cast("int").alias(rank_col)))
+    return (out, bound) if with_bound else out
+
+
+def join_ranked(requests: DataFrame, ranked: DataFrame, bound: int, key: str) -> DataFrame:
+    """Requests x their key's ranking.  The ranked side has at most ``bound``
+    rows (distinct keys x k); it is broadcast only when that proven bound is
+    small, otherwise both sides shuffle on the key (hot keys: AQE skew split)."""
+    if bound <= BROADCAST_ROWS_MAX:
+        ranked = F.broadcast(ranked)
+    return requests.join(ranked, key)
 
 
 def _empty(spark, queries, corpus, qkey, ckey, score_col, rank_col):

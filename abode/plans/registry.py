@@ -244,7 +244,7 @@ SELECT p.qid, p.enhanced, p.max_price, p.want_bedrooms AS bedrooms, u.want_bedro
 FROM parsed p JOIN parsed_ui u ON u.qid = p.qid""")
 def q_parse_request(spark, sf_dir):
     p = parsed(spark, sf_dir)
-    ui = parse.parse_bedrooms_ui(F.coalesce(F.col("msg"), F.lit("")))
+    ui = parse.parse_bedrooms_ui("coalesce(msg, '')")
     return p.select("qid", "enhanced", "max_price", F.col("want_bedrooms").alias("bedrooms"),
                     ui.alias("bedrooms_ui"), F.col("want_type").alias("property_type"),
                     _j("want_amenities").alias("amenities"))
@@ -257,7 +257,7 @@ def q_parse_request(spark, sf_dir):
 def _hits_joined(spark, sf_dir, mode="api"):
     p = parsed(spark, sf_dir, mode)
     l = listings(spark, sf_dir)
-    hits = search.vector_hits(p, l, embeddings(spark, sf_dir))
+    hits = search.vector_hits(p, l, embeddings(spark, sf_dir), carry=search.CONSTRAINT_COLS)
     return search.attach(hits, p, l)
 
 
@@ -495,7 +495,7 @@ FROM parsed p LEFT JOIN cards c ON c.qid = p.qid""")
 def q_chat_ui(spark, sf_dir):
     p = parsed(spark, sf_dir, "ui")
     l = listings(spark, sf_dir)
-    kept = search.post_filter(search.vector_hits(p, l, embeddings(spark, sf_dir)), p, l, "ui")
+    kept = search.post_filter(search.vector_hits(p, l, embeddings(spark, sf_dir), carry=search.CARRY), p, l, "ui")
     resp = search.respond(p, kept, F.lit(ANSWERED_AT).cast("timestamp"))
     cards = search.display_cards(kept, p)
     return (resp.join(cards, "qid")
@@ -512,7 +512,8 @@ FROM parsed p LEFT JOIN cards c ON c.qid = p.qid""")
 def q_display_cards(spark, sf_dir):
     p = parsed(spark, sf_dir, "ui")
     l = listings(spark, sf_dir)
-    kept = search.post_filter(search.vector_hits(p, l, embeddings(spark, sf_dir)), p, l, "ui")
+    kept = search.post_filter(search.vector_hits(p, l, embeddings(spark, sf_dir),
+                                                 carry=search.CONSTRAINT_COLS), p, l, "ui")
     return search.display_cards(kept, p)
 
 

@@ -4,13 +4,11 @@ max_results INT, vec_id BIGINT."""
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abode.constants import DEFAULT_K, GOLDEN_MESSAGES
+from abode.constants import BASE_TS, DEFAULT_K, GOLDEN_MESSAGES
 
 REQUEST = T.StructType([
     T.StructField("qid", T.LongType()),
@@ -27,38 +25,32 @@ VECTOR_POOL = 500  # request vectors are taken from embeddings.vec_id < 500
 def requests_from_events(events: DataFrame) -> DataFrame:
     """One request per event; message shape by event_id mod 5.  Works on a
     batch or a streaming ``events`` frame (pure projection)."""
-    e = F.col("event_id")
-
-    def s(x):
-        return x.cast("string")
-
-    msg = (F.when(F.pmod(e, F.lit(5)) == 0,
-                  F.concat(s(1 + F.pmod(e, F.lit(4))), F.lit(" bhk in Mumbai under "),
-                           s(3000 + F.pmod(e, F.lit(9)) * 1000)))
-           .when(F.pmod(e, F.lit(5)) == 1,
-                 F.concat(F.lit("furnished "),
-                          F.element_at(F.array(F.lit("apartment"), F.lit("condo"), F.lit("house")),
-                                       (F.pmod(e, F.lit(3)) + 1).cast("int")),
-                          F.lit(" below $"), s(4000 + F.pmod(e, F.lit(7)) * 500)))
-           .when(F.pmod(e, F.lit(5)) == 2, F.lit("studio with gym"))
-           .when(F.pmod(e, F.lit(5)) == 3, F.lit("affordable family house with pool"))
-           .otherwise(F.concat(s(1 + F.pmod(e, F.lit(5))), F.lit(" bedroom flat less than "),
-                               s(5000 + F.pmod(e, F.lit(11)) * 700))))
-    return events.select(
-        e.cast("bigint").alias("qid"),
-        F.col("user_id").cast("bigint").alias("user_id"),
-        F.col("ts"),
-        msg.alias("msg"),
-        F.when(F.pmod(e, F.lit(4)) == 0, F.lit(DEFAULT_K))
-         .otherwise(5 + F.pmod(e, F.lit(20))).cast("int").alias("max_results"),
-        F.pmod(e, F.lit(VECTOR_POOL)).cast("bigint").alias("vec_id"),
+    msg = ("CASE pmod(event_id, 5) "
+           "WHEN 0 THEN concat(CAST(1 + pmod(event_id, 4) AS STRING), ' bhk in Mumbai under ', "
+           "CAST(3000 + pmod(event_id, 9) * 1000 AS STRING)) "
+           "WHEN 1 THEN concat('furnished ', element_at(array('apartment', 'condo', 'house'), "
+           "CAST(pmod(event_id, 3) AS INT) + 1), ' below $', CAST(4000 + pmod(event_id, 7) * 500 AS STRING)) "
+           "WHEN 2 THEN 'studio with gym' "
+           "WHEN 3 THEN 'affordable family house with pool' "
+           "ELSE concat(CAST(1 + pmod(event_id, 5) AS STRING), ' bedroom flat less than ', "
+           "CAST(5000 + pmod(event_id, 11) * 700 AS STRING)) END")
+    return events.selectExpr(
+        "CAST(event_id AS BIGINT) AS qid",
+        "CAST(user_id AS BIGINT) AS user_id",
+        "CAST(ts AS TIMESTAMP) AS ts",
+        f"{msg} AS msg",
+        f"CAST(CASE WHEN pmod(event_id, 4) = 0 THEN {DEFAULT_K} ELSE 5 + pmod(event_id, 20) END AS INT) AS max_results",
+        f"CAST(pmod(event_id, {VECTOR_POOL}) AS BIGINT) AS vec_id",
     )
 
 
 def golden_requests(spark: SparkSession) -> DataFrame:
-    ts = _dt.datetime(2024, 1, 1)
-    rows = [(-(g + 1), None, ts, m, DEFAULT_K, g) for g, m in enumerate(GOLDEN_MESSAGES)]
-    return spark.createDataFrame(rows, REQUEST)
+    """The fixed messages as a JVM-side local relation (messages bound as
+    named parameters: no quoting, one call)."""
+    rows = ", ".join(f"({-(g + 1)}L, CAST(NULL AS BIGINT), TIMESTAMP '{BASE_TS}', :m{g}, {DEFAULT_K}, {g}L)"
+                     for g in range(len(GOLDEN_MESSAGES)))
+    args = {f"m{g}": m for g, m in enumerate(GOLDEN_MESSAGES)}
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(qid, user_id, ts, msg, max_results, vec_id)", args=args)
 
 
 def request_log(spark: SparkSession, events: DataFrame, include_golden: bool = True) -> DataFrame:

@@ -3,94 +3,106 @@
 Each listing is a pure function of its integer key (``part.p_partkey``): a
 per-column integer hash picks type, city, sizes, rent and amenities through
 constant arrays, so generation is one narrow projection — no join, no
-shuffle, no Python — and scales with the key table.
+shuffle, no Python — and scales with the key table.  The expressions are
+Spark SQL text built from the constants (parsed once on the JVM).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from abode.constants import (AMENITIES, AMENITY_STRIDE, BASE_DATE, BASE_TS, CITIES,
-                             HASH_MODULUS, HASH_MULTIPLIERS, LEASE_TERMS, PROPERTY_TYPES)
-from abode.functions import derive
+                             DESCRIPTION_OPENERS, FLAG_AMENITY, HASH_MODULUS, HASH_MULTIPLIERS,
+                             LEASE_TERMS, PROPERTY_TYPES)
 from abode.schema import LISTING
 
 
-def key_hash(key: Column, k: int) -> Column:
+def _q(s: str) -> str:
+    """Spark SQL string literal (backslash escapes)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _arr(vals) -> str:
+    return "array(" + ", ".join(_q(v) if isinstance(v, str) else str(v) for v in vals) + ")"
+
+
+def key_hash_sql(key: str, k: int) -> str:
     """r(k) = (((key + 1) mod M) * P[k] mod M) div 128 — never overflows BIGINT."""
-    m = F.lit(HASH_MODULUS)
-    h = F.pmod(F.pmod(key + 1, m) * F.lit(HASH_MULTIPLIERS[k]), m)
-    return _div(h, 128)
+    return f"(pmod(pmod({key} + 1, {HASH_MODULUS}) * {HASH_MULTIPLIERS[k]}, {HASH_MODULUS}) div 128)"
+
+
+def _pick(vals, idx: str) -> str:
+    return f"element_at({_arr(vals)}, CAST({idx} AS INT) + 1)"
 
 
-def _div(x: Column, d: int) -> Column:
-    """Integer division of a non-negative BIGINT (SQL `div`)."""
-    return ((x - F.pmod(x, F.lit(d))) / F.lit(d)).cast("bigint")
+def _opener_sql() -> str:
+    parts = []
+    for tpl in DESCRIPTION_OPENERS:
+        pieces, rest = [], tpl
+        while rest:
+            cands = [p for p in (rest.find("{t}"), rest.find("{c}")) if p >= 0]
+            if not cands:
+                pieces.append(_q(rest))
+                break
+            j = min(cands)
+            if j:
+                pieces.append(_q(rest[:j]))
+            pieces.append("property_type" if rest[j:j + 3] == "{t}" else "city")
+            rest = rest[j + 3:]
+        parts.append("concat(" + ", ".join(pieces) + ")")
+    return f"element_at(array({', '.join(parts)}), CAST(pmod(__r1, 5) AS INT) + 1)"
 
 
-def _arr(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _stage_sql():
+    t = [p[0] for p in PROPERTY_TYPES]
+    bmin, bmax = [p[1] for p in PROPERTY_TYPES], [p[2] for p in PROPERTY_TYPES]
+    smin, smax = [p[3] for p in PROPERTY_TYPES], [p[4] for p in PROPERTY_TYPES]
+    s1 = ["__k"] + [f"{key_hash_sql('__k', i)} AS __r{i}" for i in range(9)]
+    s2 = ["*",
+          f"{_pick(t, 'pmod(__r0, 5)')} AS property_type",
+          f"{_pick([c[0] for c in CITIES], 'pmod(__r1, 10)')} AS city",
+          f"{_pick([c[1] for c in CITIES], 'pmod(__r1, 10)')} AS state",
+          f"{_pick([c[2] for c in CITIES], 'pmod(__r1, 10)')} AS __mult",
+          f"{_pick([c[3] for c in CITIES], 'pmod(__r1, 10)')} AS __zip0",
+          f"CAST({_pick(bmin, 'pmod(__r0, 5)')} + pmod(__r2, {_pick(bmax, 'pmod(__r0, 5)')} - "
+          f"{_pick(bmin, 'pmod(__r0, 5)')} + 1) AS INT) AS bedrooms",
+          f"CAST({_pick(smin, 'pmod(__r0, 5)')} + pmod(__r4, {_pick(smax, 'pmod(__r0, 5)')} - "
+          f"{_pick(smin, 'pmod(__r0, 5)')} + 1) AS INT) AS sqft",
+          f"transform(sequence(0, CAST(2 + pmod(__r8, 6) AS INT)), j -> element_at({_arr(AMENITIES)}, "
+          f"CAST(pmod(__r8 + {AMENITY_STRIDE} * j, {len(AMENITIES)}) AS INT) + 1)) AS amenities"]
+    s3 = ["*",
+          "CAST(greatest(1, bedrooms + CAST(pmod(__r3, 3) AS INT) - 1) AS INT) AS bathrooms",
+          "(CAST(sqft AS BIGINT) * 15 * __mult * (800 + pmod(__r5, 401))) div 100000 AS monthly_rent",
+          "CAST(__zip0 + pmod(__r6, 5) AS STRING) AS zip_code",
+          f"CAST({_pick(LEASE_TERMS, 'pmod(__r7, 4)')} AS INT) AS lease_term_months",
+          f"date_add(DATE '{BASE_DATE}', CAST(pmod(__r7, 91) AS INT)) AS available_date"]
+    btext = ("CASE WHEN bedrooms > 0 THEN concat(CAST(bedrooms AS STRING), ' bedroom, ', "
+             "CAST(bathrooms AS STRING), ' bathroom') ELSE 'Studio' END")
+    s4 = ["*", f"{btext} AS __btext",
+          "concat(CAST(pmod(__k, 999) + 1 AS STRING), ' Main Street') AS street_address"]
+    flags = [f"array_contains(amenities, {_q(a)}) AS {f}" for f, a in FLAG_AMENITY]
+    s5 = ["__k AS id",
+          "concat('SP', CAST(__k + 100000 AS STRING)) AS listing_id",
+          "property_type",
+          "concat(__btext, ' ', initcap(property_type), ' in ', city) AS title",
+          f"concat({_opener_sql()}, '. ', __btext, ' spanning ', CAST(sqft AS STRING), "
+          "' sq ft. Features include: ', array_join(slice(amenities, 1, 3), ', '), '.') AS description",
+          "monthly_rent", "bedrooms", "bathrooms", "sqft", "street_address", "city", "state", "zip_code",
+          "available_date", "lease_term_months", "amenities", *flags,
+          f"TIMESTAMP '{BASE_TS}' AS created_at",
+          "concat('owner', CAST(__k AS STRING), '@example.com') AS contact_email",
+          "concat('+91', CAST(__k + 9000000000 AS STRING)) AS contact_phone",
+          "try_divide(CAST(monthly_rent AS DOUBLE), CAST(sqft AS DOUBLE)) AS price_per_sqft",
+          "concat(street_address, ', ', city, ', ', state, ' ', zip_code) AS full_address"]
+    return s1, s2, s3, s4, s5
 
 
-def _pick(values, idx: Column) -> Column:
-    """values[idx] for a 0-based BIGINT idx."""
-    return F.element_at(_arr(values), idx.cast("int") + 1)
+_STAGES = _stage_sql()
 
 
 def synth_listings(keys: DataFrame, key_col: str = "p_partkey") -> DataFrame:
     """Listings for every key row, with the full logical schema."""
-    k = keys.select(F.col(key_col).cast("bigint").alias("__k"))
-    k = k.select("__k", *[key_hash(F.col("__k"), i).alias(f"__r{i}") for i in range(9)])
-    r = [F.col(f"__r{i}") for i in range(9)]
-
-    t = F.pmod(r[0], F.lit(len(PROPERTY_TYPES)))
-    c = F.pmod(r[1], F.lit(len(CITIES)))
-    k = k.select("*", t.alias("__t"), c.alias("__c"))
-    t, c = F.col("__t"), F.col("__c")
-    bmin = _pick([p[1] for p in PROPERTY_TYPES], t)
-    bmax = _pick([p[2] for p in PROPERTY_TYPES], t)
-    smin = _pick([p[3] for p in PROPERTY_TYPES], t)
-    smax = _pick([p[4] for p in PROPERTY_TYPES], t)
-    k = k.select(
-        "*",
-        _pick([p[0] for p in PROPERTY_TYPES], t).alias("property_type"),
-        _pick([x[0] for x in CITIES], c).alias("city"),
-        _pick([x[1] for x in CITIES], c).alias("state"),
-        (bmin + F.pmod(r[2], bmax - bmin + 1)).cast("int").alias("bedrooms"),
-        (smin + F.pmod(r[4], smax - smin + 1)).cast("int").alias("sqft"),
-        F.pmod(r[8], F.lit(6)).alias("__nam"),
-    )
-    amen = F.transform(
-        F.sequence(F.lit(0), F.lit(2) + F.col("__nam")),
-        lambda j: F.element_at(_arr(AMENITIES),
-                               (F.pmod(r[8] + F.lit(AMENITY_STRIDE) * j, F.lit(len(AMENITIES))) + 1).cast("int")))
-    rent = ((F.col("sqft").cast("bigint") * 15 * _pick([x[2] for x in CITIES], c)
-             * (F.lit(800) + F.pmod(r[5], F.lit(401)))))
-    k = k.select(
-        "*",
-        F.greatest(F.lit(1), F.col("bedrooms") + F.pmod(r[3], F.lit(3)).cast("int") - 1).cast("int").alias("bathrooms"),
-        _div(rent, 100000).alias("monthly_rent"),
-        (_pick([x[3] for x in CITIES], c) + F.pmod(r[6], F.lit(5))).cast("string").alias("zip_code"),
-        _pick(LEASE_TERMS, F.pmod(r[7], F.lit(4))).cast("int").alias("lease_term_months"),
-        F.date_add(F.lit(BASE_DATE).cast("date"), F.pmod(r[7], F.lit(91)).cast("int")).alias("available_date"),
-        amen.alias("amenities"),
-    )
-    btext = derive.bedroom_text(F.col("bedrooms"), F.col("bathrooms"))
-    opener = derive.description_opener(F.pmod(r[1], F.lit(5)), F.col("property_type"), F.col("city"))
-    out = k.select(
-        F.col("__k").alias("id"),
-        F.concat(F.lit("SP"), (F.col("__k") + 100000).cast("string")).alias("listing_id"),
-        "property_type",
-        derive.listing_title(btext, F.col("property_type"), F.col("city")).alias("title"),
-        derive.listing_description(opener, btext, F.col("sqft"), F.col("amenities")).alias("description"),
-        "monthly_rent", "bedrooms", "bathrooms", "sqft",
-        F.concat((F.pmod(F.col("__k"), F.lit(999)) + 1).cast("string"), F.lit(" Main Street")).alias("street_address"),
-        "city", "state", "zip_code", "available_date", "lease_term_months", "amenities",
-        *derive.listing_flags(F.col("amenities")),
-        F.lit(BASE_TS).cast("timestamp").alias("created_at"),
-        F.concat(F.lit("owner"), F.col("__k").cast("string"), F.lit("@example.com")).alias("contact_email"),
-        F.concat(F.lit("+91"), (F.col("__k") + F.lit(9000000000)).cast("string")).alias("contact_phone"),
-    )
-    out = derive.add_derived(out)
-    return out.select(*[f.name for f in LISTING.fields])
+    df = keys.selectExpr(f"CAST({key_col} AS BIGINT) AS __k")
+    for stage in _STAGES:
+        df = df.selectExpr(*stage)
+    return df.select(*[f.name for f in LISTING.fields])
