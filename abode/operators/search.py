@@ -92,17 +92,27 @@ def _fmt(x: Column) -> Column:
     return F.format_number(x, 0)
 
 
-def summarise(kept: DataFrame, parsed: DataFrame) -> DataFrame:
+def _card() -> Column:
+    return F.concat(F.lit("\U0001f3e0 "), F.col("title"), F.lit(" — ₹"), F.col("monthly_rent").cast("string"),
+                    F.lit("/mo in "), F.col("city"), F.lit(", "), F.col("state"), F.lit("\n"),
+                    F.col("description"), F.lit("\nContact: "), F.col("contact_email"))
+
+
+def summarise(kept: DataFrame, parsed: DataFrame, fields=tuple(RESPONSE_FIELDS), cards: bool = False) -> DataFrame:
     """Per-request aggregate of surviving hits, every request included.
 
     Surviving hits and one marker row per request are unioned and grouped
-    once by qid (one shuffle; a group holds at most k + 1 rows)."""
-    prop = F.struct(F.col("search_rank"), *[F.col(c) for c in RESPONSE_FIELDS])
+    once by qid (one shuffle; a group holds at most k + 1 rows).  ``fields``
+    selects the listing fields carried into ``properties``; ``cards`` adds
+    the UI text of the first five hits."""
+    extra = [F.struct(F.col("search_rank"), _card().alias("card")).alias("__c")] if cards else []
+    prop = F.struct(F.col("search_rank"), *[F.col(c) for c in fields])
     hit = kept.select("qid", "msg", "enhanced", "id", "property_type", "city", "monthly_rent",
-                      prop.alias("__p"))
-    mark = parsed.select("qid", "msg", "enhanced", *[F.lit(None).cast(hit.schema[c].dataType).alias(c)
-                                                       for c in ("id", "property_type", "city", "monthly_rent", "__p")])
-    return hit.unionByName(mark).groupBy("qid").agg(
+                      prop.alias("__p"), *extra)
+    nulls = ["id", "property_type", "city", "monthly_rent", "__p"] + (["__c"] if cards else [])
+    mark = parsed.select("qid", "msg", "enhanced",
+                         *[F.lit(None).cast(hit.schema[c].dataType).alias(c) for c in nulls])
+    aggs = [
         F.any_value("msg", True).alias("msg"),
         F.any_value("enhanced", True).alias("enhanced"),
         F.count("id").cast("int").alias("total_found"),
@@ -111,7 +121,11 @@ def summarise(kept: DataFrame, parsed: DataFrame) -> DataFrame:
         F.min("monthly_rent").alias("__lo"),
         F.max("monthly_rent").alias("__hi"),
         F.array_sort(F.collect_list("__p")).alias("properties"),
-    )
+    ]
+    if cards:
+        first = F.slice(F.array_sort(F.collect_list("__c")), 1, UI_MAX_CARDS)
+        aggs.append(F.array_join(F.transform(first, lambda x: x["card"]), "\n\n").alias("__cards"))
+    return hit.unionByName(mark).groupBy("qid").agg(*aggs)
 
 
 def api_message(msg: Column, n: Column, types: Column, cities: Column, lo: Column, hi: Column) -> Column:
@@ -122,11 +136,12 @@ def api_message(msg: Column, n: Column, types: Column, cities: Column, lo: Colum
                                 F.lit(" from ₹"), _fmt(lo), F.lit(" to ₹"), _fmt(hi), F.lit("/month."))))
 
 
-def respond(parsed: DataFrame, kept: DataFrame, answered_at: Column | None = None) -> DataFrame:
+def respond(parsed: DataFrame, kept: DataFrame, answered_at: Column | None = None,
+            fields=tuple(RESPONSE_FIELDS), cards: bool = False) -> DataFrame:
     """One response row per request (requests with no hits included)."""
-    r = summarise(kept, parsed)
+    r = summarise(kept, parsed, fields, cards)
     ts = answered_at if answered_at is not None else F.current_timestamp()
-    return r.select(
+    out = [
         "qid",
         api_message(F.col("msg"), F.col("total_found"), F.col("__types"), F.col("__cities"),
                     F.col("__lo"), F.col("__hi")).alias("message"),
@@ -134,12 +149,18 @@ def respond(parsed: DataFrame, kept: DataFrame, answered_at: Column | None = Non
         "total_found",
         F.col("enhanced").alias("query_processed"),
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
-    )
+    ]
+    if cards:
+        out.append(F.coalesce(F.nullif(F.col("__cards"), F.lit("")), F.lit(NO_MATCH_UI)).alias("display"))
+    return r.select(*out)
 
 
 def chat_batch(requests: DataFrame, listings: DataFrame, embeddings: DataFrame, mode: str = "api",
-               answered_at: Column | None = None, ranking: str = "vector", **topk_opts) -> DataFrame:
-    """Full request pipeline over a table of requests."""
+               answered_at: Column | None = None, ranking: str = "vector",
+               fields=tuple(RESPONSE_FIELDS), cards: bool = False, **topk_opts) -> DataFrame:
+    """Full request pipeline over a table of requests: one response row per
+    request with message, properties (``fields`` of each surviving hit, in
+    rank order), total_found, query_processed, timestamp (+ UI ``display``)."""
     parsed = parse_request(validate_k(requests), mode=mode)
     if ranking == "vector":
         hits = vector_hits(parsed, listings, embeddings, carry=CARRY, **topk_opts)
@@ -148,20 +169,10 @@ def chat_batch(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,
     else:
         raise ValueError(f"unknown ranking {ranking!r}")
     kept = post_filter(hits, parsed, listings, mode)
-    return respond(parsed, kept, answered_at)
+    return respond(parsed, kept, answered_at, fields, cards)
 
 
 def display_cards(kept: DataFrame, parsed: DataFrame) -> DataFrame:
     """UI text: first five surviving hits as cards, or the no-match text."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("qid").orderBy("search_rank")
-    card = F.concat(F.lit("\U0001f3e0 "), F.col("title"), F.lit(" — ₹"), F.col("monthly_rent").cast("string"),
-                    F.lit("/mo in "), F.col("city"), F.lit(", "), F.col("state"), F.lit("\n"),
-                    F.col("description"), F.lit("\nContact: "), F.col("contact_email"))
-    top = (kept.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= UI_MAX_CARDS)
-               .groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("search_rank", card.alias("card"))))
-                                   .alias("__cards")))
-    text = F.array_join(F.transform(F.col("__cards"), lambda x: x["card"]), "\n\n")
-    return (parsed.select("qid").join(top, "qid", "left")
-            .select("qid", F.coalesce(F.nullif(text, F.lit("")), F.lit(NO_MATCH_UI)).alias("display")))
-
+    return respond(parsed, kept, F.lit(None).cast("timestamp"), fields=("listing_id",), cards=True) \
+        .select("qid", "display")

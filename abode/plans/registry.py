@@ -452,10 +452,11 @@ def _chat_out(resp: DataFrame) -> DataFrame:
         F.array_join(F.transform("properties", lambda x: x["search_rank"].cast("string")), ",").alias("hit_ranks"))
 
 
-def _chat(spark, sf_dir, mode="api", ranking="vector", golden=True):
+def _chat(spark, sf_dir, mode="api", ranking="vector", golden=True, fields=("listing_id",), cards=False):
+    """Responses carrying only the listing fields the query outputs."""
     return search.chat_batch(requests(spark, sf_dir, golden), listings(spark, sf_dir),
                              embeddings(spark, sf_dir), mode=mode, ranking=ranking,
-                             answered_at=F.lit(ANSWERED_AT).cast("timestamp"))
+                             answered_at=F.lit(ANSWERED_AT).cast("timestamp"), fields=fields, cards=cards)
 
 
 CHAT_API_SQL = O.with_(L, R, PA, O.vector_hits_cte(), O.kept_cte("api"), O.response_select().split("SELECT p.qid")[0]) \
@@ -493,15 +494,10 @@ SELECT p.qid, coalesce(c.total_found, 0)::INTEGER AS total_found, coalesce(c.hit
   coalesce(c.display, 'No matches found. Try a different query.') AS display
 FROM parsed p LEFT JOIN cards c ON c.qid = p.qid""")
 def q_chat_ui(spark, sf_dir):
-    p = parsed(spark, sf_dir, "ui")
-    l = listings(spark, sf_dir)
-    kept = search.post_filter(search.vector_hits(p, l, embeddings(spark, sf_dir), carry=search.CARRY), p, l, "ui")
-    resp = search.respond(p, kept, F.lit(ANSWERED_AT).cast("timestamp"))
-    cards = search.display_cards(kept, p)
-    return (resp.join(cards, "qid")
-            .select("qid", "total_found",
-                    F.array_join(F.transform("properties", lambda x: x["listing_id"]), ",").alias("hit_ids"),
-                    "display"))
+    resp = _chat(spark, sf_dir, mode="ui", cards=True)
+    return resp.select("qid", "total_found",
+                       F.array_join(F.transform("properties", lambda x: x["listing_id"]), ",").alias("hit_ids"),
+                       "display")
 
 
 @register("display_cards", O.with_(L, R, PU, O.vector_hits_cte(), O.kept_cte("ui")) + f""",
@@ -510,11 +506,7 @@ cards AS (SELECT qid, string_agg({_CARD_SQL}, chr(10) || chr(10) ORDER BY search
 SELECT p.qid, coalesce(c.display, 'No matches found. Try a different query.') AS display
 FROM parsed p LEFT JOIN cards c ON c.qid = p.qid""")
 def q_display_cards(spark, sf_dir):
-    p = parsed(spark, sf_dir, "ui")
-    l = listings(spark, sf_dir)
-    kept = search.post_filter(search.vector_hits(p, l, embeddings(spark, sf_dir),
-                                                 carry=search.CONSTRAINT_COLS), p, l, "ui")
-    return search.display_cards(kept, p)
+    return _chat(spark, sf_dir, mode="ui", cards=True).select("qid", "display")
 
 
 @register("response_projection", O.with_(L, R, PA, O.vector_hits_cte(), O.kept_cte("api")) + """
@@ -522,7 +514,7 @@ SELECT qid, search_rank, listing_id, title, description, monthly_rent, bedrooms,
   property_type, array_to_string(amenities, '|') AS amenities, round(similarity_score, 6) AS similarity_score,
   full_address, strftime(available_date, '%Y-%m-%d') AS available_date, contact_email, contact_phone FROM kept""")
 def q_response_projection(spark, sf_dir):
-    resp = _chat(spark, sf_dir)
+    resp = _chat(spark, sf_dir, fields=tuple(RESPONSE_FIELDS))
     x = resp.select("qid", F.explode("properties").alias("p")).select("qid", "p.*")
     return x.select("qid", "search_rank", *[
         _j("amenities", "|").alias("amenities") if c == "amenities"
