@@ -34,19 +34,34 @@ def load_listings(spark: SparkSession, path: str, fmt: str | None = None) -> Dat
     ``multiLine``, one array document per file), ``.csv`` (header, quoted,
     amenities as JSON text), ``.parquet``.  Other extensions raise."""
     fmt = fmt or os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower()
+    if fmt == "json" and _is_array_document(spark, path):
+        fmt = "jsonarray"
     if fmt == "json":
         df = spark.read.schema(LISTING).option("mode", "PERMISSIVE").json(path)
     elif fmt in ("jsonarray", "json_array"):
         # an indented array document is not splittable: one task per file
         df = spark.read.schema(LISTING).option("multiLine", True).json(path)
     elif fmt == "csv":
-        df = (spark.read.schema(LISTING_CSV).option("header", True).option("multiLine", True)
-              .option("escape", '"').csv(path))
+        # header names decide the mapping (any order, any subset); text cells
+        # are cast by name, unparsable numbers become null
+        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        have = set(raw.columns)
+        df = raw.select(*[
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name != "amenities" else F.col("amenities"))
+            .alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in LISTING_CSV.fields])
     elif fmt == "parquet":
         df = spark.read.schema(LISTING).parquet(path)
     else:
         raise ValueError("Unsupported file format. Use CSV or JSON.")
-    return _amenities_any(df)
+    return with_keys(_amenities_any(df))
+
+
+def with_keys(df: DataFrame) -> DataFrame:
+    """Files written elsewhere carry no internal key: give such rows a unique
+    BIGINT (above 2^62, so it cannot meet a supplied id).  Splits of a file
+    are fixed, so a recomputed partition gets the same keys."""
+    return df.withColumn("id", F.coalesce(F.col("id"), F.monotonically_increasing_id() + F.lit(1 << 62)))
 
 
 def save_listings_csv(df: DataFrame, path: str) -> str:
@@ -80,6 +95,26 @@ def load_corpus(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(lp), spark.read.parquet(vp)
 
 
+def _is_array_document(spark: SparkSession, path: str) -> bool:
+    """A single .json file whose first non-blank byte is '[' (reads 1 KiB)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not fs.getFileStatus(p).isFile():
+        return False
+    stream = fs.open(p)
+    try:
+        for _ in range(1024):
+            b = stream.read()
+            if b < 0:
+                return False
+            if chr(b) not in " \t\r\n\ufeff":
+                return chr(b) == "["
+        return False
+    finally:
+        stream.close()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
