@@ -97,7 +97,17 @@ def _term_ids(col: pa.ChunkedArray | pa.Array):
     return rows, toks
 
 
-def _lexical_tile(q_tokens, c_tokens, nq: int, nc: int):
+def _norms(rows: np.ndarray, toks: np.ndarray, n: int) -> np.ndarray:
+    """Full-text norms sqrt(sum tf^2) over *all* tokens of each row."""
+    if len(toks) == 0:
+        return np.zeros(n)
+    codes, _ = pd.factorize(toks)
+    width = int(codes.max()) + 1
+    ukey, cnt = np.unique(rows.astype(np.int64) * width + codes, return_counts=True)
+    return np.sqrt(np.bincount(ukey // width, weights=cnt.astype(np.float64) ** 2, minlength=n))
+
+
+def _lexical_tile(q_tokens, c_tokens, nq: int, nc: int, cn: np.ndarray):
     """Cosine of term-count vectors, restricted to the query block vocabulary.
 
     Returns (S, qnorm, cnorm) with S = integer dot products (as float64)."""
@@ -105,16 +115,7 @@ def _lexical_tile(q_tokens, c_tokens, nq: int, nc: int):
     cr, ct = c_tokens
     vocab = pd.Index(pd.unique(qt)) if len(qt) else pd.Index([])
     V = len(vocab)
-    # full-text norms: sqrt(sum tf^2) over *all* tokens of each row
-    def norms(rows, toks, n):
-        if len(toks) == 0:
-            return np.zeros(n)
-        codes, _ = pd.factorize(toks)
-        width = int(codes.max()) + 1
-        ukey, cnt = np.unique(rows.astype(np.int64) * width + codes, return_counts=True)
-        return np.sqrt(np.bincount(ukey // width, weights=cnt.astype(np.float64) ** 2, minlength=n))
-    qn = norms(qr, qt, nq)
-    cn = norms(cr, ct, nc)
+    qn = _norms(qr, qt, nq)
     S = np.zeros((nq, nc))
     if V == 0 or len(ct) == 0:
         return S, qn, cn
@@ -145,10 +146,14 @@ def _make_tile_fn(kind: str, qkey: str, ckey: str, qcol: str, ccol: str, kcol: s
     def fn(qt: pa.Table, ct: pa.Table) -> pa.Table:
         if qt.num_rows == 0 or ct.num_rows == 0:
             return out_schema.empty_table()
-        ckeys = ct.column(ckey).to_numpy()
+        # both sides sorted by key: a retried task sees the same matrices in
+        # the same order, so its scores and ranks are bit-identical
+        ckeys = ct.column(ckey).to_numpy(zero_copy_only=False)
         order = np.argsort(ckeys, kind="stable")
         ct = ct.take(pa.array(order))
         ckeys = ckeys[order]
+        qorder = np.argsort(qt.column(qkey).to_numpy(zero_copy_only=False), kind="stable")
+        qt = qt.take(pa.array(qorder))
         qkeys = qt.column(qkey)
         k = qt.column(kcol).to_numpy().astype(np.int64)
         nq, nc = qt.num_rows, ct.num_rows
@@ -165,11 +170,12 @@ def _make_tile_fn(kind: str, qkey: str, ckey: str, qcol: str, ccol: str, kcol: s
                 outs.append((rows + lo, cols, sc))
         else:
             c_tok = _term_ids(ct.column(ccol))
+            cn = _norms(c_tok[0], c_tok[1], nc)
             qtab = qt.column(qcol)
             for lo in range(0, nq, _ROW_CHUNK):
                 hi = min(nq, lo + _ROW_CHUNK)
                 q_tok = _term_ids(qtab.slice(lo, hi - lo))
-                dot, qn, cn = _lexical_tile(q_tok, c_tok, hi - lo, nc)
+                dot, qn, cn = _lexical_tile(q_tok, c_tok, hi - lo, nc, cn)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     S = dot / (qn[:, None] * cn[None, :])
                 S[dot <= 0] = 0.0
