@@ -34,20 +34,25 @@ def vector_corpus(listings: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def vector_hits(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,
-                carry=(), **topk_opts) -> DataFrame:
+                carry=(), with_listings: bool = False, **topk_opts) -> DataFrame:
     """(qid, id, similarity_score, search_rank, *carry) with rank <= max_results.
 
     The request vector is ``embeddings`` at the request's ``vec_id``; ``carry``
-    request columns ride along so later steps need no join back on qid."""
+    request columns ride along so later steps need no join back on qid.
+    ``with_listings`` attaches the listing row to the per-key ranking (keys x k
+    rows) before it is expanded to requests (requests x k rows)."""
     per_key = requests.groupBy("vec_id").agg(F.max("max_results").alias("kq"))
     qv = per_key.join(embeddings.select("vec_id", "embedding"), "vec_id")
     ranked, bound = exact_topk(qv, vector_corpus(listings, embeddings), qkey="vec_id", qcol="embedding",
                                kcol="kq", ckey="id", ccol="embedding", kind="dense",
                                score_col="similarity_score", rank_col="search_rank", with_bound=True,
                                **topk_opts)
+    if with_listings:
+        ranked = ranked.join(listings, "id")
     return (join_ranked(requests.select("qid", "vec_id", "max_results", *carry), ranked, bound, "vec_id")
             .filter(F.col("search_rank") <= F.col("max_results"))
-            .select("qid", "id", "similarity_score", "search_rank", *carry))
+            .select("qid", "id", "similarity_score", "search_rank", *carry,
+                    *([c for c in listings.columns if c != "id"] if with_listings else [])))
 
 
 def profile_corpus(listings: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def profile_corpus(listings: DataFrame) -> DataFrame:
 
 
 def lexical_hits(requests: DataFrame, listings: DataFrame, text_col: str = "enhanced",
-                 carry=(), **topk_opts) -> DataFrame:
+                 carry=(), with_listings: bool = False, **topk_opts) -> DataFrame:
     """Lexical cosine ranking of the (enhanced) request text against listing
     profile texts.  Listings sharing no term are never returned."""
     per_key = (requests.groupBy(F.coalesce(F.col(text_col), F.lit("")).alias("qtext"))
@@ -66,10 +71,13 @@ def lexical_hits(requests: DataFrame, listings: DataFrame, text_col: str = "enha
                                ckey="id", ccol="terms", kind="lexical",
                                score_col="similarity_score", rank_col="search_rank", with_bound=True,
                                **topk_opts)
+    if with_listings:
+        ranked = ranked.join(listings, "id")
     req = requests.select("qid", F.coalesce(F.col(text_col), F.lit("")).alias("qtext"), "max_results", *carry)
     return (join_ranked(req, ranked, bound, "qtext")
             .filter(F.col("search_rank") <= F.col("max_results"))
-            .select("qid", "id", "similarity_score", "search_rank", *carry))
+            .select("qid", "id", "similarity_score", "search_rank", *carry,
+                    *([c for c in listings.columns if c != "id"] if with_listings else [])))
 
 
 CONSTRAINT_COLS = ["max_price", "want_bedrooms", "want_type", "want_amenities"]
@@ -80,6 +88,8 @@ def attach(hits: DataFrame, parsed: DataFrame, listings: DataFrame) -> DataFrame
     """hits joined with the request constraints (unless carried) and the listing row."""
     if not all(c in hits.columns for c in CONSTRAINT_COLS):
         hits = hits.join(parsed.select("qid", *CONSTRAINT_COLS), "qid")
+    if "monthly_rent" in hits.columns:  # listing row already attached per key
+        return hits
     return hits.join(listings, "id")
 
 
@@ -163,9 +173,9 @@ def chat_batch(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,
     rank order), total_found, query_processed, timestamp (+ UI ``display``)."""
     parsed = parse_request(validate_k(requests), mode=mode)
     if ranking == "vector":
-        hits = vector_hits(parsed, listings, embeddings, carry=CARRY, **topk_opts)
+        hits = vector_hits(parsed, listings, embeddings, carry=CARRY, with_listings=True, **topk_opts)
     elif ranking == "lexical":
-        hits = lexical_hits(parsed, listings, carry=CARRY, **topk_opts)
+        hits = lexical_hits(parsed, listings, carry=CARRY, with_listings=True, **topk_opts)
     else:
         raise ValueError(f"unknown ranking {ranking!r}")
     kept = post_filter(hits, parsed, listings, mode)

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from abode.session import shared_dir
+
 # rows of the query block scored at once (bounds the tile's working set)
 _ROW_CHUNK = 512
 
@@ -200,14 +202,15 @@ _ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType():
 
 
 # ranked-side rows below which joining results back may broadcast them
-BROADCAST_ROWS_MAX = 500_000
+BROADCAST_ROWS_MAX = 200_000
 
 
 def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, kcol: str,
                ckey: str, ccol: str, kind: str = "dense",
                score_col: str = "score", rank_col: str = "rank",
                block_q: int = 4096, block_c: int = 16384,
-               min_parallel_pairs: float = 5e7, with_bound: bool = False):
+               min_parallel_pairs: float = 5e7, with_bound: bool = False,
+               materialize_queries: bool = True):
     """Top-``kcol`` corpus rows per query row, ranked by score desc, key asc.
 
     ``kind='dense'``: ``qcol``/``ccol`` are ARRAY<FLOAT|DOUBLE> vectors and the
@@ -225,6 +228,12 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
     q = queries.select(F.col(qkey).alias(qkey), F.col(qcol).alias("__qv"),
                        F.col(kcol).cast("int").alias("__kq"))
     c = corpus.select(F.col(ckey).alias(ckey), F.col(ccol).alias("__cv"))
+    if materialize_queries:
+        # the distinct query set is small next to the request log: write it
+        # once to the shared checkpoint folder, so sizing and scoring read it
+        # instead of re-running the upstream dedupe, and retries start there
+        shared_dir(spark)
+        q = q.checkpoint(eager=True)
     # one small job for the block plan: sizes of both sides and the largest k
     sizes = {r["__s"]: r for r in
              q.select(F.lit(0).alias("__s"), "__kq")
