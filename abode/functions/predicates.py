@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from abode.constants import FLAG_COLUMNS
+from abode.functions.sqltext import q
 
 
 def _wants(amen: Column, name: str) -> Column:
@@ -39,14 +40,18 @@ def _amen(c=F.col) -> Column:
     return F.coalesce(c("amenities"), F.array().cast("array<string>"))
 
 
+def _amen_sql() -> str:
+    return "coalesce(amenities, CAST(array() AS ARRAY<STRING>))"
+
+
 def amenity_contains_ok(want_amen: Column, name: str, c=F.col) -> Column:
     """API: the name is a case-insensitive substring of any listing amenity."""
-    return ~_wants(want_amen, name) | F.exists(_amen(c), lambda a: F.lower(a).contains(name))
+    return ~_wants(want_amen, name) | F.expr(f"exists({_amen_sql()}, a -> contains(lower(a), {q(name)}))")
 
 
 def amenity_exact_ok(want_amen: Column, name: str, c=F.col) -> Column:
     """UI: the name equals a listing amenity, case-insensitively."""
-    return ~_wants(want_amen, name) | F.array_contains(F.transform(_amen(c), lambda a: F.lower(a)), name)
+    return ~_wants(want_amen, name) | F.expr(f"array_contains(transform({_amen_sql()}, a -> lower(a)), {q(name)})")
 
 
 def all_ok(mode: str = "api", c=F.col) -> Column:

@@ -24,7 +24,7 @@ LEXICAL_SPLIT = "[^a-z0-9]+"
 
 
 def text_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), LEXICAL_SPLIT), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), LEXICAL_SPLIT), "")
 
 
 def vector_corpus(listings: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def summarise(kept: DataFrame, parsed: DataFrame, fields=tuple(RESPONSE_FIELDS),
     ]
     if cards:
         first = F.slice(F.array_sort(F.collect_list("__c")), 1, UI_MAX_CARDS)
-        aggs.append(F.array_join(F.transform(first, lambda x: x["card"]), "\n\n").alias("__cards"))
+        aggs.append(F.array_join(first.getField("card"), "\n\n").alias("__cards"))
     return hit.unionByName(mark).groupBy("qid").agg(*aggs)
 
 

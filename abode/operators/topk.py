@@ -303,7 +303,7 @@ def _empty(spark, queries, corpus, qkey, ckey, score_col, rank_col):
     return spark.createDataFrame([], schema)
 
 
-def inner_product(a, b):
-    """JVM-only inner product of two ARRAY<FLOAT> columns (exact, double)."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0).cast("double"), lambda s, v: s + v)
+def inner_product(a: str, b: str):
+    """JVM-only inner product of two ARRAY<FLOAT> columns, by name (exact, double)."""
+    return F.expr(f"aggregate(zip_with(`{a}`, `{b}`, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), "
+                  "CAST(0 AS DOUBLE), (s, v) -> s + v)")

@@ -42,8 +42,18 @@ def register(name: str, sql: str | None):
 # inputs
 # ---------------------------------------------------------------------------
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet table; the footer schema is discovered once per path and then
+    passed explicitly (plain Python StructType, valid across sessions)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def listings(spark, sf_dir) -> DataFrame:
@@ -303,7 +313,7 @@ FROM embeddings e WHERE e.vec_id IN (SELECT id FROM listings)""")
 def q_vector_check(spark, sf_dir):
     v = search.vector_corpus(listings(spark, sf_dir), embeddings(spark, sf_dir))
     return v.select("id", F.size("embedding").alias("dim"),
-                    (F.abs(F.sqrt(inner_product(F.col("embedding"), F.col("embedding"))) - 1) < 1e-5)
+                    (F.abs(F.sqrt(inner_product("embedding", "embedding")) - 1) < 1e-5)
                     .alias("unit_norm"))
 
 
@@ -332,7 +342,7 @@ def q_vector_score(spark, sf_dir):
     qv = e.select(F.col("vec_id").alias("q_vec"), F.col("embedding").alias("qe"))
     cv = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("ce"))
     x = (h.join(p.select("qid", F.col("vec_id").alias("q_vec")), "qid").join(qv, "q_vec").join(cv, "id"))
-    return x.select("qid", "id", _r6(inner_product(F.col("qe"), F.col("ce"))).alias("score"))
+    return x.select("qid", "id", _r6(inner_product("qe", "ce")).alias("score"))
 
 
 @register("topk_single", O.with_(L) + """,
@@ -349,7 +359,7 @@ def q_topk_single(spark, sf_dir):
     qvec = e.where(F.col("vec_id") == 0).select("embedding").scalar()
     # the scalar is evaluated once; HOFs may not contain subqueries, so project it first
     scored = (corpus.select("id", "embedding", qvec.alias("qe"))
-                    .select("id", inner_product(F.col("qe"), F.col("embedding")).alias("s")))
+                    .select("id", inner_product("qe", "embedding").alias("s")))
     top = scored.orderBy(F.desc("s"), F.asc("id")).limit(10)
     from pyspark.sql import Window
     w = Window.orderBy(F.desc("s"), F.asc("id"))
@@ -446,10 +456,10 @@ def q_city_counts(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _chat_out(resp: DataFrame) -> DataFrame:
-    return resp.select(
+    return resp.selectExpr(
         "qid", "message", "total_found", "query_processed",
-        F.array_join(F.transform("properties", lambda x: x["listing_id"]), ",").alias("hit_ids"),
-        F.array_join(F.transform("properties", lambda x: x["search_rank"].cast("string")), ",").alias("hit_ranks"))
+        "array_join(properties.listing_id, ',') AS hit_ids",
+        "array_join(transform(properties, x -> CAST(x.search_rank AS STRING)), ',') AS hit_ranks")
 
 
 def _chat(spark, sf_dir, mode="api", ranking="vector", golden=True, fields=("listing_id",), cards=False):
@@ -495,9 +505,7 @@ SELECT p.qid, coalesce(c.total_found, 0)::INTEGER AS total_found, coalesce(c.hit
 FROM parsed p LEFT JOIN cards c ON c.qid = p.qid""")
 def q_chat_ui(spark, sf_dir):
     resp = _chat(spark, sf_dir, mode="ui", cards=True)
-    return resp.select("qid", "total_found",
-                       F.array_join(F.transform("properties", lambda x: x["listing_id"]), ",").alias("hit_ids"),
-                       "display")
+    return resp.selectExpr("qid", "total_found", "array_join(properties.listing_id, ',') AS hit_ids", "display")
 
 
 @register("display_cards", O.with_(L, R, PU, O.vector_hits_cte(), O.kept_cte("ui")) + f""",
