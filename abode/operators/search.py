@@ -112,30 +112,35 @@ def summarise(kept: DataFrame, parsed: DataFrame, fields=tuple(RESPONSE_FIELDS),
     """Per-request aggregate of surviving hits, every request included.
 
     Surviving hits and one marker row per request are unioned and grouped
-    once by qid (one shuffle; a group holds at most k + 1 rows).  ``fields``
-    selects the listing fields carried into ``properties``; ``cards`` adds
-    the UI text of the first five hits."""
-    extra = [F.struct(F.col("search_rank"), _card().alias("card")).alias("__c")] if cards else []
-    prop = F.struct(F.col("search_rank"), *[F.col(c) for c in fields])
-    hit = kept.select("qid", "msg", "enhanced", "id", "property_type", "city", "monthly_rent",
-                      prop.alias("__p"), *extra)
-    nulls = ["id", "property_type", "city", "monthly_rent", "__p"] + (["__c"] if cards else [])
-    mark = parsed.select("qid", "msg", "enhanced",
-                         *[F.lit(None).cast(hit.schema[c].dataType).alias(c) for c in nulls])
-    aggs = [
+    once by qid (one shuffle; a group holds at most k + 1 rows) with a single
+    ``collect_list`` of hit structs; count, distinct types and cities, the
+    rent range and the first five UI cards are derived from that array.
+    ``fields`` selects the listing fields returned in ``properties``."""
+    need = ["property_type", "city", "monthly_rent"]
+    inner = list(fields) + [c for c in need if c not in fields]
+    parts = [F.col("search_rank")] + [F.col(c) for c in inner]
+    if cards:
+        parts.append(_card().alias("__card"))
+    hit = kept.select("qid", "msg", "enhanced", F.struct(*parts).alias("__p"))
+    mark = parsed.select("qid", "msg", "enhanced", F.lit(None).cast(hit.schema["__p"].dataType).alias("__p"))
+    g = hit.unionByName(mark).groupBy("qid").agg(
         F.any_value("msg", True).alias("msg"),
         F.any_value("enhanced", True).alias("enhanced"),
-        F.count("id").cast("int").alias("total_found"),
-        F.array_join(F.array_sort(F.collect_set("property_type")), ", ").alias("__types"),
-        F.array_join(F.array_sort(F.collect_set("city")), ", ").alias("__cities"),
-        F.min("monthly_rent").alias("__lo"),
-        F.max("monthly_rent").alias("__hi"),
-        F.array_sort(F.collect_list("__p")).alias("properties"),
+        F.array_sort(F.collect_list("__p")).alias("__h"))
+    keep = ", ".join(["x.search_rank AS search_rank"] + [f"x.`{c}` AS `{c}`" for c in fields])
+    out = [
+        "qid", "msg", "enhanced",
+        "CAST(size(__h) AS INT) AS total_found",
+        "array_join(array_sort(array_distinct(array_compact(__h.property_type))), ', ') AS __types",
+        "array_join(array_sort(array_distinct(array_compact(__h.city))), ', ') AS __cities",
+        "array_min(__h.monthly_rent) AS __lo",
+        "array_max(__h.monthly_rent) AS __hi",
+        ("__h AS properties" if list(inner) == list(fields) and not cards
+         else f"transform(__h, x -> struct({keep})) AS properties"),
     ]
     if cards:
-        first = F.slice(F.array_sort(F.collect_list("__c")), 1, UI_MAX_CARDS)
-        aggs.append(F.array_join(first.getField("card"), "\n\n").alias("__cards"))
-    return hit.unionByName(mark).groupBy("qid").agg(*aggs)
+        out.append(f"array_join(slice(__h, 1, {UI_MAX_CARDS}).__card, '\\n\\n') AS __cards")
+    return g.selectExpr(*out)
 
 
 def api_message(msg: Column, n: Column, types: Column, cities: Column, lo: Column, hi: Column) -> Column:
