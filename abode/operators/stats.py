@@ -65,3 +65,18 @@ def top_amenities(listings: DataFrame, n: int = 10) -> DataFrame:
 
 def city_counts(listings: DataFrame) -> DataFrame:
     return listings.groupBy("city").agg(F.count(F.lit(1)).alias("count")).orderBy("city")
+
+
+def preview(listings: DataFrame, n: int = 3, cols=("id", "listing_id", "city")) -> DataFrame:
+    """First n rows by key (a head() with a total order; the limit is the feature)."""
+    return listings.select(*cols).orderBy("id").limit(n)
+
+
+def column_profile(listings: DataFrame) -> DataFrame:
+    """One row per column: (column, position, non_null) — the column list
+    printed after a load, with fill counts.  One pass, one aggregate row,
+    unpivoted with stack."""
+    cols = listings.columns
+    counts = listings.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)])
+    pairs = ", ".join(f"'{c}', {i}, c{i}" for i, c in enumerate(cols))
+    return counts.selectExpr(f"stack({len(cols)}, {pairs}) AS (column, position, non_null)")

@@ -17,7 +17,7 @@ from abode.functions import derive, parse, predicates
 from abode.operators import search, stats
 from abode.operators.topk import inner_product
 from abode.plans import oracle as O
-from abode.schema import RESPONSE_FIELDS
+from abode.schema import LISTING_COLUMNS, RESPONSE_FIELDS
 from abode.session import fresh_path
 from abode.sources import files
 from abode.sources.requests import request_log, validate_k
@@ -446,6 +446,18 @@ def q_top_amenities(spark, sf_dir):
     return stats.top_amenities(listings(spark, sf_dir))
 
 
+@register("preview", O.with_(L) + "\nSELECT id, listing_id, city FROM listings ORDER BY id LIMIT 3")
+def q_preview(spark, sf_dir):
+    return stats.preview(listings(spark, sf_dir))
+
+
+@register("column_profile", O.with_(L) + "\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, {i} AS position, count({c}) AS non_null FROM listings"
+    for i, c in enumerate(["id"] + LISTING_COLUMNS)))
+def q_column_profile(spark, sf_dir):
+    return stats.column_profile(listings(spark, sf_dir))
+
+
 @register("city_counts", O.with_(L) + "\nSELECT city, count(*) AS count FROM listings GROUP BY 1")
 def q_city_counts(spark, sf_dir):
     return stats.city_counts(listings(spark, sf_dir))

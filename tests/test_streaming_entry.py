@@ -35,3 +35,13 @@ def test_total_found_bounded_by_k(spark):
     resp = search.chat_batch(RG.requests(spark, SF001), RG.listings(spark, SF001), RG.embeddings(spark, SF001),
                              fields=("listing_id",))
     assert resp.filter(F.col("total_found") > 24).count() == 0
+
+
+def test_max_results_rules(spark):
+    import pytest
+    from abode.sources.requests import validate_k
+    df = spark.createDataFrame([(1, None), (2, 3)], "qid bigint, max_results int")
+    assert [r.max_results for r in validate_k(df).orderBy("qid").collect()] == [10, 3]
+    bad = spark.createDataFrame([(1, 0)], "qid bigint, max_results int")
+    with pytest.raises(Exception, match="max_results"):
+        validate_k(bad).collect()
