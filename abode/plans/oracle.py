@@ -95,7 +95,7 @@ def requests_cte(include_golden: bool = True) -> str:
            f"ELSE (1 + {e} % 5)::VARCHAR || ' bedroom flat less than ' || (5000 + ({e} % 11) * 700)::VARCHAR END")
     sql = (f"SELECT {e}::BIGINT AS qid, user_id::BIGINT AS user_id, ts, {msg} AS msg, "
            f"(CASE WHEN {e} % 4 = 0 THEN {DEFAULT_K} ELSE 5 + {e} % 20 END)::INTEGER AS max_results, "
-           f"({e} % 500)::BIGINT AS vec_id FROM events")
+           f"({e} % (SELECT count(*) FROM embeddings))::BIGINT AS vec_id FROM events")
     if include_golden:
         vals = ", ".join(f"({-(g + 1)}, {lit(m)}, {g})" for g, m in enumerate(GOLDEN_MESSAGES))
         sql += (f" UNION ALL SELECT g.gid::BIGINT, NULL::BIGINT, TIMESTAMP '{BASE_TS}', g.gmsg::VARCHAR, "

@@ -20,7 +20,7 @@ from abode.plans import oracle as O
 from abode.schema import LISTING_COLUMNS, RESPONSE_FIELDS
 from abode.session import fresh_path
 from abode.sources import files
-from abode.sources.requests import request_log, validate_k
+from abode.sources.requests import request_log, validate_k, vector_count
 from abode.sources.synth import synth_listings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +66,8 @@ def embeddings(spark, sf_dir) -> DataFrame:
 
 def requests(spark, sf_dir, golden: bool = True) -> DataFrame:
     ev = read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return request_log(spark, ev, include_golden=golden)
+    return request_log(spark, ev, vector_count(read(spark, sf_dir, "embeddings").select("vec_id")),
+                       include_golden=golden)
 
 
 def parsed(spark, sf_dir, mode="api") -> DataFrame:

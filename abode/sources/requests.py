@@ -4,7 +4,7 @@ max_results INT, vec_id BIGINT."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +19,18 @@ REQUEST = T.StructType([
     T.StructField("vec_id", T.LongType()),
 ])
 
-VECTOR_POOL = 500  # request vectors are taken from embeddings.vec_id < 500
+def vector_count(embeddings: DataFrame) -> Column:
+    """Size of the whole vector table as a scalar subquery (evaluated once per
+    query; a row count reads parquet footers only)."""
+    return embeddings.select(F.count(F.lit(1))).scalar()
 
 
-def requests_from_events(events: DataFrame) -> DataFrame:
-    """One request per event; message shape by event_id mod 5.  Works on a
-    batch or a streaming ``events`` frame (pure projection)."""
+def requests_from_events(events: DataFrame, n_vectors: Column | int) -> DataFrame:
+    """One request per event; message shape by event_id mod 5.  The request
+    vector spans the whole ``embeddings`` table: vec_id = event_id mod
+    ``n_vectors`` (the driver's vector ids are dense, 0..n-1), so the ranking
+    work grows with both tables.  A pure projection (the scalar is a constant
+    of the query)."""
     msg = ("CASE pmod(event_id, 5) "
            "WHEN 0 THEN concat(CAST(1 + pmod(event_id, 4) AS STRING), ' bhk in Mumbai under ', "
            "CAST(3000 + pmod(event_id, 9) * 1000 AS STRING)) "
@@ -34,13 +40,15 @@ def requests_from_events(events: DataFrame) -> DataFrame:
            "WHEN 3 THEN 'affordable family house with pool' "
            "ELSE concat(CAST(1 + pmod(event_id, 5) AS STRING), ' bedroom flat less than ', "
            "CAST(5000 + pmod(event_id, 11) * 700 AS STRING)) END")
-    return events.selectExpr(
-        "CAST(event_id AS BIGINT) AS qid",
-        "CAST(user_id AS BIGINT) AS user_id",
-        "CAST(ts AS TIMESTAMP) AS ts",
-        f"{msg} AS msg",
-        f"CAST(CASE WHEN pmod(event_id, 4) = 0 THEN {DEFAULT_K} ELSE 5 + pmod(event_id, 20) END AS INT) AS max_results",
-        f"CAST(pmod(event_id, {VECTOR_POOL}) AS BIGINT) AS vec_id",
+    n = n_vectors if isinstance(n_vectors, Column) else F.lit(int(n_vectors))
+    return events.select(
+        F.col("event_id").cast("bigint").alias("qid"),
+        F.col("user_id").cast("bigint").alias("user_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.expr(msg).alias("msg"),
+        F.expr(f"CAST(CASE WHEN pmod(event_id, 4) = 0 THEN {DEFAULT_K} ELSE 5 + pmod(event_id, 20) END AS INT)")
+         .alias("max_results"),
+        F.pmod(F.col("event_id"), n.cast("bigint")).cast("bigint").alias("vec_id"),
     )
 
 
@@ -64,8 +72,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
-def request_log(spark: SparkSession, events: DataFrame, include_golden: bool = True) -> DataFrame:
-    log = requests_from_events(spread(events, "event_id"))
+def request_log(spark: SparkSession, events: DataFrame, n_vectors: Column | int,
+                include_golden: bool = True) -> DataFrame:
+    log = requests_from_events(spread(events, "event_id"), n_vectors)
     if include_golden:
         log = log.unionByName(golden_requests(spark))
     return log

@@ -15,29 +15,38 @@ from pyspark.sql import functions as F
 
 from abode.operators.search import chat_batch
 from abode.session import fresh_path
-from abode.sources.requests import requests_from_events
+from abode.sources.requests import requests_from_events, vector_count
 
 
-def request_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+def event_stream(spark: SparkSession, src_dir: str, glob: str = "events.parquet",
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """Raw ``events`` files of ``src_dir`` (matching ``glob``) as a stream."""
+    src_dir = src_dir.rstrip("/")
+    schema = spark.read.parquet(f"{src_dir}/{glob}").schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return requests_from_events(r.parquet(sf_dir.rstrip("/")))
+    return r.parquet(src_dir)
 
 
 def run_chat_stream(spark: SparkSession, sf_dir: str, listings: DataFrame, embeddings: DataFrame,
-                    answered_at: str | None = None, mode: str = "api", out: str | None = None) -> DataFrame:
-    """Drain the request stream (availableNow) and return the sink table."""
+                    answered_at: str | None = None, mode: str = "api", out: str | None = None,
+                    glob: str = "events.parquet", max_files_per_trigger: int | None = None) -> DataFrame:
+    """Drain the request stream (availableNow) and return the sink table.
+
+    Each micro-batch of events becomes requests (vector ids over the whole
+    static vector table) and is answered by the batch pipeline."""
     out = out or fresh_path(spark, "chat-stream")
     sink, ckpt = f"{out}/responses", f"{out}/_checkpoint"
     ts = F.lit(answered_at).cast("timestamp") if answered_at else None
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        resp = chat_batch(batch, listings, embeddings, mode=mode, answered_at=ts)
+        reqs = requests_from_events(batch, vector_count(embeddings))
+        resp = chat_batch(reqs, listings, embeddings, mode=mode, answered_at=ts)
         resp.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    q = (request_stream(spark, sf_dir).writeStream.foreachBatch(answer)
+    src = event_stream(spark, sf_dir, glob, max_files_per_trigger)
+    q = (src.writeStream.foreachBatch(answer)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:

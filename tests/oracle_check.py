@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import sys
 import time
 
@@ -62,7 +63,7 @@ def main(argv):
     sys.path.insert(0, "/root/repo")
     from abode.session import local_session
     import __spark_entry__ as E
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
     names = argv[1:] or sorted(E.queries())
     spark = local_session(8)
     con = duck(sf_dir)

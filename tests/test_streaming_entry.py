@@ -22,6 +22,22 @@ def test_stream_equals_batch(spark, scratch):
     assert _key(streamed) == _key(batch)
 
 
+def test_several_micro_batches_equal_one(spark, scratch):
+    """Events split over three files, one file per trigger (three batches),
+    give the same responses as the whole log in one batch."""
+    src = f"{scratch}/events-src"
+    RG.read(spark, SF001, "events").repartition(3, "event_id").write.parquet(src)
+    lst, emb = RG.listings(spark, SF001), RG.embeddings(spark, SF001)
+    ts = "2024-01-01 00:00:00"
+    one = run_chat_stream(spark, src, lst, emb, answered_at=ts, out=f"{scratch}/one", glob="*.parquet")
+    three = run_chat_stream(spark, src, lst, emb, answered_at=ts, out=f"{scratch}/three", glob="*.parquet",
+                            max_files_per_trigger=1)
+    n_batches = len(spark.read.parquet(f"{scratch}/three/responses").select("batch_id").distinct().collect())
+    assert n_batches == 3
+    assert _key(three) == _key(one)
+    assert three.count() == 1000
+
+
 def test_entry_and_registry(spark):
     df = E.entry(spark)
     assert df.count() == 1000 + 23
