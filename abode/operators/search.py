@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abode.constants import NO_MATCH_UI, UI_MAX_CARDS
+from abode.constants import FLAG_COLUMNS, NO_MATCH_UI, UI_MAX_CARDS
 from abode.functions import predicates
 from abode.functions.derive import profile_text
 from abode.functions.parse import parse_request
-from abode.operators.topk import exact_topk, join_ranked
+from abode.operators.topk import (BROADCAST_BYTES_MAX, BROADCAST_ROWS_MAX, est_row_bytes,
+                                  exact_topk, join_ranked)
 from abode.schema import RESPONSE_FIELDS
 from abode.sources.requests import validate_k
 
@@ -33,6 +34,17 @@ def vector_corpus(listings: DataFrame, embeddings: DataFrame) -> DataFrame:
     return e.join(listings.select("id"), "id", "left_semi")
 
 
+def rank_vectors(requests: DataFrame, listings: DataFrame, embeddings: DataFrame, **topk_opts):
+    """Ranking per distinct request vector with the largest k asked for it:
+    ((vec_id, id, similarity_score, search_rank), proven row bound)."""
+    per_key = requests.groupBy("vec_id").agg(F.max("max_results").alias("kq"))
+    qv = per_key.join(embeddings.select("vec_id", "embedding"), "vec_id")
+    return exact_topk(qv, vector_corpus(listings, embeddings), qkey="vec_id", qcol="embedding",
+                      kcol="kq", ckey="id", ccol="embedding", kind="dense",
+                      score_col="similarity_score", rank_col="search_rank", with_bound=True,
+                      **topk_opts)
+
+
 def vector_hits(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,
                 carry=(), with_listings: bool = False, **topk_opts) -> DataFrame:
     """(qid, id, similarity_score, search_rank, *carry) with rank <= max_results.
@@ -41,12 +53,7 @@ def vector_hits(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,
     request columns ride along so later steps need no join back on qid.
     ``with_listings`` attaches the listing row to the per-key ranking (keys x k
     rows) before it is expanded to requests (requests x k rows)."""
-    per_key = requests.groupBy("vec_id").agg(F.max("max_results").alias("kq"))
-    qv = per_key.join(embeddings.select("vec_id", "embedding"), "vec_id")
-    ranked, bound = exact_topk(qv, vector_corpus(listings, embeddings), qkey="vec_id", qcol="embedding",
-                               kcol="kq", ckey="id", ccol="embedding", kind="dense",
-                               score_col="similarity_score", rank_col="search_rank", with_bound=True,
-                               **topk_opts)
+    ranked, bound = rank_vectors(requests, listings, embeddings, **topk_opts)
     if with_listings:
         ranked = ranked.join(listings, "id")
     return (join_ranked(requests.select("qid", "vec_id", "max_results", *carry), ranked, bound, "vec_id")
@@ -60,20 +67,29 @@ def profile_corpus(listings: DataFrame) -> DataFrame:
     return listings.select("id", text_tokens(profile_text()).alias("terms"))
 
 
+def _qtext(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def rank_texts(requests: DataFrame, listings: DataFrame, text_col: str = "enhanced", **topk_opts):
+    """Lexical ranking per distinct request text: ((qtext, id, similarity_score,
+    search_rank), proven row bound)."""
+    per_key = requests.groupBy(_qtext(text_col).alias("qtext")).agg(F.max("max_results").alias("kq"))
+    qv = per_key.select("qtext", "kq", text_tokens(F.col("qtext")).alias("terms"))
+    return exact_topk(qv, profile_corpus(listings), qkey="qtext", qcol="terms", kcol="kq",
+                      ckey="id", ccol="terms", kind="lexical",
+                      score_col="similarity_score", rank_col="search_rank", with_bound=True,
+                      **topk_opts)
+
+
 def lexical_hits(requests: DataFrame, listings: DataFrame, text_col: str = "enhanced",
                  carry=(), with_listings: bool = False, **topk_opts) -> DataFrame:
     """Lexical cosine ranking of the (enhanced) request text against listing
     profile texts.  Listings sharing no term are never returned."""
-    per_key = (requests.groupBy(F.coalesce(F.col(text_col), F.lit("")).alias("qtext"))
-                       .agg(F.max("max_results").alias("kq")))
-    qv = per_key.select("qtext", "kq", text_tokens(F.col("qtext")).alias("terms"))
-    ranked, bound = exact_topk(qv, profile_corpus(listings), qkey="qtext", qcol="terms", kcol="kq",
-                               ckey="id", ccol="terms", kind="lexical",
-                               score_col="similarity_score", rank_col="search_rank", with_bound=True,
-                               **topk_opts)
+    ranked, bound = rank_texts(requests, listings, text_col, **topk_opts)
     if with_listings:
         ranked = ranked.join(listings, "id")
-    req = requests.select("qid", F.coalesce(F.col(text_col), F.lit("")).alias("qtext"), "max_results", *carry)
+    req = requests.select("qid", _qtext(text_col).alias("qtext"), "max_results", *carry)
     return (join_ranked(req, ranked, bound, "qtext")
             .filter(F.col("search_rank") <= F.col("max_results"))
             .select("qid", "id", "similarity_score", "search_rank", *carry,
@@ -127,6 +143,12 @@ def summarise(kept: DataFrame, parsed: DataFrame, fields=tuple(RESPONSE_FIELDS),
         F.any_value("msg", True).alias("msg"),
         F.any_value("enhanced", True).alias("enhanced"),
         F.array_sort(F.collect_list("__p")).alias("__h"))
+    return g.selectExpr(*_summary_exprs(fields, inner, cards))
+
+
+def _summary_exprs(fields, inner, cards: bool) -> list[str]:
+    """Count, distinct types and cities, rent range, properties and cards of
+    the surviving hits ``__h`` (an array sorted by rank) of one request."""
     keep = ", ".join(["x.search_rank AS search_rank"] + [f"x.`{c}` AS `{c}`" for c in fields])
     out = [
         "qid", "msg", "enhanced",
@@ -140,7 +162,7 @@ def summarise(kept: DataFrame, parsed: DataFrame, fields=tuple(RESPONSE_FIELDS),
     ]
     if cards:
         out.append(f"array_join(slice(__h, 1, {UI_MAX_CARDS}).__card, '\\n\\n') AS __cards")
-    return g.selectExpr(*out)
+    return out
 
 
 def api_message(msg: Column, n: Column, types: Column, cities: Column, lo: Column, hi: Column) -> Column:
@@ -153,8 +175,12 @@ def api_message(msg: Column, n: Column, types: Column, cities: Column, lo: Colum
 
 def respond(parsed: DataFrame, kept: DataFrame, answered_at: Column | None = None,
             fields=tuple(RESPONSE_FIELDS), cards: bool = False) -> DataFrame:
-    """One response row per request (requests with no hits included)."""
-    r = summarise(kept, parsed, fields, cards)
+    """One response row per request from exploded surviving hits (requests
+    with no hits included)."""
+    return _finish(summarise(kept, parsed, fields, cards), answered_at, cards)
+
+
+def _finish(r: DataFrame, answered_at: Column | None, cards: bool) -> DataFrame:
     ts = answered_at if answered_at is not None else F.current_timestamp()
     out = [
         "qid",
@@ -170,21 +196,68 @@ def respond(parsed: DataFrame, kept: DataFrame, answered_at: Column | None = Non
     return r.select(*out)
 
 
+# listing attributes the post-filter reads
+FILTER_FIELDS = ["monthly_rent", "bedrooms", "property_type", "amenities", *FLAG_COLUMNS]
+
+
+def ranked_lists(ranked: DataFrame, bound: int, listings: DataFrame, key: str, payload,
+                 cards: bool = False) -> DataFrame:
+    """(key, __r): each key's ranking with its listing payload as ONE array
+    sorted by rank.  Only keys x k rows are shuffled (never requests x k).
+    The listing table streams past a broadcast ranking when the ranking's
+    proven bound is small; otherwise both sides shuffle on the listing id."""
+    r = F.broadcast(ranked) if bound <= BROADCAST_ROWS_MAX else ranked
+    x = listings.join(r, "id")
+    parts = [F.col("search_rank")] + [F.col(c) for c in payload]
+    if cards:
+        parts.append(_card().alias("__card"))
+    return x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("__r"))
+
+
+def answer_requests(parsed: DataFrame, lists: DataFrame, key: str, req_key: Column, bound: int,
+                    mode: str, fields, inner, cards: bool) -> DataFrame:
+    """One row per request: its key's ranked array, cut to the request's own
+    k and post-filtered by its constraints inside the row (higher-order
+    ``filter``), then summarised.  The request side is never multiplied by k
+    and, with a broadcast ranking, never shuffled; otherwise it shuffles once
+    on the key (hot keys: AQE skew split; the other side is one row per key)."""
+    lt = lists.schema["__r"].dataType.simpleString()
+    req = parsed.select("qid", "msg", "enhanced", req_key.alias("__key"), "max_results", *CONSTRAINT_COLS)
+    lk = lists.withColumnRenamed(key, "__key")
+    if bound * est_row_bytes(lists.schema["__r"].dataType.elementType) <= BROADCAST_BYTES_MAX:
+        lk = F.broadcast(lk)
+    j = req.join(lk, "__key", "left")
+    h = (f"filter(coalesce(__r, CAST(array() AS {lt})), "
+         f"x -> x.search_rank <= max_results AND {predicates.all_ok_sql(mode, 'x')})")
+    g = j.select("qid", "msg", "enhanced", F.expr(h).alias("__h"))
+    return g.selectExpr(*_summary_exprs(fields, inner, cards))
+
+
 def chat_batch(requests: DataFrame, listings: DataFrame, embeddings: DataFrame, mode: str = "api",
                answered_at: Column | None = None, ranking: str = "vector",
                fields=tuple(RESPONSE_FIELDS), cards: bool = False, **topk_opts) -> DataFrame:
     """Full request pipeline over a table of requests: one response row per
     request with message, properties (``fields`` of each surviving hit, in
-    rank order), total_found, query_processed, timestamp (+ UI ``display``)."""
+    rank order), total_found, query_processed, timestamp (+ UI ``display``).
+
+    Plan: parse (one projection) -> rank once per distinct key -> per-key
+    ranked arrays with listing payload -> join to requests on the key ->
+    post-filter and summary inside each request row."""
     parsed = parse_request(validate_k(requests), mode=mode)
     if ranking == "vector":
-        hits = vector_hits(parsed, listings, embeddings, carry=CARRY, with_listings=True, **topk_opts)
+        ranked, bound = rank_vectors(parsed, listings, embeddings, **topk_opts)
+        key, req_key = "vec_id", F.col("vec_id")
     elif ranking == "lexical":
-        hits = lexical_hits(parsed, listings, carry=CARRY, with_listings=True, **topk_opts)
+        ranked, bound = rank_texts(parsed, listings, **topk_opts)
+        key, req_key = "qtext", _qtext("enhanced")
     else:
         raise ValueError(f"unknown ranking {ranking!r}")
-    kept = post_filter(hits, parsed, listings, mode)
-    return respond(parsed, kept, answered_at, fields, cards)
+    need = ["property_type", "city", "monthly_rent"]
+    inner = list(fields) + [c for c in need if c not in fields]
+    payload = inner + [c for c in FILTER_FIELDS if c not in inner]
+    lists = ranked_lists(ranked, bound, listings, key, payload, cards)
+    return _finish(answer_requests(parsed, lists, key, req_key, bound, mode, fields, inner, cards),
+                   answered_at, cards)
 
 
 def display_cards(kept: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -203,6 +203,20 @@ _ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType():
 
 # ranked-side rows below which joining results back may broadcast them
 BROADCAST_ROWS_MAX = 200_000
+# byte budget for broadcasting per-key ranked arrays with listing payload
+BROADCAST_BYTES_MAX = 64 << 20
+
+
+def est_row_bytes(t: T.DataType) -> int:
+    """Conservative width of one value of ``t`` (strings 96 B, arrays 8
+    elements), used with a proven row bound before deciding a broadcast."""
+    if isinstance(t, T.StructType):
+        return 8 + sum(est_row_bytes(f.dataType) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return 16 + 8 * est_row_bytes(t.elementType)
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return 96
+    return 8
 
 
 def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, kcol: str,
