@@ -263,8 +263,9 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
     bq = max(1, math.ceil(nq / block_q))
     bc = max(1, math.ceil(nc / block_c))
     par = spark.sparkContext.defaultParallelism
-    if bq * bc < par and nq * nc >= min_parallel_pairs:
-        # enough work to spread: split the corpus finer (min 1024 rows/block)
+    if bq * bc < par and (kind == "lexical" or nq * nc >= min_parallel_pairs):
+        # enough work to spread (lexical tiles pay per corpus token, whatever
+        # the query count): split the corpus finer (min 1024 rows/block)
         bc = max(bc, min(math.ceil(par / bq), math.ceil(nc / 1024)))
     qb = F.pmod(F.xxhash64(F.col(qkey)), F.lit(bq)).cast("int")
     cb = F.pmod(F.xxhash64(F.col(ckey)), F.lit(bc)).cast("int")
