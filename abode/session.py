@@ -35,6 +35,40 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(executors: int, cores_per_executor: int) -> dict[str, str]:
+    """Settings this library is planned against on a real cluster (apply them
+    when building the session; ``spark.checkpoint.dir`` comes from the cluster).
+
+    Partition sizes keep a task's input and shuffle blocks near 256 MB; AQE
+    coalesces small shuffles and splits skewed join partitions (a hot request
+    key); the broadcast threshold equals the byte budget the operators check
+    before broadcasting; the external shuffle service and decommissioning keep
+    shuffle output when an executor is lost, so stages resume, not restart."""
+    slots = max(1, executors * cores_per_executor)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        "spark.sql.shuffle.partitions": str(slots * 3),
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.worker.reuse": "true",
+        "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
+        "spark.shuffle.service.enabled": "true",
+        "spark.decommission.enabled": "true",
+        "spark.storage.decommission.enabled": "true",
+        "spark.storage.decommission.shuffleBlocks.enabled": "true",
+        "spark.task.maxFailures": "8",
+        "spark.ui.enabled": "false",
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Cluster-shared folder for written tables and checkpoints.
 
