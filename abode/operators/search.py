@@ -45,6 +45,15 @@ def rank_vectors(requests: DataFrame, listings: DataFrame, embeddings: DataFrame
                       **topk_opts)
 
 
+def attach_listings(ranked: DataFrame, bound: int, listings: DataFrame) -> DataFrame:
+    """Listing columns onto a per-key ranking (keys x k rows, before any
+    expansion to requests).  Under its proven bound the ranking is broadcast
+    and the listing table streams past it without a shuffle; otherwise both
+    sides shuffle on the listing id."""
+    r = F.broadcast(ranked) if bound <= BROADCAST_ROWS_MAX else ranked
+    return listings.join(r, "id")
+
+
 def vector_hits(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,
                 carry=(), with_listings: bool = False, **topk_opts) -> DataFrame:
     """(qid, id, similarity_score, search_rank, *carry) with rank <= max_results.
@@ -55,7 +64,7 @@ def vector_hits(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,
     rows) before it is expanded to requests (requests x k rows)."""
     ranked, bound = rank_vectors(requests, listings, embeddings, **topk_opts)
     if with_listings:
-        ranked = ranked.join(listings, "id")
+        ranked = attach_listings(ranked, bound, listings)
     return (join_ranked(requests.select("qid", "vec_id", "max_results", *carry), ranked, bound, "vec_id")
             .filter(F.col("search_rank") <= F.col("max_results"))
             .select("qid", "id", "similarity_score", "search_rank", *carry,
@@ -88,7 +97,7 @@ def lexical_hits(requests: DataFrame, listings: DataFrame, text_col: str = "enha
     profile texts.  Listings sharing no term are never returned."""
     ranked, bound = rank_texts(requests, listings, text_col, **topk_opts)
     if with_listings:
-        ranked = ranked.join(listings, "id")
+        ranked = attach_listings(ranked, bound, listings)
     req = requests.select("qid", _qtext(text_col).alias("qtext"), "max_results", *carry)
     return (join_ranked(req, ranked, bound, "qtext")
             .filter(F.col("search_rank") <= F.col("max_results"))
@@ -206,8 +215,7 @@ def ranked_lists(ranked: DataFrame, bound: int, listings: DataFrame, key: str, p
     sorted by rank.  Only keys x k rows are shuffled (never requests x k).
     The listing table streams past a broadcast ranking when the ranking's
     proven bound is small; otherwise both sides shuffle on the listing id."""
-    r = F.broadcast(ranked) if bound <= BROADCAST_ROWS_MAX else ranked
-    x = listings.join(r, "id")
+    x = attach_listings(ranked, bound, listings)
     parts = [F.col("search_rank")] + [F.col(c) for c in payload]
     if cards:
         parts.append(_card().alias("__card"))

@@ -301,9 +301,10 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
 
 def join_ranked(requests: DataFrame, ranked: DataFrame, bound: int, key: str) -> DataFrame:
     """Requests x their key's ranking.  The ranked side has at most ``bound``
-    rows (distinct keys x k); it is broadcast only when that proven bound is
-    small, otherwise both sides shuffle on the key (hot keys: AQE skew split)."""
-    if bound <= BROADCAST_ROWS_MAX:
+    rows (distinct keys x k); it is broadcast only when that proven bound
+    times its estimated row width fits the byte budget, otherwise both sides
+    shuffle on the key (hot keys: AQE skew split)."""
+    if bound * est_row_bytes(ranked.schema) <= BROADCAST_BYTES_MAX:
         ranked = F.broadcast(ranked)
     return requests.join(ranked, key)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from abode.constants import FLAG_COLUMNS
 from abode.functions import derive, parse, predicates
 from abode.operators import search, stats
-from abode.operators.topk import inner_product
+from abode.operators.topk import inner_product, join_ranked
 from abode.plans import oracle as O
 from abode.schema import LISTING_COLUMNS, RESPONSE_FIELDS
 from abode.session import fresh_path
@@ -267,8 +267,10 @@ def q_parse_request(spark, sf_dir):
 
 def _hits_joined(spark, sf_dir, mode="api"):
     p = parsed(spark, sf_dir, mode)
-    l = listings(spark, sf_dir)
-    hits = search.vector_hits(p, l, embeddings(spark, sf_dir), carry=search.CONSTRAINT_COLS)
+    l = listings(spark, sf_dir).select("id", *search.FILTER_FIELDS)
+    # listing attributes ride on the per-key ranking, before expansion to requests
+    hits = search.vector_hits(p, l, embeddings(spark, sf_dir), carry=search.CONSTRAINT_COLS,
+                              with_listings=True)
     return search.attach(hits, p, l)
 
 
@@ -323,10 +325,9 @@ SELECT h.qid, h.id, l.listing_id, round(h.similarity_score, 6) AS similarity_sco
 FROM hits h JOIN listings l ON l.id = h.id""")
 def q_topk_batch(spark, sf_dir):
     p = parsed(spark, sf_dir)
-    l = listings(spark, sf_dir)
-    h = search.vector_hits(p, l, embeddings(spark, sf_dir))
-    return h.join(l.select("id", "listing_id"), "id").select(
-        "qid", "id", "listing_id", _r6("similarity_score").alias("similarity_score"), "search_rank")
+    l = listings(spark, sf_dir).select("id", "listing_id")
+    h = search.vector_hits(p, l, embeddings(spark, sf_dir), with_listings=True)
+    return h.select("qid", "id", "listing_id", _r6("similarity_score").alias("similarity_score"), "search_rank")
 
 
 @register("vector_score", O.with_(L, R, PA, O.vector_hits_cte()) + """
@@ -337,13 +338,16 @@ def q_vector_score(spark, sf_dir):
     """JVM-only inner product (higher-order functions) for every ranked pair —
     cross-checks the Arrow matrix kernel; only the ranked pairs are scored."""
     p = parsed(spark, sf_dir)
-    l = listings(spark, sf_dir)
     e = embeddings(spark, sf_dir)
-    h = search.vector_hits(p, l, e)
-    qv = e.select(F.col("vec_id").alias("q_vec"), F.col("embedding").alias("qe"))
+    ranked, bound = search.rank_vectors(p, listings(spark, sf_dir), e)
+    # score each ranked (key, listing) pair once, then expand to the requests
+    qv = e.select("vec_id", F.col("embedding").alias("qe"))
     cv = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("ce"))
-    x = (h.join(p.select("qid", F.col("vec_id").alias("q_vec")), "qid").join(qv, "q_vec").join(cv, "id"))
-    return x.select("qid", "id", _r6(inner_product("qe", "ce")).alias("score"))
+    scored = (ranked.join(qv, "vec_id").join(cv, "id")
+                    .select("vec_id", "id", "search_rank", inner_product("qe", "ce").alias("score")))
+    h = (join_ranked(p.select("qid", "vec_id", "max_results"), scored, bound, "vec_id")
+         .filter(F.col("search_rank") <= F.col("max_results")))
+    return h.select("qid", "id", _r6("score").alias("score"))
 
 
 @register("topk_single", O.with_(L) + """,
@@ -391,10 +395,10 @@ SELECT h.qid, h.search_rank, l.listing_id, l.title, l.city, l.monthly_rent,
   round(h.similarity_score, 6) AS similarity_score FROM hits h JOIN listings l ON l.id = h.id""")
 def q_search_hits(spark, sf_dir):
     p = parsed(spark, sf_dir)
-    l = listings(spark, sf_dir)
-    h = search.vector_hits(p, l, embeddings(spark, sf_dir))
-    return h.join(l, "id").select("qid", "search_rank", "listing_id", "title", "city", "monthly_rent",
-                                  _r6("similarity_score").alias("similarity_score"))
+    l = listings(spark, sf_dir).select("id", "listing_id", "title", "city", "monthly_rent")
+    h = search.vector_hits(p, l, embeddings(spark, sf_dir), with_listings=True)
+    return h.select("qid", "search_rank", "listing_id", "title", "city", "monthly_rent",
+                    _r6("similarity_score").alias("similarity_score"))
 
 
 @register("lexical_topk", O.with_(L, R, PA, O.lexical_hits_cte()) + """
