@@ -3,8 +3,13 @@
 Tokenise -> hashed term frequencies -> IDF -> L2 normalise -> ARRAY<FLOAT>.
 IDF is one distributed aggregate over the corpus; its result (one weight per
 hash bucket) is bounded by ``num_features``, not by the data.  A model-based
-encoder can replace this with ``mapInArrow`` over batches (same output
-columns); none ships offline.
+encoder plugs in through ``batch_encoder`` (``predict_batch_udf``: the model
+loads once per Python worker and is called once per Arrow batch); none ships
+offline.
+
+An *encoder* is a function ``fit(corpus_texts) -> encode`` where
+``corpus_texts`` has a ``text`` column and ``encode(df, text_col)`` returns
+``df`` plus an ``embedding ARRAY<FLOAT>`` column (L2-normalised).
 """
 
 from __future__ import annotations
@@ -14,13 +19,14 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from abode.functions.derive import profile_text
 
 
-def encoder_pipeline(num_features: int = 1024) -> Pipeline:
+def encoder_pipeline(num_features: int = 1024, input_col: str = "text") -> Pipeline:
     return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="__tok", pattern="[^a-z0-9]+", toLowercase=True),
+        RegexTokenizer(inputCol=input_col, outputCol="__tok", pattern="[^a-z0-9]+", toLowercase=True),
         HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features),
         IDF(inputCol="__tf", outputCol="__idf"),
         Normalizer(inputCol="__idf", outputCol="__vec", p=2.0),
@@ -33,6 +39,36 @@ def encode_texts(model, df: DataFrame, text_col: str = "text") -> DataFrame:
                       vector_to_array("__vec", "float32").alias("embedding"))
 
 
+def hashed_tfidf_encoder(num_features: int = 1024):
+    """Default encoder: the JVM pipeline above, fitted on the corpus texts."""
+    def fit(corpus_texts: DataFrame):
+        model = encoder_pipeline(num_features, "__text").fit(
+            corpus_texts.select(F.coalesce(F.col("text"), F.lit("")).alias("__text")))
+
+        def encode(df: DataFrame, text_col: str = "text") -> DataFrame:
+            x = df.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+            return model.transform(x).select(*df.columns, vector_to_array("__vec", "float32").alias("embedding"))
+        return encode
+    return fit
+
+
+def batch_encoder(make_predict_fn, dim: int, batch_size: int = 256):
+    """Model-based encoder: ``make_predict_fn()`` returns ``predict(texts:
+    np.ndarray[str]) -> np.ndarray (n, dim)``; it runs once per Arrow batch
+    in the Python workers (``predict_batch_udf``), never per row."""
+    from pyspark.ml.functions import predict_batch_udf
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
+                            input_tensor_shapes=None)
+
+    def fit(_corpus_texts: DataFrame):
+        def encode(df: DataFrame, text_col: str = "text") -> DataFrame:
+            e = udf(F.coalesce(F.col(text_col), F.lit("")))
+            return df.withColumn("embedding", F.when(F.size(e) == dim, e)
+                                 .otherwise(F.raise_error(F.lit(f"encoder must return {dim} dims"))))
+        return encode
+    return fit
+
+
 def encode_profiles(listings: DataFrame, num_features: int = 1024):
     """Fit the encoder on the profile texts; returns (model, (id, embedding))."""
     texts = listings.select("id", profile_text().alias("text"))

@@ -91,6 +91,24 @@ def rank_texts(requests: DataFrame, listings: DataFrame, text_col: str = "enhanc
                       **topk_opts)
 
 
+def rank_encoded(requests: DataFrame, listings: DataFrame, encoder=None, text_col: str = "enhanced",
+                 **topk_opts):
+    """The reproduced flow: listing profile texts and each distinct (enhanced)
+    request text go through the same encoder, then exact inner-product top-k.
+    ``encoder`` is ``fit(corpus_texts) -> encode`` (default: the JVM hashed
+    TF-IDF encoder fitted on the profiles).  ((qtext, id, similarity_score,
+    search_rank), proven row bound)."""
+    from abode.operators.encode import hashed_tfidf_encoder
+    prof = listings.select("id", profile_text().alias("text"))
+    encode = (encoder or hashed_tfidf_encoder())(prof)
+    corpus = encode(prof, "text").select("id", "embedding")
+    per_key = requests.groupBy(_qtext(text_col).alias("qtext")).agg(F.max("max_results").alias("kq"))
+    qv = encode(per_key, "qtext")
+    return exact_topk(qv, corpus, qkey="qtext", qcol="embedding", kcol="kq", ckey="id", ccol="embedding",
+                      kind="dense", score_col="similarity_score", rank_col="search_rank", with_bound=True,
+                      **topk_opts)
+
+
 def lexical_hits(requests: DataFrame, listings: DataFrame, text_col: str = "enhanced",
                  carry=(), with_listings: bool = False, **topk_opts) -> DataFrame:
     """Lexical cosine ranking of the (enhanced) request text against listing
@@ -243,11 +261,15 @@ def answer_requests(parsed: DataFrame, lists: DataFrame, key: str, req_key: Colu
 
 def chat_batch(requests: DataFrame, listings: DataFrame, embeddings: DataFrame, mode: str = "api",
                answered_at: Column | None = None, ranking: str = "vector",
-               fields=tuple(RESPONSE_FIELDS), cards: bool = False, **topk_opts) -> DataFrame:
+               fields=tuple(RESPONSE_FIELDS), cards: bool = False, encoder=None, **topk_opts) -> DataFrame:
     """Full request pipeline over a table of requests: one response row per
     request with message, properties (``fields`` of each surviving hit, in
     rank order), total_found, query_processed, timestamp (+ UI ``display``).
 
+    ``ranking``: ``vector`` (request vector from ``embeddings`` by id),
+    ``lexical`` (term-count cosine of the enhanced text) or ``encoded`` (the
+    enhanced text through ``encoder``, as the reproduced service does).
+
     Plan: parse (one projection) -> rank once per distinct key -> per-key
     ranked arrays with listing payload -> join to requests on the key ->
     post-filter and summary inside each request row."""
@@ -258,6 +280,9 @@ def chat_batch(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,
     elif ranking == "lexical":
         ranked, bound = rank_texts(parsed, listings, **topk_opts)
         key, req_key = "qtext", _qtext("enhanced")
+    elif ranking == "encoded":
+        ranked, bound = rank_encoded(parsed, listings, encoder, **topk_opts)
+        key, req_key = "qtext", _qtext("enhanced")
     else:
         raise ValueError(f"unknown ranking {ranking!r}")
     need = ["property_type", "city", "monthly_rent"]

@@ -527,6 +527,15 @@ def q_chat_lexical(spark, sf_dir):
     return _chat_out(_chat(spark, sf_dir, ranking="lexical"))
 
 
+@register("chat_encoded", None)
+def q_chat_encoded(spark, sf_dir):
+    """The reproduced service's flow end to end: enhanced request text and
+    listing profiles through one encoder (JVM hashed TF-IDF fitted on the
+    profiles), exact inner-product top-k, post-filter, responses.  Rows-only:
+    the hashing has no DuckDB equivalent; tests check it by brute force."""
+    return _chat_out(_chat(spark, sf_dir, ranking="encoded"))
+
+
 _CARD_SQL = ("'\U0001f3e0 ' || title || ' — ₹' || monthly_rent::VARCHAR || '/mo in ' || city || ', ' || state || chr(10) "
              "|| description || chr(10) || 'Contact: ' || contact_email")
 
