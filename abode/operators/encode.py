@@ -42,8 +42,13 @@ def encode_texts(model, df: DataFrame, text_col: str = "text") -> DataFrame:
 def hashed_tfidf_encoder(num_features: int = 1024):
     """Default encoder: the JVM pipeline above, fitted on the corpus texts."""
     def fit(corpus_texts: DataFrame):
-        model = encoder_pipeline(num_features, "__text").fit(
-            corpus_texts.select(F.coalesce(F.col("text"), F.lit("")).alias("__text")))
+        try:
+            model = encoder_pipeline(num_features, "__text").fit(
+                corpus_texts.select(F.coalesce(F.col("text"), F.lit("")).alias("__text")))
+        except Exception as e:  # noqa: BLE001 - the JVM reports an empty corpus this way
+            if "seen any document" in str(e):
+                raise ValueError("no corpus texts to fit the encoder on (empty corpus)") from None
+            raise
 
         def encode(df: DataFrame, text_col: str = "text") -> DataFrame:
             x = df.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("__text"))

@@ -59,3 +59,21 @@ def test_request_side_not_multiplied_nor_shuffled_by_qid(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"BroadcastHashJoin .*LeftOuter", plan)
     assert "hashpartitioning(qid" not in plan
+
+
+def test_empty_corpus_cannot_fit_the_encoder(spark):
+    """As in the reproduced service, embedding an empty corpus is an error."""
+    req, lst, emb = _inputs(spark)
+    with pytest.raises(ValueError, match="empty corpus"):
+        search.chat_batch(req, lst.filter(F.lit(False)), emb, ranking="encoded")
+
+
+@pytest.mark.parametrize("ranking", ["vector", "lexical"])
+def test_empty_corpus_answers_every_request(spark, ranking):
+    req, lst, emb = _inputs(spark)
+    none = lst.filter(F.lit(False))
+    df = search.chat_batch(req, none, emb, ranking=ranking, fields=("listing_id",))
+    rows = df.select("total_found", "message").collect()
+    assert len(rows) == 1000 + 23
+    assert {r.total_found for r in rows} == {0}
+    assert all(r.message.startswith("No properties matched your search for '") for r in rows)
