@@ -17,7 +17,7 @@ from abode.functions import predicates
 from abode.functions.derive import profile_text
 from abode.functions.parse import parse_request
 from abode.operators.topk import (BROADCAST_BYTES_MAX, BROADCAST_ROWS_MAX, est_row_bytes,
-                                  exact_topk, join_ranked)
+                                  exact_topk, join_ranked, salted_join)
 from abode.schema import RESPONSE_FIELDS
 from abode.sources.requests import validate_k
 
@@ -246,13 +246,14 @@ def answer_requests(parsed: DataFrame, lists: DataFrame, key: str, req_key: Colu
     k and post-filtered by its constraints inside the row (higher-order
     ``filter``), then summarised.  The request side is never multiplied by k
     and, with a broadcast ranking, never shuffled; otherwise it shuffles once
-    on the key (hot keys: AQE skew split; the other side is one row per key)."""
+    on (key, salt), hot keys split over several tasks (``salted_join``)."""
     lt = lists.schema["__r"].dataType.simpleString()
     req = parsed.select("qid", "msg", "enhanced", req_key.alias("__key"), "max_results", *CONSTRAINT_COLS)
     lk = lists.withColumnRenamed(key, "__key")
     if bound * est_row_bytes(lists.schema["__r"].dataType.elementType) <= BROADCAST_BYTES_MAX:
-        lk = F.broadcast(lk)
-    j = req.join(lk, "__key", "left")
+        j = req.join(F.broadcast(lk), "__key", "left")
+    else:
+        j = salted_join(req, lk, "__key", "qid", "left")
     h = (f"filter(coalesce(__r, CAST(array() AS {lt})), "
          f"x -> x.search_rank <= max_results AND {predicates.all_ok_sql(mode, 'x')})")
     g = j.select("qid", "msg", "enhanced", F.expr(h).alias("__h"))

@@ -299,14 +299,47 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
     return (out, bound) if with_bound else out
 
 
-def join_ranked(requests: DataFrame, ranked: DataFrame, bound: int, key: str) -> DataFrame:
+# requests per key above which a key's requests are split over several tasks
+SALT_ROWS = 1_000_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, row_key: str, how: str = "inner") -> DataFrame:
+    """Shuffle join of a large ``left`` (requests, unique ``row_key``) with a
+    ``right`` side holding one row (or a few) per ``key``, where one key may
+    carry a third of all left rows.
+
+    One small job counts left rows per key and finds the hot keys (more than
+    ``SALT_ROWS`` rows).  Their number is known exactly, so the hot set is
+    broadcast only under the byte budget.  A hot key gets ``ceil(n /
+    SALT_ROWS)`` salts: its left rows take ``xxhash64(row_key) mod salts``
+    and only its right rows are replicated once per salt; every other key
+    keeps salt 0.  The join then runs on (key, salt), so no task receives
+    more than about ``SALT_ROWS`` rows of one key, and no row is dropped."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.filter(F.col("__n") > SALT_ROWS).select(
+        key, F.ceil(F.col("__n") / F.lit(SALT_ROWS)).cast("int").alias("__s"))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return left.join(right, key, how)
+    if n_hot * (16 + est_row_bytes(left.schema[key].dataType)) <= BROADCAST_BYTES_MAX:
+        hot = F.broadcast(hot)
+    salts = F.coalesce(F.col("__s"), F.lit(1))
+    lx = (left.join(hot, key, "left")
+              .withColumn("__salt", F.pmod(F.xxhash64(F.col(row_key)), salts).cast("int")).drop("__s"))
+    rx = (right.join(hot, key, "left")
+               .withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__s"))
+    return lx.join(rx, [key, "__salt"], how).drop("__salt")
+
+
+def join_ranked(requests: DataFrame, ranked: DataFrame, bound: int, key: str,
+                row_key: str = "qid") -> DataFrame:
     """Requests x their key's ranking.  The ranked side has at most ``bound``
     rows (distinct keys x k); it is broadcast only when that proven bound
     times its estimated row width fits the byte budget, otherwise both sides
-    shuffle on the key (hot keys: AQE skew split)."""
+    shuffle on the key with hot keys salted (``salted_join``)."""
     if bound * est_row_bytes(ranked.schema) <= BROADCAST_BYTES_MAX:
-        ranked = F.broadcast(ranked)
-    return requests.join(ranked, key)
+        return requests.join(F.broadcast(ranked), key)
+    return salted_join(requests, ranked, key, row_key)
 
 
 def _empty(spark, queries, corpus, qkey, ckey, score_col, rank_col):
