@@ -125,16 +125,31 @@ def _lexical_tile(q_tokens, c_tokens, nq: int, nc: int, cn: np.ndarray):
     ci = vocab.get_indexer(ct)
     sel = ci >= 0
     cr, ci = cr[sel], ci[sel]
+    # only terms on both sides add to dot products (norms use all tokens):
+    # renumber the shared terms 0..V-1 and drop the rest
+    used = np.unique(ci)
+    V = len(used)
+    if V == 0:
+        return S, qn, cn
+    remap = np.full(len(vocab), -1, dtype=np.int64)
+    remap[used] = np.arange(V)
+    ci, qi = remap[ci], remap[qi]
+    keep = qi >= 0
+    qr, qi = qr[keep], qi[keep]
+    # (row, term) pairs sorted by term once: each vocabulary chunk is a slice
+    qo, co = np.argsort(qi, kind="stable"), np.argsort(ci, kind="stable")
+    qr, qi, cr, ci = qr[qo], qi[qo], cr[co], ci[co]
     # term-count matrices on the request vocabulary, in column chunks
     step = max(1, 8_000_000 // max(nq, nc, 1))
     for lo in range(0, V, step):
         hi = min(V, lo + step)
-        Q = np.zeros((nq, hi - lo))
-        m = (qi >= lo) & (qi < hi)
-        np.add.at(Q, (qr[m], qi[m] - lo), 1.0)
-        D = np.zeros((nc, hi - lo))
-        m = (ci >= lo) & (ci < hi)
-        np.add.at(D, (cr[m], ci[m] - lo), 1.0)
+        w = hi - lo
+        a, b = np.searchsorted(qi, [lo, hi])
+        Q = np.bincount(qr[a:b] * w + (qi[a:b] - lo), minlength=nq * w).reshape(nq, w).astype(np.float64)
+        a, b = np.searchsorted(ci, [lo, hi])
+        if a == b:
+            continue
+        D = np.bincount(cr[a:b] * w + (ci[a:b] - lo), minlength=nc * w).reshape(nc, w).astype(np.float64)
         S += Q @ D.T
     return S, qn, cn
 
