@@ -223,10 +223,15 @@ hits AS (SELECT p.qid, r.id, r.similarity_score, r.search_rank::INTEGER AS searc
     FROM {parsed} p JOIN lranked r ON r.qtext = coalesce(p.enhanced, '') WHERE r.search_rank <= p.max_results)"""
 
 
-def kept_cte(mode: str, parsed: str = "parsed") -> str:
+def joined_cte(parsed: str = "parsed") -> str:
+    """Ranked hits with the request constraints and the listing row."""
     return f"""
 joined AS (SELECT h.qid, h.similarity_score, h.search_rank, p.max_price, p.want_bedrooms, p.want_type,
-    p.want_amenities, l.* FROM hits h JOIN {parsed} p ON p.qid = h.qid JOIN listings l ON l.id = h.id),
+    p.want_amenities, l.* FROM hits h JOIN {parsed} p ON p.qid = h.qid JOIN listings l ON l.id = h.id)"""
+
+
+def kept_cte(mode: str, parsed: str = "parsed") -> str:
+    return joined_cte(parsed) + f""",
 kept AS (SELECT * FROM joined WHERE {pred_all(mode)})"""
 
 
@@ -234,15 +239,27 @@ def fmt_thousands(x: str) -> str:
     return f"format('{{:,}}', {x})"
 
 
-def response_select(parsed: str = "parsed") -> str:
-    return f"""
+def chat_sql(ranking: str = "vector", golden: bool = True, mode: str = "api") -> str:
+    """Whole request pipeline: requests, parse, brute-force ranking,
+    post-filter, one response per request."""
+    hits = vector_hits_cte() if ranking == "vector" else lexical_hits_cte()
+    return (with_(listings_cte(), requests_cte(golden), parsed_cte(mode), hits, kept_cte(mode), response_agg_cte())
+            + "\n" + response_body())
+
+
+def response_agg_cte() -> str:
+    return """
 agg AS (SELECT qid, count(*) AS total_found,
     array_to_string(list_sort(list_distinct(list(property_type))), ', ') AS types,
     array_to_string(list_sort(list_distinct(list(city))), ', ') AS cities,
     min(monthly_rent) AS lo, max(monthly_rent) AS hi,
     string_agg(listing_id, ',' ORDER BY search_rank) AS hit_ids,
     string_agg(search_rank::VARCHAR, ',' ORDER BY search_rank) AS hit_ranks
-  FROM kept GROUP BY qid)
+  FROM kept GROUP BY qid)"""
+
+
+def response_body(parsed: str = "parsed") -> str:
+    return f"""
 SELECT p.qid,
   CASE WHEN coalesce(a.total_found, 0) = 0
     THEN 'No properties matched your search for ''' || coalesce(p.msg, '') || '''. Try adjusting your filters.'

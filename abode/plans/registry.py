@@ -275,7 +275,7 @@ def _hits_joined(spark, sf_dir, mode="api"):
 
 
 def _filter_sql(pred: str, mode="api") -> str:
-    return (O.with_(L, R, O.parsed_cte(mode), O.vector_hits_cte(), O.kept_cte(mode).split("kept AS")[0])
+    return (O.with_(L, R, O.parsed_cte(mode), O.vector_hits_cte(), O.joined_cte())
             + f"\nSELECT qid, id, search_rank FROM joined WHERE {pred}")
 
 
@@ -504,25 +504,17 @@ def _chat(spark, sf_dir, mode="api", ranking="vector", golden=True, fields=("lis
                              answered_at=F.lit(ANSWERED_AT).cast("timestamp"), fields=fields, cards=cards)
 
 
-CHAT_API_SQL = O.with_(L, R, PA, O.vector_hits_cte(), O.kept_cte("api"), O.response_select().split("SELECT p.qid")[0]) \
-    + "\nSELECT p.qid" + O.response_select().split("SELECT p.qid")[1]
-
-
-@register("chat_batch", CHAT_API_SQL)
+@register("chat_batch", O.chat_sql("vector"))
 def q_chat_batch(spark, sf_dir):
     return _chat_out(_chat(spark, sf_dir))
 
 
-@register("response_message", O.with_(L, R, PA, O.vector_hits_cte(), O.kept_cte("api"),
-                                      O.response_select().split("SELECT p.qid")[0])
-          + "\nSELECT qid, message FROM (SELECT p.qid" + O.response_select().split("SELECT p.qid")[1] + ")")
+@register("response_message", f"SELECT qid, message FROM ({O.chat_sql('vector')})")
 def q_response_message(spark, sf_dir):
     return _chat(spark, sf_dir).select("qid", "message")
 
 
-@register("chat_lexical", O.with_(L, R, PA, O.lexical_hits_cte(), O.kept_cte("api"),
-                                  O.response_select().split("SELECT p.qid")[0])
-          + "\nSELECT p.qid" + O.response_select().split("SELECT p.qid")[1])
+@register("chat_lexical", O.chat_sql("lexical"))
 def q_chat_lexical(spark, sf_dir):
     return _chat_out(_chat(spark, sf_dir, ranking="lexical"))
 
@@ -575,12 +567,7 @@ def q_response_projection(spark, sf_dir):
         else F.col(c) for c in RESPONSE_FIELDS])
 
 
-CHAT_STREAM_SQL = O.with_(L, O.requests_cte(False), PA, O.vector_hits_cte(), O.kept_cte("api"),
-                          O.response_select().split("SELECT p.qid")[0]) \
-    + "\nSELECT p.qid" + O.response_select().split("SELECT p.qid")[1]
-
-
-@register("chat_stream", CHAT_STREAM_SQL)
+@register("chat_stream", O.chat_sql("vector", golden=False))
 def q_chat_stream(spark, sf_dir):
     """The request log read as a stream (file source, availableNow), each
     micro-batch answered against the static corpus; returns the sink."""
