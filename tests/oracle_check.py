@@ -3,7 +3,6 @@ row count, column names and an order-insensitive value hash."""
 
 from __future__ import annotations
 
-import hashlib
 import math
 import os
 import sys
