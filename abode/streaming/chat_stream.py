@@ -29,14 +29,17 @@ def event_stream(spark: SparkSession, src_dir: str, glob: str = "events.parquet"
     return r.parquet(src_dir)
 
 
-def run_chat_stream(spark: SparkSession, sf_dir: str, listings: DataFrame, embeddings: DataFrame,
-                    answered_at: str | None = None, mode: str = "api", out: str | None = None,
-                    glob: str = "events.parquet", max_files_per_trigger: int | None = None) -> DataFrame:
-    """Drain the request stream (availableNow) and return the sink table.
+def start_chat_stream(spark: SparkSession, src_dir: str, listings: DataFrame, embeddings: DataFrame,
+                      out: str, answered_at: str | None = None, mode: str = "api",
+                      glob: str = "events.parquet", max_files_per_trigger: int | None = None,
+                      processing_time: str | None = None, available_now: bool = False):
+    """Start answering the request stream; returns the ``StreamingQuery``.
 
     Each micro-batch of events becomes requests (vector ids over the whole
-    static vector table) and is answered by the batch pipeline."""
-    out = out or fresh_path(spark, "chat-stream")
+    static vector table) and is answered by the batch pipeline.  Output goes
+    to ``{out}/responses/batch_id=N`` with overwrite, so a batch replayed
+    after a failure rewrites the same files; progress is kept in
+    ``{out}/_checkpoint`` (on the shared folder)."""
     sink, ckpt = f"{out}/responses", f"{out}/_checkpoint"
     ts = F.lit(answered_at).cast("timestamp") if answered_at else None
 
@@ -45,10 +48,23 @@ def run_chat_stream(spark: SparkSession, sf_dir: str, listings: DataFrame, embed
         resp = chat_batch(reqs, listings, embeddings, mode=mode, answered_at=ts)
         resp.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    src = event_stream(spark, sf_dir, glob, max_files_per_trigger)
-    q = (src.writeStream.foreachBatch(answer)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    w = (event_stream(spark, src_dir, glob, max_files_per_trigger).writeStream.foreachBatch(answer)
+         .option("checkpointLocation", ckpt))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    elif processing_time:
+        w = w.trigger(processingTime=processing_time)
+    return w.start()
+
+
+def run_chat_stream(spark: SparkSession, sf_dir: str, listings: DataFrame, embeddings: DataFrame,
+                    answered_at: str | None = None, mode: str = "api", out: str | None = None,
+                    glob: str = "events.parquet", max_files_per_trigger: int | None = None) -> DataFrame:
+    """Drain the request stream (availableNow) and return the sink table."""
+    out = out or fresh_path(spark, "chat-stream")
+    q = start_chat_stream(spark, sf_dir, listings, embeddings, out, answered_at, mode, glob,
+                          max_files_per_trigger, available_now=True)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(sink).drop("batch_id")
+    return spark.read.parquet(f"{out}/responses").drop("batch_id")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from abode.operators import search
 from abode.plans import registry as RG
-from abode.streaming.chat_stream import run_chat_stream
+from abode.streaming.chat_stream import run_chat_stream, start_chat_stream
 from conftest import SF001
 
 
@@ -38,6 +38,31 @@ def test_several_micro_batches_equal_one(spark, scratch):
     assert three.count() == 1000
 
 
+def test_long_running_stream_picks_up_new_files(spark, scratch):
+    """A processing-time stream answers files as they arrive; a restart from
+    the same checkpoint answers only the new file (exactly once overall)."""
+    src = f"{scratch}/incoming"
+    ev = RG.read(spark, SF001, "events")
+    ev.filter("event_id < 400").coalesce(1).write.parquet(src, mode="append")
+    lst, emb = RG.listings(spark, SF001), RG.embeddings(spark, SF001)
+    ts = "2024-01-01 00:00:00"
+    out = f"{scratch}/out"
+    q = start_chat_stream(spark, src, lst, emb, out, answered_at=ts, glob="*.parquet", processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        ev.filter("event_id >= 400").coalesce(1).write.parquet(src, mode="append")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    q2 = start_chat_stream(spark, src, lst, emb, out, answered_at=ts, glob="*.parquet", available_now=True)
+    q2.awaitTermination()
+    got = spark.read.parquet(f"{out}/responses")
+    assert got.count() == 1000 and got.select("qid").distinct().count() == 1000
+    batch = search.chat_batch(RG.requests(spark, SF001, golden=False), lst, emb,
+                              answered_at=F.lit(ts).cast("timestamp"))
+    assert _key(got.drop("batch_id")) == _key(batch)
+
+
 def test_entry_and_registry(spark):
     df = E.entry(spark)
     assert df.count() == 1000 + 23
