@@ -307,8 +307,10 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
         out = tiles.select(qkey, ckey, F.col("__score").alias(score_col), F.col("__rank").alias(rank_col))
     else:
         w = Window.partitionBy(qkey).orderBy(F.desc("__score"), F.asc(ckey))
+        # the literal bound (largest k) lets Spark cut candidates per key on
+        # the map side before the merge shuffle (partial WindowGroupLimit)
         out = (tiles.withColumn(rank_col, F.row_number().over(w))
-                    .filter(F.col(rank_col) <= F.col("__k"))
+                    .filter((F.col(rank_col) <= F.lit(kmax)) & (F.col(rank_col) <= F.col("__k")))
                     .select(qkey, ckey, F.col("__score").alias(score_col),
                             F.col(rank_col).cast("int").alias(rank_col)))
     return (out, bound) if with_bound else out

@@ -65,3 +65,18 @@ def test_post_filter_not_pushed_below_ranking(spark):
     top = plan.splitlines()[:plan.splitlines().index(next(l for l in plan.splitlines()
                                                           if "FlatMapCoGroupsInArrow" in l))]
     assert any("monthly_rent" in l and "max_price" in l for l in top)
+
+
+def test_split_corpus_merge_limits_candidates_map_side(spark):
+    """With several corpus blocks the per-key merge gets a partial
+    WindowGroupLimit (literal bound = largest k) before its shuffle."""
+    from pyspark.sql import functions as F
+    from abode.operators import search
+    from abode.operators.topk import exact_topk
+    lst, emb = RG.listings(spark, SF001), RG.embeddings(spark, SF001)
+    corpus = search.vector_corpus(lst, emb)
+    q = corpus.select(F.col("id").alias("q"), "embedding", F.lit(5).alias("k"))
+    out = exact_topk(q, corpus, qkey="q", qcol="embedding", kcol="k", ckey="id", ccol="embedding",
+                     block_c=64)
+    p = _plan(out)
+    assert "WindowGroupLimit" in p and "Partial" in p
