@@ -286,6 +286,14 @@ def chat_batch(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,
         key, req_key = "qtext", _qtext("enhanced")
     else:
         raise ValueError(f"unknown ranking {ranking!r}")
+    return respond_ranked(parsed, listings, ranked, bound, key, req_key, mode, answered_at, fields, cards)
+
+
+def respond_ranked(parsed: DataFrame, listings: DataFrame, ranked: DataFrame, bound: int, key: str,
+                   req_key: Column, mode: str = "api", answered_at: Column | None = None,
+                   fields=tuple(RESPONSE_FIELDS), cards: bool = False) -> DataFrame:
+    """Responses from a per-key ranking ``(key, id, similarity_score,
+    search_rank)`` with at most ``bound`` rows (computed now or cached)."""
     need = ["property_type", "city", "monthly_rent"]
     inner = list(fields) + [c for c in need if c not in fields]
     payload = inner + [c for c in FILTER_FIELDS if c not in inner]

@@ -5,15 +5,21 @@ batch pipeline inside ``foreachBatch`` (a per-request window rank is not
 allowed on a streaming frame).  Writes are keyed by ``batch_id`` with
 overwrite, so a replayed batch after a failure rewrites the same output
 (idempotent); progress lives in the checkpoint under the shared folder.
-The pipeline is stateless, so no watermark is needed.
+The answers are stateless, so no watermark is needed.  Rankings are cached:
+the corpus is static, so a key's ranking never goes stale, and each batch
+ranks only keys it has not seen (or asks more results for) — the corpus is
+shuffled into tiles only when there is something new to rank.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from abode.operators.search import chat_batch
+from abode.functions.parse import parse_request
+from abode.operators.search import rank_vectors, respond_ranked
+from abode.sources.requests import validate_k
 from abode.session import fresh_path
 from abode.sources.requests import requests_from_events, vector_count
 
@@ -29,6 +35,41 @@ def event_stream(spark: SparkSession, src_dir: str, glob: str = "events.parquet"
     return r.parquet(src_dir)
 
 
+RANKING_CACHE = T.StructType([
+    T.StructField("vec_id", T.LongType()),
+    T.StructField("kc", T.IntegerType()),
+    T.StructField("id", T.LongType()),
+    T.StructField("similarity_score", T.DoubleType()),
+    T.StructField("search_rank", T.IntegerType()),
+])
+
+
+def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFrame, cache_dir: str,
+                    batch_id: int):
+    """Rankings for this batch's keys, from the cache where it holds enough
+    results (``kc >= k``), else computed now and added to the cache under
+    ``batch_id=N`` (overwrite: a replayed batch rewrites the same rows).
+    Returns (ranking, proven row bound)."""
+    spark = parsed.sparkSession
+    keys = parsed.groupBy("vec_id").agg(F.max("max_results").alias("kq")).checkpoint(eager=True)
+    cache = spark.read.schema(RANKING_CACHE).parquet(cache_dir)
+    have = cache.groupBy("vec_id").agg(F.max("kc").alias("kc"))
+    need = (keys.join(have, "vec_id", "left")
+                .filter(F.col("kc").isNull() | (F.col("kq") > F.col("kc")))
+                .select("vec_id", F.col("kq").alias("max_results")))
+    new, _ = rank_vectors(need, listings, embeddings)
+    (new.join(need.select("vec_id", F.col("max_results").cast("int").alias("kc")), "vec_id")
+        .select(*RANKING_CACHE.fieldNames())
+        .write.mode("overwrite").parquet(f"{cache_dir}/batch_id={batch_id}"))
+    # latest (largest-k) cached ranking of each key of this batch
+    cache = spark.read.schema(RANKING_CACHE).parquet(cache_dir)
+    best = cache.join(keys.select("vec_id"), "vec_id", "left_semi")
+    best = best.join(best.groupBy("vec_id").agg(F.max("kc").alias("kc")), ["vec_id", "kc"], "left_semi")
+    n = keys.agg(F.count(F.lit(1)).alias("n"), F.max("kq").alias("k")).first()
+    kc_max = best.agg(F.max("kc")).first()[0] or 0
+    return best.select("vec_id", "id", "similarity_score", "search_rank"), (n["n"] or 0) * max(kc_max, n["k"] or 0)
+
+
 def start_chat_stream(spark: SparkSession, src_dir: str, listings: DataFrame, embeddings: DataFrame,
                       out: str, answered_at: str | None = None, mode: str = "api",
                       glob: str = "events.parquet", max_files_per_trigger: int | None = None,
@@ -40,14 +81,18 @@ def start_chat_stream(spark: SparkSession, src_dir: str, listings: DataFrame, em
     to ``{out}/responses/batch_id=N`` with overwrite, so a batch replayed
     after a failure rewrites the same files; progress is kept in
     ``{out}/_checkpoint`` (on the shared folder)."""
-    sink, ckpt = f"{out}/responses", f"{out}/_checkpoint"
+    sink, ckpt, cache_dir = f"{out}/responses", f"{out}/_checkpoint", f"{out}/_rankings"
     ts = F.lit(answered_at).cast("timestamp") if answered_at else None
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         reqs = requests_from_events(batch, vector_count(embeddings))
-        resp = chat_batch(reqs, listings, embeddings, mode=mode, answered_at=ts)
+        parsed = parse_request(validate_k(reqs), mode=mode)
+        ranked, bound = cached_rankings(parsed, listings, embeddings, cache_dir, batch_id)
+        resp = respond_ranked(parsed, listings, ranked, bound, "vec_id", F.col("vec_id"), mode, ts)
         resp.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
+    # an empty, typed cache to start from (kept as is on restart)
+    spark.createDataFrame([], RANKING_CACHE).coalesce(1).write.mode("ignore").parquet(f"{cache_dir}/batch_id=-1")
     w = (event_stream(spark, src_dir, glob, max_files_per_trigger).writeStream.foreachBatch(answer)
          .option("checkpointLocation", ckpt))
     if available_now:

@@ -36,6 +36,17 @@ def test_several_micro_batches_equal_one(spark, scratch):
     assert n_batches == 3
     assert _key(three) == _key(one)
     assert three.count() == 1000
+    # ranking cache: a key is ranked again only when it asks for a larger k
+    cache = spark.read.parquet(f"{scratch}/three/_rankings").select("vec_id", "kc", "batch_id").distinct()
+    per_key = {}
+    for r in cache.orderBy("batch_id").collect():
+        per_key.setdefault(r.vec_id, []).append(r.kc)
+    assert all(ks == sorted(set(ks)) for ks in per_key.values())
+    ranked_pairs = cache.count()
+    # (key, micro-batch) pairs a cache-less stream would rank: one file per batch
+    seen = (spark.read.parquet(src).select(F.pmod("event_id", F.lit(500)).alias("vec_id"),
+                                           F.input_file_name().alias("f")).distinct().count())
+    assert len(per_key) == 500 and ranked_pairs < seen
 
 
 def test_long_running_stream_picks_up_new_files(spark, scratch):
