@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from abode.functions.parse import parse_request
-from abode.operators.search import rank_vectors, respond_ranked
+from abode.operators.search import rank_encoded, rank_texts, rank_vectors, respond_ranked
 from abode.sources.requests import validate_k
 from abode.session import fresh_path
 from abode.sources.requests import requests_from_events, vector_count
@@ -35,45 +35,67 @@ def event_stream(spark: SparkSession, src_dir: str, glob: str = "events.parquet"
     return r.parquet(src_dir)
 
 
-RANKING_CACHE = T.StructType([
-    T.StructField("vec_id", T.LongType()),
-    T.StructField("kc", T.IntegerType()),
-    T.StructField("id", T.LongType()),
-    T.StructField("similarity_score", T.DoubleType()),
-    T.StructField("search_rank", T.IntegerType()),
-])
+def ranking_cache_schema(ranking: str = "vector") -> T.StructType:
+    """Cached rankings: request key (vector id, or enhanced text), the k it
+    was ranked for, and the ranked listings."""
+    return T.StructType([
+        T.StructField("__key", T.LongType() if ranking == "vector" else T.StringType()),
+        T.StructField("kc", T.IntegerType()),
+        T.StructField("id", T.LongType()),
+        T.StructField("similarity_score", T.DoubleType()),
+        T.StructField("search_rank", T.IntegerType()),
+    ])
+
+
+def _key(ranking: str) -> tuple[str, F.Column]:
+    """Name of the ranking key and the request column it comes from."""
+    if ranking == "vector":
+        return "vec_id", F.col("vec_id")
+    if ranking in ("lexical", "encoded"):
+        return "qtext", F.coalesce(F.col("enhanced"), F.lit(""))
+    raise ValueError(f"unknown ranking {ranking!r}")
 
 
 def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFrame, cache_dir: str,
-                    batch_id: int):
+                    batch_id: int, ranking: str = "vector", encoder=None):
     """Rankings for this batch's keys, from the cache where it holds enough
     results (``kc >= k``), else computed now and added to the cache under
     ``batch_id=N`` (overwrite: a replayed batch rewrites the same rows).
-    Returns (ranking, proven row bound)."""
+    Returns (ranking keyed like the batch path, proven row bound)."""
     spark = parsed.sparkSession
-    keys = parsed.groupBy("vec_id").agg(F.max("max_results").alias("kq")).checkpoint(eager=True)
-    cache = spark.read.schema(RANKING_CACHE).parquet(cache_dir)
-    have = cache.groupBy("vec_id").agg(F.max("kc").alias("kc"))
-    need = (keys.join(have, "vec_id", "left")
+    schema = ranking_cache_schema(ranking)
+    key, req_key = _key(ranking)
+    keys = parsed.groupBy(req_key.alias("__key")).agg(F.max("max_results").alias("kq")).checkpoint(eager=True)
+    cache = spark.read.schema(schema).parquet(cache_dir)
+    have = cache.groupBy("__key").agg(F.max("kc").alias("kc"))
+    need = (keys.join(have, "__key", "left")
                 .filter(F.col("kc").isNull() | (F.col("kq") > F.col("kc")))
-                .select("vec_id", F.col("kq").alias("max_results")))
-    new, _ = rank_vectors(need, listings, embeddings)
-    (new.join(need.select("vec_id", F.col("max_results").cast("int").alias("kc")), "vec_id")
-        .select(*RANKING_CACHE.fieldNames())
+                .select("__key", F.col("kq").alias("max_results")))
+    if ranking == "vector":
+        new, _ = rank_vectors(need.withColumnRenamed("__key", "vec_id"), listings, embeddings)
+    elif ranking == "lexical":
+        new, _ = rank_texts(need.withColumnRenamed("__key", "enhanced"), listings)
+    else:
+        new, _ = rank_encoded(need.withColumnRenamed("__key", "enhanced"), listings, encoder)
+    (new.withColumnRenamed(key, "__key")
+        .join(need.select("__key", F.col("max_results").cast("int").alias("kc")), "__key")
+        .select(*schema.fieldNames())
         .write.mode("overwrite").parquet(f"{cache_dir}/batch_id={batch_id}"))
     # latest (largest-k) cached ranking of each key of this batch
-    cache = spark.read.schema(RANKING_CACHE).parquet(cache_dir)
-    best = cache.join(keys.select("vec_id"), "vec_id", "left_semi")
-    best = best.join(best.groupBy("vec_id").agg(F.max("kc").alias("kc")), ["vec_id", "kc"], "left_semi")
+    cache = spark.read.schema(schema).parquet(cache_dir)
+    best = cache.join(keys.select("__key"), "__key", "left_semi")
+    best = best.join(best.groupBy("__key").agg(F.max("kc").alias("kc")), ["__key", "kc"], "left_semi")
     n = keys.agg(F.count(F.lit(1)).alias("n"), F.max("kq").alias("k")).first()
     kc_max = best.agg(F.max("kc")).first()[0] or 0
-    return best.select("vec_id", "id", "similarity_score", "search_rank"), (n["n"] or 0) * max(kc_max, n["k"] or 0)
+    out = best.select(F.col("__key").alias(key), "id", "similarity_score", "search_rank")
+    return out, (n["n"] or 0) * max(kc_max, n["k"] or 0)
 
 
 def start_chat_stream(spark: SparkSession, src_dir: str, listings: DataFrame, embeddings: DataFrame,
                       out: str, answered_at: str | None = None, mode: str = "api",
                       glob: str = "events.parquet", max_files_per_trigger: int | None = None,
-                      processing_time: str | None = None, available_now: bool = False):
+                      processing_time: str | None = None, available_now: bool = False,
+                      ranking: str = "vector", encoder=None):
     """Start answering the request stream; returns the ``StreamingQuery``.
 
     Each micro-batch of events becomes requests (vector ids over the whole
@@ -82,17 +104,18 @@ def start_chat_stream(spark: SparkSession, src_dir: str, listings: DataFrame, em
     after a failure rewrites the same files; progress is kept in
     ``{out}/_checkpoint`` (on the shared folder)."""
     sink, ckpt, cache_dir = f"{out}/responses", f"{out}/_checkpoint", f"{out}/_rankings"
+    key, req_key = _key(ranking)
     ts = F.lit(answered_at).cast("timestamp") if answered_at else None
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         reqs = requests_from_events(batch, vector_count(embeddings))
         parsed = parse_request(validate_k(reqs), mode=mode)
-        ranked, bound = cached_rankings(parsed, listings, embeddings, cache_dir, batch_id)
-        resp = respond_ranked(parsed, listings, ranked, bound, "vec_id", F.col("vec_id"), mode, ts)
+        ranked, bound = cached_rankings(parsed, listings, embeddings, cache_dir, batch_id, ranking, encoder)
+        resp = respond_ranked(parsed, listings, ranked, bound, key, req_key, mode, ts)
         resp.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     # an empty, typed cache to start from (kept as is on restart)
-    spark.createDataFrame([], RANKING_CACHE).coalesce(1).write.mode("ignore").parquet(f"{cache_dir}/batch_id=-1")
+    spark.createDataFrame([], ranking_cache_schema(ranking)).coalesce(1).write.mode("ignore").parquet(f"{cache_dir}/batch_id=-1")
     w = (event_stream(spark, src_dir, glob, max_files_per_trigger).writeStream.foreachBatch(answer)
          .option("checkpointLocation", ckpt))
     if available_now:
@@ -104,11 +127,12 @@ def start_chat_stream(spark: SparkSession, src_dir: str, listings: DataFrame, em
 
 def run_chat_stream(spark: SparkSession, sf_dir: str, listings: DataFrame, embeddings: DataFrame,
                     answered_at: str | None = None, mode: str = "api", out: str | None = None,
-                    glob: str = "events.parquet", max_files_per_trigger: int | None = None) -> DataFrame:
+                    glob: str = "events.parquet", max_files_per_trigger: int | None = None,
+                    ranking: str = "vector", encoder=None) -> DataFrame:
     """Drain the request stream (availableNow) and return the sink table."""
     out = out or fresh_path(spark, "chat-stream")
     q = start_chat_stream(spark, sf_dir, listings, embeddings, out, answered_at, mode, glob,
-                          max_files_per_trigger, available_now=True)
+                          max_files_per_trigger, available_now=True, ranking=ranking, encoder=encoder)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

@@ -37,10 +37,10 @@ def test_several_micro_batches_equal_one(spark, scratch):
     assert _key(three) == _key(one)
     assert three.count() == 1000
     # ranking cache: a key is ranked again only when it asks for a larger k
-    cache = spark.read.parquet(f"{scratch}/three/_rankings").select("vec_id", "kc", "batch_id").distinct()
+    cache = spark.read.parquet(f"{scratch}/three/_rankings").select("__key", "kc", "batch_id").distinct()
     per_key = {}
     for r in cache.orderBy("batch_id").collect():
-        per_key.setdefault(r.vec_id, []).append(r.kc)
+        per_key.setdefault(r["__key"], []).append(r.kc)
     assert all(ks == sorted(set(ks)) for ks in per_key.values())
     ranked_pairs = cache.count()
     # (key, micro-batch) pairs a cache-less stream would rank: one file per batch
@@ -49,6 +49,18 @@ def test_several_micro_batches_equal_one(spark, scratch):
     assert len(per_key) == 500 and ranked_pairs < seen
 
 
+def test_lexical_stream_equals_batch(spark, scratch):
+    src = f"{scratch}/events-src"
+    RG.read(spark, SF001, "events").repartition(2, "event_id").write.parquet(src)
+    lst, emb = RG.listings(spark, SF001), RG.embeddings(spark, SF001)
+    ts = "2024-01-01 00:00:00"
+    streamed = run_chat_stream(spark, src, lst, emb, answered_at=ts, out=f"{scratch}/lex", glob="*.parquet",
+                               max_files_per_trigger=1, ranking="lexical")
+    batch = search.chat_batch(RG.requests(spark, SF001, golden=False), lst, emb, ranking="lexical",
+                              answered_at=F.lit(ts).cast("timestamp"))
+    assert _key(streamed) == _key(batch)
+
+
 def test_long_running_stream_picks_up_new_files(spark, scratch):
     """A processing-time stream answers files as they arrive; a restart from
     the same checkpoint answers only the new file (exactly once overall)."""
