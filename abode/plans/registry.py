@@ -139,7 +139,7 @@ def q_coerce_amenities(spark, sf_dir):
 
 
 @register("corpus_roundtrip", O.with_(L) + """
-SELECT l.id, l.listing_id, len(e.embedding) AS dim FROM listings l JOIN embeddings e ON e.vec_id = l.id""")
+SELECT l.id, l.listing_id, len(e.embedding)::INTEGER AS dim FROM listings l JOIN embeddings e ON e.vec_id = l.id""")
 def q_corpus_roundtrip(spark, sf_dir):
     """Build-or-load the persisted corpus (listings + vectors as parquet)."""
     out = fresh_path(spark, "corpus")
@@ -310,7 +310,7 @@ _filter_query("filter_all", lambda: predicates.all_ok("api"), O.pred_all("api"))
 # ---------------------------------------------------------------------------
 
 @register("vector_check", O.with_(L) + """
-SELECT e.vec_id AS id, len(e.embedding) AS dim,
+SELECT e.vec_id AS id, len(e.embedding)::INTEGER AS dim,
   abs(sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) - 1) < 1e-5 AS unit_norm
 FROM embeddings e WHERE e.vec_id IN (SELECT id FROM listings)""")
 def q_vector_check(spark, sf_dir):
