@@ -71,12 +71,14 @@ def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFram
     need = (keys.join(have, "__key", "left")
                 .filter(F.col("kc").isNull() | (F.col("kq") > F.col("kc")))
                 .select("__key", F.col("kq").alias("max_results")))
+    # ``need`` derives from the checkpointed keys: no second checkpoint
+    opts = {"materialize_queries": False}
     if ranking == "vector":
-        new, _ = rank_vectors(need.withColumnRenamed("__key", "vec_id"), listings, embeddings)
+        new, _ = rank_vectors(need.withColumnRenamed("__key", "vec_id"), listings, embeddings, **opts)
     elif ranking == "lexical":
-        new, _ = rank_texts(need.withColumnRenamed("__key", "enhanced"), listings)
+        new, _ = rank_texts(need.withColumnRenamed("__key", "enhanced"), listings, **opts)
     else:
-        new, _ = rank_encoded(need.withColumnRenamed("__key", "enhanced"), listings, encoder)
+        new, _ = rank_encoded(need.withColumnRenamed("__key", "enhanced"), listings, encoder, **opts)
     (new.withColumnRenamed(key, "__key")
         .join(need.select("__key", F.col("max_results").cast("int").alias("kc")), "__key")
         .select(*schema.fieldNames())

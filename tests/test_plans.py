@@ -80,3 +80,16 @@ def test_split_corpus_merge_limits_candidates_map_side(spark):
                      block_c=64)
     p = _plan(out)
     assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_broadcast_width_estimate_and_cluster_conf():
+    from pyspark.sql import types as T
+    from abode.operators.topk import est_row_bytes
+    from abode.session import cluster_conf
+    row = T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.StringType()),
+                        T.StructField("a", T.ArrayType(T.StringType()))])
+    assert est_row_bytes(row) == 8 + 8 + 96 + (16 + 8 * 96)
+    conf = cluster_conf(1000, 8)
+    assert conf["spark.sql.shuffle.partitions"] == "24000"
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert conf["spark.sql.autoBroadcastJoinThreshold"] == "64m"
