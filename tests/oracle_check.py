@@ -1,5 +1,5 @@
 """Run registered queries in Spark and their oracle SQL in DuckDB; compare
-row count, column names and an order-insensitive value hash."""
+row count, column names and types, and an order-insensitive value hash."""
 
 from __future__ import annotations
 
@@ -39,16 +39,30 @@ def canon(df: pd.DataFrame):
     return cols, rows
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "date": "DATE", "float": "FLOAT"}
+
+
+def type_diff(sdf_schema, rel) -> dict:
+    s = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf_schema.fields}
+    d = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (s.get(c), d.get(c)) for c in set(s) | set(d) if s.get(c) != d.get(c)}
+
+
 def compare(spark, con, name, qfn, sql, sf_dir):
     t0 = time.time()
-    sdf = qfn(spark, sf_dir).toPandas()
+    sq = qfn(spark, sf_dir)
+    sdf = sq.toPandas()
     t1 = time.time()
     ddf = con.execute(sql).df()
     t2 = time.time()
+    types = type_diff(sq.schema, con.sql(sql))
     sc, sr = canon(sdf)
     dc, dr = canon(ddf)
-    ok = sc == dc and sr == dr
+    ok = sc == dc and sr == dr and not types
     info = f"{name}: spark {len(sr)} rows {t1 - t0:.1f}s, duck {len(dr)} rows {t2 - t1:.1f}s -> {'OK' if ok else 'MISMATCH'}"
+    if types:
+        info += f"\n  types (spark, duck): {types}"
     if not ok:
         if sc != dc:
             info += f"\n  cols spark={sc} duck={dc}"
