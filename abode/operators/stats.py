@@ -43,12 +43,11 @@ def stats_index(vectors: DataFrame) -> DataFrame:
 
 def distinct_values(listings: DataFrame, cols=("city", "property_type")) -> DataFrame:
     """Distinct values as rows (field, value) — one row per value, so the
-    result never has to fit in a single cell."""
-    parts = [listings.select(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
-             for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    result never has to fit in a single cell.  One scan: each row fans out
+    to one (field, value) pair per column, deduplicated map-side first."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
+                                for c in cols]))
+    out = listings.select(pairs.alias("p")).select("p.field", "p.value")
     return out.where(F.col("value").isNotNull()).distinct().orderBy("field", "value")
 
 
