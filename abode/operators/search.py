@@ -2,9 +2,19 @@
 
 Requests and listings are tables; every step is a DataFrame operator.
 Ranking is computed once per *distinct query key* (vector id, or enhanced
-text for lexical search) with the largest k asked for that key, then joined
-back to the requests, so a popular request text costs one ranking, however
-many users send it (the join back is skew-handled by AQE).
+text for lexical and encoded search) with the largest k asked for that key,
+so a popular request costs one ranking, however many users send it.
+
+Two ways back to the requests:
+
+* exploded hits (``vector_hits`` / ``lexical_hits``): one row per request
+  and ranked listing, for the hit-level queries;
+* per-request answers (``chat_batch``): each key's ranking becomes one
+  array, joined to its requests one row each, then post-filtered and
+  summarised inside the row; no requests x k rows and no shuffle on qid.
+
+Either join broadcasts the ranking under its proven bound; otherwise it
+shuffles on (key, salt), with hot keys salted (``topk.salted_join``).
 """
 
 from __future__ import annotations
