@@ -409,11 +409,17 @@ def q_lexical_topk(spark, sf_dir):
     return h.select("qid", "id", _r6("similarity_score").alias("similarity_score"), "search_rank")
 
 
-@register("encode_profiles", None)
+@register("encode_profiles", O.with_(L) + """
+SELECT id, 1024 AS dim, true AS unit_norm FROM listings""")
 def q_encode_profiles(spark, sf_dir):
+    """Every listing profile encoded (default 1,024 hashed TF-IDF features)
+    to one L2-normalised vector.  The oracle checks the contract (one vector
+    per listing, dimension, unit norm); the hashed values themselves are
+    checked against a numpy brute force in tests/test_encoder.py."""
     from abode.operators.encode import encode_profiles
     model, enc = encode_profiles(listings(spark, sf_dir))
-    return enc.select("id", F.size("embedding").alias("dim"))
+    return enc.select("id", F.size("embedding").alias("dim"),
+                      (F.abs(F.sqrt(inner_product("embedding", "embedding")) - 1) < 1e-5).alias("unit_norm"))
 
 
 # ---------------------------------------------------------------------------

@@ -91,7 +91,7 @@ def test_entry_and_registry(spark):
     assert df.count() == 1000 + 23
     assert set(df.columns) == {"qid", "message", "total_found", "query_processed", "hit_ids", "hit_ranks"}
     q, o = E.queries(), E.oracle_sql()
-    assert set(q) - set(o) == {"encode_profiles", "chat_encoded"}
+    assert set(q) - set(o) == {"chat_encoded"}
     assert set(o) <= set(q)
 
 
