@@ -12,8 +12,10 @@ Plan
 3. A window ``row_number() over (partition by query order by score desc,
    key)`` merges at most ``blocks_c * k`` candidates per query.
 
-Shuffle volume is ``n_q * blocks_c + n_c * blocks_q`` rows; block sizes are
-parameters so a tile fits a task's memory at any scale.  No pair table, no
+Shuffle volume is ``n_q * blocks_c + n_c * blocks_q`` rows.  Dense tiles are
+square with side sqrt(TILE_MADDS / d), the least shuffle for a fixed tile
+cost; block sizes can also be passed, and a tile fits a task's memory at any
+scale.  No pair table, no
 driver collect; only two ``count()`` scalars reach the driver.
 """
 
@@ -30,8 +32,14 @@ from pyspark.sql import types as T
 
 from abode.session import shared_dir
 
-# rows of the query block scored at once (bounds the tile's working set)
+# rows of the query block scored at once (bounds the tile's working set):
+# at most 512, and at most 16M scores (128 MB) per chunk
 _ROW_CHUNK = 512
+_CHUNK_SCORES = 1 << 24
+
+
+def _row_chunk(nc: int) -> int:
+    return max(1, min(_ROW_CHUNK, _CHUNK_SCORES // max(nc, 1)))
 
 
 # ---------------------------------------------------------------------------
@@ -174,14 +182,15 @@ def _make_tile_fn(kind: str, qkey: str, ckey: str, qcol: str, ccol: str, kcol: s
         qkeys = qt.column(qkey)
         k = qt.column(kcol).to_numpy().astype(np.int64)
         nq, nc = qt.num_rows, ct.num_rows
+        chunk = _row_chunk(nc)
         outs = []
         if kind == "dense":
             cv = _matrix(ct.column(ccol))
             qv_all = _matrix(qt.column(qcol))
             if qv_all.shape[1] != cv.shape[1]:
                 raise ValueError(f"query dim {qv_all.shape[1]} != corpus dim {cv.shape[1]}")
-            for lo in range(0, nq, _ROW_CHUNK):
-                hi = min(nq, lo + _ROW_CHUNK)
+            for lo in range(0, nq, chunk):
+                hi = min(nq, lo + chunk)
                 S = _dense_scores(qv_all[lo:hi], cv)
                 rows, cols, sc = _select_topk(S, k[lo:hi], positive_only=False)
                 outs.append((rows + lo, cols, sc))
@@ -189,8 +198,8 @@ def _make_tile_fn(kind: str, qkey: str, ckey: str, qcol: str, ccol: str, kcol: s
             c_tok = _term_ids(ct.column(ccol))
             cn = _norms(c_tok[0], c_tok[1], nc)
             qtab = qt.column(qcol)
-            for lo in range(0, nq, _ROW_CHUNK):
-                hi = min(nq, lo + _ROW_CHUNK)
+            for lo in range(0, nq, chunk):
+                hi = min(nq, lo + chunk)
                 q_tok = _term_ids(qtab.slice(lo, hi - lo))
                 dot, qn, cn = _lexical_tile(q_tok, c_tok, hi - lo, nc, cn)
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -216,6 +225,18 @@ def _make_tile_fn(kind: str, qkey: str, ckey: str, qcol: str, ccol: str, kcol: s
 _ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
 
 
+# multiply-adds in one dense tile (block_q x block_c x d): a few seconds of one
+# core.  For a fixed tile cost, shuffle (n_q*n_c*d*(1/block_q + 1/block_c)) is
+# smallest with square blocks, so the side is sqrt(TILE_MADDS / d).
+TILE_MADDS = 1 << 34
+BLOCK_MIN, BLOCK_MAX = 1024, 65536
+
+
+def dense_block(d: int) -> int:
+    """Square tile side for vectors of dimension ``d``."""
+    return max(BLOCK_MIN, min(BLOCK_MAX, int(math.sqrt(TILE_MADDS / max(d, 1)))))
+
+
 # ranked-side rows below which joining results back may broadcast them
 BROADCAST_ROWS_MAX = 200_000
 # byte budget for broadcasting per-key ranked arrays with listing payload
@@ -237,7 +258,7 @@ def est_row_bytes(t: T.DataType) -> int:
 def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, kcol: str,
                ckey: str, ccol: str, kind: str = "dense",
                score_col: str = "score", rank_col: str = "rank",
-               block_q: int = 4096, block_c: int = 16384,
+               block_q: int | None = None, block_c: int | None = None,
                min_parallel_pairs: float = 5e7, with_bound: bool = False,
                materialize_queries: bool = True):
     """Top-``kcol`` corpus rows per query row, ranked by score desc, key asc.
@@ -264,13 +285,23 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
         shared_dir(spark)
         q = q.checkpoint(eager=True)
     # one small job for the block plan: sizes of both sides and the largest k
+    # (plus the vector dimension, which sets the tile side)
+    qd = F.size("__qv") if kind == "dense" else F.lit(0)
     sizes = {r["__s"]: r for r in
-             q.select(F.lit(0).alias("__s"), "__kq")
-              .unionByName(c.select(F.lit(1).alias("__s"), F.lit(None).cast("int").alias("__kq")))
-              .groupBy("__s").agg(F.count(F.lit(1)).alias("n"), F.max("__kq").alias("kmax")).collect()}
+             q.select(F.lit(0).alias("__s"), "__kq", qd.alias("__d"))
+              .unionByName(c.select(F.lit(1).alias("__s"), F.lit(None).cast("int").alias("__kq"),
+                                    F.lit(None).cast("int").alias("__d")))
+              .groupBy("__s").agg(F.count(F.lit(1)).alias("n"), F.max("__kq").alias("kmax"),
+                                  F.max("__d").alias("d")).collect()}
     nq = sizes[0]["n"] if 0 in sizes else 0
     nc = sizes[1]["n"] if 1 in sizes else 0
     kmax = int(sizes[0]["kmax"] or 0) if 0 in sizes else 0
+    if kind == "dense":
+        side = dense_block(int(sizes[0]["d"] or 1) if 0 in sizes else 1)
+        block_q, block_c = block_q or side, block_c or side
+    else:
+        # lexical tiles pay per corpus token: keep query blocks small
+        block_q, block_c = block_q or 4096, block_c or 16384
     bound = nq * min(kmax, nc)
     if nq == 0 or nc == 0:
         out = _empty(spark, queries, corpus, qkey, ckey, score_col, rank_col)

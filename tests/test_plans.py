@@ -93,3 +93,10 @@ def test_broadcast_width_estimate_and_cluster_conf():
     assert conf["spark.sql.shuffle.partitions"] == "24000"
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert conf["spark.sql.autoBroadcastJoinThreshold"] == "64m"
+
+
+def test_tile_sizes_follow_dimension():
+    from abode.operators.topk import _row_chunk, dense_block
+    assert dense_block(64) == 16384 and dense_block(1024) == 4096
+    assert dense_block(1) == 65536 and dense_block(10**9) == 1024
+    assert _row_chunk(16384) == 512 and _row_chunk(65536) == 256 and _row_chunk(10**9) == 1
