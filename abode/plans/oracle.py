@@ -239,11 +239,18 @@ def fmt_thousands(x: str) -> str:
     return f"format('{{:,}}', {x})"
 
 
-def chat_sql(ranking: str = "vector", golden: bool = True, mode: str = "api") -> str:
+def conversation_requests_cte() -> str:
+    return (f"requests AS (SELECT (conv_id * 1000000 + turn)::BIGINT AS qid, conv_id::BIGINT AS user_id, "
+            f"TIMESTAMP '{BASE_TS}' AS ts, text AS msg, {DEFAULT_K}::INTEGER AS max_results, "
+            f"NULL::BIGINT AS vec_id FROM conversations WHERE role = 'user')")
+
+
+def chat_sql(ranking: str = "vector", golden: bool = True, mode: str = "api", requests: str | None = None) -> str:
     """Whole request pipeline: requests, parse, brute-force ranking,
     post-filter, one response per request."""
     hits = vector_hits_cte() if ranking == "vector" else lexical_hits_cte()
-    return (with_(listings_cte(), requests_cte(golden), parsed_cte(mode), hits, kept_cte(mode), response_agg_cte())
+    return (with_(listings_cte(), requests or requests_cte(golden), parsed_cte(mode), hits, kept_cte(mode),
+                  response_agg_cte())
             + "\n" + response_body())
 
 

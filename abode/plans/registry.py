@@ -525,6 +525,18 @@ def q_chat_lexical(spark, sf_dir):
     return _chat_out(_chat(spark, sf_dir, ranking="lexical"))
 
 
+@register("chat_conversations", O.chat_sql("lexical", requests=O.conversation_requests_cte()))
+def q_chat_conversations(spark, sf_dir):
+    """User turns of ``conversations`` answered as requests: whole
+    multilingual message texts, parsed, ranked by lexical cosine against the
+    listing profiles, post-filtered and summarised."""
+    from abode.sources.requests import requests_from_conversations
+    reqs = requests_from_conversations(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    resp = search.chat_batch(reqs, listings(spark, sf_dir), embeddings(spark, sf_dir), ranking="lexical",
+                             answered_at=F.lit(ANSWERED_AT).cast("timestamp"), fields=("listing_id",))
+    return _chat_out(resp)
+
+
 @register("chat_encoded", None)
 def q_chat_encoded(spark, sf_dir):
     """The reproduced service's flow end to end: enhanced request text and

@@ -52,6 +52,26 @@ def requests_from_events(events: DataFrame, n_vectors: Column | int) -> DataFram
     )
 
 
+CONV_TURNS = 1_000_000  # qid = conv_id * CONV_TURNS + turn
+
+
+def requests_from_conversations(conversations: DataFrame) -> DataFrame:
+    """User turns of chat conversations as requests: the whole message text,
+    the default k, no request vector (text ranking only).  A pure filter and
+    projection; qid = conv_id * 1e6 + turn (a larger turn fails the query
+    rather than collide)."""
+    turn = F.col("turn").cast("bigint")
+    return conversations.where(F.col("role") == "user").select(
+        F.when((turn >= 0) & (turn < CONV_TURNS), F.col("conv_id").cast("bigint") * CONV_TURNS + turn)
+         .otherwise(F.raise_error(F.lit("conversation turn out of range"))).cast("bigint").alias("qid"),
+        F.col("conv_id").cast("bigint").alias("user_id"),
+        F.lit(BASE_TS).cast("timestamp").alias("ts"),
+        F.col("text").alias("msg"),
+        F.lit(DEFAULT_K).cast("int").alias("max_results"),
+        F.lit(None).cast("bigint").alias("vec_id"),
+    )
+
+
 def golden_requests(spark: SparkSession) -> DataFrame:
     """The fixed messages as a JVM-side local relation (messages bound as
     named parameters: no quoting, one call)."""

@@ -110,3 +110,18 @@ def test_empty_corpus_stats(spark):
 def test_duplicate_listing_id_kept_apart_by_key(spark):
     lst = RG.listings(spark, SF001).withColumn("listing_id", F.lit("SP1"))
     assert lst.select("id").distinct().count() == lst.count()
+
+
+def test_conversation_user_turns_as_requests(spark):
+    import pytest
+    from abode.plans import registry as RG
+    from abode.sources.requests import requests_from_conversations
+    from conftest import SF001
+    conv = RG.read(spark, SF001, "conversations")
+    reqs = requests_from_conversations(conv)
+    n_user = conv.filter("role = 'user'").count()
+    assert reqs.count() == n_user == reqs.select("qid").distinct().count()
+    assert reqs.filter("msg IS NULL OR max_results <> 10 OR vec_id IS NOT NULL").count() == 0
+    bad = spark.createDataFrame([(1, 10**6, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
+    with pytest.raises(Exception, match="turn out of range"):
+        requests_from_conversations(bad).collect()
