@@ -7,16 +7,18 @@ Plan
    replicated to every corpus block, corpus rows to every query block.
 2. ``cogroup(qb, cb).applyInArrow`` scores one (query block x corpus block)
    tile in numpy — a float64 matrix product for dense vectors, a term-count
-   product for lexical cosine — and emits only that tile's top-k per query
-   (ties broken by ascending corpus key, exactly).
+   product over the terms both blocks share for lexical cosine — and emits
+   only that tile's top-k per query (ties broken by ascending corpus key,
+   exactly).
 3. A window ``row_number() over (partition by query order by score desc,
-   key)`` merges at most ``blocks_c * k`` candidates per query.
+   key)`` merges at most ``blocks_c * k`` candidates per query; its literal
+   largest-k bound gives a map-side partial ``WindowGroupLimit``.
 
 Shuffle volume is ``n_q * blocks_c + n_c * blocks_q`` rows.  Dense tiles are
 square with side sqrt(TILE_MADDS / d), the least shuffle for a fixed tile
-cost; block sizes can also be passed, and a tile fits a task's memory at any
-scale.  No pair table, no
-driver collect; only two ``count()`` scalars reach the driver.
+cost; score chunks are capped, so a tile fits a task's memory at any scale.
+No pair table and no driver collect: only the sizing job's few aggregates
+(row counts, largest k, dimension) reach the driver.
 """
 
 from __future__ import annotations
