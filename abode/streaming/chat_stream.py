@@ -56,17 +56,57 @@ def _key(ranking: str) -> tuple[str, F.Column]:
     raise ValueError(f"unknown ranking {ranking!r}")
 
 
+def _numbered_dirs(spark: SparkSession, root: str, name: str) -> list[int]:
+    """N of every ``{root}/{name}=N`` folder (file-system metadata only)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        n = st.getPath().getName()
+        if st.isDirectory() and n.startswith(name + "="):
+            out.append(int(n.split("=", 1)[1]))
+    return sorted(out)
+
+
+def read_cache(spark: SparkSession, cache_dir: str, schema: T.StructType) -> DataFrame:
+    """The ranking cache: the newest compaction (``{cache_dir}_compact/upto=M``)
+    plus the batch folders written after it, so a long stream reads a
+    bounded set of folders instead of one per batch ever run."""
+    compact = _numbered_dirs(spark, f"{cache_dir}_compact", "upto")
+    last = compact[-1] if compact else None
+    batches = [b for b in _numbered_dirs(spark, cache_dir, "batch_id") if last is None or b > last]
+    parts = [spark.read.schema(schema).parquet(f"{cache_dir}/batch_id={b}") for b in batches]
+    if last is not None:
+        parts.insert(0, spark.read.schema(schema).parquet(f"{cache_dir}_compact/upto={last}"))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _latest(cache: DataFrame) -> DataFrame:
+    """Each key's rows ranked for its largest k."""
+    return cache.join(cache.groupBy("__key").agg(F.max("kc").alias("kc")), ["__key", "kc"], "left_semi")
+
+
 def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFrame, cache_dir: str,
-                    batch_id: int, ranking: str = "vector", encoder=None):
+                    batch_id: int, ranking: str = "vector", encoder=None, compact_every: int = 20):
     """Rankings for this batch's keys, from the cache where it holds enough
     results (``kc >= k``), else computed now and added to the cache under
     ``batch_id=N`` (overwrite: a replayed batch rewrites the same rows).
+    Every ``compact_every`` batches the cache is compacted to each key's
+    latest ranking (``upto=N``, overwrite; nothing is deleted).
     Returns (ranking keyed like the batch path, proven row bound)."""
     spark = parsed.sparkSession
     schema = ranking_cache_schema(ranking)
     key, req_key = _key(ranking)
     keys = parsed.groupBy(req_key.alias("__key")).agg(F.max("max_results").alias("kq")).checkpoint(eager=True)
-    cache = spark.read.schema(schema).parquet(cache_dir)
+    cache = read_cache(spark, cache_dir, schema)
     have = cache.groupBy("__key").agg(F.max("kc").alias("kc"))
     need = (keys.join(have, "__key", "left")
                 .filter(F.col("kc").isNull() | (F.col("kq") > F.col("kc")))
@@ -84,9 +124,10 @@ def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFram
         .select(*schema.fieldNames())
         .write.mode("overwrite").parquet(f"{cache_dir}/batch_id={batch_id}"))
     # latest (largest-k) cached ranking of each key of this batch
-    cache = spark.read.schema(schema).parquet(cache_dir)
-    best = cache.join(keys.select("__key"), "__key", "left_semi")
-    best = best.join(best.groupBy("__key").agg(F.max("kc").alias("kc")), ["__key", "kc"], "left_semi")
+    cache = read_cache(spark, cache_dir, schema)
+    best = _latest(cache.join(keys.select("__key"), "__key", "left_semi"))
+    if compact_every and batch_id >= 0 and (batch_id + 1) % compact_every == 0:
+        _latest(cache).write.mode("overwrite").parquet(f"{cache_dir}_compact/upto={batch_id}")
     n = keys.agg(F.count(F.lit(1)).alias("n"), F.max("kq").alias("k")).first()
     kc_max = best.agg(F.max("kc")).first()[0] or 0
     out = best.select(F.col("__key").alias(key), "id", "similarity_score", "search_rank")
@@ -97,7 +138,7 @@ def start_chat_stream(spark: SparkSession, src_dir: str, listings: DataFrame, em
                       out: str, answered_at: str | None = None, mode: str = "api",
                       glob: str = "events.parquet", max_files_per_trigger: int | None = None,
                       processing_time: str | None = None, available_now: bool = False,
-                      ranking: str = "vector", encoder=None):
+                      ranking: str = "vector", encoder=None, compact_every: int = 20):
     """Start answering the request stream; returns the ``StreamingQuery``.
 
     Each micro-batch of events becomes requests (vector ids over the whole
@@ -112,7 +153,8 @@ def start_chat_stream(spark: SparkSession, src_dir: str, listings: DataFrame, em
     def answer(batch: DataFrame, batch_id: int) -> None:
         reqs = requests_from_events(batch, vector_count(embeddings))
         parsed = parse_request(validate_k(reqs), mode=mode)
-        ranked, bound = cached_rankings(parsed, listings, embeddings, cache_dir, batch_id, ranking, encoder)
+        ranked, bound = cached_rankings(parsed, listings, embeddings, cache_dir, batch_id, ranking, encoder,
+                                        compact_every)
         resp = respond_ranked(parsed, listings, ranked, bound, key, req_key, mode, ts)
         resp.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
@@ -130,11 +172,12 @@ def start_chat_stream(spark: SparkSession, src_dir: str, listings: DataFrame, em
 def run_chat_stream(spark: SparkSession, sf_dir: str, listings: DataFrame, embeddings: DataFrame,
                     answered_at: str | None = None, mode: str = "api", out: str | None = None,
                     glob: str = "events.parquet", max_files_per_trigger: int | None = None,
-                    ranking: str = "vector", encoder=None) -> DataFrame:
+                    ranking: str = "vector", encoder=None, compact_every: int = 20) -> DataFrame:
     """Drain the request stream (availableNow) and return the sink table."""
     out = out or fresh_path(spark, "chat-stream")
     q = start_chat_stream(spark, sf_dir, listings, embeddings, out, answered_at, mode, glob,
-                          max_files_per_trigger, available_now=True, ranking=ranking, encoder=encoder)
+                          max_files_per_trigger, available_now=True, ranking=ranking, encoder=encoder,
+                          compact_every=compact_every)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

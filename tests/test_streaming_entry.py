@@ -31,7 +31,7 @@ def test_several_micro_batches_equal_one(spark, scratch):
     ts = "2024-01-01 00:00:00"
     one = run_chat_stream(spark, src, lst, emb, answered_at=ts, out=f"{scratch}/one", glob="*.parquet")
     three = run_chat_stream(spark, src, lst, emb, answered_at=ts, out=f"{scratch}/three", glob="*.parquet",
-                            max_files_per_trigger=1)
+                            max_files_per_trigger=1, compact_every=2)
     n_batches = len(spark.read.parquet(f"{scratch}/three/responses").select("batch_id").distinct().collect())
     assert n_batches == 3
     assert _key(three) == _key(one)
@@ -47,6 +47,13 @@ def test_several_micro_batches_equal_one(spark, scratch):
     seen = (spark.read.parquet(src).select(F.pmod("event_id", F.lit(500)).alias("vec_id"),
                                            F.input_file_name().alias("f")).distinct().count())
     assert len(per_key) == 500 and ranked_pairs < seen
+    # after batch 1 the cache was compacted: each key once, at its largest k so far
+    from abode.streaming.chat_stream import read_cache, ranking_cache_schema
+    comp = spark.read.parquet(f"{scratch}/three/_rankings_compact/upto=1")
+    assert comp.groupBy("__key").agg(F.countDistinct("kc").alias("n")).filter("n > 1").count() == 0
+    # the reader takes the compaction plus the later batch only
+    cache_now = read_cache(spark, f"{scratch}/three/_rankings", ranking_cache_schema())
+    assert cache_now.count() == comp.count() + spark.read.parquet(f"{scratch}/three/_rankings/batch_id=2").count()
 
 
 def test_lexical_stream_equals_batch(spark, scratch):
