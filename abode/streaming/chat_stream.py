@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from abode.functions.parse import parse_request
 from abode.operators.search import rank_encoded, rank_texts, rank_vectors, respond_ranked
 from abode.sources.requests import validate_k
-from abode.session import fresh_path
+from abode.session import fresh_path, shared_dir
 from abode.sources.requests import requests_from_events, vector_count
 
 
@@ -103,6 +103,7 @@ def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFram
     latest ranking (``upto=N``, overwrite; nothing is deleted).
     Returns (ranking keyed like the batch path, proven row bound)."""
     spark = parsed.sparkSession
+    shared_dir(spark)  # checkpoints go to the cluster's shared folder
     schema = ranking_cache_schema(ranking)
     key, req_key = _key(ranking)
     keys = parsed.groupBy(req_key.alias("__key")).agg(F.max("max_results").alias("kq")).checkpoint(eager=True)
