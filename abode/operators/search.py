@@ -35,6 +35,7 @@ LEXICAL_SPLIT = "[^a-z0-9]+"
 
 
 def text_tokens(text: Column) -> Column:
+    """Lower-cased a-z0-9 runs of the whole text (one regex split, JVM-side)."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), LEXICAL_SPLIT), "")
 
 
@@ -203,6 +204,7 @@ def _summary_exprs(fields, inner, cards: bool) -> list[str]:
 
 
 def api_message(msg: Column, n: Column, types: Column, cities: Column, lo: Column, hi: Column) -> Column:
+    """The API summary sentence, or the no-match text when nothing survived."""
     return (F.when(F.coalesce(n, F.lit(0)) == 0,
                    F.concat(F.lit("No properties matched your search for '"), F.coalesce(msg, F.lit("")),
                             F.lit("'. Try adjusting your filters.")))

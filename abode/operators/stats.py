@@ -37,6 +37,7 @@ def value_counts(listings: DataFrame, col: str) -> DataFrame:
 
 
 def stats_index(vectors: DataFrame) -> DataFrame:
+    """Index size and vector dimension (one two-phase aggregate)."""
     return vectors.agg(F.count("embedding").alias("index_size"),
                        F.max(F.size("embedding")).alias("embedding_dimension"))
 
@@ -52,6 +53,7 @@ def distinct_values(listings: DataFrame, cols=("city", "property_type")) -> Data
 
 
 def bedroom_histogram(listings: DataFrame) -> DataFrame:
+    """Listings per bedroom count, by key (partial counts combine map-side)."""
     return (listings.groupBy("bedrooms").agg(F.count(F.lit(1)).alias("count")).orderBy("bedrooms"))
 
 
@@ -63,6 +65,7 @@ def top_amenities(listings: DataFrame, n: int = 10) -> DataFrame:
 
 
 def city_counts(listings: DataFrame) -> DataFrame:
+    """Listings per city (a hot city is combined map-side)."""
     return listings.groupBy("city").agg(F.count(F.lit(1)).alias("count")).orderBy("city")
 
 

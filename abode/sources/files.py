@@ -89,6 +89,7 @@ def prepare_corpus(spark: SparkSession, listings: DataFrame, vectors: DataFrame,
 
 
 def load_corpus(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """The persisted (listings, vectors); both must exist, else FileNotFoundError."""
     lp, vp = f"{out}/listings", f"{out}/vectors"
     if not (_exists(spark, lp) and _exists(spark, vp)):
         raise FileNotFoundError("Index files not found.")

@@ -94,6 +94,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def request_log(spark: SparkSession, events: DataFrame, n_vectors: Column | int,
                 include_golden: bool = True) -> DataFrame:
+    """The request log from ``events`` (plus the golden messages)."""
     log = requests_from_events(spread(events, "event_id"), n_vectors)
     if include_golden:
         log = log.unionByName(golden_requests(spark))
