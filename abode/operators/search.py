@@ -26,8 +26,7 @@ from abode.constants import FLAG_COLUMNS, NO_MATCH_UI, UI_MAX_CARDS
 from abode.functions import predicates
 from abode.functions.derive import profile_text
 from abode.functions.parse import parse_request
-from abode.operators.topk import (BROADCAST_BYTES_MAX, BROADCAST_ROWS_MAX, est_row_bytes,
-                                  exact_topk, join_ranked, salted_join)
+from abode.operators.topk import BROADCAST_BYTES_MAX, est_row_bytes, exact_topk, join_ranked, salted_join
 from abode.schema import RESPONSE_FIELDS
 from abode.sources.requests import validate_k
 
@@ -58,11 +57,11 @@ def rank_vectors(requests: DataFrame, listings: DataFrame, embeddings: DataFrame
 
 def attach_listings(ranked: DataFrame, bound: int, listings: DataFrame) -> DataFrame:
     """Listing columns onto a per-key ranking (keys x k rows, before any
-    expansion to requests).  Under its proven bound the ranking is broadcast
-    and the listing table streams past it without a shuffle; otherwise both
-    sides shuffle on the listing id."""
-    r = F.broadcast(ranked) if bound <= BROADCAST_ROWS_MAX else ranked
-    return listings.join(r, "id")
+    expansion to requests).  When its proven bound times its row width fits
+    the byte budget the ranking is broadcast and the listing table streams
+    past it without a shuffle; otherwise both sides shuffle on the listing id."""
+    small = bound * est_row_bytes(ranked.schema) <= BROADCAST_BYTES_MAX
+    return listings.join(F.broadcast(ranked) if small else ranked, "id")
 
 
 def vector_hits(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,

@@ -239,9 +239,7 @@ def dense_block(d: int) -> int:
     return max(BLOCK_MIN, min(BLOCK_MAX, int(math.sqrt(TILE_MADDS / max(d, 1)))))
 
 
-# ranked-side rows below which joining results back may broadcast them
-BROADCAST_ROWS_MAX = 200_000
-# byte budget for broadcasting per-key ranked arrays with listing payload
+# byte budget for any broadcast of a ranking (proven rows x estimated width)
 BROADCAST_BYTES_MAX = 64 << 20
 
 

@@ -39,9 +39,7 @@ def test_shuffle_path_equals_broadcast_path(spark, monkeypatch):
     req, lst, emb = _inputs(spark)
     ts = F.lit(TS).cast("timestamp")
     small = _key(search.chat_batch(req, lst, emb, answered_at=ts, fields=("listing_id",)))
-    monkeypatch.setattr(search, "BROADCAST_ROWS_MAX", -1)
     monkeypatch.setattr(search, "BROADCAST_BYTES_MAX", -1)
-    monkeypatch.setattr(topk, "BROADCAST_ROWS_MAX", -1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = search.chat_batch(req, lst, emb, answered_at=ts, fields=("listing_id",))

@@ -52,9 +52,7 @@ def test_hot_key_shuffle_path_is_salted(spark, monkeypatch, exploded):
         return resp, sorted((r.qid, r.message, tuple(p.listing_id for p in r.properties)) for r in resp.collect())
 
     _, expected = run()
-    monkeypatch.setattr(search, "BROADCAST_ROWS_MAX", -1)
     monkeypatch.setattr(search, "BROADCAST_BYTES_MAX", -1)
-    monkeypatch.setattr(topk, "BROADCAST_ROWS_MAX", -1)
     monkeypatch.setattr(topk, "BROADCAST_BYTES_MAX", -1)
     monkeypatch.setattr(topk, "SALT_ROWS", 50)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
