@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abode.session import fresh_path, shared_dir
+from abode.session import fresh_path
 
 # the white space that separates words: space and U+0009..U+000D
 SPACES = r"[\x20\x09-\x0D]+"
@@ -121,21 +121,21 @@ class Blocks:
 
     A block is the unit a Python task holds; their number follows the input.
     Id and text together deal the rows: many rows with one id (or a null id)
-    spread over blocks."""
+    spread over blocks.  With ``rest`` every row carries its original columns."""
 
     def __init__(self, docs: DataFrame, name: str, block_bytes: int, id_col: str = "doc_id", text_col: str = "text",
-                 total: int | None = None):
+                 total: int | None = None, rest: bool = False):
         spark = docs.sparkSession
-        shared_dir(spark)
         bounded_batches(spark)
-        src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                          *([F.struct(*[F.col(c) for c in docs.columns]).alias("rest")] if rest else []))
         total = text_bytes(src) if total is None else total
         self.n = max(1, math.ceil(total / block_bytes))
         parts = min(self.n, max(1, math.ceil(total / (32 << 20))) * 4)
         block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n)).cast("int")
         table = f"llm_{name}_{uuid.uuid4().hex[:12]}"
         (src.withColumn("block", block).repartition(parts, "block").write.option("compression", "zstd")
-         .bucketBy(parts, "block").format("parquet").saveAsTable(table))
+         .option("path", fresh_path(spark, table)).bucketBy(parts, "block").format("parquet").saveAsTable(table))
         self.df = spark.table(table)
         self.spark = spark
 
@@ -143,17 +143,17 @@ class Blocks:
         return self.df.groupBy("block")
 
 
-def block_docs(t: pa.Table) -> tuple[list, list]:
-    """(ids, texts) of a block in an order that depends on its rows alone."""
+def block_table(t: pa.Table) -> pa.Table:
+    """A block's rows in an order that depends on ids and texts alone."""
     ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] is not None, texts[i] or ""))
-    return [ids[i] for i in order], [texts[i] for i in order]
+    return t.take(pa.array(order, pa.int64()))
 
 
 def pack(**arrays: np.ndarray) -> bytes:
     """Named arrays as one byte string (little-endian, no pickling)."""
     batch = pa.record_batch([pa.array([a.tobytes()], pa.binary()) for a in arrays.values()],
-                            names=[f"{k}|{a.dtype.str}" for k, a in arrays.items()])
+                            names=[f"{k}:{a.dtype.str}" for k, a in arrays.items()])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_batch(batch)
@@ -164,7 +164,7 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     batch = pa.ipc.open_stream(data).read_next_batch()
     out = {}
     for name, col in zip(batch.schema.names, batch.columns, strict=True):
-        k, kind = name.split("|")
+        k, _, kind = name.partition(":")
         out[k] = np.frombuffer(col[0].as_py(), np.dtype(kind))
     return out
 
@@ -172,22 +172,24 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
 PIECES = "shard int, block int, data binary"
 
 
-def send(blocks: Blocks, make: Callable[[int, list, list], Iterator[tuple[int, bytes]]]) -> DataFrame:
+def pieces(block: int, rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
+                     "data": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def send(blocks: Blocks, make: Callable[[pa.Table], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """Rows (shard, block, data): what each block's documents ask of each shard."""
-    def up(key, t: pa.Table) -> pa.Table:
-        b = key[0].as_py()
-        rows = list(make(b, *block_docs(t)))
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([b] * len(rows), pa.int32()),
-                         "data": pa.array([r[1] for r in rows], pa.binary())})
+    def up(key, t):
+        return pieces(key[0].as_py(), list(make(block_table(t))))
 
     return blocks.grouped().applyInArrow(up, PIECES)
 
 
-def answer(pieces: DataFrame, reply: Callable[[int, list[int], list[bytes]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+def answer(asked: DataFrame, reply: Callable[[int, list[int], list[bytes]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """Rows (shard, block, data): what each shard says to each block.  A shard
     holds a hash share of the distinct items of every block; the number of
     shards follows the input, so a shard's size doesn't."""
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         s = key[0].as_py()
         order = np.argsort(t.column("block").to_numpy(), kind="stable")
         blocks_, data = t.column("block").to_pylist(), t.column("data").to_pylist()
@@ -195,14 +197,16 @@ def answer(pieces: DataFrame, reply: Callable[[int, list[int], list[bytes]], Ite
         return pa.table({"shard": pa.array([s] * len(rows), pa.int32()), "block": pa.array([r[0] for r in rows], pa.int32()),
                          "data": pa.array([r[1] for r in rows], pa.binary())})
 
-    return pieces.groupBy("shard").applyInArrow(run, PIECES)
+    return asked.groupBy("shard").applyInArrow(run, PIECES)
 
 
-def receive(blocks: Blocks, answers: DataFrame, use: Callable[[int, list, list, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
-    """Every block's documents together with the shards' answers to it."""
-    def down(key, docs: pa.Table, ans: pa.Table) -> pa.Table:
-        got = dict(zip(ans.column("shard").to_pylist(), ans.column("data").to_pylist(), strict=True))
-        return use(key[0].as_py(), *block_docs(docs), got)
+def receive(blocks: Blocks, answers: DataFrame, use: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``use(block, documents, answers)`` for every block of documents; the
+    documents come in ``block_table`` order, the answers (any table with a
+    ``block`` column) as they are."""
+    def down(key, docs, ans):
+        block = (docs if docs.num_rows else ans).column("block")[0].as_py()
+        return use(block, block_table(docs), ans)
 
     return blocks.grouped().cogroup(answers.groupBy("block")).applyInArrow(down, schema)
 
