@@ -114,6 +114,11 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0)
 
 
+def others(docs: DataFrame, *but: str) -> Column:
+    """The other columns of ``docs`` as one struct ``rest``, whatever their names."""
+    return F.struct(F.lit(True).alias("row"), *[F.col(f"`{c}`") for c in docs.columns if c not in but]).alias("rest")
+
+
 class Blocks:
     """(doc_id, text) dealt by a hash of id and text into blocks of about
     ``block_bytes`` of text and stored bucketed by block, so that several
@@ -121,14 +126,14 @@ class Blocks:
 
     A block is the unit a Python task holds; their number follows the input.
     Id and text together deal the rows: many rows with one id (or a null id)
-    spread over blocks.  With ``rest`` every row carries its original columns."""
+    spread over blocks.  With ``rest`` every row carries its other columns."""
 
     def __init__(self, docs: DataFrame, name: str, block_bytes: int, id_col: str = "doc_id", text_col: str = "text",
                  total: int | None = None, rest: bool = False):
         spark = docs.sparkSession
         bounded_batches(spark)
         src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                          *([F.struct(*[F.col(c) for c in docs.columns]).alias("rest")] if rest else []))
+                          *([others(docs, id_col, text_col)] if rest else []))
         total = text_bytes(src) if total is None else total
         self.n = max(1, math.ceil(total / block_bytes))
         parts = min(self.n, max(1, math.ceil(total / (32 << 20))) * 4)

@@ -212,7 +212,8 @@ def substring_dedup(docs: DataFrame, k: int = WINDOW, block_bytes: int = BLOCK_B
                     rest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, removed (start, end of each cut, in words),
     kept_text (the kept words joined by one space) for each row of ``docs``;
-    with ``rest`` also the row's original columns as a struct."""
+    with ``rest`` also the row's other columns as a struct, and kept_text is
+    the text as it was where no word is cut."""
     blocks = Blocks(docs, "substr", block_bytes, id_col, text_col, rest=rest)
     spans = substring_spans(blocks, k).select("block", "idx", "start", "words")
     schema = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
@@ -238,7 +239,7 @@ def substring_dedup(docs: DataFrame, k: int = WINDOW, block_bytes: int = BLOCK_B
             removed.append([{"start": a, "end": b} for a, b in cuts])
             for a, b in reversed(cuts):
                 del words[a:b]
-            kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+            kept.append(text.as_py() if rest and not cuts else b" ".join(words).decode("utf-8", "surrogatepass"))
         out = {"doc_id": t.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
                "removed": pa.array(removed, cut), "kept_text": pa.array(kept, pa.string())}
         return pa.table(out | ({"rest": t.column("rest")} if rest else {}))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abode.llm.common import bounded_batches, fold, worker_state, written
+from abode.llm.common import bounded_batches, fold, others, worker_state, written
 from abode.llm.isotonic import calibrated, calibration
 
 SAMPLE_ROWS = 20_000
@@ -286,9 +286,10 @@ def lexicon_counts(weights: dict[str, float]) -> np.ndarray:
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False,
              held_mod: int = 4, held_rest: int = 2) -> DataFrame:
-    """doc_id, score, raw for each row; with ``rest`` also its original columns as a struct."""
+    """doc_id, raw, score for each row; with ``rest`` also its text and, as a struct, its other columns."""
     bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                      *([F.struct(*[F.col(c) for c in docs.columns]).alias("rest")] if rest else []))
+                      *([others(docs, id_col, text_col)] if rest else []))
     model = fit_toxicity(src, labels, held_mod, held_rest)
-    return scored(src, model.weights, model.logp, model.curve, model.name).drop("text")
+    out = scored(src, model.weights, model.logp, model.curve, model.name)
+    return out if rest else out.drop("text")
