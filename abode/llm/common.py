@@ -9,6 +9,7 @@ import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+@lru_cache
 def odd_constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=U64) * U64(2) + U64(1)
 
@@ -216,6 +218,13 @@ def receive(blocks: Blocks, answers: DataFrame, use: Callable[[int, pa.Table, pa
     return blocks.grouped().cogroup(answers.groupBy("block")).applyInArrow(down, schema)
 
 
+def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): ``values[order]`` is sorted, an equal run begins at each start."""
+    order = np.argsort(values)
+    v = values[order]
+    return order, np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+
+
 def split_by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, positions) of each shard that occurs, positions ascending."""
     order = np.argsort(shard, kind="stable")

@@ -36,12 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abode.llm.common import (PIECES, U64, Blocks, answer, pack, pieces, receive, send, split_by_shard, unpack, window_hash,
+from abode.llm.common import (PIECES, U64, Blocks, answer, groups, pack, pieces, receive, send, split_by_shard, unpack, window_hash,
                               word_hash, words_of, written)
 
 WINDOW = 13
 ANCHOR = 5
 BLOCK_BYTES = 8 << 20
+HASH_WORDS = 1 << 15  # words hashed at a time
 SPANS = ("block int, idx int, start int, words int, src_block int, src_idx int, src_start int, digest binary")
 
 
@@ -55,34 +56,49 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return h
 
 
-def edges(words: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(edge hash, anchor) at each start of a window."""
-    h = word_hash().many(words)
-    if len(h) < k:
-        return np.zeros(0, U64), np.zeros(0, U64)
-    return window_hash(h, k, 31), sliding_min(window_hash(h, min(ANCHOR, k), 32), k - min(ANCHOR, k) + 1)
-
-
 def block_edges(t: pa.Table, k: int) -> tuple[np.ndarray, ...]:
-    """(edge, anchor, row, start, doc_id) of all windows of a block's rows with an id."""
-    ids, texts = t.column("doc_id").to_pylist(), t.column("text")
-    parts = [(i, *edges(words_of(texts[i].as_py()), k)) for i in range(len(ids)) if ids[i] is not None]
-    parts = [p for p in parts if len(p[1])]
-    if not parts:
+    """(edge, anchor, row, start, doc_id) of all windows of a block's rows with
+    an id, in order of row and start.  Texts are hashed some at a time, end to
+    end, and windows across two texts are left out."""
+    ids, cache, short = t.column("doc_id").to_pylist(), word_hash(), min(ANCHOR, k)
+    out: list[tuple[np.ndarray, ...]] = []
+
+    def flush(rows: list[int], sizes: list[int], words: list[bytes]) -> None:
+        h = cache.many(words)
+        edge = window_hash(h, k, 31)
+        anchor = sliding_min(window_hash(h, short, 32), k - short + 1)
+        n = np.array(sizes) - (k - 1)
+        begin = np.cumsum(sizes) - sizes
+        at = np.repeat(begin, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        out.append((edge[at], anchor[at], np.repeat(np.array(rows, np.int32), n), (at - np.repeat(begin, n)).astype(np.int32),
+                    np.repeat(np.array([ids[i] for i in rows], np.int64), n)))
+
+    rows: list[int] = []
+    sizes: list[int] = []
+    words: list[bytes] = []
+    for i, text in enumerate(t.column("text")):
+        w = words_of(text.as_py()) if ids[i] is not None else []
+        if len(w) >= k:
+            rows.append(i)
+            sizes.append(len(w))
+            words += w
+        if len(words) > HASH_WORDS:
+            flush(rows, sizes, words)
+            rows, sizes, words = [], [], []
+    if rows:
+        flush(rows, sizes, words)
+    if not out:
         return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    n = [len(p[1]) for p in parts]
-    row = np.repeat(np.array([p[0] for p in parts], np.int32), n)
-    return (np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), row,
-            np.concatenate([np.arange(x, dtype=np.int32) for x in n]), np.repeat(np.array([ids[p[0]] for p in parts], np.int64), n))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def distinct_anchors(anchor: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct anchors, whether two rows have it)."""
-    order = np.argsort(anchor, kind="stable")  # rows ascend within an anchor
-    a, r = anchor[order], row[order]
-    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, int)
-    last = np.r_[first[1:], len(a)][:len(first)] - 1
-    return a[first], r[first] != r[last]
+    order, first = groups(anchor)
+    if not len(order):
+        return anchor, np.zeros(0, bool)
+    r = row[order]
+    return anchor[order[first]], np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)
 
 
 def deltas(x: np.ndarray) -> np.ndarray:
@@ -126,8 +142,8 @@ def substring_spans(blocks: Blocks, k: int = WINDOW) -> DataFrame:
                 often[at] = np.unpackbits(unpack(bits[s])["bits"])[:len(at)].astype(bool)
         at = np.flatnonzero(often[np.searchsorted(a, anchor)])
         # the first occurrence of each edge: rows of a block ascend by id
-        _, first = np.unique(edge[at], return_index=True)
-        at = at[np.sort(first)]
+        order, first = groups(edge[at])
+        at = at[np.sort(np.minimum.reduceat(order, first))] if len(at) else at
         return pieces(block, [(s, pack(e=edge[at[x]], row=deltas(row[at[x]]), start=deltas(start[at[x]]), doc=deltas(doc[at[x]])))
                               for s, x in split_by_shard((anchor[at] % U64(n)).astype(np.int64))])
 
@@ -137,11 +153,13 @@ def substring_spans(blocks: Blocks, k: int = WINDOW) -> DataFrame:
         edge = np.concatenate([g["e"] for g in got])
         row, start, doc = (np.concatenate([np.cumsum(g[c], dtype=g[c].dtype) for g in got]) for c in ("row", "start", "doc"))
         block = np.repeat(np.array(ids, np.int32), size)
-        order = np.lexsort((start, row, block, doc, edge))
-        e = edge[order]
-        first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
-        source = np.empty(len(e), np.int64)
-        source[order] = order[np.repeat(first, np.diff(np.r_[first, len(e)]))]
+        order, first = groups(edge)
+        # each edge's least document, and there its first occurrence: blocks and their rows are in order
+        size_of = np.diff(np.r_[first, len(order)])
+        least = np.repeat(np.minimum.reduceat(doc[order], first), size_of)
+        origin = np.minimum.reduceat(np.where(doc[order] == least, order, len(order)), first)
+        source = np.empty(len(order), np.int64)
+        source[order] = np.repeat(origin, size_of)
         told = doc[source] < doc
         cut = np.r_[0, np.cumsum(size)]
         for i, b in enumerate(ids):
@@ -154,17 +172,16 @@ def substring_spans(blocks: Blocks, k: int = WINDOW) -> DataFrame:
         edge, _, row, start, doc = block_edges(t, k)
         if not len(edge):
             return spans_table(block, [], [], [], [], [], [], [])
-        order = np.argsort(edge, kind="stable")  # rows ascend by id, so the first is the block's own source
-        e = edge[order]
-        first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
-        own = order[first]
+        order, first = groups(edge)
+        own = np.minimum.reduceat(order, first)  # rows ascend by id, so the first is the block's own source
+        known = edge[own]
         s_doc, s_block, s_row, s_start = doc[own], np.full(len(own), block, np.int32), row[own], start[own]
         for data in ans.column("data").to_pylist():
             g = unpack(data)
-            at = np.searchsorted(e[first], g["e"])
+            at = np.searchsorted(known, g["e"])
             s_doc[at], s_block[at], s_row[at], s_start[at] = (np.cumsum(g[c], dtype=g[c].dtype) for c in ("doc", "block", "row", "start"))
-        kind = np.empty(len(e), np.int64)
-        kind[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(e)]))
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
         gone = np.flatnonzero(s_doc[kind] < doc)
         if not len(gone):
             return spans_table(block, [], [], [], [], [], [], [])
