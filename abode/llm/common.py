@@ -9,7 +9,6 @@ import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,9 +90,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache
 def odd_constants(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2**63, n, dtype=U64) * U64(2) + U64(1)
+    """``n`` odd numbers that depend on ``seed`` alone; remembered by the worker."""
+    state, key = worker_state(), f"odd {n} {seed}"
+    if key not in state:
+        state[key] = np.random.default_rng(seed).integers(0, 2**63, n, dtype=U64) * U64(2) + U64(1)
+    return state[key]
 
 
 def window_hash(h: np.ndarray, k: int, seed: int) -> np.ndarray:
