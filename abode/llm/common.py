@@ -227,6 +227,14 @@ def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
 
 
+def ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first of each distinct value, ascending by value; rank of every value)."""
+    order, first = groups(values)
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+    return np.minimum.reduceat(order, first) if len(first) else first, rank
+
+
 def split_by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, positions) of each shard that occurs, positions ascending."""
     order = np.argsort(shard, kind="stable")

@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abode.llm.common import U64, Blocks, answer, fold, mix64, pack, receive, send, split_by_shard, unpack, word_hash, words_col, written
+from abode.llm.common import U64, Blocks, answer, fold, mix64, pack, ranks, receive, send, split_by_shard, unpack, word_hash, words_col, written
 from abode.llm.elias_fano import Trie
 
 LAMBDA = 0.1
 DISCOUNT = 0.5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 PER_DECADE = 16
 SPLIT = 16
 HOT_SHARE = 0.002
@@ -77,10 +77,11 @@ class BlockGrams:
         self.n = np.array([len(p) for p in parts], np.int64)
         token, context = np.concatenate([*parts, np.zeros(0, U64)]), np.concatenate([*ctx, np.zeros(0, U64)])
         weight = np.repeat(self.train, self.n).astype(float)
-        self.words, self.word = np.unique(token, return_inverse=True)
+        first, self.word = ranks(token)
+        self.words = token[first]
         self.word_count = np.bincount(self.word, weight, len(self.words)).astype(np.int64)
-        key, first, self.pair = np.unique(mix64(mix64(context) + token), return_index=True, return_inverse=True)
-        self.pair_count = np.bincount(self.pair, weight, len(key)).astype(np.int64)
+        first, self.pair = ranks(mix64(mix64(context) + token))
+        self.pair_count = np.bincount(self.pair, weight, len(first)).astype(np.int64)
         self.pair_context, self.pair_word = context[first], token[first]
         self.context = np.searchsorted(self.words, np.where(context == BEGIN, END, context))  # the end is seen as often as the begin
         self.word_shard = (mix64(self.words) % U64(shards)).astype(np.int64)
@@ -88,21 +89,22 @@ class BlockGrams:
         self.pair_shard = (mix64(self.pair_context + extra * U64(0x9E3779B97F4A7C15)) % U64(shards)).astype(np.int64)
 
     def dealt(self):
-        """(shard, words' places, sorted names, place of words in names, pairs' places by (context, word))."""
+        """(shard, words' places, sorted names, place of words in names, pairs' places by context, contexts' places in names)."""
         words = dict(split_by_shard(self.word_shard))
         pairs = dict(split_by_shard(self.pair_shard))
         none = np.zeros(0, np.int64)
         for s in sorted(words.keys() | pairs.keys()):
             w, p = words.get(s, none), pairs.get(s, none)
-            p = p[np.lexsort((short(self.pair_word[p]), self.pair_context[p]))]
             names = np.union1d(self.words[w], self.pair_context[p])
-            yield s, w, names, np.searchsorted(names, self.words[w]), p
+            # one number per pair, so that any sort gives the same order
+            by = np.sort((np.searchsorted(names, self.pair_context[p]).astype(U64) << U64(32)) | np.arange(len(p), dtype=U64))
+            yield s, w, names, np.searchsorted(names, self.words[w]), p[(by & U64(0xFFFFFFFF)).astype(np.int64)], (by >> U64(32)).astype(np.int64)
 
     def ask(self):
-        for s, w, names, at, p in self.dealt():
+        for s, w, names, at, p, context in self.dealt():
             count = np.zeros(len(names), np.int64)
             count[at] = self.word_count[w]
-            follow = np.bincount(np.searchsorted(names, self.pair_context[p]), minlength=len(names))
+            follow = np.bincount(context, minlength=len(names))
             six = short(self.pair_word[p]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             yield s, pack(names=names, count=small(count), follow=small(follow), six=np.ascontiguousarray(six), pairs=small(self.pair_count[p]))
 
@@ -172,14 +174,14 @@ def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, bloc
         g = BlockGrams(t, hot, shards, held_mod, held_rest)
         got = dict(zip(ans.column("shard").to_pylist(), ans.column("data").to_pylist(), strict=True))
         count, word, pair = np.zeros(len(g.words), np.int64), np.zeros(len(g.words), np.uint8), np.zeros(len(g.pair_count), np.uint8)
-        for s, w, _, at, p in g.dealt():
+        for s, w, _, at, p, _ in g.dealt():
             a = unpack(got[s])
             count[w], word[w], pair[p] = a["count"][at], a["word"][at], a["pair"]
         n = max(train_tokens, 1)
         known = count[g.word] > 0
         single = np.where(known, value_of(word)[g.word], DISCOUNT * kinds if kinds else n) / n
-        seen, before = pair[g.pair], count[g.context].astype(float)
-        ratio = np.minimum(np.where(seen > 0, value_of(seen), 0.0) / np.maximum(before, 1), 1.0)
+        before = count[g.context].astype(float)
+        ratio = np.minimum(np.where(pair > 0, value_of(pair), 0.0)[g.pair] / np.maximum(before, 1), 1.0)
         p = np.where(before > 0, LAMBDA * ratio + (1 - LAMBDA) * single, single)
         base = np.log10((count[g.word] + 1) / (train_tokens + kinds + 1))
         starts = np.r_[0, np.cumsum(g.n)[:-1]].astype(np.int64)
