@@ -87,8 +87,10 @@ def profile_text(c=F.col) -> Column:
 
 
 def numeric_coerce(col: Column) -> Column:
-    """Text or number -> DOUBLE; unparsable -> null (skipped by aggregates)."""
-    return col.cast("string").try_cast("double")
+    """Text or number -> DOUBLE; anything but a plain decimal number, NaN
+    included, is missing: null (skipped by aggregates)."""
+    text = F.trim(col.cast("string"))
+    return F.when(text.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"), text.try_cast("double"))
 
 
 def add_derived(df):

@@ -31,8 +31,8 @@ def stats_public(listings: DataFrame) -> DataFrame:
 
 
 def value_counts(listings: DataFrame, col: str) -> DataFrame:
-    """Counts by value, most frequent first (ties by value)."""
-    return (listings.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    """Counts by value, most frequent first (ties by value); missing values aren't counted."""
+    return (listings.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
                     .orderBy(F.desc("count"), F.asc(col)))
 
 
@@ -53,8 +53,8 @@ def distinct_values(listings: DataFrame, cols=("city", "property_type")) -> Data
 
 
 def bedroom_histogram(listings: DataFrame) -> DataFrame:
-    """Listings per bedroom count, by key (partial counts combine map-side)."""
-    return (listings.groupBy("bedrooms").agg(F.count(F.lit(1)).alias("count")).orderBy("bedrooms"))
+    """Listings per bedroom count, by key (partial counts combine map-side); missing counts are left out."""
+    return (listings.where(F.col("bedrooms").isNotNull()).groupBy("bedrooms").agg(F.count(F.lit(1)).alias("count")).orderBy("bedrooms"))
 
 
 def top_amenities(listings: DataFrame, n: int = 10) -> DataFrame:
@@ -65,8 +65,8 @@ def top_amenities(listings: DataFrame, n: int = 10) -> DataFrame:
 
 
 def city_counts(listings: DataFrame) -> DataFrame:
-    """Listings per city (a hot city is combined map-side)."""
-    return listings.groupBy("city").agg(F.count(F.lit(1)).alias("count")).orderBy("city")
+    """Listings per city (a hot city is combined map-side); missing cities are left out."""
+    return listings.where(F.col("city").isNotNull()).groupBy("city").agg(F.count(F.lit(1)).alias("count")).orderBy("city")
 
 
 def preview(listings: DataFrame, n: int = 3, cols=("id", "listing_id", "city")) -> DataFrame:

@@ -363,6 +363,13 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, row_key: str, how:
     and only its right rows are replicated once per salt; every other key
     keeps salt 0.  The join then runs on (key, salt), so no task receives
     more than about ``SALT_ROWS`` rows of one key, and no row is dropped."""
+    # a null key meets nothing: its rows pass by the join instead of filling one partition
+    lost, left = left.where(F.col(key).isNull()), left.where(F.col(key).isNotNull())
+    joined = _salted(left, right, key, row_key, how)
+    return joined.unionByName(lost, allowMissingColumns=True) if how == "left" else joined
+
+
+def _salted(left: DataFrame, right: DataFrame, key: str, row_key: str, how: str) -> DataFrame:
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     hot = counts.filter(F.col("__n") > SALT_ROWS).select(
         key, F.ceil(F.col("__n") / F.lit(SALT_ROWS)).cast("int").alias("__s"))

@@ -444,7 +444,7 @@ def q_stats_public(spark, sf_dir):
     return stats.stats_public(listings(spark, sf_dir))
 
 
-@register("stats_by_type", O.with_(L) + "\nSELECT property_type, count(*) AS count FROM listings GROUP BY 1")
+@register("stats_by_type", O.with_(L) + "\nSELECT property_type, count(*) AS count FROM listings WHERE property_type IS NOT NULL GROUP BY 1")
 def q_stats_by_type(spark, sf_dir):
     return stats.value_counts(listings(spark, sf_dir), "property_type")
 
@@ -487,7 +487,7 @@ def q_column_profile(spark, sf_dir):
     return stats.column_profile(listings(spark, sf_dir))
 
 
-@register("city_counts", O.with_(L) + "\nSELECT city, count(*) AS count FROM listings GROUP BY 1")
+@register("city_counts", O.with_(L) + "\nSELECT city, count(*) AS count FROM listings WHERE city IS NOT NULL GROUP BY 1")
 def q_city_counts(spark, sf_dir):
     return stats.city_counts(listings(spark, sf_dir))
 

@@ -73,8 +73,9 @@ def shared_dir(spark: SparkSession) -> str:
     """Cluster-shared folder for written tables and checkpoints.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster's shared
-    location).  Only when it is unset — local tests — a fresh folder under
-    the system temp dir is created and registered as the checkpoint dir.
+    location).  Only when it is unset on a local master — tests — a fresh
+    folder under the system temp dir is created and registered as the
+    checkpoint dir; on a cluster it must be set.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
@@ -85,6 +86,8 @@ def shared_dir(spark: SparkSession) -> str:
             d = None
     if not d:
         d = sc.getCheckpointDir()
+    if not d and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(d)

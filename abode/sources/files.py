@@ -9,6 +9,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from abode.schema import LISTING, LISTING_CSV
 
@@ -29,34 +30,62 @@ def _amenities_any(df: DataFrame) -> DataFrame:
     return df
 
 
+def typed(text: Column, kind: T.DataType) -> Column:
+    """A text cell as ``kind``; whole numbers written as decimals ("25000.0")
+    keep their value, cells that can't be read are null."""
+    if isinstance(kind, (T.LongType, T.IntegerType)):
+        d = text.try_cast("double")
+        return F.coalesce(text.try_cast(kind), F.when(d == F.floor(d), d.try_cast(kind)))
+    return text.try_cast(kind)
+
+
+def _by_name(raw: DataFrame) -> DataFrame:
+    """Text columns cast by name to the listing's types; columns a file lacks are null."""
+    have = set(raw.columns)
+    return raw.select(*[
+        (typed(F.col(f"`{f.name}`"), f.dataType) if f.name != "amenities" else F.col("amenities"))
+        .alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in LISTING_CSV.fields])
+
+
 def load_listings(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Read listings by extension: ``.json`` (JSON lines or, with
-    ``multiLine``, one array document per file), ``.csv`` (header, quoted,
-    amenities as JSON text), ``.parquet``.  Other extensions raise."""
+    """Read listings by extension: ``.json`` (per file JSON lines or one array
+    document, told apart by the file's first character), ``.csv`` (header,
+    quoted, amenities as JSON text), ``.parquet``.  Other extensions raise.
+
+    JSON and CSV cells are read as text and cast by name, so amenities may be
+    a list or JSON text and numbers may be quoted or decimal.  A broken JSON
+    record, or a CSV file whose header differs from the others', is an error."""
     fmt = fmt or os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower()
-    if fmt == "json" and _is_array_document(spark, path):
-        fmt = "jsonarray"
-    if fmt == "json":
-        df = spark.read.schema(LISTING).option("mode", "PERMISSIVE").json(path)
-    elif fmt in ("jsonarray", "json_array"):
-        # an indented array document is not splittable: one task per file
-        df = spark.read.schema(LISTING).option("multiLine", True).json(path)
+    if fmt in ("json", "jsonarray", "json_array"):
+        df = _by_name(_read_json(spark, path))
     elif fmt == "csv":
-        # header names decide the mapping (any order, any subset); text cells
-        # are cast by name, unparsable numbers become null
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        have = set(raw.columns)
-        df = raw.select(*[
-            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name != "amenities" else F.col("amenities"))
-            .alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in LISTING_CSV.fields])
+        opts = {"header": True, "multiLine": True, "escape": '"'}
+        names = spark.read.options(**opts).csv(path).schema
+        df = _by_name(spark.read.schema(names).options(enforceSchema=False, **opts).csv(path))
     elif fmt == "parquet":
         df = spark.read.schema(LISTING).parquet(path)
     else:
-        raise ValueError("Unsupported file format. Use CSV or JSON.")
+        raise ValueError(f"listings are read from .json, .csv or .parquet, not {fmt!r}")
     return with_keys(_amenities_any(df))
 
 
+def _read_json(spark: SparkSession, path: str) -> DataFrame:
+    """All fields as text.  One scan finds each file's first character that
+    isn't blank; array documents ("[") are read whole, one task per file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                         F.monotonically_increasing_id().alias("n"), F.ltrim(F.translate("value", "\t\r\ufeff", "")).alias("v"))
+    first = (lines.where("v <> ''").groupBy("file").agg(F.min_by(F.substring("v", 1, 1), F.struct("at", "n")).alias("c")).collect())
+    schema = T.StructType([T.StructField(f.name, T.StringType()) for f in LISTING.fields])
+    arrays = [r["file"] for r in first if r["c"] == "["]
+    others = [r["file"] for r in first if r["c"] != "["]
+    parts = [spark.read.schema(schema).options(mode="FAILFAST", multiLine=whole).json(files)
+             for files, whole in ((others, False), (arrays, True)) if files]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def with_keys(df: DataFrame) -> DataFrame:
     """Files written elsewhere carry no internal key: give such rows a unique
     BIGINT (above 2^62, so it cannot meet a supplied id).  Splits of a file
@@ -82,7 +111,7 @@ def prepare_corpus(spark: SparkSession, listings: DataFrame, vectors: DataFrame,
     """Build-or-load: when the persisted corpus (listings + vectors) is absent,
     write it as parquet; then read it back.  The persisted files cut lineage."""
     lp, vp = f"{out}/listings", f"{out}/vectors"
-    if rebuild or not (_exists(spark, lp) and _exists(spark, vp)):
+    if rebuild or not (_written(spark, lp) and _written(spark, vp)):
         listings.write.mode("overwrite").parquet(lp)
         vectors.write.mode("overwrite").parquet(vp)
     return load_corpus(spark, out)
@@ -91,31 +120,11 @@ def prepare_corpus(spark: SparkSession, listings: DataFrame, vectors: DataFrame,
 def load_corpus(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     """The persisted (listings, vectors); both must exist, else FileNotFoundError."""
     lp, vp = f"{out}/listings", f"{out}/vectors"
-    if not (_exists(spark, lp) and _exists(spark, vp)):
-        raise FileNotFoundError("Index files not found.")
+    if not (_written(spark, lp) and _written(spark, vp)):
+        raise FileNotFoundError(f"no complete corpus under {out}")
     return spark.read.parquet(lp), spark.read.parquet(vp)
 
 
-def _is_array_document(spark: SparkSession, path: str) -> bool:
-    """A single .json file whose first non-blank byte is '[' (reads 1 KiB)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p) or not fs.getFileStatus(p).isFile():
-        return False
-    stream = fs.open(p)
-    try:
-        for _ in range(1024):
-            b = stream.read()
-            if b < 0:
-                return False
-            if chr(b) not in " \t\r\n\ufeff":
-                return chr(b) == "["
-        return False
-    finally:
-        stream.close()
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -123,6 +132,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    """True if a write to ``path`` came to its end."""
+    return _exists(spark, f"{path}/_SUCCESS")
+
+
 def python_repr_list(col: Column) -> Column:
     """Text form of a list as Python's repr prints it (what a pandas CSV
     export of a list column contains): single quotes, or double quotes for

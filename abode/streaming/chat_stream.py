@@ -71,13 +71,15 @@ def _numbered_dirs(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(out)
 
 
-def read_cache(spark: SparkSession, cache_dir: str, schema: T.StructType) -> DataFrame:
+def read_cache(spark: SparkSession, cache_dir: str, schema: T.StructType, before: int | None = None) -> DataFrame:
     """The ranking cache: the newest compaction (``{cache_dir}_compact/upto=M``)
     plus the batch folders written after it, so a long stream reads a
-    bounded set of folders instead of one per batch ever run."""
-    compact = _numbered_dirs(spark, f"{cache_dir}_compact", "upto")
+    bounded set of folders instead of one per batch ever run.  With
+    ``before``, only what batches under that number have written."""
+    early = (lambda b: True) if before is None else (lambda b: b < before)
+    compact = [c for c in _numbered_dirs(spark, f"{cache_dir}_compact", "upto") if early(c)]
     last = compact[-1] if compact else None
-    batches = [b for b in _numbered_dirs(spark, cache_dir, "batch_id") if last is None or b > last]
+    batches = [b for b in _numbered_dirs(spark, cache_dir, "batch_id") if early(b) and (last is None or b > last)]
     parts = [spark.read.schema(schema).parquet(f"{cache_dir}/batch_id={b}") for b in batches]
     if last is not None:
         parts.insert(0, spark.read.schema(schema).parquet(f"{cache_dir}_compact/upto={last}"))
@@ -98,7 +100,9 @@ def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFram
                     batch_id: int, ranking: str = "vector", encoder=None, compact_every: int = 20):
     """Rankings for this batch's keys, from the cache where it holds enough
     results (``kc >= k``), else computed now and added to the cache under
-    ``batch_id=N`` (overwrite: a replayed batch rewrites the same rows).
+    ``batch_id=N`` (overwrite: a replayed batch looks only at what earlier
+    batches cached, so it rewrites the same rows).  A key without any result
+    is cached as one row without an id.  When nothing is new the corpus isn't read.
     Every ``compact_every`` batches the cache is compacted to each key's
     latest ranking (``upto=N``, overwrite; nothing is deleted).
     Returns (ranking keyed like the batch path, proven row bound)."""
@@ -107,23 +111,24 @@ def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFram
     schema = ranking_cache_schema(ranking)
     key, req_key = _key(ranking)
     keys = parsed.groupBy(req_key.alias("__key")).agg(F.max("max_results").alias("kq")).checkpoint(eager=True)
-    cache = read_cache(spark, cache_dir, schema)
-    have = cache.groupBy("__key").agg(F.max("kc").alias("kc"))
+    have = read_cache(spark, cache_dir, schema, before=batch_id).groupBy("__key").agg(F.max("kc").alias("kc"))
     need = (keys.join(have, "__key", "left")
                 .filter(F.col("kc").isNull() | (F.col("kq") > F.col("kc")))
-                .select("__key", F.col("kq").alias("max_results")))
-    # ``need`` derives from the checkpointed keys: no second checkpoint
-    opts = {"materialize_queries": False}
-    if ranking == "vector":
-        new, _ = rank_vectors(need.withColumnRenamed("__key", "vec_id"), listings, embeddings, **opts)
-    elif ranking == "lexical":
-        new, _ = rank_texts(need.withColumnRenamed("__key", "enhanced"), listings, **opts)
+                .select("__key", F.col("kq").alias("max_results")).checkpoint(eager=True))
+    if need.isEmpty():
+        found = spark.createDataFrame([], schema)
     else:
-        new, _ = rank_encoded(need.withColumnRenamed("__key", "enhanced"), listings, encoder, **opts)
-    (new.withColumnRenamed(key, "__key")
-        .join(need.select("__key", F.col("max_results").cast("int").alias("kc")), "__key")
-        .select(*schema.fieldNames())
-        .write.mode("overwrite").parquet(f"{cache_dir}/batch_id={batch_id}"))
+        opts = {"materialize_queries": False}
+        if ranking == "vector":
+            new, _ = rank_vectors(need.withColumnRenamed("__key", "vec_id"), listings, embeddings, **opts)
+        elif ranking == "lexical":
+            new, _ = rank_texts(need.withColumnRenamed("__key", "enhanced"), listings, **opts)
+        else:
+            new, _ = rank_encoded(need.withColumnRenamed("__key", "enhanced"), listings, encoder, **opts)
+        found = (need.select("__key", F.col("max_results").cast("int").alias("kc"))
+                 .join(new.withColumnRenamed(key, "__key"), "__key", "left").select(*schema.fieldNames()))
+    found.write.mode("overwrite").parquet(f"{cache_dir}/batch_id={batch_id}")
+    cache = read_cache(spark, cache_dir, schema, before=batch_id + 1)
     # latest (largest-k) cached ranking of each key of this batch
     cache = read_cache(spark, cache_dir, schema)
     best = _latest(cache.join(keys.select("__key"), "__key", "left_semi"))
@@ -131,7 +136,7 @@ def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFram
         _latest(cache).write.mode("overwrite").parquet(f"{cache_dir}_compact/upto={batch_id}")
     n = keys.agg(F.count(F.lit(1)).alias("n"), F.max("kq").alias("k")).first()
     kc_max = best.agg(F.max("kc")).first()[0] or 0
-    out = best.select(F.col("__key").alias(key), "id", "similarity_score", "search_rank")
+    out = best.where(F.col("id").isNotNull()).select(F.col("__key").alias(key), "id", "similarity_score", "search_rank")
     return out, (n["n"] or 0) * max(kc_max, n["k"] or 0)
 
 

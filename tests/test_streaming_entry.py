@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from abode.operators import search
 from abode.plans import registry as RG
-from abode.streaming.chat_stream import run_chat_stream, start_chat_stream
+from abode.streaming.chat_stream import cached_rankings, run_chat_stream, start_chat_stream
 from conftest import SF001
 
 
@@ -98,10 +98,24 @@ def test_entry_and_registry(spark):
     assert df.count() == 1000 + 23
     assert set(df.columns) == {"qid", "message", "total_found", "query_processed", "hit_ids", "hit_ranks"}
     q, o = E.queries(), E.oracle_sql()
-    assert set(q) - set(o) == {"chat_encoded"}
+    assert set(RG.QUERIES) <= set(q) and set(RG.QUERIES) - set(o) == {"chat_encoded"}
     assert set(o) <= set(q)
 
 
+def test_replayed_batch_gives_the_same_rankings(spark, scratch):
+    """A batch that runs again after its rankings were cached, or after a later
+    batch, answers as at first; keys without a result stay cached."""
+    lst, emb = RG.listings(spark, SF001), RG.embeddings(spark, SF001)
+    asked = spark.createDataFrame([(0, 5), (1, 3), (10**9, 4)], "vec_id bigint, max_results int")
+    rows = lambda: sorted(tuple(r) for r in cached_rankings(asked, lst, emb, f"{scratch}/cache", 0)[0].collect())
+    first = rows()
+    assert len(first) >= 8 and rows() == first
+    later = cached_rankings(asked, lst, emb, f"{scratch}/cache", 1)[0]
+    assert sorted(tuple(r) for r in later.collect()) == first
+    assert spark.read.parquet(f"{scratch}/cache/batch_id=1").count() == 0
+    assert rows() == first
+
+
 def test_total_found_bounded_by_k(spark):
     resp = search.chat_batch(RG.requests(spark, SF001), RG.listings(spark, SF001), RG.embeddings(spark, SF001),
                              fields=("listing_id",))
