@@ -28,7 +28,7 @@ class EliasFano:
     """A view over (n, bits, low, high); made by ``build``, read in place."""
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.bits, self.low = n, bits, low
+        self.n, self.bits, self.low = n, bits, np.asarray(low)
         self.zeros = np.flatnonzero(np.unpackbits(high, bitorder="little") == 0)  # where each bucket of equal high bits ends
 
     @staticmethod
@@ -116,16 +116,20 @@ class Trie:
         self.word_codes, self.codes = data[size:size + len(word_codes)], data[size + len(word_codes):size + len(word_codes) + len(codes)]
         self.bytes = size + len(word_codes) + len(codes)
 
-    def context_codes(self, rank: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Code of the successor ``word`` of each context rank; 0 if there is none."""
-        out = np.zeros(len(rank), np.uint8)
+    def context_codes(self, rank: np.ndarray, follow: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Codes of successors (0 if there is none): ``follow[i]`` of the
+        ``word``s come after the context rank ``rank[i]``."""
+        out = np.zeros(len(word), np.uint8)
         known = self.vocabulary.find(word)
+        at = np.maximum(rank, 0)
+        range_ = [np.repeat(v.astype(np.int64), follow) for v in (self.pointers.at(at), self.pointers.at(at + 1))]
+        rank = np.repeat(rank, follow)
         ask = np.flatnonzero((rank >= 0) & (known >= 0))
         if len(ask) and self.successors.n:
-            first, end = self.pointers.at(rank[ask]), self.pointers.at(rank[ask] + 1)
+            first, end = range_[0][ask], range_[1][ask]
             key = rank[ask].astype(U64) * U64(max(self.vocabulary.n, 1)) + known[ask].astype(U64)
             i = self.successors.successor(key).astype(np.int64)
-            inside = (i >= first.astype(np.int64)) & (i < end.astype(np.int64))
+            inside = (i >= first) & (i < end)
             inside[inside] = self.successors.at(i[inside]) == key[inside]
             out[ask[inside]] = self.codes[i[inside]]
         return out

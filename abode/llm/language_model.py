@@ -39,7 +39,7 @@ PER_DECADE = 16
 SPLIT = 16
 HOT_SHARE = 0.002
 MOST_HOT = 500
-END, BEGIN = U64(0x5BD1E9955BD1E995), U64(0xC6A4A7935BD1E995)
+END = U64(0x5BD1E9955BD1E995)  # a text's end, and the context of a text's first token
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -62,51 +62,65 @@ def is_train(doc_id: int | None, mod: int, rest: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod != rest
 
 
+def pair_ranks(context: np.ndarray, word: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """``ranks`` of the pairs of two ranks below ``kinds``; pairs and places
+    that fit in 64 bits together are sorted as one number."""
+    wide, long = U64(kinds.bit_length()), U64(len(word).bit_length())
+    key = (context.astype(U64) << wide) | word.astype(U64)
+    if 2 * wide + long > 64:
+        return ranks(key)
+    key = np.sort((key << long) | np.arange(len(key), dtype=U64))
+    order, key = (key & ((U64(1) << long) - U64(1))).astype(np.int64), key >> long
+    new = np.r_[True, key[1:] != key[:-1]][:len(key)]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return order[new], rank
+
+
 class BlockGrams:
     """A block's tokens, distinct words and distinct pairs, dealt to shards."""
 
     def __init__(self, t: pa.Table, hot: np.ndarray, shards: int, mod: int, rest: int):
-        cache, parts, ctx = word_hash(), [], []
+        cache, parts = word_hash(), []
         self.ids = t.column("doc_id").to_pylist()
         self.train = np.array([is_train(i, mod, rest) for i in self.ids], bool)
         for text in t.column("text"):
             text = text.as_py()
-            h = np.append(cache.many(text.encode("utf-8", "surrogatepass").lower().split() if text else []), END)
-            parts.append(h)
-            ctx.append(np.append(BEGIN, h[:-1]))
+            parts.append(np.append(cache.many(text.encode("utf-8", "surrogatepass").lower().split() if text else []), END))
         self.n = np.array([len(p) for p in parts], np.int64)
-        token, context = np.concatenate([*parts, np.zeros(0, U64)]), np.concatenate([*ctx, np.zeros(0, U64)])
+        token = np.concatenate([*parts, np.zeros(0, U64)])
         weight = np.repeat(self.train, self.n).astype(float)
         first, self.word = ranks(token)
         self.words = token[first]
         self.word_count = np.bincount(self.word, weight, len(self.words)).astype(np.int64)
-        first, self.pair = ranks(mix64(mix64(context) + token))
+        before = np.roll(self.word, 1)  # a text starts after the end of another
+        first, self.pair = pair_ranks(before, self.word, len(self.words))
         self.pair_count = np.bincount(self.pair, weight, len(first)).astype(np.int64)
-        self.pair_context, self.pair_word = context[first], token[first]
-        self.context = np.searchsorted(self.words, np.where(context == BEGIN, END, context))  # the end is seen as often as the begin
-        self.word_shard = (mix64(self.words) % U64(shards)).astype(np.int64)
-        extra = np.where(np.isin(self.pair_context, hot), mix64(self.pair_word) % U64(SPLIT) + U64(1), U64(0))
-        self.pair_shard = (mix64(self.pair_context + extra * U64(0x9E3779B97F4A7C15)) % U64(shards)).astype(np.int64)
+        self.pair_context, self.pair_word = before[first], self.word[first]  # ranks in words; pairs ascend by both
+        spread = mix64(self.words)
+        self.word_shard = (spread % U64(shards)).astype(np.int64)
+        extra = np.where(np.isin(self.words, hot)[self.pair_context], spread[self.pair_word] % U64(SPLIT) + U64(1), U64(0))
+        self.pair_shard = (mix64(self.words[self.pair_context] + extra * U64(0x9E3779B97F4A7C15)) % U64(shards)).astype(np.int64)
 
     def dealt(self):
-        """(shard, words' places, sorted names, place of words in names, pairs' places by context, contexts' places in names)."""
+        """(shard, words' places, names' places, words' places in names, pairs' places, contexts' places in names);
+        names are the shard's words and contexts."""
         words = dict(split_by_shard(self.word_shard))
         pairs = dict(split_by_shard(self.pair_shard))
-        none = np.zeros(0, np.int64)
+        none, place = np.zeros(0, np.int64), np.empty(len(self.words), np.int64)
         for s in sorted(words.keys() | pairs.keys()):
             w, p = words.get(s, none), pairs.get(s, none)
-            names = np.union1d(self.words[w], self.pair_context[p])
-            # one number per pair, so that any sort gives the same order
-            by = np.sort((np.searchsorted(names, self.pair_context[p]).astype(U64) << U64(32)) | np.arange(len(p), dtype=U64))
-            yield s, w, names, np.searchsorted(names, self.words[w]), p[(by & U64(0xFFFFFFFF)).astype(np.int64)], (by >> U64(32)).astype(np.int64)
+            names = np.union1d(w, self.pair_context[p])
+            place[names] = np.arange(len(names))
+            yield s, w, names, place[w], p, place[self.pair_context[p]]
 
     def ask(self):
         for s, w, names, at, p, context in self.dealt():
             count = np.zeros(len(names), np.int64)
             count[at] = self.word_count[w]
             follow = np.bincount(context, minlength=len(names))
-            six = short(self.pair_word[p]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            yield s, pack(names=names, count=small(count), follow=small(follow), six=np.ascontiguousarray(six), pairs=small(self.pair_count[p]))
+            six = short(self.words[self.pair_word[p]]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            yield s, pack(names=self.words[names], count=small(count), follow=small(follow), six=np.ascontiguousarray(six), pairs=small(self.pair_count[p]))
 
 
 def short(word: np.ndarray) -> np.ndarray:
@@ -134,7 +148,7 @@ def build_and_answer(shard: int, ids: list[int], data: list[bytes]):
     trie = Trie(names, np.where(count > 0, code_of(count - DISCOUNT), 0).astype(np.uint8), c, w, code_of(total[kept]), vocabulary)
     for b, g, f in zip(ids, got, six, strict=True):
         rank = trie.words.find(g["names"])
-        codes = trie.context_codes(np.repeat(rank, g["follow"]), f)
+        codes = trie.context_codes(rank, g["follow"], f)
         yield b, pack(count=small(count[rank]), word=trie.word_codes[rank], pair=codes)
     yield -1, int((count > 0).sum()).to_bytes(8, "big")
 
@@ -148,7 +162,7 @@ def hot_contexts(docs: DataFrame) -> np.ndarray:
     counts = written(words.groupBy("w").agg(F.count("*").alias("n")), "plan")
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     rows = counts.where((F.col("n") > HOT_SHARE * total) & F.col("w").isNotNull()).orderBy(F.desc("n"), "w").limit(MOST_HOT).collect()
-    return np.array([xxhash.xxh3_64_intdigest(r["w"].encode()) for r in rows] + [int(BEGIN)], U64)
+    return np.array([xxhash.xxh3_64_intdigest(r["w"].encode()) for r in rows] + [int(END)], U64)
 
 
 def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, block_bytes: int = BLOCK_BYTES,
@@ -178,16 +192,16 @@ def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, bloc
             a = unpack(got[s])
             count[w], word[w], pair[p] = a["count"][at], a["word"][at], a["pair"]
         n = max(train_tokens, 1)
-        known = count[g.word] > 0
-        single = np.where(known, value_of(word)[g.word], DISCOUNT * kinds if kinds else n) / n
-        before = count[g.context].astype(float)
-        ratio = np.minimum(np.where(pair > 0, value_of(pair), 0.0)[g.pair] / np.maximum(before, 1), 1.0)
-        p = np.where(before > 0, LAMBDA * ratio + (1 - LAMBDA) * single, single)
-        base = np.log10((count[g.word] + 1) / (train_tokens + kinds + 1))
+        known = count > 0
+        single = np.where(known, value_of(word), DISCOUNT * kinds if kinds else n) / n
+        base = np.log10((count + 1) / (train_tokens + kinds + 1))
+        before, one = count[g.pair_context].astype(float), single[g.pair_word]
+        ratio = np.minimum(np.where(pair > 0, value_of(pair), 0.0) / np.maximum(before, 1), 1.0)
+        p = np.log10(np.where(before > 0, LAMBDA * ratio + (1 - LAMBDA) * one, one))
         starts = np.r_[0, np.cumsum(g.n)[:-1]].astype(np.int64)
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)  # noqa: E731  every document has an end, so no group is empty
         return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "held_out": pa.array(~g.train), "n_tokens": pa.array(g.n),
-                         "n_known": pa.array(add(known.astype(np.int64)).astype(np.int64)), "train_tokens": pa.array(np.full(len(g.n), train_tokens)),
-                         "base_score": pa.array(add(base).astype(float)), "score": pa.array(add(np.log10(p)).astype(float))})
+                         "n_known": pa.array(add(known.astype(np.int64)[g.word]).astype(np.int64)), "train_tokens": pa.array(np.full(len(g.n), train_tokens)),
+                         "base_score": pa.array(add(base[g.word]).astype(float)), "score": pa.array(add(p[g.pair]).astype(float))})
 
     return receive(blocks, answers.where("block >= 0"), score, SCHEMA)
