@@ -390,6 +390,25 @@ def q_topk_all_pairs(spark, sf_dir):
     return h.select("q_id", "id", _r6("similarity_score").alias("similarity_score"), "search_rank")
 
 
+@register("topk_ties", O.with_(L) + """,
+corpus AS (SELECT l.id, e.embedding FROM listings l JOIN embeddings e ON e.vec_id = l.id % 50),
+scored AS (SELECT q.vec_id, c.id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s
+  FROM embeddings q, corpus c)
+SELECT vec_id, id, round(s, 6) AS similarity_score,
+  (row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, id))::INTEGER AS search_rank
+FROM scored QUALIFY search_rank <= 50""")
+def q_topk_ties(spark, sf_dir):
+    """Every vector against an index of all listings that share 50 vectors:
+    ranks are decided by ties, which go by key in any block layout."""
+    from abode.operators.topk import exact_topk
+    e = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    corpus = (listings(spark, sf_dir).select("id", F.pmod("id", F.lit(50)).alias("vec_id"))
+              .join(e.where("vec_id < 50"), "vec_id").select("id", "embedding"))
+    h = exact_topk(e.withColumn("k", F.lit(50)), corpus, qkey="vec_id", qcol="embedding", kcol="k", ckey="id",
+                   ccol="embedding", score_col="similarity_score", rank_col="search_rank")
+    return h.select("vec_id", "id", _r6("similarity_score").alias("similarity_score"), "search_rank")
+
+
 @register("search_hits", O.with_(L, R, PA, O.vector_hits_cte()) + """
 SELECT h.qid, h.search_rank, l.listing_id, l.title, l.city, l.monthly_rent,
   round(h.similarity_score, 6) AS similarity_score FROM hits h JOIN listings l ON l.id = h.id""")
@@ -594,3 +613,16 @@ def q_chat_stream(spark, sf_dir):
                            answered_at=ANSWERED_AT)
     return _chat_out(sink)
 
+
+@register("chat_stream_requests", O.chat_sql("lexical", requests=O.conversation_requests_cte()))
+def q_chat_stream_requests(spark, sf_dir):
+    """Free-text requests (the user turns of ``conversations``) arriving as
+    files, streamed and answered by lexical ranking; equals the batch answer."""
+    from abode.session import fresh_path
+    from abode.sources.requests import requests_from_conversations
+    from abode.streaming.chat_stream import run_chat_stream
+    src = fresh_path(spark, "requests")
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    requests_from_conversations(conversations).select("qid", "msg", "max_results").write.parquet(src)
+    return _chat_out(run_chat_stream(spark, src, listings(spark, sf_dir), embeddings(spark, sf_dir),
+                                     answered_at=ANSWERED_AT, glob="*.parquet", ranking="lexical"))

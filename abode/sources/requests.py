@@ -52,6 +52,17 @@ def requests_from_events(events: DataFrame, n_vectors: Column | int) -> DataFram
     )
 
 
+def requests_from_table(df: DataFrame) -> DataFrame:
+    """Requests as users sent them: ``qid`` and ``msg`` are required;
+    ``max_results`` (null: the default), ``vec_id`` (needed by vector ranking
+    only), ``user_id`` and ``ts`` may be missing.  Other columns are left out."""
+    lost = {"qid", "msg"} - set(df.columns)
+    if lost:
+        raise ValueError(f"requests need the columns {sorted(lost)}")
+    return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in REQUEST.fields])
+
+
 CONV_TURNS = 1_000_000  # qid = conv_id * CONV_TURNS + turn
 
 

@@ -19,14 +19,13 @@ from pyspark.sql import types as T
 
 from abode.functions.parse import parse_request
 from abode.operators.search import rank_encoded, rank_texts, rank_vectors, respond_ranked
-from abode.sources.requests import validate_k
 from abode.session import fresh_path, shared_dir
-from abode.sources.requests import requests_from_events, vector_count
+from abode.sources.requests import requests_from_events, requests_from_table, validate_k, vector_count
 
 
 def event_stream(spark: SparkSession, src_dir: str, glob: str = "events.parquet",
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Raw ``events`` files of ``src_dir`` (matching ``glob``) as a stream."""
+    """Raw files of events or requests in ``src_dir`` (matching ``glob``) as a stream."""
     src_dir = src_dir.rstrip("/")
     schema = spark.read.parquet(f"{src_dir}/{glob}").schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
@@ -128,9 +127,8 @@ def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFram
         found = (need.select("__key", F.col("max_results").cast("int").alias("kc"))
                  .join(new.withColumnRenamed(key, "__key"), "__key", "left").select(*schema.fieldNames()))
     found.write.mode("overwrite").parquet(f"{cache_dir}/batch_id={batch_id}")
+    # latest (largest-k) ranking of each key of this batch that it or an earlier batch cached
     cache = read_cache(spark, cache_dir, schema, before=batch_id + 1)
-    # latest (largest-k) cached ranking of each key of this batch
-    cache = read_cache(spark, cache_dir, schema)
     best = _latest(cache.join(keys.select("__key"), "__key", "left_semi"))
     if compact_every and batch_id >= 0 and (batch_id + 1) % compact_every == 0:
         _latest(cache).write.mode("overwrite").parquet(f"{cache_dir}_compact/upto={batch_id}")
@@ -147,8 +145,10 @@ def start_chat_stream(spark: SparkSession, src_dir: str, listings: DataFrame, em
                       ranking: str = "vector", encoder=None, compact_every: int = 20):
     """Start answering the request stream; returns the ``StreamingQuery``.
 
-    Each micro-batch of events becomes requests (vector ids over the whole
-    static vector table) and is answered by the batch pipeline.  Output goes
+    Files with a ``msg`` column hold requests as users sent them (``qid, msg``
+    and, where given, ``max_results, vec_id``); other files hold events, which
+    become requests (vector ids over the whole static vector table).  Each
+    micro-batch is answered by the batch pipeline.  Output goes
     to ``{out}/responses/batch_id=N`` with overwrite, so a batch replayed
     after a failure rewrites the same files; progress is kept in
     ``{out}/_checkpoint`` (on the shared folder)."""
@@ -157,7 +157,7 @@ def start_chat_stream(spark: SparkSession, src_dir: str, listings: DataFrame, em
     ts = F.lit(answered_at).cast("timestamp") if answered_at else None
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        reqs = requests_from_events(batch, vector_count(embeddings))
+        reqs = requests_from_table(batch) if "msg" in batch.columns else requests_from_events(batch, vector_count(embeddings))
         parsed = parse_request(validate_k(reqs), mode=mode)
         ranked, bound = cached_rankings(parsed, listings, embeddings, cache_dir, batch_id, ranking, encoder,
                                         compact_every)

@@ -2,14 +2,16 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from abode.functions.derive import numeric_coerce
 from abode.operators.stats import city_counts, value_counts
-from abode.operators.topk import salted_join
+from abode.operators.topk import exact_topk, salted_join
 from abode.session import fresh_path
 from abode.sources.files import load_listings
+from abode.sources.requests import requests_from_table, validate_k
 
 
 def _local(spark, name):
@@ -64,3 +66,29 @@ def test_null_keys_keep_their_rows(spark):
     got = {r["qid"]: r["v"] for r in salted_join(left, right, "key", "qid", "left").collect()}
     assert got == {i: None if i % 2 else 1 for i in range(10)}
     assert salted_join(left, right, "key", "qid", "inner").count() == 5
+
+
+def test_dense_ranks_are_the_same_in_any_layout(spark):
+    """Copies of vectors tie exactly, whatever the tile shape, and go by key."""
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(60, 64)).astype("float32")
+    q = spark.createDataFrame([(i, vecs[i].tolist(), 50) for i in range(40)], "q long, v array<float>, k int")
+    c = spark.createDataFrame([(i, vecs[(i * 7) % 60].tolist()) for i in range(3000)], "id long, v array<float>")
+    got = []
+    for block_q, block_c in ((4096, 700), (7, 1024), (40, 2048), (13, 16384)):
+        r = exact_topk(q, c, qkey="q", qcol="v", kcol="k", ckey="id", ccol="v", block_q=block_q, block_c=block_c)
+        got.append(sorted((x["q"], x["rank"], x["id"], x["score"]) for x in r.collect()))
+    assert len(got[0]) == 40 * 50 and all(g == got[0] for g in got)
+    for (a, _, i, s), (b, _, j, t) in zip(got[0], got[0][1:]):
+        assert a != b or s > t or (s == t and i < j)
+    bad = spark.createDataFrame([(1, [float("nan")] * 64)], "id long, v array<float>")
+    with pytest.raises(Exception, match="infinite"):
+        exact_topk(q, bad, qkey="q", qcol="v", kcol="k", ckey="id", ccol="v").collect()
+
+
+def test_requests_as_given(spark):
+    d = spark.createDataFrame([(1, "a", "x"), (2, None, "y")], "qid int, msg string, extra string")
+    got = validate_k(requests_from_table(d)).orderBy("qid").collect()
+    assert [(r["qid"], r["msg"], r["max_results"], r["vec_id"]) for r in got] == [(1, "a", 10, None), (2, None, 10, None)]
+    with pytest.raises(ValueError):
+        requests_from_table(d.drop("msg"))
