@@ -3,8 +3,8 @@
 Texts are encoded as the tokenizer's library does without begin, end or added
 tokens.  Where the tokenizer drops white space (its first pre-tokenizer removes
 everything that isn't a match), no token spans a white-space run, so every text
-is cut there; the distinct words of a slice are encoded in one batch and their
-lengths added up.  Other tokenizers get whole texts, in batches of about
+is cut there; words met twice are encoded alone and remembered, the others in
+strings of 256 words.  Other tokenizers get whole texts, in batches of about
 ``slice_bytes``.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows
@@ -37,26 +37,67 @@ def drops_space(model: bytes) -> bool:
         and "\\s" in str(first.get("pattern")) and "[^\\s" in str(first.get("pattern"))
 
 
-class WordLengths(dict):
-    """word -> number of tokens; emptied when it grows past ``most``."""
+class WordLengths:
+    """Token counts of texts as sums over their words.
 
-    most = 1_000_000
+    The lengths of words seen twice are remembered in two generations of at
+    most about ``most`` words: words still in use move to the younger one, the
+    older is dropped when that is full.  Words new to the worker and single in
+    their slice are encoded together, ``piece`` words to a string."""
+
+    most = 500_000
+    piece = 256
 
     def __init__(self, tokenizer):
-        super().__init__()
         self.tokenizer = tokenizer
+        self.young: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
+        self.once: set[bytes] = set()
+
+    def lengths(self, strings: list[str]) -> Iterator[int]:
+        for a in range(0, len(strings), 20_000):
+            yield from map(len, self.tokenizer.encode_batch_fast(strings[a:a + 20_000], add_special_tokens=False))
+
+    def learn(self, times: dict[bytes, int]) -> dict[bytes, int]:
+        """Lengths of those of these words that the worker has met before, or meets twice now."""
+        known = {w: self.old[w] for w in times.keys() & self.old.keys()}
+        new = [w for w, n in times.items() if w not in known and (n > 1 or w in self.once)]
+        known.update(zip(new, self.lengths([w.decode("utf-8", "replace") for w in new]), strict=True))
+        self.once.difference_update(new)
+        if len(self.young) + len(known) > self.most:
+            self.young, self.old = {}, self.young
+        self.young.update(known)
+        return known
 
     def texts(self, texts: list[str | None]) -> list[int]:
-        words = [words_of(t) for t in texts]
-        new = list({w for ws in words for w in ws} - self.keys())
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list({w for ws in words for w in ws})
-        for a in range(0, len(new), 20_000):
-            part = new[a:a + 20_000]
-            done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.update(zip(part, map(len, done), strict=True))
-        return [sum(map(self.__getitem__, ws)) for ws in words]
+        total: list[int] = []
+        unknown: list[tuple[int, list[bytes]]] = []
+        times: dict[bytes, int] = {}
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            found = list(map(self.young.get, words))
+            if None in found:
+                left = [w for w, n in zip(words, found, strict=True) if n is None]
+                for w in left:
+                    times[w] = times.get(w, 0) + 1
+                unknown.append((i, left))
+                found = [n for n in found if n is not None]
+            total.append(sum(found))
+        known = self.learn(times)
+        owners, strings = [], []
+        for i, words in unknown:
+            found = list(map(known.get, words))
+            rare = [w for w, n in zip(words, found, strict=True) if n is None]
+            total[i] += sum(n for n in found if n is not None)
+            self.once.update(rare)
+            for a in range(0, len(rare), self.piece):
+                owners.append(i)
+                strings.append(b" ".join(rare[a:a + self.piece]).decode("utf-8", "replace"))
+        if len(self.once) > self.most:
+            self.once.clear()
+        for i, n in zip(owners, self.lengths(strings), strict=True):
+            total[i] += n
+        return total
 
 
 def counter(kind: str, model: bytes) -> Callable[[list[str | None]], list[int]]:

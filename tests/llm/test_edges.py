@@ -93,3 +93,21 @@ def test_pipeline(tables, spark):
         ids = [r["doc_id"] for r in at.collect()]
         if not empty:
             assert 6 not in ids and ids.count(4) == 1
+
+
+def test_word_lengths_remembered_or_not():
+    """Whatever is remembered (a few words, all), the counts are those of whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from abode.llm.token_counts import WordLengths
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join(f"w{(i * j) % 97}x it's \u00e9\u0301t\u00e9 <|endoftext|> a\u00a0b {j}" for j in range(i % 41)) for i in range(300)]
+    texts += [None, "", " \t\n ", "\u0301 x", " ".join(f"rare{i}" for i in range(1000))]
+    whole = [len(e) for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for most in (0, 5, 500_000):
+        lengths = WordLengths(tok)
+        lengths.most = most
+        assert [n for a in range(0, len(texts), 10) for n in lengths.texts(texts[a:a + 10])] == whole
+        assert lengths.texts(texts) == whole
