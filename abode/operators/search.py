@@ -90,31 +90,49 @@ def _qtext(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+def text_key(text_col: str) -> Column:
+    """Key of a request text: 32 characters however long the text is.  Blocks,
+    rankings, merges, caches and joins carry it instead of the text."""
+    return F.md5(_qtext(text_col))
+
+
+def distinct_texts(requests: DataFrame, text_col: str) -> DataFrame:
+    """(qkey, qtext, kq): each distinct request text with the largest k asked for it."""
+    return (requests.groupBy(_qtext(text_col).alias("qtext")).agg(F.max("max_results").alias("kq"))
+            .select(text_key("qtext").alias("qkey"), "qtext", "kq"))
+
+
 def rank_texts(requests: DataFrame, listings: DataFrame, text_col: str = "enhanced", **topk_opts):
-    """Lexical ranking per distinct request text: ((qtext, id, similarity_score,
-    search_rank), proven row bound)."""
-    per_key = requests.groupBy(_qtext(text_col).alias("qtext")).agg(F.max("max_results").alias("kq"))
-    qv = per_key.select("qtext", "kq", text_tokens(F.col("qtext")).alias("terms"))
-    return exact_topk(qv, profile_corpus(listings), qkey="qtext", qcol="terms", kcol="kq",
+    """Lexical ranking per distinct request text: ((qkey, id, similarity_score,
+    search_rank), proven row bound); ``qkey`` is the text's ``text_key``."""
+    qv = distinct_texts(requests, text_col).select("qkey", "kq", text_tokens(F.col("qtext")).alias("terms"))
+    return exact_topk(qv, profile_corpus(listings), qkey="qkey", qcol="terms", kcol="kq",
                       ckey="id", ccol="terms", kind="lexical",
                       score_col="similarity_score", rank_col="search_rank", with_bound=True,
                       **topk_opts)
 
 
+def profile_texts(listings: DataFrame) -> DataFrame:
+    return listings.select("id", profile_text().alias("text"))
+
+
+def fitted_encoder(listings: DataFrame, encoder=None):
+    """The encoder (default: hashed TF-IDF) fitted on the listing profile texts."""
+    from abode.operators.encode import hashed_tfidf_encoder
+    return (encoder or hashed_tfidf_encoder())(profile_texts(listings))
+
+
 def rank_encoded(requests: DataFrame, listings: DataFrame, encoder=None, text_col: str = "enhanced",
                  **topk_opts):
     """The reproduced flow: listing profile texts and each distinct (enhanced)
     request text go through the same encoder, then exact inner-product top-k.
     ``encoder`` is ``fit(corpus_texts) -> encode`` (default: the JVM hashed
-    TF-IDF encoder fitted on the profiles).  ((qtext, id, similarity_score,
-    search_rank), proven row bound)."""
-    from abode.operators.encode import hashed_tfidf_encoder
-    prof = listings.select("id", profile_text().alias("text"))
-    encode = (encoder or hashed_tfidf_encoder())(prof)
-    corpus = encode(prof, "text").select("id", "embedding")
-    per_key = requests.groupBy(_qtext(text_col).alias("qtext")).agg(F.max("max_results").alias("kq"))
-    qv = encode(per_key, "qtext")
-    return exact_topk(qv, corpus, qkey="qtext", qcol="embedding", kcol="kq", ckey="id", ccol="embedding",
+    TF-IDF encoder fitted on the profiles).  ((qkey, id, similarity_score,
+    search_rank), proven row bound); ``qkey`` is the text's ``text_key``."""
+    encode = fitted_encoder(listings, encoder)
+    corpus = encode(profile_texts(listings), "text").select("id", "embedding")
+    qv = encode(distinct_texts(requests, text_col), "qtext")
+    return exact_topk(qv, corpus, qkey="qkey", qcol="embedding", kcol="kq", ckey="id", ccol="embedding",
                       kind="dense", score_col="similarity_score", rank_col="search_rank", with_bound=True,
                       **topk_opts)
 
@@ -126,8 +144,8 @@ def lexical_hits(requests: DataFrame, listings: DataFrame, text_col: str = "enha
     ranked, bound = rank_texts(requests, listings, text_col, **topk_opts)
     if with_listings:
         ranked = attach_listings(ranked, bound, listings)
-    req = requests.select("qid", _qtext(text_col).alias("qtext"), "max_results", *carry)
-    return (join_ranked(req, ranked, bound, "qtext")
+    req = requests.select("qid", text_key(text_col).alias("qkey"), "max_results", *carry)
+    return (join_ranked(req, ranked, bound, "qkey")
             .filter(F.col("search_rank") <= F.col("max_results"))
             .select("qid", "id", "similarity_score", "search_rank", *carry,
                     *([c for c in listings.columns if c != "id"] if with_listings else [])))
@@ -261,7 +279,8 @@ def answer_requests(parsed: DataFrame, lists: DataFrame, key: str, req_key: Colu
     lt = lists.schema["__r"].dataType.simpleString()
     req = parsed.select("qid", "msg", "enhanced", req_key.alias("__key"), "max_results", *CONSTRAINT_COLS)
     lk = lists.withColumnRenamed(key, "__key")
-    if bound * est_row_bytes(lists.schema["__r"].dataType.elementType) <= BROADCAST_BYTES_MAX:
+    width = est_row_bytes(lists.schema["__r"].dataType.elementType) + est_row_bytes(lists.schema[key].dataType)
+    if bound * width <= BROADCAST_BYTES_MAX:
         j = req.join(F.broadcast(lk), "__key", "left")
     else:
         j = salted_join(req, lk, "__key", "qid", "left")
@@ -291,10 +310,10 @@ def chat_batch(requests: DataFrame, listings: DataFrame, embeddings: DataFrame,
         key, req_key = "vec_id", F.col("vec_id")
     elif ranking == "lexical":
         ranked, bound = rank_texts(parsed, listings, **topk_opts)
-        key, req_key = "qtext", _qtext("enhanced")
+        key, req_key = "qkey", text_key("enhanced")
     elif ranking == "encoded":
         ranked, bound = rank_encoded(parsed, listings, encoder, **topk_opts)
-        key, req_key = "qtext", _qtext("enhanced")
+        key, req_key = "qkey", text_key("enhanced")
     else:
         raise ValueError(f"unknown ranking {ranking!r}")
     return respond_ranked(parsed, listings, ranked, bound, key, req_key, mode, answered_at, fields, cards)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from abode.functions.parse import parse_request
-from abode.operators.search import rank_encoded, rank_texts, rank_vectors, respond_ranked
+from abode.operators.search import fitted_encoder, rank_encoded, rank_texts, rank_vectors, respond_ranked, text_key
 from abode.session import fresh_path, shared_dir
 from abode.sources.requests import requests_from_events, requests_from_table, validate_k, vector_count
 
@@ -51,7 +51,7 @@ def _key(ranking: str) -> tuple[str, F.Column]:
     if ranking == "vector":
         return "vec_id", F.col("vec_id")
     if ranking in ("lexical", "encoded"):
-        return "qtext", F.coalesce(F.col("enhanced"), F.lit(""))
+        return "qkey", text_key("enhanced")
     raise ValueError(f"unknown ranking {ranking!r}")
 
 
@@ -109,11 +109,14 @@ def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFram
     shared_dir(spark)  # checkpoints go to the cluster's shared folder
     schema = ranking_cache_schema(ranking)
     key, req_key = _key(ranking)
-    keys = parsed.groupBy(req_key.alias("__key")).agg(F.max("max_results").alias("kq")).checkpoint(eager=True)
+    # a text's key stands for the text; only the keys to rank now need the text itself
+    texts = [] if ranking == "vector" else ["enhanced"]
+    keys = (parsed.groupBy(req_key.alias("__key"), *[F.coalesce(t, F.lit("")).alias(t) for t in texts])
+            .agg(F.max("max_results").alias("kq")).checkpoint(eager=True))
     have = read_cache(spark, cache_dir, schema, before=batch_id).groupBy("__key").agg(F.max("kc").alias("kc"))
     need = (keys.join(have, "__key", "left")
                 .filter(F.col("kc").isNull() | (F.col("kq") > F.col("kc")))
-                .select("__key", F.col("kq").alias("max_results")).checkpoint(eager=True))
+                .select("__key", *texts, F.col("kq").alias("max_results")).checkpoint(eager=True))
     if need.isEmpty():
         found = spark.createDataFrame([], schema)
     else:
@@ -121,9 +124,9 @@ def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFram
         if ranking == "vector":
             new, _ = rank_vectors(need.withColumnRenamed("__key", "vec_id"), listings, embeddings, **opts)
         elif ranking == "lexical":
-            new, _ = rank_texts(need.withColumnRenamed("__key", "enhanced"), listings, **opts)
+            new, _ = rank_texts(need, listings, **opts)
         else:
-            new, _ = rank_encoded(need.withColumnRenamed("__key", "enhanced"), listings, encoder, **opts)
+            new, _ = rank_encoded(need, listings, encoder, **opts)
         found = (need.select("__key", F.col("max_results").cast("int").alias("kc"))
                  .join(new.withColumnRenamed(key, "__key"), "__key", "left").select(*schema.fieldNames()))
     found.write.mode("overwrite").parquet(f"{cache_dir}/batch_id={batch_id}")
@@ -155,6 +158,9 @@ def start_chat_stream(spark: SparkSession, src_dir: str, listings: DataFrame, em
     sink, ckpt, cache_dir = f"{out}/responses", f"{out}/_checkpoint", f"{out}/_rankings"
     key, req_key = _key(ranking)
     ts = F.lit(answered_at).cast("timestamp") if answered_at else None
+    if ranking == "encoded":  # the listings are static: one fit serves every batch
+        fitted = fitted_encoder(listings, encoder)
+        encoder = lambda _texts: fitted
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         reqs = requests_from_table(batch) if "msg" in batch.columns else requests_from_events(batch, vector_count(embeddings))

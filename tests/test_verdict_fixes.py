@@ -92,3 +92,21 @@ def test_requests_as_given(spark):
     assert [(r["qid"], r["msg"], r["max_results"], r["vec_id"]) for r in got] == [(1, "a", 10, None), (2, None, 10, None)]
     with pytest.raises(ValueError):
         requests_from_table(d.drop("msg"))
+
+
+def test_text_rankings_carry_short_keys(spark):
+    """Long request texts are ranked under a key of fixed width; equal, null and empty texts share theirs."""
+    from abode.operators import search
+    from abode.plans import registry as RG
+    from conftest import SF001
+
+    lst = RG.listings(spark, SF001)
+    long = "apartment with parking " * 20_000
+    req = spark.createDataFrame([(1, long, 3), (2, long, 5), (3, None, 2), (4, "", 2), (5, "with apartment parking", 4)],
+                                "qid long, enhanced string, max_results int")
+    ranked, bound = search.rank_texts(req, lst)
+    rows = ranked.collect()
+    assert {len(r.qkey) for r in rows} == {32} and len({r.qkey for r in rows}) == 2
+    assert bound >= len(rows) == 9
+    hits = {r.qid: r.n for r in search.lexical_hits(req, lst).groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    assert hits == {1: 3, 2: 5, 5: 4}
