@@ -113,16 +113,16 @@ def purity(leaves: DataFrame) -> DataFrame:
     parts = t.withColumn("tail", F.regexp_replace("template", r"^/[^/]*", ""))  # what stands below the first branch
     pool = parts.groupBy("host", "tail").agg(F.sum("labels").alias("pl"), F.sum("bad").alias("pb"))
     every = t.groupBy("host").agg(F.sum("labels").alias("hl"), F.sum("bad").alias("hb"))
-    total = t.agg(F.sum("labels").alias("al"), F.sum("bad").alias("ab"))
+    total = leaves.agg(F.sum("labels").alias("al"), F.sum("bad").alias("ab")).first()  # two sums
     p = F.col("pb") / F.greatest(F.col("pl"), F.lit(1))
     q = F.col("bad") / F.greatest(F.col("labels"), F.lit(1))
     se = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) / F.greatest(F.col("labels"), F.lit(1)))
     alike = (F.col("labels") > 0) & (F.abs(q - p) <= MERGE_Z * se)  # a branch without labels has nothing to compare
-    got = (parts.join(pool, ["host", "tail"]).join(every, "host").join(F.broadcast(total))  # total: one row
+    got = (parts.join(pool, ["host", "tail"]).join(every, "host")
            .withColumn("l", F.when(alike, F.col("pl")).otherwise(F.col("labels")))
            .withColumn("b", F.when(alike, F.col("pb")).otherwise(F.col("bad"))))
-    prior = F.col("ab") / F.greatest(F.col("al"), F.lit(1))
-    host = (F.col("hb") + PRIOR_WEIGHT * prior) / (F.col("hl") + PRIOR_WEIGHT)
+    prior = (total["ab"] or 0) / max(total["al"] or 0, 1)
+    host = (F.col("hb") + F.lit(PRIOR_WEIGHT * prior)) / (F.col("hl") + PRIOR_WEIGHT)
     share = (F.col("b") + PRIOR_WEIGHT * host) / (F.col("l") + PRIOR_WEIGHT)
     return got.select("host", "template", F.col("l").alias("labels"), share.alias("bad_share"))
 
