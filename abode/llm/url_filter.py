@@ -8,8 +8,12 @@
 3. Statistically similar sibling branches merge: siblings with the same
    template below them whose labelled share agrees with their pool (two-
    proportion z) take the pool's counts.
-4. A template is rejected when its smoothed share of bad labels is high; the
-   prior is its host's share, and the host's prior is the share of all labels.
+4. Shares of bad labels are smoothed down the tree: all labels are the prior
+   of the host, the host of its pools and branches, these of the template.  A
+   template without labels of its own so has the share of what is around it.
+5. A template is rejected when its share is high, and also the share of the
+   narrowest group around it (itself, a branch above, its pool, its host) that
+   has ``MIN_LABELS`` labels.  Where even the host has fewer, it is allowed.
 
 All of it is DataFrame work: urls are first summed up to distinct (host, path)
 with label counts, so a hot host is pre-aggregated; every later table is one
@@ -107,33 +111,59 @@ def templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
     return tree.select("host", "path", F.col("tpl").alias("template"))
 
 
+def groups_of(template: Column) -> Column:
+    """array<struct<rank, before, tail>>: the groups that a template is judged
+    with, widest first: its host, its pool, its branch at each level above it
+    (rank 2 d holds all below the first d segments, 3 is the pool: any first
+    segment with the same ``tail``)."""
+    cut = F.split(template, "/")  # the first part is always empty
+    branch = F.transform(F.sequence(F.lit(1), F.greatest(F.size(cut) - 1, F.lit(1))), lambda d: F.struct(
+        (2 * d).alias("rank"), F.array_join(F.slice(cut, F.lit(1), d), "/").alias("before"), F.lit("").alias("tail")))
+    pool = F.struct(F.lit(3).alias("rank"), F.lit("").alias("before"), F.regexp_replace(template, r"^/[^/]*", "").alias("tail"))
+    return F.array_sort(F.array_append(branch, pool))
+
+
 def purity(leaves: DataFrame) -> DataFrame:
-    """host, template -> bad_share, labels: similar siblings merged, then smoothed."""
+    """host, template -> labels, bad_share, support, support_share: similar
+    siblings merged, then smoothed down the tree.
+
+    ``support`` counts the labels of the narrowest group around the template
+    (itself, its branches, its pool, its host) that has ``MIN_LABELS``, else 0."""
     t = leaves.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("labels", "bad")])
-    parts = t.withColumn("tail", F.regexp_replace("template", r"^/[^/]*", ""))  # what stands below the first branch
-    pool = parts.groupBy("host", "tail").agg(F.sum("labels").alias("pl"), F.sum("bad").alias("pb"))
-    every = t.groupBy("host").agg(F.sum("labels").alias("hl"), F.sum("bad").alias("hb"))
     total = leaves.agg(F.sum("labels").alias("al"), F.sum("bad").alias("ab")).first()  # two sums
-    p = F.col("pb") / F.greatest(F.col("pl"), F.lit(1))
+    prior = (total["ab"] or 0) / max(total["al"] or 0, 1)
+    key = ["host", "rank", "before", "tail"]
+    member = t.select("host", "template", "labels", "bad", F.inline(groups_of(F.col("template"))))
+    group = member.groupBy(*key).agg(F.sum("labels").alias("gl"), F.sum("bad").alias("gb"))
+    around = (member.join(group, key).groupBy("host", "template", "labels", "bad")
+              .agg(F.array_sort(F.collect_list(F.struct("rank", "gl", "gb"))).alias("groups")))
+    pool = F.element_at(F.filter("groups", lambda g: g["rank"] == 3), 1)
+    pl, pb = pool["gl"], pool["gb"]
+    p = pb / F.greatest(pl, F.lit(1))
     q = F.col("bad") / F.greatest(F.col("labels"), F.lit(1))
     se = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) / F.greatest(F.col("labels"), F.lit(1)))
     alike = (F.col("labels") > 0) & (F.abs(q - p) <= MERGE_Z * se)  # a branch without labels has nothing to compare
-    got = (parts.join(pool, ["host", "tail"]).join(every, "host")
-           .withColumn("l", F.when(alike, F.col("pl")).otherwise(F.col("labels")))
-           .withColumn("b", F.when(alike, F.col("pb")).otherwise(F.col("bad"))))
-    prior = (total["ab"] or 0) / max(total["al"] or 0, 1)
-    host = (F.col("hb") + F.lit(PRIOR_WEIGHT * prior)) / (F.col("hl") + PRIOR_WEIGHT)
-    share = (F.col("b") + PRIOR_WEIGHT * host) / (F.col("l") + PRIOR_WEIGHT)
-    return got.select("host", "template", F.col("l").alias("labels"), share.alias("bad_share"))
+    own = F.struct(F.lit(2**30).alias("rank"), F.when(alike, pl).otherwise(F.col("labels")).alias("gl"),
+                   F.when(alike, pb).otherwise(F.col("bad")).alias("gb"))
+
+    def down(at: Column, g: Column) -> Column:
+        share = (g["gb"] + PRIOR_WEIGHT * at["share"]) / (g["gl"] + PRIOR_WEIGHT)
+        firm = g["gl"] >= MIN_LABELS
+        return F.struct(share.alias("share"), F.when(firm, g["gl"]).otherwise(at["support"]).alias("support"),
+                        F.when(firm, share).otherwise(at["support_share"]).alias("support_share"))
+
+    start = F.struct(F.lit(float(prior)).alias("share"), F.lit(0).cast("long").alias("support"), F.lit(0.0).alias("support_share"))
+    got = around.select("host", "template", own["gl"].alias("labels"), F.aggregate(F.array_append("groups", own), start, down).alias("x"))
+    return got.select("host", "template", "labels", F.col("x.share").alias("bad_share"), "x.support", "x.support_share")
 
 
 def url_filter(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[UrlRule, ...] = RULES,
                id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, template, labels, bad_share for each row of ``pages``.
+    """page_id, host, path, rule, verdict, template, template_labels, bad_share, support for each row of ``pages``.
 
     ``labels`` (page_id, bad) marks known pages.  Without it the rules' own
     verdicts are the labels: a page that a rule blocks is bad, one that a rule
-    allows is good.  Templates with fewer than ``MIN_LABELS`` labels allow."""
+    allows is good.  Hosts with fewer than ``MIN_LABELS`` labels allow."""
     url = F.col(url_col).cast("string")
     src = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     src = src.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
@@ -148,8 +178,8 @@ def url_filter(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[U
     tpl = templates(paths.select("host", "path", "n"))
     leaves = written(paths.join(tpl, ["host", "path"]), "leaves").select("host", "path", "template", "labels", "bad")
     judged = leaves.select("host", "path", "template").join(purity(leaves), ["host", "template"])
-    rejected = (F.col("labels") >= MIN_LABELS) & (F.col("bad_share") >= REJECT)
+    rejected = (F.col("support") > 0) & (F.least("bad_share", "support_share") >= REJECT)
     verdict = F.coalesce(F.col("hit.verdict"), F.when(rejected, F.lit("block")).otherwise(F.lit("allow")))
     return (src.join(judged, ["host", "path"], "left")
             .select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"),
-                    "template", F.coalesce("labels", F.lit(0)).alias("template_labels"), "bad_share"))
+                    "template", F.coalesce("labels", F.lit(0)).alias("template_labels"), "bad_share", "support"))
