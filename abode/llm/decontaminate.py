@@ -5,7 +5,9 @@
    placeholders that remember their value; other words lose case and
    punctuation.
 2. Windows of ``WINDOW`` templates of the benchmark items, at most half of
-   them placeholders, hash-join the documents' windows.
+   them placeholders, hash-join the documents' windows.  Letter case alone
+   tells a name, so a window has a second hash with names as plain words in
+   lower case, and matches if either hash does.
 3. Matches of a document and an item at the same offset are one alignment.
    Its slots must be consistent: one value of the item always stands against
    one value of the document.  So a question with other numbers or names is
@@ -14,7 +16,7 @@
    words, or ``MIN_SHARE`` of a shorter item.
 
 DataFrame functions only.  The benchmark's windows are counted: up to
-``BROADCAST_WINDOWS`` (a hash, an item, two numbers) they are broadcast, so the
+``BROADCAST_WINDOWS`` (a hash, an item, two numbers; at most two of them a window) they are broadcast, so the
 documents' windows never move; beyond that the join shuffles by hash.
 
 Defined results: null or empty texts and texts shorter than a window match
@@ -61,14 +63,36 @@ def template_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.when(F.startswith(w, F.lit(MARK)), F.substring(w, 1, 2)).otherwise(w)))
 
 
+def nameless(words: Column) -> Column:
+    """The words with names as plain words: letter case says nothing then."""
+    return F.transform(words, lambda w: F.when(F.startswith(w, F.lit(MARK + "p")), F.substring(w, 3, 2**30)).otherwise(w))
+
+
+def runs(h: Column, k: int) -> Column:
+    """Hash of the ``k`` values from each place on, by halves; the last ``k - 1`` places hold no run."""
+    if k == 1:
+        return h
+    if k % 2:
+        return let(h, lambda x: F.zip_with(x, shifted(runs(x, k - 1), 1), lambda a, b: F.xxhash64(a, b)))
+    return let(runs(h, k // 2), lambda x: F.zip_with(x, shifted(x, k // 2), lambda a, b: F.xxhash64(a, b)))
+
+
+def shifted(x: Column, by: int) -> Column:
+    return F.slice(x, F.lit(by + 1), F.greatest(F.size(x) - by, F.lit(0)))
+
+
 def window_hashes(words: Column, k: int) -> Column:
-    """Hash of the templates of each window of ``k`` words; null if there is none."""
-    n = F.size(words)
+    """Hashes of the windows of ``k`` words, null if there is none: first one
+    for each window with names as placeholders, then one for each with names as
+    plain words (null where that is the same)."""
+    n = F.size(words) - (k - 1)
 
-    def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+    def both(h: Column) -> Column:
+        plain = F.zip_with(words, h, lambda w, x: F.when(F.startswith(w, F.lit(MARK + "p")), F.xxhash64(F.substring(w, 3, 2**30))).otherwise(x))
+        return let(F.slice(runs(h, k), F.lit(1), n), lambda a: F.concat(
+            a, F.zip_with(a, F.slice(runs(plain, k), F.lit(1), n), lambda x, y: F.when(x != y, y))))
 
-    return F.when(n >= k, let(template_hashes(words), windows))
+    return F.when(n > 0, let(template_hashes(words), both))
 
 
 def slots(words: Column) -> Column:
@@ -77,12 +101,20 @@ def slots(words: Column) -> Column:
     return F.filter(marked, lambda x: F.startswith(x["value"], F.lit(MARK)))
 
 
+def window_rows(words: DataFrame, k: int, *keep: str) -> DataFrame:
+    """``keep``, windows (of the row), plain (names are plain words), pos, h from (words, ...)."""
+    hs = words.select(*keep, window_hashes(F.col("words"), k).alias("hs"))
+    # outer: an inner explode infers a filter on its array, which would work the array out twice
+    rows = hs.select(*keep, (F.size("hs") / 2).cast("int").alias("windows"), F.posexplode_outer("hs").alias("at", "h")).where("h is not null")
+    return rows.select(*keep, "windows", (F.col("at") >= F.col("windows")).alias("plain"), F.pmod("at", "windows").alias("pos"), "h")
+
+
 def benchmark_windows(words: DataFrame, k: int) -> DataFrame:
     """item, windows (of the item), ipos, h from (item, words)."""
-    w = words.select("item", "words", window_hashes(F.col("words"), k).alias("hs"))
-    w = w.select("item", "words", F.size("hs").alias("windows"), F.posexplode("hs").alias("ipos", "h"))
-    literal = F.size(F.filter(F.slice("words", F.col("ipos") + 1, F.lit(k)), lambda x: ~F.startswith(x, F.lit(MARK))))
-    return w.where(literal >= k - k // 2).select("item", "windows", "ipos", "h")
+    w = window_rows(words, k, "item", "words")
+    form = F.when(F.col("plain"), nameless(F.col("words"))).otherwise(F.col("words"))
+    literal = F.size(F.filter(F.slice(form, F.col("pos") + 1, F.lit(k)), lambda x: ~F.startswith(x, F.lit(MARK))))
+    return w.where(literal >= k - k // 2).select("item", "windows", F.col("pos").alias("ipos"), "h")
 
 
 def alignments(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -94,8 +126,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, item_col:
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item"), canonical(F.col(item_text)).alias("words"))
     bench = benchmark_windows(items, k)
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), canonical(F.col("text")).alias("words"))
-    # outer: an inner explode infers a filter on its array, which would work the array out twice
-    hs = d.select("doc_id", "th", F.posexplode_outer(window_hashes(F.col("words"), k)).alias("dpos", "h"))
+    hs = window_rows(d, k, "doc_id", "th").select("doc_id", "th", F.col("pos").alias("dpos"), "h")
     hit = hs.join(F.broadcast(bench) if bench.count() <= BROADCAST_WINDOWS else bench, "h")
     key = ["doc_id", "th", "item", "offset"]
     got = written(hit.groupBy("doc_id", "th", "item", (F.col("dpos") - F.col("ipos")).alias("offset"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from abode.llm.decontaminate import decontaminate
 from abode.llm.url_filter import UrlRule, url_filter
 
 
@@ -31,3 +32,20 @@ def test_a_branch_decides_before_its_host(spark):
     assert got["http://a.com/z/free"]["verdict"] == "allow" and got["http://a.com/x/mine/else"]["verdict"] == "allow"
     got = verdicts(spark, [u for u in urls if "mine" not in u], rules=rules)
     assert got["http://a.com/x/free"]["verdict"] == "block" and got["http://a.com/z/free"]["verdict"] == "allow"
+
+
+ITEM = "On Monday the baker, Anna, sold eleven loaves to Tom and then Maria bought two small cakes for the old man in Rome"
+
+
+def found(spark, item, *texts):
+    """(contaminated, matched words) of each text."""
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r["contaminated"], r["matched_words"]) for r in sorted(decontaminate(docs, bench).collect())]
+
+
+def test_copies_in_another_letter_case(spark):
+    n = len(ITEM.split())
+    copies = [ITEM, ITEM.upper(), ITEM.title(), ITEM.lower(), "Before. " + ITEM.swapcase() + " after", ITEM.replace("Anna", "Paula")]
+    assert found(spark, ITEM, *copies) == [(True, n)] * len(copies)
+    assert found(spark, ITEM.title(), *copies) == [(True, n)] * 5 + [(True, n - 5)]
