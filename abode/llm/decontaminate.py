@@ -13,7 +13,8 @@
    one value of the document.  So a question with other numbers or names is
    caught, and a text that only has the same shape isn't.
 4. A document is contaminated when a consistent alignment covers ``MIN_WORDS``
-   words, or ``MIN_SHARE`` of a shorter item.
+   words, or ``MIN_SHARE`` of a shorter item.  Covered words are those of all
+   its windows, each word once.
 
 DataFrame functions only.  The benchmark's windows are counted: up to
 ``BROADCAST_WINDOWS`` (a hash, an item, two numbers; at most two of them a window) they are broadcast, so the
@@ -130,8 +131,8 @@ def alignments(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, item_col:
     hit = hs.join(F.broadcast(bench) if bench.count() <= BROADCAST_WINDOWS else bench, "h")
     key = ["doc_id", "th", "item", "offset"]
     got = written(hit.groupBy("doc_id", "th", "item", (F.col("dpos") - F.col("ipos")).alias("offset"))
-                  .agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min("ipos").alias("first"), F.max("ipos").alias("last")),
-                  "alignments")
+                  .agg(F.max("windows").alias("windows"), F.array_sort(F.collect_set("ipos")).alias("at"))
+                  .withColumns({"first": F.element_at("at", 1), "last": F.element_at("at", -1)}), "alignments")
     # slots: the item's placeholder at p stands against the document's at p + offset
     theirs = items.select("item", F.explode(slots(F.col("words"))).alias("x")).select("item", F.col("x.pos").alias("p"), F.col("x.value").alias("a"))
     mine = d.select("doc_id", "th", F.explode_outer(slots(F.col("words"))).alias("x")).where("x is not null").select(
@@ -143,9 +144,13 @@ def alignments(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, item_col:
             .select(*[F.col(c).alias(c + "_") for c in key]).distinct())
     same = [F.col(c).eqNullSafe(F.col(c + "_")) for c in key]
     firm = got.join(torn, same[0] & same[1] & same[2] & same[3], "left_anti")
-    # words covered: k for the first window, one more for each further one; never more than the span
-    words = F.least(F.col("n") + (k - 1), F.col("last") - F.col("first") + k)
-    return firm.select("doc_id", "th", "item", words.cast("long").alias("words"), "windows")
+    return firm.select("doc_id", "th", "item", covered(F.col("at"), k).alias("words"), "windows")
+
+
+def covered(at: Column, k: int) -> Column:
+    """Words in the windows of ``k`` words that begin at the places ``at`` (ascending, distinct): of each the words up to the next."""
+    ends = F.zip_with(at, shifted(at, 1), lambda x, y: F.least(x + k, F.coalesce(y, x + k)) - x)
+    return F.aggregate(ends, F.lit(0).cast("long"), lambda n, x: n + x)
 
 
 def caught(a: DataFrame, k: int, min_words: int, min_share: float) -> DataFrame:

@@ -49,3 +49,11 @@ def test_copies_in_another_letter_case(spark):
     copies = [ITEM, ITEM.upper(), ITEM.title(), ITEM.lower(), "Before. " + ITEM.swapcase() + " after", ITEM.replace("Anna", "Paula")]
     assert found(spark, ITEM, *copies) == [(True, n)] * len(copies)
     assert found(spark, ITEM.title(), *copies) == [(True, n)] * 5 + [(True, n - 5)]
+
+
+def test_all_windows_of_an_alignment_count(spark):
+    """Two runs of nine words, one word between them replaced, cover 18 words."""
+    item = [f"word{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(24)]
+    two = [w if i in range(9) or i in range(10, 19) else "other" for i, w in enumerate(item)]
+    one = [w if i < 9 else "other" for i, w in enumerate(item)]
+    assert found(spark, " ".join(item), " ".join(two), " ".join(one), " ".join(item)) == [(True, 18), (False, 0), (True, 24)]
