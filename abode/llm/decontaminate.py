@@ -11,8 +11,10 @@
 3. Matches of a document and an item at the same offset are one alignment.
    Its slots must be consistent: one value of the item always stands against
    one value of the document.  So a question with other numbers or names is
-   caught, and a text that only has the same shape isn't.
-4. A document is contaminated when a consistent alignment covers ``MIN_WORDS``
+   caught, and a text that only has the same shape isn't.  Only slots in
+   matched windows count; where two disagree the alignment is cut, and each
+   longest run that doesn't hold both is judged by its own words.
+4. A document is contaminated when a consistent run covers ``MIN_WORDS``
    words, or ``MIN_SHARE`` of a shorter item.  Covered words are those of all
    its windows, each word once.
 
@@ -28,7 +30,7 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abode.llm.common import written
@@ -119,8 +121,8 @@ def benchmark_windows(words: DataFrame, k: int) -> DataFrame:
 
 
 def alignments(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, th (hash of the text), item, words, windows: the consistent
-    alignments, one per document, item and offset.
+    """doc_id, th (hash of the text), item, words, windows: one row per document,
+    item and offset, with the words of its best consistent run.
 
     Only (id, hash, place) leaves a document for the match, and only its
     placeholders for the check of the slots; texts never move."""
@@ -131,26 +133,38 @@ def alignments(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, item_col:
     hit = hs.join(F.broadcast(bench) if bench.count() <= BROADCAST_WINDOWS else bench, "h")
     key = ["doc_id", "th", "item", "offset"]
     got = written(hit.groupBy("doc_id", "th", "item", (F.col("dpos") - F.col("ipos")).alias("offset"))
-                  .agg(F.max("windows").alias("windows"), F.array_sort(F.collect_set("ipos")).alias("at"))
-                  .withColumns({"first": F.element_at("at", 1), "last": F.element_at("at", -1)}), "alignments")
+                  .agg(F.max("windows").alias("windows"), F.array_sort(F.collect_set("ipos")).alias("at")), "alignments")
     # slots: the item's placeholder at p stands against the document's at p + offset
     theirs = items.select("item", F.explode(slots(F.col("words"))).alias("x")).select("item", F.col("x.pos").alias("p"), F.col("x.value").alias("a"))
     mine = d.select("doc_id", "th", F.explode_outer(slots(F.col("words"))).alias("x")).where("x is not null").select(
         F.col("doc_id").alias("id_"), F.col("th").alias("th_"), F.col("x.pos").alias("q"), F.col("x.value").alias("b"))
-    pairs = (got.select(*key, "first", "last").join(theirs, "item").where((F.col("p") >= F.col("first")) & (F.col("p") < F.col("last") + k))
-             .withColumn("at", F.col("p") + F.col("offset")))
-    pairs = pairs.join(mine, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")) & (F.col("at") == F.col("q")))
-    torn = (pairs.groupBy(*key, "a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where("x <> y")
-            .select(*[F.col(c).alias(c + "_") for c in key]).distinct())
+    inside = F.exists("at", lambda i: (F.col("p") >= i) & (F.col("p") < i + k))  # words between the windows say nothing
+    pairs = (got.select(*key, "at").join(theirs, "item").where((F.col("p") >= F.element_at("at", 1)) & (F.col("p") < F.element_at("at", -1) + k))
+             .where(inside).select(*key, "p", "a", (F.col("p") + F.col("offset")).alias("place")))
+    pairs = pairs.join(mine, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")) & (F.col("place") == F.col("q")))
+    # a tear: the next slot of the same value stands against another value, so no run holds both places
+    by = Window.partitionBy(*key, "a").orderBy("p")
+    tears = (pairs.withColumns({"x": F.lag("p").over(by), "was": F.lag("b").over(by)}).where("was <> b")
+             .groupBy(*key).agg(F.collect_list(F.struct("x", F.col("p").alias("y"))).alias("tears"))
+             .withColumnsRenamed({c: c + "_" for c in key}))
     same = [F.col(c).eqNullSafe(F.col(c + "_")) for c in key]
-    firm = got.join(torn, same[0] & same[1] & same[2] & same[3], "left_anti")
-    return firm.select("doc_id", "th", "item", covered(F.col("at"), k).alias("words"), "windows")
-
-
-def covered(at: Column, k: int) -> Column:
-    """Words in the windows of ``k`` words that begin at the places ``at`` (ascending, distinct): of each the words up to the next."""
-    ends = F.zip_with(at, shifted(at, 1), lambda x, y: F.least(x + k, F.coalesce(y, x + k)) - x)
-    return F.aggregate(ends, F.lit(0).cast("long"), lambda n, x: n + x)
+    # longest consistent runs: each begins at the first word or after a tear's first place, and ends before a tear's second
+    runs_ = F.transform(F.array_prepend(F.transform("tears", lambda t: t["x"] + 1), F.lit(0)), lambda start: F.struct(
+        start.alias("start"), F.array_min(F.transform(F.filter("tears", lambda t: t["x"] >= start), lambda t: t["y"])).alias("stop")))
+    words = F.array_max(F.transform(runs_, lambda r: covered(F.col("at"), k, r["start"], r["stop"])))
+    out = got.join(tears, same[0] & same[1] & same[2] & same[3], "left")
+    return out.select("doc_id", "th", "item", F.when(F.col("tears").isNull(), covered(F.col("at"), k)).otherwise(words).alias("words"), "windows")
+
+
+def covered(at: Column, k: int, start: Column | None = None, stop: Column | None = None) -> Column:
+    """Words in the windows of ``k`` words that begin at the places ``at``
+    (ascending, distinct): of each the words up to the next.  With ``start``
+    and ``stop`` (null: no end) only the words from there and before that."""
+    def size(x: Column, y: Column) -> Column:
+        end = F.least(x + k, y)  # least and greatest leave nulls out
+        return end - x if start is None else F.greatest(F.least(end, stop) - F.greatest(x, start), F.lit(0))
+
+    return F.aggregate(F.zip_with(at, shifted(at, 1), size), F.lit(0).cast("long"), lambda n, x: n + x)
 
 
 def caught(a: DataFrame, k: int, min_words: int, min_share: float) -> DataFrame:

@@ -57,3 +57,25 @@ def test_all_windows_of_an_alignment_count(spark):
     two = [w if i in range(9) or i in range(10, 19) else "other" for i, w in enumerate(item)]
     one = [w if i < 9 else "other" for i, w in enumerate(item)]
     assert found(spark, " ".join(item), " ".join(two), " ".join(one), " ".join(item)) == [(True, 18), (False, 0), (True, 24)]
+
+
+def test_an_alignment_is_cut_at_an_inconsistent_slot(spark):
+    item = ("the plant runs 5 machines that each make many small parts of steel and of brass every hour "
+            "until late at night so that the shop has 5 widgets left for its own staff")
+    w = item.split()
+    n, second = len(w), [i for i, x in enumerate(w) if x == "5"][1]
+    one = w[:second] + ["9"] + w[second + 1:]
+    ends = w[:14] + ["7" if i % 2 else "other" for i in range(second - 13)] + w[second + 1:]
+    shape = "then 7 birds saw 7 cats and 7 dogs near 7 old houses by 7 small rivers all day long"
+    many = shape.replace("7", "{}").format(1, 2, 3, 4, 5)
+    assert found(spark, item, item, " ".join(one), " ".join(ends), item.replace("5", "8")) == [
+        (True, n), (True, max(second, n - w.index("5") - 1)), (True, 14), (True, n)]
+    assert found(spark, shape, many) == [(False, 0)]
+
+
+def test_slots_between_the_windows_say_nothing(spark):
+    """Both ends of the item are verbatim; another number stands in the replaced middle."""
+    a, b = "we keep 5 of our old boats near the long wooden pier", "and we sail them out to the deep blue bay each spring with 5 men"
+    middle = "where 5 men paint them"
+    got = found(spark, f"{a} {middle} {b}", f"{a} some 6 crews wash these {b}")
+    assert got == [(True, len(a.split()) + len(b.split()))]
