@@ -4,8 +4,9 @@
    all texts; its table has a fixed size.  The lexicon - words and word
    beginnings with their log-odds in toxic texts - comes from a bounded sample
    of labelled rows (``SAMPLE_ROWS``) and holds ``MAX_TERMS`` terms at most.
-2. A token with digits, signs or long repeats among its letters, or a run of
-   single letters, is a noisy observation of a word: each sign is a lattice
+2. A token with digits, signs or repeats among its letters, or letters in a run
+   of groups of one or two (with or without punctuation; the run may hold
+   several words and other letters), is a noisy observation of a word: each sign is a lattice
    position whose candidates are letters (leetspeak), nothing (spacing and
    masks) or fewer copies (repetition).  Viterbi over letter pairs finds the
    likeliest word under an equal mixture of the corpus model and the model of
@@ -56,6 +57,9 @@ SIGN_COST, GAP_COST, MASK_COST, DROP_COST = math.log(4), 0.1, math.log(30), 0.5
 ODD = re.compile(r"[^\W\d_].*[0-9@$!|+(€£.\-_*~'`^/\\:,]+.*[^\W\d_]|^[0-9@$!|+(€£*]+.*[^\W\d_]|[^\W\d_].*[0-9@$]$|([^\W\d_])\1\1")
 
 
+REPEAT, TRIPLE, DOUBLE = re.compile(r"(.)\1+"), re.compile(r"([^\W\d_])\1\1+"), re.compile(r"([^\W\d_])\1")
+
+
 def class_table() -> np.ndarray:
     t = np.zeros(0x180, np.int32)
     t[ord("a"):ord("z") + 1] = np.arange(1, 27)
@@ -170,6 +174,9 @@ class Scorer:
 
     def __init__(self, weights: dict[str, float], logp: np.ndarray):
         self.weights, self.logp, self.table, self.seen = weights, logp, class_table(), {}
+        # beginnings of all terms, copies of letters dropped: what a spaced word must go through
+        self.begun = {once[:n] for w in weights for once in [REPEAT.sub(r"\1", w.lstrip("^"))] for n in range(1, len(once) + 1)}
+        self.reach = 2 * max([STARTS[-1] + 1, *(len(w) for w in weights if w.isalpha())])  # letters of a spaced word with signs
 
     def weight(self, word: str) -> float:
         got = self.weights.get(word, 0.0)
@@ -187,9 +194,59 @@ class Scorer:
                 for noisy in {token, plain}:
                     word = viterbi(noisy, self.logp, self.table)
                     got = max(got, (word, self.weight(word)), key=lambda x: x[1])
+            elif got[1] <= 0 and self.doubled(plain):
+                word = viterbi(plain, self.logp, self.table)
+                got = max(got, (word, self.weight(word)), key=lambda x: x[1])
             self.seen[token] = got
         return got
 
+    def doubled(self, word: str) -> bool:
+        """Whether a term may be left when copies of letters are dropped: only then is the lattice asked."""
+        once = TRIPLE.sub(r"\1\1", word)
+        at = [m.start() for m in DOUBLE.finditer(once)]
+        if not at or len(at) > 6:
+            return len(at) > 6
+        kept = [once[:at[0]]]
+        for i, j in zip(at, [*at[1:], len(once)], strict=True):
+            kept = [k + rest for k in kept for rest in (once[i:j], once[i + 1:j])]
+        return any(self.weight(k) > 0 for k in kept)
+
+    def joined(self, text: str, pairs: bool) -> tuple[str, float]:
+        """(restored word, weight) of letters that stood apart; groups of two make whole terms only,
+        as many short words of a language stand side by side."""
+        weight = (lambda w: self.weights.get(w, 0.0)) if pairs else self.weight
+        got = (text, weight(text))
+        if got[1] <= 0 and (not text.isalpha() or self.doubled(text)):
+            word = self.seen.get(" " + text)  # no token has a blank
+            if word is None:
+                if len(self.seen) >= self.most:
+                    self.seen.clear()
+                word = self.seen[" " + text] = (viterbi(text, self.logp, self.table), 0.0)
+            got = max(got, (word[0], weight(word[0])), key=lambda x: x[1])
+        return got
+
+    def spaced(self, run: list[str]) -> tuple[tuple[str, float], ...]:
+        """(word, weight) of the words in a run of groups of one or two letters: those that lie
+        apart from each other, begin and end with a group and weigh most (then most whole terms)."""
+        none: tuple[float, int, tuple[tuple[str, float], ...]] = (0.0, 0, ())
+        best = [none] * (len(run) + 1)
+        for i in range(len(run)):
+            if i and best[i - 1][:2] > best[i][:2]:
+                best[i] = best[i - 1]
+            text, once, pairs, signs = "", "", False, False
+            for j in range(i, len(run)):
+                if len(text) > self.reach or not (signs or once in self.begun or not once):
+                    break  # one group past a beginning: a term of beginnings needs a longer word
+                text, pairs = text + run[j], pairs or len(run[j]) > 1
+                signs = signs or not run[j].isalpha()
+                once = once if signs else REPEAT.sub(r"\1", once + run[j])
+                if j > i and len(text) > (3 if pairs else 2):
+                    word, w = self.joined(text, pairs)
+                    if w > 0:
+                        total, whole, words = best[i]
+                        best[j + 1] = max(best[j + 1], (total + w, whole + (word in self.weights), (*words, (word, w))), key=lambda x: x[:2])
+        return max(best[-2:], key=lambda x: x[:2])[2]
+
     def raw(self, text: str | None) -> float:
         if not text:
             return 0.0
@@ -200,13 +257,18 @@ class Scorer:
             if w > 0:
                 found[word] = w
         run: list[str] = []
-        for t in [*tokens, "  "]:
-            if len(t) == 1 and (t.isalpha() or t in LEET):
-                run.append(t)
-                continue
-            if len(run) > 2:
-                word = viterbi("".join(run), self.logp, self.table)
-                if (w := self.weight(word)) > 0:
+        for t in [*tokens, "   "]:
+            if t.isalpha():
+                if len(t) < 3:
+                    run.append(t)
+                    continue
+            else:
+                group = t if len(t) == 1 else strip(t)
+                if 0 < len(group) < 3 and all(c.isalpha() or c in LEET for c in group) and (len(group) == 1 or not group.isdigit()):
+                    run.append(group)
+                    continue
+            if len(run) > 1:
+                for word, w in self.spaced(run):
                     found[word] = w
             run = []
         return float(sum(heapq.nlargest(3, found.values())))
