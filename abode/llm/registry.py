@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abode.llm.common import fold
+from abode.llm.common import fold, words_col, written
+from abode.llm.conversation_trie import conversation_trie, turn_table
 from abode.llm.decontaminate import decontaminate
+from abode.llm.html_text import extract_text
 from abode.llm.language_model import score_documents
 from abode.llm.minhash import near_duplicates
 from abode.llm.mixing import mix_sources
+from abode.llm.periodic_runs import periodic_runs
 from abode.llm.quality_classifier import quality_scores
 from abode.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from abode.llm.substring_dedup import substring_dedup
@@ -69,9 +72,58 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("broken_rules")
 
 
+def crc(number: Column) -> Column:
+    """Unsigned crc32 of an id in decimal; null counts as the empty text."""
+    return F.crc32(F.coalesce(number.cast("string"), F.lit("")).cast("binary"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: in one document of ten (by crc32) the words from place a on repeat the p words there."""
+    h = crc(F.col("doc_id"))
+    spread = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.when(h % 10 == 0, words_col(F.col("text"))).alias("w"),
+                         F.floor(h / 10).cast("long").alias("g")).withColumn("n", F.size("w"))
+    spread = spread.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    spread = spread.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    word = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(
+        F.col("w"), F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return spread.select("doc_id", F.when(F.col("n") > 0, F.array_join(word, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    got = got.withColumn("best", best)
+    start, length, period = -F.col("best.s"), F.col("best.length"), -F.col("best.q")
+    return got.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+                      F.floor(1000 * length / period).cast("long").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+                      F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Turns (conv_id, pos, x, y, n_chars) of the conversations that begin like the one whose id is a hundred's first."""
+    size = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    base_id = F.col("conv_id") - F.col("conv_id") % 100
+    convs = size.select("conv_id", base_id.alias("base_id"), (crc(F.col("conv_id")) % 6).alias("h"))
+    convs = convs.join(size.select(F.col("conv_id").alias("base_id"), F.col("n").alias("n_base")), "base_id", "left")
+    first = (turns.where((F.col("conv_id") % 100 == 0) & (F.col("pos") <= 5)).withColumnRenamed("conv_id", "base_id")
+             .join(convs, "base_id").where("pos <= h"))
+    rest = turns.join(convs, "conv_id").where("pos > h").withColumn("pos", F.col("pos") - F.col("h") + F.least("h", F.coalesce("n_base", F.lit(0))))
+    return first.select(*turns.columns).unionByName(rest.select(*turns.columns))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(turn_table(table(spark, sf_dir, "conversations")), "turns")
+    return conversation_trie(rebuilt(turns), turns.select("conv_id"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_token_counts, op3_lm_scores, op4_decontaminate, op5_substring_dedup, op6_source_mix, op7_quality_scores,
-    op8_toxicity, op9_near_duplicates, op10_quality_rules)}
+    op8_toxicity, op9_near_duplicates, op10_quality_rules, op11_periodic_runs, op12_conversation_trie, op13_html_extraction)}
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
