@@ -182,4 +182,57 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from f"""
 
 
-ORACLE = {"op5_substring_dedup": OP5_SQL, "op9_near_duplicates": OP9_SQL, "op10_quality_rules": _op10_sql()}
+def crc_sql(number: str) -> str:
+    """crc32 of a decimal number, bit by bit: a byte is mixed in, then eight shifts (-1)."""
+    chars = f"string_split(cast({number} as varchar), '')"
+    steps = f"flatten(list_transform({chars}, lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    shift = "case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}), lambda a, x: {shift}), 4294967295)"
+
+
+OP11_SQL = rf"""
+with o as (select doc_id, {WORDS_SQL} w, {crc_sql("doc_id")} h from documents),
+a as (select *, len(w) n, h // 10 g, (h // 10) % greatest(len(w), 1) a from o),
+d as (select doc_id, n, case when h % 10 = 0 and n > 0 then
+  list_transform(range(0, n), lambda i: w[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end + 1]) else w end w from a),
+six as (select doc_id, n, i, array_to_string(w[i + 1:i + 6], ' ') s from (select doc_id, n, w, unnest(range(0, n - 5)) i from d where n >= 6)),
+pair as (select x.doc_id, x.i, y.i - x.i q from six x join six y on x.doc_id = y.doc_id and x.s = y.s and x.i < y.i),
+isle as (select doc_id, q, min(i) s, max(i) + 6 + q - min(i) l from (select *, i - row_number() over (partition by doc_id, q order by i) k from pair) group by doc_id, q, k),
+run as (select doc_id, s, l, min(q) q from isle where l >= greatest(12, 2 * q) group by doc_id, s, l),
+gone as (select distinct doc_id, unnest(range(s + q, s + l)) i from run),
+word as (select doc_id, i, w[i + 1] x from (select doc_id, w, unnest(range(0, n)) i from d)),
+kept as (select doc_id, string_agg(x, ' ' order by i) t from word anti join gone using (doc_id, i) group by doc_id),
+best as (select doc_id, s, l, q from run qualify row_number() over (partition by doc_id order by l desc, s, q) = 1),
+all_runs as (select doc_id, count(*) c, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) t from run group by doc_id)
+select doc_id, coalesce(c, 0)::bigint n_runs, s::bigint as start, l::bigint as length, q::bigint as period, (1000 * l // q)::bigint exponent_milli,
+  sha256(coalesce(all_runs.t, '')) runs_sha256, sha256(coalesce(kept.t, '')) collapsed_sha256
+from d left join best using (doc_id) left join all_runs using (doc_id) left join kept using (doc_id)"""
+
+OP12_SQL = rf"""
+with t as (select conv_id, list(md5(coalesce(role, '') || chr(1) || coalesce(text, '')) order by turn nulls first) w,
+  list(length(coalesce(text, '')) order by turn nulls first) l from conversations where conv_id is not null group by conv_id),
+h as (select *, ({crc_sql("conv_id")} % 6)::int h from t),
+r as (select c.conv_id, coalesce(b.w[1:c.h], []) || c.w[c.h + 1:] w, coalesce(b.l[1:c.h], []) || c.l[c.h + 1:] l
+  from h c left join t b on b.conv_id = c.conv_id - c.conv_id % 100),
+p as (select conv_id, d, array_to_string(w[1:d], ' ') k, array_to_string(w[1:d - 1], ' ') up, l[d] chars, d = len(w) final
+  from (select *, unnest(range(0, len(w) + 1)) d from r)),
+node as (select d, k, any_value(up) up, any_value(chars) chars, min(conv_id) conv_id, count(*) n,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (final), '')) ends from p group by d, k),
+kids as (select d - 1 d, up k, count(*) c from node where d > 0 group by 1, 2),
+full_node as (select node.*, coalesce(c, 0) c from node left join kids using (d, k)),
+below as (select x.d, x.k, sum(case when y.c = 0 then 1 else 0 end) leaves, sum(case when y.d > 0 then (y.n - 1) * y.chars else 0 end) saved
+  from full_node x join full_node y on y.d >= x.d and (x.d = 0 or y.k[1:length(x.k)] = x.k) group by 1, 2)
+select x.conv_id, x.d::bigint depth, u.conv_id parent_conv_id, x.n::bigint n_convs, x.c::bigint n_children, leaves::bigint n_leaves,
+  saved::bigint saved_tokens, x.ends ends_sha256
+from full_node x join below using (d, k) left join node u on u.d = x.d - 1 and u.k = x.up"""
+
+# the given pages keep their main text in one article element of plain blocks
+OP13_SQL = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') t from pages),
+b as (select page_id, url, list_transform(regexp_split_to_array(regexp_replace(t, '</?b>', '', 'g'), '</?(?:h1|p|br)>'), lambda x:
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'),
+    '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) x from a),
+c as (select page_id, url, array_to_string(list_filter(x, lambda y: y <> ''), chr(10)) as text from b)
+select page_id, url, text, length(text)::bigint n_chars from c"""
+
+ORACLE = {"op11_periodic_runs": OP11_SQL, "op12_conversation_trie": OP12_SQL, "op13_html_extraction": OP13_SQL, "op5_substring_dedup": OP5_SQL, "op9_near_duplicates": OP9_SQL, "op10_quality_rules": _op10_sql()}
