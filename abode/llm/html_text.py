@@ -254,6 +254,8 @@ LABELLED_PAGES = (
     f"<div>{link(4)}</div><div>{link(5)}</div><div>{say(4)}</div></body>",
     f"<body><table><tr><td>{link(2)}</td><td>{link(1)}</td></tr></table><p>{say(2)}</p><div data-main><p>{say(80)}</p><p>{say(60)} {link(4)}</p><p>{say(12)}</p><p>{say(45)}</p>"
     f"</div><p>{link(3)} {say(2)}</p><p>{say(6)}</p></body>",
+    f"<body><div>{link(1)} {link(1)}</div><div data-main><p>{say(46)}</p><p>{say(23)}</p></div><div>{link(1)}</div></body>",
+    f"<body><div>{link(3)}</div><div data-main><p>{say(19)}</p><p>{say(55)}</p><p>{say(17)}</p></div><div>{link(2)}</div><div>{say(3)}</div></body>",
     f"<body data-main><p>{say(25)}</p><p>{say(33)}</p></body>",
     f"<body><div>{link(20)}</div><div>{link(12)} {say(1)}</div><div>{say(2)} {link(30)}</div></body>",
     f"<body><div>{say(2)}</div><div>{say(5)}</div><div>{say(1)}</div><div data-main><p>{say(38)}</p><p>{say(28)}</p><p>{say(64)}</p></div><div>{say(7)}</div><div>{say(3)}</div>"
