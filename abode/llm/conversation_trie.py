@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from abode.llm.common import written
 
-MOST = 2000
+MOST = 500
 PIECE = 1 << 20
 BROADCAST_HEADS = 500_000  # rows of five numbers
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -246,13 +246,12 @@ def conversation_trie(turns: DataFrame, members: DataFrame | None = None, most:
     heads, reached = burst(prefixes, most)
     root_key = [F.lit(0).cast("long").alias(c) for c in ("cut", "h1", "h2")]
 
-    rows = prefixes
+    least = F.lit(every.first()["conv_id"]).cast("long")
     if heads is None:
-        rows = rows.select("*", *root_key).crossJoin(F.broadcast(every.select(F.col("conv_id").alias("head_conv"))))  # one row
+        rows = prefixes.select("*", *root_key, least.alias("head_conv"))
     else:
-        first = every.first()["conv_id"]
-        rows = rows.join(reached.drop("n"), "conv_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("cut", "h1", "h2")} | {
-            "head_conv": F.coalesce("head_conv", F.lit(first))})
+        rows = prefixes.join(reached.drop("n"), "conv_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("cut", "h1", "h2")} | {
+            "head_conv": F.coalesce("head_conv", least)})
     rows = rows.where(F.col("depth") > F.col("cut"))
     path = F.transform(F.sort_array(F.collect_list(F.struct("depth", "k1", "k2", "n_chars"))), lambda t: F.struct(t["k1"], t["k2"], t["n_chars"]))
     paths = rows.groupBy("conv_id", "cut", "h1", "h2", "head_conv").agg(path.alias("path"))
@@ -275,7 +274,7 @@ def conversation_trie(turns: DataFrame, members: DataFrame | None = None, most:
     if heads is not None:
         own, sub, parents = head_sums(heads, prefixes, direct)
         inner = heads.join(parents, KEY).join(sub, KEY).join(ends, KEY, "left").withColumns({
-            "parent_conv_id": F.coalesce("parent_conv_id", F.lit(first)), "ends_sha256": F.coalesce("ends_sha256", F.lit(EMPTY))})
+            "parent_conv_id": F.coalesce("parent_conv_id", least), "ends_sha256": F.coalesce("ends_sha256", F.lit(EMPTY))})
         out = out.unionByName(inner.select(*NODE))
         sums = sums.unionByName(own.select(*[zero.alias(c) for c in KEY], (F.col("depth") == 1).cast("long").alias("tops"), "leaves", "saved"))
     sums = sums.groupBy(*KEY).agg(F.sum("tops").alias("n_children"), F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
