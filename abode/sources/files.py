@@ -6,6 +6,8 @@ Reads always use an explicit schema (no inference pass over the data).
 from __future__ import annotations
 
 import os
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ def typed(text: Column, kind: T.DataType) -> Column:
     """A text cell as ``kind``; whole numbers written as decimals ("25000.0")
     keep their value, cells that can't be read are null."""
     if isinstance(kind, (T.LongType, T.IntegerType)):
-        d = text.try_cast("double")
+        d = text.try_cast("decimal(38,10)")  # exact: a double would round numbers past 2^53
         return F.coalesce(text.try_cast(kind), F.when(d == F.floor(d), d.try_cast(kind)))
     return text.try_cast(kind)
 
@@ -77,8 +79,8 @@ def _read_json(spark: SparkSession, path: str) -> DataFrame:
                                          F.monotonically_increasing_id().alias("n"), F.ltrim(F.translate("value", "\t\r\ufeff", "")).alias("v"))
     first = (lines.where("v <> ''").groupBy("file").agg(F.min_by(F.substring("v", 1, 1), F.struct("at", "n")).alias("c")).collect())
     schema = T.StructType([T.StructField(f.name, T.StringType()) for f in LISTING.fields])
-    arrays = [r["file"] for r in first if r["c"] == "["]
-    others = [r["file"] for r in first if r["c"] != "["]
+    arrays = [literal_path(r["file"]) for r in first if r["c"] == "["]
+    others = [literal_path(r["file"]) for r in first if r["c"] != "["]
     parts = [spark.read.schema(schema).options(mode="FAILFAST", multiLine=whole).json(files)
              for files, whole in ((others, False), (arrays, True)) if files]
     if not parts:
@@ -86,6 +88,12 @@ def _read_json(spark: SparkSession, path: str) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def literal_path(uri: str) -> str:
+    """A file's name as ``_metadata.file_path`` gives it (percent-encoded) as a
+    path to read: decoded, with the signs that mean a pattern escaped."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(uri))
+
+
 def with_keys(df: DataFrame) -> DataFrame:
     """Files written elsewhere carry no internal key: give such rows a unique
     BIGINT (above 2^62, so it cannot meet a supplied id).  Splits of a file

@@ -55,33 +55,45 @@ def _key(ranking: str) -> tuple[str, F.Column]:
     raise ValueError(f"unknown ranking {ranking!r}")
 
 
-def _numbered_dirs(spark: SparkSession, root: str, name: str) -> list[int]:
-    """N of every ``{root}/{name}=N`` folder (file-system metadata only)."""
+CACHE_BUCKETS = 256
+
+
+def _written_dirs(spark: SparkSession, root: str, name: str, among: range | None = None) -> list[int]:
+    """N of every ``{root}/{name}=N`` folder (of the numbers ``among``, if
+    given) whose write came to its end (file-system metadata only)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(root)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        n = st.getPath().getName()
-        if st.isDirectory() and n.startswith(name + "="):
-            out.append(int(n.split("=", 1)[1]))
-    return sorted(out)
+    if among is None:
+        if not fs.exists(p):
+            return []
+        names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+        among = sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(name + "="))
+    return [n for n in among if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}={n}/_SUCCESS"))]
+
+
+def key_bucket(key: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(CACHE_BUCKETS)).cast("int")
 
 
-def read_cache(spark: SparkSession, cache_dir: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+def read_cache(spark: SparkSession, cache_dir: str, schema: T.StructType, before: int | None = None,
+               buckets: list[int] | None = None) -> DataFrame:
     """The ranking cache: the newest compaction (``{cache_dir}_compact/upto=M``)
     plus the batch folders written after it, so a long stream reads a
     bounded set of folders instead of one per batch ever run.  With
-    ``before``, only what batches under that number have written."""
-    early = (lambda b: True) if before is None else (lambda b: b < before)
-    compact = [c for c in _numbered_dirs(spark, f"{cache_dir}_compact", "upto") if early(c)]
+    ``before``, only what batches under that number have written; with
+    ``buckets``, only those partitions of the compaction.  A folder whose
+    write was cut off counts as absent."""
+    compact = [c for c in _written_dirs(spark, f"{cache_dir}_compact", "upto") if before is None or c < before]
     last = compact[-1] if compact else None
-    batches = [b for b in _numbered_dirs(spark, cache_dir, "batch_id") if early(b) and (last is None or b > last)]
+    if before is None:
+        batches = [b for b in _written_dirs(spark, cache_dir, "batch_id") if last is None or b > last]
+    else:  # batches are numbered one by one
+        batches = _written_dirs(spark, cache_dir, "batch_id", range(-1 if last is None else last + 1, before))
     parts = [spark.read.schema(schema).parquet(f"{cache_dir}/batch_id={b}") for b in batches]
     if last is not None:
-        parts.insert(0, spark.read.schema(schema).parquet(f"{cache_dir}_compact/upto={last}"))
+        base = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{cache_dir}_compact/upto={last}")
+        parts.insert(0, (base if buckets is None else base.where(F.col("bucket").isin(buckets))).select(*schema.fieldNames()))
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
@@ -90,6 +102,25 @@ def read_cache(spark: SparkSession, cache_dir: str, schema: T.StructType, before
     return out
 
 
+def compact_cache(spark: SparkSession, cache_dir: str, schema: T.StructType, batch_id: int) -> None:
+    """Each key's latest ranking of all batches before ``batch_id``, by bucket
+    of the key, as ``upto=batch_id - 1``.  What it reads is older than what it
+    writes, and a folder that came to its end is never written again: a batch
+    that runs again finds it as it was."""
+    out, upto = f"{cache_dir}_compact", batch_id - 1
+    if not _written_dirs(spark, out, "upto", range(upto, upto + 1)):
+        latest = _latest(read_cache(spark, cache_dir, schema, before=upto).unionByName(_batch(spark, cache_dir, schema, upto)))
+        (latest.withColumn("bucket", key_bucket(F.col("__key"))).repartition("bucket")
+         .write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/upto={upto}"))
+
+
+def _batch(spark: SparkSession, cache_dir: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """The rows that one batch has added, none if it has written nothing."""
+    if _written_dirs(spark, cache_dir, "batch_id", range(batch_id, batch_id + 1)):
+        return spark.read.schema(schema).parquet(f"{cache_dir}/batch_id={batch_id}")
+    return spark.createDataFrame([], schema)
+
+
 def _latest(cache: DataFrame) -> DataFrame:
     """Each key's rows ranked for its largest k."""
     return cache.join(cache.groupBy("__key").agg(F.max("kc").alias("kc")), ["__key", "kc"], "left_semi")
@@ -102,8 +133,9 @@ def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFram
     ``batch_id=N`` (overwrite: a replayed batch looks only at what earlier
     batches cached, so it rewrites the same rows).  A key without any result
     is cached as one row without an id.  When nothing is new the corpus isn't read.
-    Every ``compact_every`` batches the cache is compacted to each key's
-    latest ranking (``upto=N``, overwrite; nothing is deleted).
+    Every ``compact_every`` batches, before anything else, what the earlier
+    ones cached is compacted (``compact_cache``; nothing is deleted); of a
+    compaction only the buckets of this batch's keys are read.
     Returns (ranking keyed like the batch path, proven row bound)."""
     spark = parsed.sparkSession
     shared_dir(spark)  # checkpoints go to the cluster's shared folder
@@ -113,7 +145,11 @@ def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFram
     texts = [] if ranking == "vector" else ["enhanced"]
     keys = (parsed.groupBy(req_key.alias("__key"), *[F.coalesce(t, F.lit("")).alias(t) for t in texts])
             .agg(F.max("max_results").alias("kq")).checkpoint(eager=True))
-    have = read_cache(spark, cache_dir, schema, before=batch_id).groupBy("__key").agg(F.max("kc").alias("kc"))
+    if compact_every and batch_id > 0 and batch_id % compact_every == 0:
+        compact_cache(spark, cache_dir, schema, batch_id)
+    buckets = [r[0] for r in keys.select(key_bucket(F.col("__key"))).distinct().collect()]  # at most CACHE_BUCKETS
+    earlier = read_cache(spark, cache_dir, schema, before=batch_id, buckets=buckets)
+    have = earlier.groupBy("__key").agg(F.max("kc").alias("kc"))
     need = (keys.join(have, "__key", "left")
                 .filter(F.col("kc").isNull() | (F.col("kq") > F.col("kc")))
                 .select("__key", *texts, F.col("kq").alias("max_results")).checkpoint(eager=True))
@@ -131,10 +167,8 @@ def cached_rankings(parsed: DataFrame, listings: DataFrame, embeddings: DataFram
                  .join(new.withColumnRenamed(key, "__key"), "__key", "left").select(*schema.fieldNames()))
     found.write.mode("overwrite").parquet(f"{cache_dir}/batch_id={batch_id}")
     # latest (largest-k) ranking of each key of this batch that it or an earlier batch cached
-    cache = read_cache(spark, cache_dir, schema, before=batch_id + 1)
+    cache = earlier.unionByName(_batch(spark, cache_dir, schema, batch_id))
     best = _latest(cache.join(keys.select("__key"), "__key", "left_semi"))
-    if compact_every and batch_id >= 0 and (batch_id + 1) % compact_every == 0:
-        _latest(cache).write.mode("overwrite").parquet(f"{cache_dir}_compact/upto={batch_id}")
     n = keys.agg(F.count(F.lit(1)).alias("n"), F.max("kq").alias("k")).first()
     kc_max = best.agg(F.max("kc")).first()[0] or 0
     out = best.where(F.col("id").isNotNull()).select(F.col("__key").alias(key), "id", "similarity_score", "search_rank")

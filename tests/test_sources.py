@@ -125,3 +125,12 @@ def test_conversation_user_turns_as_requests(spark):
     bad = spark.createDataFrame([(1, 10**6, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
     with pytest.raises(Exception, match="turn out of range"):
         requests_from_conversations(bad).collect()
+
+
+@pytest.mark.parametrize("name", ["a b.json", "a[1].json", "a%20b.json", "{x,y}.json", "50%.json", "ü+&.json"])
+def test_json_file_names(spark, scratch, name):
+    """Names with blanks, pattern signs and percent signs are read as they are, lines and array documents alike."""
+    _write(f"{scratch}/in/{name}", '{"id": 1, "title": "lines"}\n{"id": 9007199254740993, "monthly_rent": "9007199254740993.0"}\n')
+    _write(f"{scratch}/in/second {name}", '[\n {"id": 3, "title": "array"}\n]')
+    got = sorted(tuple(r) for r in files.load_listings(spark, f"{scratch}/in", "json").select("id", "title", "monthly_rent").collect())
+    assert got == [(1, "lines", None), (3, "array", None), (9007199254740993, None, 9007199254740993)]

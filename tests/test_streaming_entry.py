@@ -130,3 +130,46 @@ def test_max_results_rules(spark):
     bad = spark.createDataFrame([(1, 0)], "qid bigint, max_results int")
     with pytest.raises(Exception, match="max_results"):
         validate_k(bad).collect()
+
+
+def test_compaction_survives_replays_and_cut_off_writes(spark, scratch):
+    """Batches around a compaction run again, with whole folders and with folders
+    whose write was cut off: the rankings are those of a fresh cache."""
+    import os
+
+    lst, emb = RG.listings(spark, SF001), RG.embeddings(spark, SF001)
+
+    def ask(lo, k):
+        return spark.createDataFrame([(i, k) for i in range(lo, lo + 4)], "vec_id bigint, max_results int")
+
+    batches = [ask(0, 3), ask(2, 5), ask(4, 2), ask(0, 4), ask(6, 3)]
+    cache = f"{scratch}/cache"
+
+    def rows(n, folder=cache):
+        got, bound = cached_rankings(batches[n], lst, emb, folder, n, compact_every=2)
+        kept = sorted(tuple(r) for r in got.collect())
+        assert bound >= len(kept)
+        return kept
+
+    want = [rows(n, f"{scratch}/other-{n}") for n in range(5)]  # each batch alone, nothing cached
+
+    def enough(n, got):  # a cache may hold more results of a key than asked for
+        ranks = {(r[0], r[1]): r[2:] for r in got}
+        assert all(ranks[r[:2]] == r[2:] for r in want[n]), n
+
+    for n in range(5):
+        for _ in range(2):
+            enough(n, rows(n))
+    whole = spark.read.parquet(f"{cache}_compact/upto=3").count()
+    for n in (2, 4):  # batch N runs again after its compaction was published
+        enough(n, rows(n))
+    assert whole > 0 and spark.read.parquet(f"{cache}_compact/upto=3").count() == whole
+    # a crash while the compaction is written: no _SUCCESS, so it counts as absent and is written again
+    cut = f"{cache}_compact/upto=3".replace("file:", "")
+    os.rename(f"{cut}/_SUCCESS", f"{cut}/_gone")
+    enough(4, rows(4))
+    assert os.path.exists(f"{cut}/_SUCCESS") and spark.read.parquet(f"{cache}_compact/upto=3").count() == whole
+    # a crash while the batch's own rows are written
+    cut = f"{cache}/batch_id=4".replace("file:", "")
+    os.rename(f"{cut}/_SUCCESS", f"{cut}/_gone")
+    enough(4, rows(4))
