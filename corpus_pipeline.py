@@ -22,7 +22,8 @@ TOXIC = 0.3
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under ``TOXIC``."""
+    """Documents whose toxicity is under ``TOXIC``; null and empty texts have
+    the lowest score.  Without usable labels all stay."""
     got = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), rest=True)
     columns = [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
     return got.where(F.col("score") < TOXIC).select(*columns)
@@ -30,18 +31,25 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with the smallest id.  Rows that
-    share an id are one document, so one of them stays; rows without an id stay."""
+    share an id stay or go together; of rows with the same id and text one
+    stays, the smallest by their other columns.  Rows without an id stay.
+    Null and empty texts have no near duplicates."""
     groups = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
     groups = written(groups, "groups")
     gone = groups.where("not kept").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("n > 1").isEmpty():
+    twice = groups.where("kept and n > 1").select("doc_id")
+    if twice.isEmpty():
         return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    same = (left.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("row"), *[F.col(f"`{c}`") for c in rest])).alias("rest"))
+            .select(*[F.col(f"rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns]))
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(same)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of windows that a document with a smaller id has."""
+    """Texts without the words of windows that a document with a smaller id has;
+    ``n_chars`` follows a text that was cut.  Null texts become empty, no row goes."""
     got = substring_dedup(docs, rest=True)
     cut = F.col("n_removed") > 0
     columns = []
@@ -56,12 +64,13 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark questions."""
+    """Documents without benchmark questions; null, empty and short texts stay."""
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: the mix."""
+    """doc_id, source, size, source_size, target, taken: the mix, one row per
+    document; null texts have size 0, a null source is a source."""
     return mix_sources(docs)[0]
 
 
