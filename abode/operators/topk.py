@@ -6,13 +6,12 @@ Plan
    construction, so a hot *value* cannot skew a block).  Query rows are
    replicated to every corpus block, corpus rows to every query block.
 2. ``cogroup(qb, cb).applyInArrow`` scores one (query block x corpus block)
-   tile in numpy — a float64 matrix product for dense vectors, a term-count
-   product over the terms both blocks share for lexical cosine — and emits
-   only that tile's top-k per query (ties broken by ascending corpus key,
-   exactly).  A matrix product rounds differently per tile shape, so it only
-   picks dense candidates (with a margin over its rounding error); their
-   scores are summed in the order of the dimensions and so are the same in
-   every block layout.
+   tile in numpy — a float64 matrix product for dense vectors, inverted lists
+   with skipping for lexical cosine (``postings``) — and emits only that
+   tile's top-k per query (ties broken by ascending corpus key, exactly).  A
+   matrix product rounds differently per tile shape, so it only picks dense
+   candidates (with a margin over its rounding error); their scores are summed
+   in the order of the dimensions and so are the same in every block layout.
 3. A window ``row_number() over (partition by query order by score desc,
    key)`` merges at most ``blocks_c * k`` candidates per query; its literal
    largest-k bound gives a map-side partial ``WindowGroupLimit``.
@@ -27,14 +26,17 @@ No pair table and no driver collect: only the sizing job's few aggregates
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from abode.operators.postings import Postings
 from abode.session import shared_dir
 
 # rows of the query block scored at once (bounds the tile's working set):
@@ -70,30 +72,6 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return vals.reshape(n, d)
 
 
-def _select_topk(S: np.ndarray, k: np.ndarray, positive_only: bool):
-    """Rows' top-k of score matrix S (columns pre-sorted by key ascending).
-
-    Returns (row, col, score) sorted by row, score desc, col; exact under
-    ties: everything >= the k-th largest value is kept, then ranked."""
-    r, c = S.shape
-    kk = np.minimum(k, c)
-    kmax = int(kk.max()) if r else 0
-    if kmax <= 0 or c == 0:
-        e = np.zeros(0, dtype=np.int64)
-        return e, e, np.zeros(0)
-    if kmax < c:
-        # every distinct k-th position is placed exactly by one partition call
-        part = np.partition(S, np.unique(c - kk), axis=1)
-        thr = part[np.arange(r), c - kk]  # k-th largest per row
-        mask = S >= thr[:, None]
-    else:
-        mask = np.ones_like(S, dtype=bool)
-    if positive_only:
-        mask &= S > 0
-    rows, cols = np.nonzero(mask)
-    return _ranked(rows, cols, S[rows, cols], kk)
-
-
 def _ranked(rows: np.ndarray, cols: np.ndarray, sc: np.ndarray, kk: np.ndarray):
     """The first ``kk[row]`` candidates of each row by score desc, col."""
     order = np.lexsort((cols, -sc, rows))
@@ -139,71 +117,6 @@ def _dense_topk(qv: np.ndarray, cv: np.ndarray, k: np.ndarray):
     return _ranked(rows, cols, _ordered_products(qv, cv, rows, cols), kk)
 
 
-def _term_ids(col: pa.ChunkedArray | pa.Array):
-    """list<string> column -> (row index per token, token strings)."""
-    arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    arr = arr.fill_null(pa.scalar([], arr.type)) if arr.null_count else arr
-    offs = arr.offsets.to_numpy()
-    rows = np.repeat(np.arange(len(arr)), np.diff(offs))
-    toks = arr.flatten().to_numpy(zero_copy_only=False)
-    return rows, toks
-
-
-def _norms(rows: np.ndarray, toks: np.ndarray, n: int) -> np.ndarray:
-    """Full-text norms sqrt(sum tf^2) over *all* tokens of each row."""
-    if len(toks) == 0:
-        return np.zeros(n)
-    codes, _ = pd.factorize(toks)
-    width = int(codes.max()) + 1
-    ukey, cnt = np.unique(rows.astype(np.int64) * width + codes, return_counts=True)
-    return np.sqrt(np.bincount(ukey // width, weights=cnt.astype(np.float64) ** 2, minlength=n))
-
-
-def _lexical_tile(q_tokens, c_tokens, nq: int, nc: int, cn: np.ndarray):
-    """Cosine of term-count vectors, restricted to the query block vocabulary.
-
-    Returns (S, qnorm, cnorm) with S = integer dot products (as float64)."""
-    qr, qt = q_tokens
-    cr, ct = c_tokens
-    vocab = pd.Index(pd.unique(qt)) if len(qt) else pd.Index([])
-    V = len(vocab)
-    qn = _norms(qr, qt, nq)
-    S = np.zeros((nq, nc))
-    if V == 0 or len(ct) == 0:
-        return S, qn, cn
-    qi = vocab.get_indexer(qt)
-    ci = vocab.get_indexer(ct)
-    sel = ci >= 0
-    cr, ci = cr[sel], ci[sel]
-    # only terms on both sides add to dot products (norms use all tokens):
-    # renumber the shared terms 0..V-1 and drop the rest
-    used = np.unique(ci)
-    V = len(used)
-    if V == 0:
-        return S, qn, cn
-    remap = np.full(len(vocab), -1, dtype=np.int64)
-    remap[used] = np.arange(V)
-    ci, qi = remap[ci], remap[qi]
-    keep = qi >= 0
-    qr, qi = qr[keep], qi[keep]
-    # (row, term) pairs sorted by term once: each vocabulary chunk is a slice
-    qo, co = np.argsort(qi, kind="stable"), np.argsort(ci, kind="stable")
-    qr, qi, cr, ci = qr[qo], qi[qo], cr[co], ci[co]
-    # term-count matrices on the request vocabulary, in column chunks
-    step = max(1, 8_000_000 // max(nq, nc, 1))
-    for lo in range(0, V, step):
-        hi = min(V, lo + step)
-        w = hi - lo
-        a, b = np.searchsorted(qi, [lo, hi])
-        Q = np.bincount(qr[a:b] * w + (qi[a:b] - lo), minlength=nq * w).reshape(nq, w).astype(np.float64)
-        a, b = np.searchsorted(ci, [lo, hi])
-        if a == b:
-            continue
-        D = np.bincount(cr[a:b] * w + (ci[a:b] - lo), minlength=nc * w).reshape(nc, w).astype(np.float64)
-        S += Q @ D.T
-    return S, qn, cn
-
-
 def _make_tile_fn(kind: str, qkey: str, ckey: str, qcol: str, ccol: str, kcol: str,
                   score_type: pa.DataType, key_types: tuple):
     qkt, ckt = key_types
@@ -236,17 +149,12 @@ def _make_tile_fn(kind: str, qkey: str, ckey: str, qcol: str, ccol: str, kcol: s
                 rows, cols, sc = _dense_topk(qv_all[lo:hi], cv, k[lo:hi])
                 outs.append((rows + lo, cols, sc))
         else:
-            c_tok = _term_ids(ct.column(ccol))
-            cn = _norms(c_tok[0], c_tok[1], nc)
+            lists = Postings(ct.column(ccol))
             qtab = qt.column(qcol)
             for lo in range(0, nq, chunk):
                 hi = min(nq, lo + chunk)
-                q_tok = _term_ids(qtab.slice(lo, hi - lo))
-                dot, qn, cn = _lexical_tile(q_tok, c_tok, hi - lo, nc, cn)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    S = dot / (qn[:, None] * cn[None, :])
-                S[dot <= 0] = 0.0
-                rows, cols, sc = _select_topk(S, k[lo:hi], positive_only=True)
+                rows, cols, sc, _ = lists.topk(qtab.slice(lo, hi - lo), k[lo:hi])
+                rows, cols, sc = _ranked(rows, cols, sc, k[lo:hi])
                 outs.append((rows + lo, cols, sc))
         rows = np.concatenate([o[0] for o in outs])
         cols = np.concatenate([o[1] for o in outs])
@@ -294,6 +202,76 @@ def est_row_bytes(t: T.DataType) -> int:
     return 8
 
 
+def _sizes(q: DataFrame, c: DataFrame, kind: str, write: bool) -> tuple[int, int, int, int, DataFrame | pa.Table]:
+    """(queries, largest k, dimension, corpus rows, queries): what the block plan needs.
+
+    Dense queries that are small come back as a table.  Otherwise, with
+    ``write``, the distinct query set - small next to the request log - is
+    written once to the shared checkpoint folder, so scoring and retries start
+    there, and measured by the same job.  The corpus is counted meanwhile."""
+    d = F.size("__qv") if kind == "dense" else F.lit(0)
+    measures = [F.count(F.lit(1)).alias("n"), F.max("__kq").alias("kmax"), F.max(d).alias("d")]
+    with ThreadPoolExecutor(1) as pool:
+        corpus = pool.submit(inheritable_thread_target(c.sparkSession)(c.count))
+        if kind == "dense":
+            small = _small_queries(q)
+            if small is not None:
+                k = small.column("__kq")
+                dim = len(small.column("__qv")[0]) if len(small) and small.column("__qv")[0].is_valid else 1
+                return len(small), int(pc.max(k).as_py() or 0), dim, corpus.result(), small
+        if write:
+            shared_dir(q.sparkSession)
+            seen = Observation()
+            q = q.observe(seen, *measures).checkpoint(eager=True)
+            got = seen.get
+        else:
+            got = q.agg(*measures).first().asDict()
+        return got["n"] or 0, int(got["kmax"] or 0), int(got["d"] or 1), corpus.result(), q
+
+
+# rows and numbers of a dense query set that goes to the corpus as a whole (32 MB as doubles)
+SMALL_ROWS, SMALL_QUERIES = 8192, 4 << 20
+
+
+def _small_queries(q: DataFrame) -> pa.Table | None:
+    """The query set as a table, if it has at most ``SMALL_ROWS`` rows (one more
+    is fetched to know) and ``SMALL_QUERIES`` numbers."""
+    got = q.limit(SMALL_ROWS + 1).toArrow()
+    return got if len(got) <= SMALL_ROWS and len(got.column("__qv").combine_chunks().flatten()) <= SMALL_QUERIES else None
+
+
+def _topk_of_splits(q: pa.Table, corpus: DataFrame, qkey: str, ckey: str, schema: T.StructType) -> DataFrame:
+    """Each corpus split's best rows for every query of the (small) set: the
+    corpus isn't exchanged, only ``queries x k`` rows leave a task."""
+    q = q.take(pa.array(np.argsort(q.column(qkey).to_numpy(zero_copy_only=False), kind="stable")))
+    keys, k, qv = q.column(qkey).combine_chunks(), q.column("__kq").to_numpy().astype(np.int64), _matrix(q.column("__qv"))
+    sent = corpus.sparkSession.sparkContext.broadcast((keys, k, qv))
+
+    def run(batches):
+        keys, k, qv = sent.value
+        best = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ck, cv = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))
+            if cv.shape[1] != qv.shape[1]:
+                raise ValueError(f"query dim {qv.shape[1]} != corpus dim {cv.shape[1]}")
+            order = np.argsort(ck, kind="stable")
+            ck, cv, step = ck[order], cv[order], _row_chunk(len(ck))
+            found = [] if best is None else [best]
+            for lo in range(0, len(k), step):
+                rows, cols, sc = _dense_topk(qv[lo:lo + step], cv, k[lo:lo + step])
+                found.append((rows + lo, ck[cols], sc))
+            best = _ranked(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+        if best is not None:
+            rows, ck, sc = best
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(rows)), pa.array(ck, _ARROW[schema[1].dataType]), pa.array(sc), pa.array(k[rows].astype(np.int32)),
+                 pa.array(np.zeros(len(rows), np.int32))], names=schema.fieldNames())
+
+    return corpus.mapInArrow(run, schema)
+
+
 def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, kcol: str,
                ckey: str, ccol: str, kind: str = "dense",
                score_col: str = "score", rank_col: str = "rank",
@@ -317,26 +295,9 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
     q = queries.select(F.col(qkey).alias(qkey), F.col(qcol).alias("__qv"),
                        F.col(kcol).cast("int").alias("__kq"))
     c = corpus.select(F.col(ckey).alias(ckey), F.col(ccol).alias("__cv"))
-    if materialize_queries:
-        # the distinct query set is small next to the request log: write it
-        # once to the shared checkpoint folder, so sizing and scoring read it
-        # instead of re-running the upstream dedupe, and retries start there
-        shared_dir(spark)
-        q = q.checkpoint(eager=True)
-    # one small job for the block plan: sizes of both sides and the largest k
-    # (plus the vector dimension, which sets the tile side)
-    qd = F.size("__qv") if kind == "dense" else F.lit(0)
-    sizes = {r["__s"]: r for r in
-             q.select(F.lit(0).alias("__s"), "__kq", qd.alias("__d"))
-              .unionByName(c.select(F.lit(1).alias("__s"), F.lit(None).cast("int").alias("__kq"),
-                                    F.lit(None).cast("int").alias("__d")))
-              .groupBy("__s").agg(F.count(F.lit(1)).alias("n"), F.max("__kq").alias("kmax"),
-                                  F.max("__d").alias("d")).collect()}
-    nq = sizes[0]["n"] if 0 in sizes else 0
-    nc = sizes[1]["n"] if 1 in sizes else 0
-    kmax = int(sizes[0]["kmax"] or 0) if 0 in sizes else 0
+    nq, kmax, dim, nc, q = _sizes(q, c, kind, materialize_queries)
     if kind == "dense":
-        side = dense_block(int(sizes[0]["d"] or 1) if 0 in sizes else 1)
+        side = dense_block(dim)
         block_q, block_c = block_q or side, block_c or side
     else:
         # lexical tiles pay per corpus token: keep query blocks small
@@ -345,23 +306,10 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
     if nq == 0 or nc == 0:
         out = _empty(spark, queries, corpus, qkey, ckey, score_col, rank_col)
         return (out, 0) if with_bound else out
-    bq = max(1, math.ceil(nq / block_q))
-    bc = max(1, math.ceil(nc / block_c))
-    par = spark.sparkContext.defaultParallelism
-    if bq * bc < par and (kind == "lexical" or nq * nc >= min_parallel_pairs):
-        # enough work to spread (lexical tiles pay per corpus token, whatever
-        # the query count): split the corpus finer (min 1024 rows/block)
-        bc = max(bc, min(math.ceil(par / bq), math.ceil(nc / 1024)))
-    qb = F.pmod(F.xxhash64(F.col(qkey)), F.lit(bq)).cast("int")
-    cb = F.pmod(F.xxhash64(F.col(ckey)), F.lit(bc)).cast("int")
-    qx = q.select("*", qb.alias("__qb"), F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("__cb"))
-    cx = c.select("*", cb.alias("__cb"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("__qb"))
-
     qkt = _ARROW.get(queries.schema[qkey].dataType)
     ckt = _ARROW.get(corpus.schema[ckey].dataType)
     if qkt is None or ckt is None:
         raise TypeError("top-k keys must be BIGINT, INT or STRING")
-    fn = _make_tile_fn(kind, qkey, ckey, "__qv", "__cv", "__kq", pa.float64(), (qkt, ckt))
     out_schema = T.StructType([
         T.StructField(qkey, queries.schema[qkey].dataType),
         T.StructField(ckey, corpus.schema[ckey].dataType),
@@ -369,9 +317,28 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
         T.StructField("__k", T.IntegerType()),
         T.StructField("__rank", T.IntegerType()),
     ])
-    tiles = (qx.groupBy("__qb", "__cb")
-               .cogroup(cx.groupBy("__qb", "__cb"))
-               .applyInArrow(fn, out_schema))
+    bq = max(1, math.ceil(nq / block_q))
+    bc = max(1, math.ceil(nc / block_c))
+    par = spark.sparkContext.defaultParallelism
+    if isinstance(q, pa.Table) and bq == 1 and bc > 1:
+        # one query block: every corpus split meets the whole query set
+        tiles = _topk_of_splits(q, c, qkey, ckey, out_schema)
+        bc = 0
+    else:
+        if isinstance(q, pa.Table):
+            q = spark.createDataFrame(q)
+        if bq * bc < par and (kind == "lexical" or nq * nc >= min_parallel_pairs):
+            # enough work to spread (lexical tiles pay per corpus token, whatever
+            # the query count): split the corpus finer (min 1024 rows/block)
+            bc = max(bc, min(math.ceil(par / bq), math.ceil(nc / 1024)))
+        qb = F.pmod(F.xxhash64(F.col(qkey)), F.lit(bq)).cast("int")
+        cb = F.pmod(F.xxhash64(F.col(ckey)), F.lit(bc)).cast("int")
+        qx = q.select("*", qb.alias("__qb"), F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("__cb"))
+        cx = c.select("*", cb.alias("__cb"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("__qb"))
+        fn = _make_tile_fn(kind, qkey, ckey, "__qv", "__cv", "__kq", pa.float64(), (qkt, ckt))
+        tiles = (qx.groupBy("__qb", "__cb")
+                   .cogroup(cx.groupBy("__qb", "__cb"))
+                   .applyInArrow(fn, out_schema))
     if bc == 1:
         # one corpus block: each query's tile is already its exact top-k
         out = tiles.select(qkey, ckey, F.col("__score").alias(score_col), F.col("__rank").alias(rank_col))
