@@ -124,8 +124,9 @@ def alignments(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, item_col:
     """doc_id, th (hash of the text), item, words, windows: one row per document,
     item and offset, with the words of its best consistent run.
 
-    Only (id, hash, place) leaves a document for the match, and only its
-    placeholders for the check of the slots; texts never move."""
+    Only (id, hash, place) leaves a document for the match, and only an aligned
+    document's placeholders for the check of the slots; texts move only where
+    more than ``BROADCAST_WINDOWS`` alignments tell which documents to look at again."""
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item"), canonical(F.col(item_text)).alias("words"))
     bench = benchmark_windows(items, k)
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), canonical(F.col("text")).alias("words"))
@@ -136,7 +137,12 @@ def alignments(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, item_col:
                   .agg(F.max("windows").alias("windows"), F.array_sort(F.collect_set("ipos")).alias("at")), "alignments")
     # slots: the item's placeholder at p stands against the document's at p + offset
     theirs = items.select("item", F.explode(slots(F.col("words"))).alias("x")).select("item", F.col("x.pos").alias("p"), F.col("x.value").alias("a"))
-    mine = d.select("doc_id", "th", F.explode_outer(slots(F.col("words"))).alias("x")).where("x is not null").select(
+    # only aligned documents are canonicalised again; their keys are counted before they are broadcast
+    seen = got.select(F.col("doc_id").alias("id_"), F.col("th").alias("th_")).distinct()
+    seen = F.broadcast(seen) if got.count() <= BROADCAST_WINDOWS else seen
+    aligned = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(
+        seen, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")), "left_semi")
+    mine = aligned.select("doc_id", "th", F.explode_outer(slots(canonical(F.col("text")))).alias("x")).where("x is not null").select(
         F.col("doc_id").alias("id_"), F.col("th").alias("th_"), F.col("x.pos").alias("q"), F.col("x.value").alias("b"))
     inside = F.exists("at", lambda i: (F.col("p") >= i) & (F.col("p") < i + k))  # words between the windows say nothing
     pairs = (got.select(*key, "at").join(theirs, "item").where((F.col("p") >= F.element_at("at", 1)) & (F.col("p") < F.element_at("at", -1) + k))
