@@ -268,8 +268,7 @@ def conversation_trie(turns: DataFrame, members: DataFrame | None = None, most:
 
     zero = F.lit(0).cast("long")
     out = nodes.select(*NODE)
-    root = every.where("n_convs > 0").select("conv_id", zero.alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
-                                             *[zero.alias(c) for c in ("k1", "k2")])
+    root = every.where("n_convs > 0")
     sums = direct.where("depth = 0").select(*KEY, "tops", "leaves", "saved")
     if heads is not None:
         own, sub, parents = head_sums(heads, prefixes, direct)
@@ -277,10 +276,14 @@ def conversation_trie(turns: DataFrame, members: DataFrame | None = None, most:
             "parent_conv_id": F.coalesce("parent_conv_id", least), "ends_sha256": F.coalesce("ends_sha256", F.lit(EMPTY))})
         out = out.unionByName(inner.select(*NODE))
         sums = sums.unionByName(own.select(*[zero.alias(c) for c in KEY], (F.col("depth") == 1).cast("long").alias("tops"), "leaves", "saved"))
-    sums = sums.groupBy(*KEY).agg(F.sum("tops").alias("n_children"), F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
-    top = root.join(sums, KEY, "left").join(ends, KEY, "left").withColumns({
-        "n_children": F.coalesce("n_children", zero), "n_leaves": F.coalesce("n_leaves", F.lit(1)), "saved_tokens": F.coalesce("saved_tokens", zero),
-        "ends_sha256": F.coalesce("ends_sha256", F.lit(EMPTY))})
+    sums = sums.agg(F.sum("tops").alias("n_children"), F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
+    # the root's parts, one row each, become one row
+    parts = root.select("conv_id", "n_convs").unionByName(sums.select("n_children", "n_leaves", "saved_tokens"), allowMissingColumns=True).unionByName(
+        ends.where("depth = 0").select("ends_sha256"), allowMissingColumns=True)
+    top = parts.agg(*[F.max(c).alias(c) for c in parts.columns]).where("n_convs > 0").select(
+        "conv_id", zero.alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", F.coalesce("n_children", zero).alias("n_children"),
+        F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), F.coalesce("saved_tokens", zero).alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.lit(EMPTY)).alias("ends_sha256"))
     return out.unionByName(top.select(*NODE))
 
 
