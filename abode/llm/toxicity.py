@@ -3,7 +3,7 @@
 1. A character language model (trigrams over letter classes) is counted over
    all texts; its table has a fixed size.  The lexicon - words and word
    beginnings with their log-odds in toxic texts - comes from a bounded sample
-   of labelled rows (``SAMPLE_ROWS``) and holds ``MAX_TERMS`` terms at most.
+   of labelled rows (``SAMPLE_ROWS``): terms of ``MIN_TOXIC`` toxic texts or more.
 2. A token with digits, signs or repeats among its letters, or letters in a run
    of groups of one or two (with or without punctuation; the run may hold
    several words and other letters), is a noisy observation of a word: each sign is a lattice
@@ -41,7 +41,6 @@ from abode.llm.common import bounded_batches, fold, others, worker_state, writte
 from abode.llm.isotonic import calibrated, calibration
 
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 20_000
 MIN_TOXIC = 3
 MIN_WEIGHT = 2.0
 STARTS = (4, 5, 6)
@@ -296,7 +295,7 @@ def lexicon(train: DataFrame) -> dict[str, float]:
     weight = F.log((F.col("t") + 0.5) / (t + 1)) - F.log((F.col("c") + 0.5) / (c + 1))
     rows = (texts.select("text", "toxic").mapInArrow(run, "term string, t long, c long").groupBy("term")
             .agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= MIN_TOXIC)
-            .select("term", weight.alias("w")).where(F.col("w") >= MIN_WEIGHT).orderBy(F.desc("w"), "term").limit(MAX_TERMS).collect())
+            .select("term", weight.alias("w")).where(F.col("w") >= MIN_WEIGHT).orderBy(F.desc("w"), "term").collect())  # of the bounded sample
     return {r["term"]: r["w"] for r in rows}
 
 
