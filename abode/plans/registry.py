@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from abode.constants import FLAG_COLUMNS
 from abode.functions import derive, parse, predicates
 from abode.operators import search, stats
+from abode.operators.matches import matching_counts
 from abode.operators.topk import inner_product, join_ranked
 from abode.plans import oracle as O
 from abode.schema import LISTING_COLUMNS, RESPONSE_FIELDS
@@ -305,6 +306,26 @@ _filter_query("filter_amenity_exact",
 _filter_query("filter_all", lambda: predicates.all_ok("api"), O.pred_all("api"))
 
 
+def _matches_sql(mode: str) -> str:
+    return f"""(SELECT c.k, count(l.id) AS n FROM (SELECT DISTINCT {_CONSTRAINTS}, {_CONSTRAINT_KEY} AS k FROM parsed_{mode}) c
+  LEFT JOIN listings l ON {O.pred_all(mode)} GROUP BY c.k)"""
+
+
+_CONSTRAINTS = "max_price, want_bedrooms, want_type, want_amenities"
+_CONSTRAINT_KEY = "concat_ws('|', coalesce(max_price::VARCHAR, '-'), coalesce(want_bedrooms::VARCHAR, '-'), coalesce(want_type, '-'), want_amenities::VARCHAR)"
+
+
+@register("filter_counts", O.with_(L, R, O.parsed_cte("api", "parsed_api"), O.parsed_cte("ui", "parsed_ui")) + f"""
+SELECT a.qid, x.n AS matches_api, y.n AS matches_ui FROM (SELECT qid, {_CONSTRAINT_KEY} AS k FROM parsed_api) a
+JOIN {_matches_sql("api")} x ON x.k = a.k JOIN (SELECT qid, {_CONSTRAINT_KEY} AS k FROM parsed_ui) u ON u.qid = a.qid
+JOIN {_matches_sql("ui")} y ON y.k = u.k""")
+def q_filter_counts(spark, sf_dir):
+    """Listings of the whole table that meet all constraints of each request, by both rule sets."""
+    l = listings(spark, sf_dir)
+    api, ui = (matching_counts(parsed(spark, sf_dir, m), l, m).withColumnRenamed("matches", f"matches_{m}") for m in ("api", "ui"))
+    return api.join(ui, "qid")
+
+
 # ---------------------------------------------------------------------------
 # V: vectors and ranking
 # ---------------------------------------------------------------------------
