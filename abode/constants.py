@@ -82,7 +82,6 @@ UI_BEDROOM_PATTERNS = [
     ("studio", 0), ("1 bedroom", 1), ("2 bedroom", 2), ("3 bedroom", 3),
     ("4 bedroom", 4), ("5 bedroom", 5),
 ]
-API_BEDROOM_REGEX_BODY = "(bhk|bedroom)"
 
 PROPERTY_TYPE_KEYWORDS = ["apartment", "house", "condo", "townhouse", "studio"]
 
@@ -96,10 +95,7 @@ AMENITY_KEYWORDS = [
     ("gym", "gym"),
 ]
 
-NO_MATCH_API = "No properties matched your search for '{q}'. Try adjusting your filters."
-FOUND_API = "Found {n} {types} in {cities} from ₹{lo} to ₹{hi}/month."
 NO_MATCH_UI = "No matches found. Try a different query."
-CARD_UI = "\U0001f3e0 {title} — ₹{rent}/mo in {city}, {state}\n{description}\nContact: {email}"
 UI_MAX_CARDS = 5
 
 DEFAULT_K = 10

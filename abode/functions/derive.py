@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from abode.constants import DESCRIPTION_OPENERS, FLAG_AMENITY
+from abode.constants import FLAG_AMENITY
 
 
 def _s(c: Column) -> Column:
@@ -28,35 +28,6 @@ def bedroom_text(bedrooms: Column, bathrooms: Column) -> Column:
             .otherwise(F.lit("Studio")))
 
 
-def listing_title(btext: Column, ptype: Column, city: Column) -> Column:
-    return F.concat(btext, F.lit(" "), F.initcap(ptype), F.lit(" in "), city)
-
-
-def description_opener(idx: Column, ptype: Column, city: Column) -> Column:
-    """One of the five fixed openers, chosen by 0-based idx."""
-    parts = []
-    for tpl in DESCRIPTION_OPENERS:
-        pieces, rest = [], tpl
-        while rest:
-            i = min([p for p in (rest.find("{t}"), rest.find("{c}")) if p >= 0], default=-1)
-            if i < 0:
-                pieces.append(F.lit(rest))
-                break
-            if i:
-                pieces.append(F.lit(rest[:i]))
-            pieces.append(ptype if rest[i:i + 3] == "{t}" else city)
-            rest = rest[i + 3:]
-        parts.append(F.concat(*pieces))
-    return F.element_at(F.array(*parts), idx.cast("int") + 1)
-
-
-def listing_description(opener: Column, btext: Column, sqft: Column, amenities: Column) -> Column:
-    """'{opener}. {bedroom text} spanning {sqft} sq ft. Features include: {first 3}.'"""
-    return F.concat(opener, F.lit(". "), btext, F.lit(" spanning "), _s(sqft),
-                    F.lit(" sq ft. Features include: "),
-                    F.array_join(F.slice(amenities, 1, 3), ", "), F.lit("."))
-
-
 def listing_flags(amenities: Column) -> list[Column]:
     """Four booleans by exact membership of fixed amenity names."""
     return [F.array_contains(amenities, name).alias(flag) for flag, name in FLAG_AMENITY]
@@ -91,10 +62,3 @@ def numeric_coerce(col: Column) -> Column:
     included, is missing: null (skipped by aggregates)."""
     text = F.trim(col.cast("string"))
     return F.when(text.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"), text.try_cast("double"))
-
-
-def add_derived(df):
-    """price_per_sqft and full_address, as added after generation."""
-    return (df.withColumn("price_per_sqft", price_per_sqft(F.col("monthly_rent"), F.col("sqft")))
-              .withColumn("full_address", full_address(F.col("street_address"), F.col("city"),
-                                                       F.col("state"), F.col("zip_code"))))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,8 +68,11 @@ def batch_encoder(make_predict_fn, dim: int, batch_size: int = 256):
     def fit(_corpus_texts: DataFrame):
         def encode(df: DataFrame, text_col: str = "text") -> DataFrame:
             e = udf(F.coalesce(F.col(text_col), F.lit("")))
-            return df.withColumn("embedding", F.when(F.size(e) == dim, e)
-                                 .otherwise(F.raise_error(F.lit(f"encoder must return {dim} dims"))))
+            raw = df.withColumn("__raw", F.when(F.size(e) == dim, e)
+                                .otherwise(F.raise_error(F.lit(f"encoder must return {dim} dims"))))
+            # the ranking is a cosine: vectors get unit norm here, zero vectors stay
+            return raw.withColumn("__norm", norm("__raw")).withColumn("embedding", F.transform("__raw", lambda x: F.when(
+                F.col("__norm") > 0, x / F.col("__norm")).otherwise(x).cast("float"))).drop("__raw", "__norm")
         return encode
     return fit
 
@@ -81,14 +84,16 @@ def encode_profiles(listings: DataFrame, num_features: int = 1024):
     return model, encode_texts(model, texts)
 
 
+def norm(name: str) -> Column:
+    """Euclidean norm of an array column."""
+    return F.sqrt(F.aggregate(name, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def check_vectors(vectors: DataFrame, dim: int | None = None, tol: float = 1e-5) -> DataFrame:
-    """Index check: every vector has the dimension and unit norm (raises at
-    execution otherwise); returns the vectors cast to ARRAY<FLOAT>."""
-    d = F.size("embedding")
-    n = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")),
-                           F.lit(0.0), lambda s, v: s + v))
-    ok = (d == F.lit(dim)) if dim is not None else F.lit(True)
-    ok = ok & (F.abs(n - 1) < tol)
-    return vectors.select(
-        "id", F.when(ok, F.col("embedding").cast("array<float>"))
-        .otherwise(F.raise_error(F.lit("vector with wrong dimension or norm"))).alias("embedding"))
+    """Index check: every vector has the dimension (if given) and unit norm, or
+    is zero (a text without known terms, which meets nothing); anything else,
+    null included, fails at execution.  The vectors are cast to ARRAY<FLOAT>."""
+    ok = (F.size("embedding") == F.lit(dim)) if dim is not None else F.size("embedding") > 0
+    ok = ok & ((F.abs(norm("embedding") - 1) < tol) | (norm("embedding") == 0))
+    return vectors.withColumn("embedding", F.when(ok, F.col("embedding").cast("array<float>"))
+                              .otherwise(F.raise_error(F.lit("vector with wrong dimension or norm"))))

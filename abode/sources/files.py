@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,21 +117,63 @@ def save_listings_json(df: DataFrame, path: str) -> str:
 
 def prepare_corpus(spark: SparkSession, listings: DataFrame, vectors: DataFrame, out: str,
                    rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Build-or-load: when the persisted corpus (listings + vectors) is absent,
-    write it as parquet; then read it back.  The persisted files cut lineage."""
-    lp, vp = f"{out}/listings", f"{out}/vectors"
-    if rebuild or not (_written(spark, lp) and _written(spark, vp)):
-        listings.write.mode("overwrite").parquet(lp)
-        vectors.write.mode("overwrite").parquet(vp)
+    """Build-or-load: when there is no corpus under ``out``, or with
+    ``rebuild``, listings and checked vectors (one dimension, unit norm) are
+    written as a new version; then the newest version is read.
+
+    A version's tables have a folder of their own, and its manifest is written
+    last: until then, and after a crash or a failed check, the version before
+    stays the corpus.  Two writers of one version: the second one fails."""
+    versions = _versions(spark, out)
+    if rebuild or not versions:
+        from abode.operators.encode import check_vectors
+
+        n = (versions[-1] if versions else 0) + 1
+        folder = f"version-{n}-{uuid.uuid4().hex[:8]}"
+        first = vectors.select(F.size("embedding").alias("dim")).first()
+        listings.write.parquet(f"{out}/{folder}/listings")
+        check_vectors(vectors, first["dim"] if first else None).write.parquet(f"{out}/{folder}/vectors")
+        spark.range(1).select(F.lit(folder).alias("folder"), F.lit(first["dim"] if first else None).cast("int").alias("dim")).coalesce(1).write.parquet(
+            f"{out}/manifest={n}")
     return load_corpus(spark, out)
 
 
 def load_corpus(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
-    """The persisted (listings, vectors); both must exist, else FileNotFoundError."""
-    lp, vp = f"{out}/listings", f"{out}/vectors"
-    if not (_written(spark, lp) and _written(spark, vp)):
+    """The (listings, vectors) of the newest version; FileNotFoundError if there is none."""
+    versions = _versions(spark, out)
+    if not versions:
         raise FileNotFoundError(f"no complete corpus under {out}")
-    return spark.read.parquet(lp), spark.read.parquet(vp)
+    folder = spark.read.parquet(f"{out}/manifest={versions[-1]}").first()["folder"]
+    return spark.read.parquet(f"{out}/{folder}/listings"), spark.read.parquet(f"{out}/{folder}/vectors")
+
+
+def corpus_from_files(spark: SparkSession, folder: str, out: str, encoder=None, rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The corpus of the listing files in ``folder``: an existing one is loaded;
+    else the JSON files, or without any the CSV files, are read, their
+    profile texts encoded (``encoder`` as in ``encode``; default TF-IDF) and
+    both persisted.  Without files and corpus: FileNotFoundError."""
+    if not rebuild and _versions(spark, out):
+        return load_corpus(spark, out)
+    kinds = [k for k in ("json", "csv") if _matches(spark, f"{folder}/*.{k}")]
+    if not kinds:
+        raise FileNotFoundError(f"no .json or .csv listings in {folder}")
+    from abode.operators.search import fitted_encoder, profile_texts
+
+    listings = load_listings(spark, f"{folder}/*.{kinds[0]}", kinds[0])
+    vectors = fitted_encoder(listings, encoder)(profile_texts(listings), "text").select("id", "embedding")
+    return prepare_corpus(spark, listings, vectors, out, rebuild)
+
+
+def _versions(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the versions whose manifest was written to its end."""
+    return sorted(n for n in (int(p.split("=", 1)[1]) for p in _matches(spark, f"{out}/manifest=*")) if _written(spark, f"{out}/manifest={n}"))
+
+
+def _matches(spark: SparkSession, pattern: str) -> list[str]:
+    """Names that fit a path pattern."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return [f.getPath().getName() for f in found or []]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

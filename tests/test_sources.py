@@ -134,3 +134,32 @@ def test_json_file_names(spark, scratch, name):
     _write(f"{scratch}/in/second {name}", '[\n {"id": 3, "title": "array"}\n]')
     got = sorted(tuple(r) for r in files.load_listings(spark, f"{scratch}/in", "json").select("id", "title", "monthly_rent").collect())
     assert got == [(1, "lines", None), (3, "array", None), (9007199254740993, None, 9007199254740993)]
+
+
+def test_failed_rebuild_leaves_the_version_before(spark, scratch):
+    """Manifest last: bad vectors stop a rebuild, a version without a whole manifest doesn't count."""
+    out = f"{scratch}/corpus"
+    lst = RG.listings(spark, SF001)
+    vec = RG.embeddings(spark, SF001).select(F.col("vec_id").alias("id"), "embedding")
+    files.prepare_corpus(spark, lst, vec, out)
+    for bad in (vec.withColumn("embedding", F.transform("embedding", lambda x: x * 2)), vec.withColumn("embedding", F.when(F.col("id") != 3, F.col("embedding"))),
+                vec.withColumn("embedding", F.when(F.col("id") == 3, F.slice("embedding", 1, 9)).otherwise(F.col("embedding")))):
+        with pytest.raises(Exception, match="wrong dimension or norm"):
+            files.prepare_corpus(spark, lst.limit(1), bad, out, rebuild=True)
+        assert files.load_corpus(spark, out)[0].count() == lst.count()
+    files.prepare_corpus(spark, lst.limit(7), vec, out, rebuild=True)
+    assert files.load_corpus(spark, out)[0].count() == 7
+    os.remove(_local(f"{out}/manifest=2/_SUCCESS"))
+    assert files.load_corpus(spark, out)[0].count() == lst.count()
+
+
+def test_corpus_from_files_prefers_json(spark, scratch):
+    with pytest.raises(FileNotFoundError):
+        files.corpus_from_files(spark, f"{scratch}/none", f"{scratch}/c0")
+    _write(f"{scratch}/in/a.csv", 'id,title,monthly_rent\n1,from csv,5\n2,too,6\n')
+    l, v = files.corpus_from_files(spark, f"{scratch}/in", f"{scratch}/c1")
+    assert sorted(r.title for r in l.collect()) == ["from csv", "too"] and v.count() == 2
+    _write(f"{scratch}/in/b.json", '[{"id": 3, "title": "from json"}, {"id": 4, "title": "pool"}, {"id": 5}]')
+    assert sorted(r.id for r in files.corpus_from_files(spark, f"{scratch}/in", f"{scratch}/c2")[0].collect()) == [3, 4, 5]
+    assert files.corpus_from_files(spark, f"{scratch}/in", f"{scratch}/c1")[0].count() == 2  # loaded
+    assert files.corpus_from_files(spark, f"{scratch}/in", f"{scratch}/c1", rebuild=True)[0].count() == 3
