@@ -97,3 +97,18 @@ def check_vectors(vectors: DataFrame, dim: int | None = None, tol: float = 1e-5)
     ok = ok & ((F.abs(norm("embedding") - 1) < tol) | (norm("embedding") == 0))
     return vectors.withColumn("embedding", F.when(ok, F.col("embedding").cast("array<float>"))
                               .otherwise(F.raise_error(F.lit("vector with wrong dimension or norm"))))
+
+
+def coverage(requests: DataFrame, listings: DataFrame, embeddings: DataFrame, tol: float = 1e-5) -> DataFrame:
+    """One row: listings, listings_without_vector, requests,
+    requests_without_vector, vectors, dimensions (distinct), norm_breaches.
+    A request counts by its key, so one hot key is one row of the join."""
+    ids = embeddings.select(F.col("vec_id").alias("id"), F.lit(1).alias("has"))
+    n = F.count(F.lit(1))
+    l = listings.select("id").join(ids, "id", "left").agg(n.alias("listings"), F.sum(F.col("has").isNull().cast("long")).alias("listings_without_vector"))
+    keys = requests.groupBy(F.col("vec_id").alias("id")).agg(n.alias("n"))
+    r = keys.join(ids, "id", "left").agg(F.sum("n").alias("requests"), F.sum(F.when(F.col("has").isNull(), F.col("n")).otherwise(0)).alias("requests_without_vector"))
+    v = embeddings.agg(n.alias("vectors"), F.count_distinct(F.size("embedding")).alias("dimensions"),
+                       F.sum((~F.coalesce(F.abs(norm("embedding") - 1) < tol, F.lit(False))).cast("long")).alias("norm_breaches"))
+    parts = l.unionByName(r, allowMissingColumns=True).unionByName(v, allowMissingColumns=True)  # one row each
+    return parts.agg(*[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in parts.columns])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from abode.constants import FLAG_COLUMNS
 from abode.functions import derive, parse, predicates
 from abode.operators import search, stats
+from abode.operators.encode import coverage
 from abode.operators.matches import matching_counts
 from abode.operators.topk import inner_product, join_ranked
 from abode.plans import oracle as O
@@ -128,6 +129,29 @@ def q_load_csv(spark, sf_dir):
     return _listing_out(files.load_listings(spark, path, "csv"))
 
 
+@register("load_json_array", O.with_(L) + "\n" + LISTING_OUT_SQL + "listings")
+def q_load_json_array(spark, sf_dir):
+    """JSON array documents, one a partition, read back whole."""
+    path = files.save_listings_array(listings(spark, sf_dir), fresh_path(spark, "listings-array"))
+    return _listing_out(files.load_listings(spark, path, "json"))
+
+
+@register("load_json_text_amenities", O.with_(L) + "\n" + LISTING_OUT_SQL + "listings")
+def q_load_json_text_amenities(spark, sf_dir):
+    """JSON lines whose amenities are JSON text and whose numbers are text."""
+    l = listings(spark, sf_dir).withColumn("amenities", F.to_json("amenities")).withColumns(
+        {c: F.col(c).cast("string") for c in ("id", "monthly_rent", "bedrooms", "sqft")})
+    return _listing_out(files.load_listings(spark, files.save_listings_json(l, fresh_path(spark, "listings-text")), "json"))
+
+
+@register("load_csv_floats", O.with_(L) + "\n" + LISTING_OUT_SQL + "listings")
+def q_load_csv_floats(spark, sf_dir):
+    """CSV whose whole numbers are written as decimals ("25000.0")."""
+    l = listings(spark, sf_dir).withColumns(
+        {c: F.concat(F.col(c).cast("string"), F.lit(".0")) for c in ("id", "monthly_rent", "bedrooms", "bathrooms", "sqft", "lease_term_months")})
+    return _listing_out(files.load_listings(spark, files.save_listings_csv(l, fresh_path(spark, "listings-floats")), "csv"))
+
+
 @register("coerce_amenities", O.with_(L) + """
 SELECT id, array_to_string(amenities, '|') AS amenities_json, '' AS amenities_repr, 0 AS repr_len FROM listings""")
 def q_coerce_amenities(spark, sf_dir):
@@ -341,6 +365,20 @@ def q_vector_check(spark, sf_dir):
                     .alias("unit_norm"))
 
 
+@register("vector_coverage", O.with_(L, R) + """,
+v AS (SELECT vec_id, len(embedding) AS d, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
+SELECT (SELECT count(*) FROM listings) AS listings,
+  (SELECT count(*) FROM listings WHERE id NOT IN (SELECT vec_id FROM v)) AS listings_without_vector,
+  (SELECT count(*) FROM requests) AS requests,
+  (SELECT count(*) FROM requests WHERE vec_id IS NULL OR vec_id NOT IN (SELECT vec_id FROM v)) AS requests_without_vector,
+  (SELECT count(*) FROM v) AS vectors, (SELECT count(DISTINCT d) FROM v) AS dimensions,
+  (SELECT count(*) FROM v WHERE NOT abs(n - 1) < 1e-5) AS norm_breaches""")
+def q_vector_coverage(spark, sf_dir):
+    """What the vector ranking can't see: listings and requests without a
+    vector, and vectors that break the index's dimension or norm."""
+    return coverage(requests(spark, sf_dir), listings(spark, sf_dir), embeddings(spark, sf_dir))
+
+
 @register("topk_batch", O.with_(L, R, PA, O.vector_hits_cte()) + """
 SELECT h.qid, h.id, l.listing_id, round(h.similarity_score, 6) AS similarity_score, h.search_rank
 FROM hits h JOIN listings l ON l.id = h.id""")

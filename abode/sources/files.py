@@ -10,6 +10,7 @@ import re
 import uuid
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +116,24 @@ def save_listings_json(df: DataFrame, path: str) -> str:
     return path
 
 
+def save_listings_array(df: DataFrame, path: str) -> str:
+    """JSON array documents: one file a partition, one record a line."""
+    def document(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(["["])], names=["value"])
+        started = False
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            if rows:
+                rows[1:] = ["," + r for r in rows[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(["," + rows[0] if started else rows[0], *rows[1:]])], names=["value"])
+                started = True
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+    text = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+    text.mapInArrow(document, "value string").write.mode("overwrite").text(path)
+    return path
+
+
 def prepare_corpus(spark: SparkSession, listings: DataFrame, vectors: DataFrame, out: str,
                    rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
     """Build-or-load: when there is no corpus under ``out``, or with

@@ -68,3 +68,15 @@ def test_chat_encoded_registered(spark):
     df = E.queries()["chat_encoded"](spark, SF001)
     assert df.count() == 1000 + 23
     assert df.filter("total_found > 24").count() == 0
+
+
+def test_coverage_counts_what_has_no_vector(spark):
+    from abode.operators.encode import coverage
+
+    lst = spark.createDataFrame([(1,), (2,), (9,)], "id long")
+    req = spark.createDataFrame([(0, 1), (1, 1), (2, 7), (3, None)], "qid long, vec_id long")
+    emb = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [2.0, 0.0]), (4, [1.0]), (5, None)], "vec_id long, embedding array<float>")
+    assert coverage(req, lst, emb).first().asDict() == {"listings": 3, "listings_without_vector": 1, "requests": 4, "requests_without_vector": 2, "vectors": 5,
+                                                        "dimensions": 2, "norm_breaches": 2}
+    none = coverage(req.where("false"), lst.where("false"), emb.where("false")).first()
+    assert set(none) == {0}
