@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -200,3 +201,52 @@ def test_held_out(spark, name, label, mod, rest):
 def test_digest(spark):
     q = __spark_entry__.queries()["op5_substring_dedup"](spark, SF).first()
     assert len(q["kept_sha256"]) == len(hashlib.sha256(b"").hexdigest())
+
+
+def test_mixing_slots_and_taken(spark, monkeypatch):
+    """Slots and what each document gives, word by word in plain Python; a
+    third of the rows are one repeated row without an id."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 300)
+    rng = random.Random(5)
+    made = [(i, "w " * rng.randrange(0, 40), rng.choice(["a", "b", "b", "b", "c", None])) for i in range(200)]
+    made += [(None, "same text again", "b")] * 100 + [(None, "another text", "b")] * 20
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(5)
+    result, slots = mixing.mix_sources(docs, block_words=16)
+    result, slots = result.collect(), slots.collect()
+    assert len(result) == len(made)
+    sources = {r.source: (r.source_size, round(r.target)) for r in result}
+    rank = {s: i for i, s in enumerate(sorted(sources, key=lambda s: (s is None, s or "")))}
+    sized = spark.createDataFrame([(r[0], r[2], len(r[1].split()), hash(r[1])) for r in made], "doc_id long, source string, size long, row_hash long")
+    for s, (size, due) in sources.items():
+        mine = sorted((x for x in slots if x.source_rank == rank[s]), key=lambda x: x.slot)
+        n = -(-size // 16)
+        assert [x.slot for x in mine] == list(range(len(mine))) and sum(x.words for x in mine) == due
+        assert [x.shard for x in mine] == sorted(x.shard for x in mine)
+        for turn in range(-(-len(mine) // n)):
+            blocks = [x.block for x in mine[turn * n:turn * n + n]]
+            assert len(set(blocks)) == len(blocks)
+        assert sum(r.taken for r in result if r.source == s) == due
+        starts = sorted((r.start, r.size) for r in mixing.pack(sized).collect() if r.source == s and r["size"])
+        assert [a for a, _ in starts] == [sum(b for _, b in starts[:i]) for i in range(len(starts))] and sum(b for _, b in starts) == size
+    assert all(r.taken <= 3 * r.size for r in result)
+    # the documents of the result's own packing, word by word
+    sized = docs.selectExpr("doc_id", "source", "cast(size(filter(split(text, ' '), w -> w <> '')) as long) AS size", "xxhash64(text) AS row_hash")
+    given = {}
+    for x in slots:
+        for w in range(x.block * 16, x.block * 16 + x.words):
+            given[x.source_rank, w] = given.get((x.source_rank, w), 0) + 1
+    want = [(r.doc_id or -1, r.source or "", r["size"], sum(given.get((rank[r.source], w), 0) for w in range(r.start, r.start + r["size"])))
+            for r in mixing.pack(sized).collect()]
+    assert sorted(want) == sorted((r.doc_id or -1, r.source or "", r["size"], r.taken) for r in result)
+
+
+def test_mixing_shard_counts():
+    """Multinomial: sums hold, mean and variance fit, the same for the same key."""
+    draws = np.zeros((2000, 7))
+    for i in range(2000):
+        shard, c = mixing.shard_counts(210, 7, (1, i))
+        draws[i, shard] = c
+    assert (draws.sum(1) == 210).all()
+    assert np.allclose(draws.mean(0), 30, atol=0.6) and np.allclose(draws.var(0), 210 / 7 * 6 / 7, rtol=0.12)
+    again = mixing.shard_counts(210, 7, (1, 3))
+    assert (again[1] == mixing.shard_counts(210, 7, (1, 3))[1]).all()
