@@ -1,6 +1,6 @@
 """Inverted lists of one corpus block, for exact lexical top-k with skipping.
 
-A posting is (term, place of the listing, count).  Listings that share terms
+A posting is (term, place of the listing, count or weight).  Listings that share terms
 are placed side by side and cut into sub-blocks of ``SUB_BLOCK``; a term's list
 is cut there too, so a term that every listing has (a stop word) is many short
 pieces.  Each piece knows the largest weight (count / norm) of its term in it.
@@ -23,19 +23,24 @@ FIRST_VISITS = 2
 SLACK = 1e-9  # a bound is a float sum: this much above it is still its own
 
 
-def flat(col: pa.ChunkedArray | pa.Array) -> tuple[int, np.ndarray, pa.Array]:
-    """(rows, row of each token, tokens) of a list<string> column; null lists are empty."""
+def flat(col: pa.ChunkedArray | pa.Array) -> tuple[int, np.ndarray, pa.Array, np.ndarray]:
+    """(rows, row of each token, tokens, weight of each) of a list column of
+    tokens, which weigh 1, or of a struct column <terms, weights>; null lists are empty."""
     arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    weights = None
+    if pa.types.is_struct(arr.type):
+        arr, weights = pc.struct_field(arr, "terms"), pc.struct_field(arr, "weights").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     sizes = pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False)
-    return len(arr), np.repeat(np.arange(len(arr)), sizes), arr.flatten()
+    tokens = arr.flatten()
+    return len(arr), np.repeat(np.arange(len(arr)), sizes), tokens, np.ones(len(tokens)) if weights is None else weights
 
 
-def counted(rows: np.ndarray, tokens: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(row, code, count) by code, then row, and the codes' terms."""
+def counted(rows: np.ndarray, tokens: pa.Array, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, code, summed weight) by code, then row, and the codes' terms."""
     enc = pc.dictionary_encode(tokens)
     codes = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    key, count = np.unique(codes * max(n, 1) + rows, return_counts=True)
-    return key % max(n, 1), key // max(n, 1), count.astype(np.float64), enc.dictionary
+    key, back = np.unique(codes * max(n, 1) + rows, return_inverse=True)
+    return key % max(n, 1), key // max(n, 1), np.bincount(back, weights, len(key)), enc.dictionary
 
 
 def expanded(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +52,8 @@ def expanded(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 class Postings:
     def __init__(self, terms: pa.ChunkedArray | pa.Array, sub_block: int = SUB_BLOCK):
-        n, rows, tokens = flat(terms)
-        row, code, count, self.terms = counted(rows, tokens, n)
+        n, rows, tokens, weights = flat(terms)
+        row, code, count, self.terms = counted(rows, tokens, weights, n)
         self.n, self.sub_block = n, sub_block
         norm = np.sqrt(np.bincount(row, weights=count**2, minlength=n))
         self.row_at = self._neighbours(row, code, n)  # listing (row) at each place
@@ -89,8 +94,8 @@ class Postings:
 
     def query(self, terms: pa.ChunkedArray | pa.Array) -> tuple:
         """(query, piece, count in the query) of the queries' terms, and the queries' norms."""
-        nq, rows, tokens = flat(terms)
-        row, code, count, known = counted(rows, tokens, nq)
+        nq, rows, tokens, weights = flat(terms)
+        row, code, count, known = counted(rows, tokens, weights, nq)
         qn = np.sqrt(np.bincount(row, weights=count**2, minlength=nq))
         at = pc.fill_null(pc.index_in(known, value_set=self.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
         row, at, count = row[at >= 0], at[at >= 0], count[at >= 0]

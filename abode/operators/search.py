@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from abode.constants import FLAG_COLUMNS, NO_MATCH_UI, UI_MAX_CARDS
 from abode.functions import predicates
@@ -117,24 +118,25 @@ def profile_texts(listings: DataFrame) -> DataFrame:
 
 
 def fitted_encoder(listings: DataFrame, encoder=None):
-    """The encoder (default: hashed TF-IDF) fitted on the listing profile texts."""
-    from abode.operators.encode import hashed_tfidf_encoder
-    return (encoder or hashed_tfidf_encoder())(profile_texts(listings))
+    """The encoder (default: ``terms.term_encoder``) fitted on the listing profile texts."""
+    from abode.operators.terms import term_encoder
+    return (encoder or term_encoder())(profile_texts(listings))
 
 
 def rank_encoded(requests: DataFrame, listings: DataFrame, encoder=None, text_col: str = "enhanced",
                  **topk_opts):
     """The reproduced flow: listing profile texts and each distinct (enhanced)
     request text go through the same encoder, then exact inner-product top-k.
-    ``encoder`` is ``fit(corpus_texts) -> encode`` (default: the JVM hashed
-    TF-IDF encoder fitted on the profiles).  ((qkey, id, similarity_score,
+    ``encoder`` is ``fit(corpus_texts) -> encode`` (default: sparse weights of
+    real terms, fitted on the profiles and ranked from inverted lists; encoders
+    of dense vectors are ranked by inner product).  ((qkey, id, similarity_score,
     search_rank), proven row bound); ``qkey`` is the text's ``text_key``."""
     encode = fitted_encoder(listings, encoder)
     corpus = encode(profile_texts(listings), "text").select("id", "embedding")
     qv = encode(distinct_texts(requests, text_col), "qtext")
     return exact_topk(qv, corpus, qkey="qkey", qcol="embedding", kcol="kq", ckey="id", ccol="embedding",
-                      kind="dense", score_col="similarity_score", rank_col="search_rank", with_bound=True,
-                      **topk_opts)
+                      kind="lexical" if isinstance(corpus.schema["embedding"].dataType, StructType) else "dense",
+                      score_col="similarity_score", rank_col="search_rank", with_bound=True, **topk_opts)
 
 
 def lexical_hits(requests: DataFrame, listings: DataFrame, text_col: str = "enhanced",

@@ -282,8 +282,9 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
 
     ``kind='dense'``: ``qcol``/``ccol`` are ARRAY<FLOAT|DOUBLE> vectors and the
     score is their inner product.  ``kind='lexical'``: they are ARRAY<STRING>
-    token lists and the score is the cosine of term counts (pairs without a
-    shared term are never returned).  Query keys must be unique.
+    token lists, or structs <terms, weights> of ``terms.term_encoder``, and the
+    score is the cosine of term counts or weights (pairs without a shared term
+    are never returned).  Query keys must be unique.
     Returns (qkey, ckey, score DOUBLE, rank INT); with ``with_bound`` also an
     upper bound on its row count (queries x largest k), used to decide a
     broadcast downstream.

@@ -223,6 +223,30 @@ hits AS (SELECT p.qid, r.id, r.similarity_score, r.search_rank::INTEGER AS searc
     FROM {parsed} p JOIN lranked r ON r.qtext = coalesce(p.enhanced, '') WHERE r.search_rank <= p.max_results)"""
 
 
+def terms_cte() -> str:
+    """Terms of the listing profiles with their weights, and each profile's (id, tok, w)."""
+    return f"""
+dtf AS (SELECT id, tok, count(*) AS tf FROM (SELECT id, unnest({_tok(profile_sql())}) AS tok FROM listings) GROUP BY 1, 2),
+vocab AS (SELECT tok, count(*) AS df, round(1000 * ln(((SELECT count(*) FROM listings) + 1.0) / (count(*) + 1.0)))::BIGINT AS idf
+    FROM dtf GROUP BY 1),
+dt AS (SELECT id, dtf.tok, tf * idf AS w FROM dtf JOIN vocab ON vocab.tok = dtf.tok WHERE idf > 0)"""
+
+
+def terms_hits_cte(parsed: str = "parsed") -> str:
+    return terms_cte() + f""",
+lq AS (SELECT coalesce(enhanced, '') AS qtext, max(max_results) AS kq FROM {parsed} GROUP BY 1),
+qtf AS (SELECT qtext, tok, count(*) AS tf FROM (SELECT qtext, unnest({_tok('qtext')}) AS tok FROM lq) GROUP BY 1, 2),
+qt AS (SELECT qtext, qtf.tok, tf * idf AS w FROM qtf JOIN vocab ON vocab.tok = qtf.tok WHERE idf > 0),
+qn AS (SELECT qtext, sqrt(sum(w * w)::DOUBLE) AS n FROM qt GROUP BY 1),
+dn AS (SELECT id, sqrt(sum(w * w)::DOUBLE) AS n FROM dt GROUP BY 1),
+dots AS (SELECT qt.qtext, dt.id, sum(qt.w * dt.w) AS dot FROM qt JOIN dt ON qt.tok = dt.tok GROUP BY 1, 2),
+lscored AS (SELECT d.qtext, d.id, d.dot::DOUBLE / (qn.n * dn.n) AS similarity_score
+    FROM dots d JOIN qn ON qn.qtext = d.qtext JOIN dn ON dn.id = d.id),
+lranked AS (SELECT *, row_number() OVER (PARTITION BY qtext ORDER BY similarity_score DESC, id) AS search_rank FROM lscored),
+hits AS (SELECT p.qid, r.id, r.similarity_score, r.search_rank::INTEGER AS search_rank
+    FROM {parsed} p JOIN lranked r ON r.qtext = coalesce(p.enhanced, '') WHERE r.search_rank <= p.max_results)"""
+
+
 def joined_cte(parsed: str = "parsed") -> str:
     """Ranked hits with the request constraints and the listing row."""
     return f"""
@@ -248,7 +272,7 @@ def conversation_requests_cte() -> str:
 def chat_sql(ranking: str = "vector", golden: bool = True, mode: str = "api", requests: str | None = None) -> str:
     """Whole request pipeline: requests, parse, brute-force ranking,
     post-filter, one response per request."""
-    hits = vector_hits_cte() if ranking == "vector" else lexical_hits_cte()
+    hits = {"vector": vector_hits_cte, "lexical": lexical_hits_cte, "encoded": terms_hits_cte}[ranking]()
     return (with_(listings_cte(), requests or requests_cte(golden), parsed_cte(mode), hits, kept_cte(mode),
                   response_agg_cte())
             + "\n" + response_body())

@@ -487,6 +487,19 @@ def q_lexical_topk(spark, sf_dir):
     return h.select("qid", "id", _r6("similarity_score").alias("similarity_score"), "search_rank")
 
 
+@register("encode_terms", O.with_(L, O.terms_cte()) + """,
+ids AS (SELECT tok, row_number() OVER (ORDER BY tok) - 1 AS term_id, df, idf FROM vocab)
+SELECT dt.id, ids.term_id, dt.tok AS term, ids.df, dt.w AS weight FROM dt JOIN ids ON ids.tok = dt.tok""")
+def q_encode_terms(spark, sf_dir):
+    """Every listing profile as the (term, weight) pairs of its own terms."""
+    from abode.operators.terms import term_weights, vocabulary
+    texts = search.profile_texts(listings(spark, sf_dir))
+    words = vocabulary(texts)
+    pairs = term_weights(texts, words).select("id", F.explode(F.arrays_zip("embedding.terms", "embedding.weights")).alias("p"))
+    pairs = pairs.select("id", F.col("p.terms").alias("term_id"), F.col("p.weights").alias("weight"))
+    return pairs.join(words.select("term_id", "term", "df"), "term_id").select("id", "term_id", "term", "df", "weight")
+
+
 @register("encode_profiles", O.with_(L) + """
 SELECT id, 1024 AS dim, true AS unit_norm FROM listings""")
 def q_encode_profiles(spark, sf_dir):
@@ -615,12 +628,11 @@ def q_chat_conversations(spark, sf_dir):
     return _chat_out(resp)
 
 
-@register("chat_encoded", None)
+@register("chat_encoded", O.chat_sql("encoded"))
 def q_chat_encoded(spark, sf_dir):
     """The reproduced service's flow end to end: enhanced request text and
-    listing profiles through one encoder (JVM hashed TF-IDF fitted on the
-    profiles), exact inner-product top-k, post-filter, responses.  Rows-only:
-    the hashing has no DuckDB equivalent; tests check it by brute force."""
+    listing profiles through one encoder (weights of real terms, fitted on the
+    profiles), exact top-k by cosine, post-filter, responses."""
     return _chat_out(_chat(spark, sf_dir, ranking="encoded"))
 
 

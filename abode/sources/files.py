@@ -169,17 +169,18 @@ def load_corpus(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
 def corpus_from_files(spark: SparkSession, folder: str, out: str, encoder=None, rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
     """The corpus of the listing files in ``folder``: an existing one is loaded;
     else the JSON files, or without any the CSV files, are read, their
-    profile texts encoded (``encoder`` as in ``encode``; default TF-IDF) and
+    profile texts encoded (``encoder`` as in ``encode``, of dense vectors; default hashed TF-IDF) and
     both persisted.  Without files and corpus: FileNotFoundError."""
     if not rebuild and _versions(spark, out):
         return load_corpus(spark, out)
     kinds = [k for k in ("json", "csv") if _matches(spark, f"{folder}/*.{k}")]
     if not kinds:
         raise FileNotFoundError(f"no .json or .csv listings in {folder}")
+    from abode.operators.encode import hashed_tfidf_encoder
     from abode.operators.search import fitted_encoder, profile_texts
 
     listings = load_listings(spark, f"{folder}/*.{kinds[0]}", kinds[0])
-    vectors = fitted_encoder(listings, encoder)(profile_texts(listings), "text").select("id", "embedding")
+    vectors = fitted_encoder(listings, encoder or hashed_tfidf_encoder())(profile_texts(listings), "text").select("id", "embedding")
     return prepare_corpus(spark, listings, vectors, out, rebuild)
 
 
