@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,8 @@ FEATURES = 256
 WIDTH = 3.0
 RIDGE = 1.0
 STEP = 0.005
+SUM_ROWS = 100_000
+FAN = 64
 STATS = ("log_words", "word_chars", "word_spread", "upper", "digit", "blank", "bang", "bar", "sign", "point", "quote", "wide",
          "distinct", "stutter", "top_word", "dup_lines", "log_lines", "line_words", "repeat", "letters_used", "entropy", "short_words")
 
@@ -102,8 +105,12 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def normal_equations(rows: DataFrame, fourier: Fourier) -> tuple[np.ndarray, np.ndarray]:
-    """(Z'Z, Z'y) of (x, y) rows: summed in partitions, then by matrix row."""
+    """(Z'Z, Z'y) of (x, y) rows: summed in partitions of about ``SUM_ROWS``
+    rows, then by matrix row in levels of ``FAN`` partial sums, so no group
+    holds more than that many, whatever the number of partitions."""
     d = fourier.w.shape[1] + 1
+    parts = max(1, math.ceil(rows.count() / SUM_ROWS))
+    rows = rows.coalesce(parts)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, any_ = np.zeros((d, d + 1)), False
@@ -112,16 +119,21 @@ def normal_equations(rows: DataFrame, fourier: Fourier) -> tuple[np.ndarray, np.
             total += z.T @ np.column_stack([z, y])
             any_ |= len(y) > 0
         if any_:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, TaskContext.get().partitionId()), pa.int32()), pa.array(np.arange(d), pa.int32()),
+                                              pa.array(list(total), pa.list_(pa.float64()))], names=["g", "i", "v"])
 
     def add(t):
         v = t.column("v").combine_chunks()
         total = v.flatten().to_numpy().reshape(-1, d + 1).sum(0)
-        return pa.table({"i": t.column("i").slice(0, 1), "v": pa.array([total], pa.list_(pa.float64()))})
+        return pa.table({"g": t.column("g").slice(0, 1), "i": t.column("i").slice(0, 1), "v": pa.array([total], pa.list_(pa.float64()))})
 
-    got = rows.select("x", "y").mapInArrow(part, "i int, v array<double>").groupBy("i").applyInArrow(add, "i int, v array<double>").collect()
+    schema = "g int, i int, v array<double>"
+    sums = rows.select("x", "y").mapInArrow(part, schema)
+    while parts > 1:
+        parts = math.ceil(parts / FAN)
+        sums = sums.withColumn("g", F.pmod("g", F.lit(parts))).groupBy("i", "g").applyInArrow(add, schema)
     full = np.zeros((d, d + 1))
-    for r in got:
+    for r in sums.collect():  # one row of the matrix each
         full[r["i"]] = r["v"]
     return full[:, :d], full[:, d]
 
