@@ -57,9 +57,14 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def worker_state() -> dict:
-    """A dict that a Python worker keeps from task to task (caches only: it may be empty at any time)."""
-    return sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
+def worker_state(owner: str = "words") -> dict:
+    """A dict that a Python worker keeps from task to task (caches only: it may
+    be empty at any time).  One owner at a time: an operator whose worker ran
+    another one before takes over its memory, not its caches."""
+    kept = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
+    if getattr(kept, "owner", None) != owner:
+        kept.owner, kept.caches = owner, {}
+    return kept.caches
 
 
 def word_hash() -> WordHash:

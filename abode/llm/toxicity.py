@@ -305,7 +305,7 @@ def scored(docs: DataFrame, weights: dict[str, float], logp: np.ndarray, curve:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = worker_state()
+        state = worker_state("toxicity")
         if state.get("toxic model") != name:
             state["toxic model"], state["toxic scorer"] = name, Scorer(*sent.value[:2])
         scorer = state["toxic scorer"]

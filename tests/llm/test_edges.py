@@ -111,3 +111,13 @@ def test_word_lengths_remembered_or_not():
         lengths.most = most
         assert [n for a in range(0, len(texts), 10) for n in lengths.texts(texts[a:a + 10])] == whole
         assert lengths.texts(texts) == whole
+
+
+def test_worker_caches_have_one_owner():
+    """A worker's caches go when another operator takes over, and stay while it is the same."""
+    from abode.llm.common import word_hash, worker_state
+
+    words = word_hash()
+    assert word_hash() is words
+    worker_state("toxicity")["scorer"] = 1
+    assert worker_state("toxicity") == {"scorer": 1} and word_hash() is not words and worker_state("toxicity") == {}
