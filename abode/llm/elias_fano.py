@@ -91,11 +91,12 @@ class EliasFano:
 
 
 class Trie:
-    """Two levels: words with codes and monotone pointers to their successors;
+    """Two levels: words with codes (their own, and what their successors leave) and monotone pointers to their successors;
     successors as context rank * vocabulary + word rank, which only grows, with
     codes.  A successor is searched within its context's range alone."""
 
-    def __init__(self, words: np.ndarray, word_codes: np.ndarray, context: np.ndarray, word: np.ndarray, codes: np.ndarray, vocabulary: np.ndarray):
+    def __init__(self, words: np.ndarray, word_codes: np.ndarray, left_codes: np.ndarray, context: np.ndarray, word: np.ndarray, codes: np.ndarray,
+                 vocabulary: np.ndarray):
         """``context``/``word`` are ranks in ``words``/``vocabulary``, sorted by both."""
         pointers = np.searchsorted(context, np.arange(len(words) + 1)).astype(U64)
         parts = {"words": words, "pointers": pointers, "vocabulary": vocabulary,
@@ -108,13 +109,14 @@ class Trie:
             self.file.write(low.tobytes() + high.tobytes())
             where[name] = (n, bits, slice(size, size + len(low)), slice(size + len(low), size + len(low) + len(high)))
             size += len(low) + len(high)
-        self.file.write(word_codes.tobytes() + codes.tobytes() + b"\0")
+        self.file.write(word_codes.tobytes() + left_codes.tobytes() + codes.tobytes() + b"\0")
         self.file.flush()
         data = np.memmap(self.file, np.uint8, "r")
         seq = {k: EliasFano(n, bits, data[low], data[high]) for k, (n, bits, low, high) in where.items()}
         self.words, self.pointers, self.vocabulary, self.successors = (seq[k] for k in parts)
-        self.word_codes, self.codes = data[size:size + len(word_codes)], data[size + len(word_codes):size + len(word_codes) + len(codes)]
-        self.bytes = size + len(word_codes) + len(codes)
+        ends = size + np.cumsum([0, len(word_codes), len(left_codes), len(codes)])
+        self.word_codes, self.left_codes, self.codes = (data[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True))
+        self.bytes = int(ends[-1])
 
     def context_codes(self, rank: np.ndarray, follow: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Codes of successors (0 if there is none): ``follow[i]`` of the

@@ -5,12 +5,17 @@ of documents send their distinct words and pairs with training counts to hash
 shards (pairs by their context; the few contexts that hold a large share of a
 planning sample are split by the following word).  A shard sums the counts and
 builds its part of the trie - monotone pointers, context-relative successors,
-8-bit quantised log probabilities, in a memory-mapped file - and answers every
-word and pair that the blocks asked for, held-out ones included.  Blocks add
-up the documents' scores.  No task or driver holds the whole model.
-
-Model: P(w | v) = LAMBDA c(vw)/c(v) + (1 - LAMBDA) P(w), with P(w) =
-(c(w) - DISCOUNT)/N, and the discounted mass DISCOUNT V/N for the unknown word.
+8-bit quantised smoothed log probabilities, in a memory-mapped file - and
+answers every word and pair that the blocks asked for, held-out ones included.
+Blocks add up the documents' scores.  No task or driver holds the whole model.
+
+Model (interpolated absolute discounting): P(w | v) = (c(vw) - D)/c(v) + B(v) P(w),
+B(v) = (the sum of D over the pairs of v)/c(v), P(w) = (c(w) - DISCOUNT)/N, and the
+mass DISCOUNT V/N for the unknown word; a context without training pairs gives
+P(w).  D depends on min(c(vw), 3) and is fitted in each shard from how many of
+its pairs were seen one to four times.  The trie stores P(w), the first term and
+B(v).  A context dealt to several shards stores shares of its piece; the pieces'
+sums, at most SPLIT for each of MOST_HOT + 1 contexts, reach every block.
 Each distribution sums to one up to the quantisation (steps of 1/16 in log10).
 
 Defined results: a null or empty text is its end alone, one token; without
@@ -32,7 +37,6 @@ from pyspark.sql import functions as F
 from abode.llm.common import U64, Blocks, answer, fold, mix64, pack, ranks, receive, send, split_by_shard, unpack, word_hash, words_col, written
 from abode.llm.elias_fano import Trie
 
-LAMBDA = 0.1
 DISCOUNT = 0.5
 BLOCK_BYTES = 10 << 20
 PER_DECADE = 16
@@ -49,13 +53,25 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def code_of(x: np.ndarray) -> np.ndarray:
-    """Quantised log10 of numbers of at least a half (0 is kept for 'none')."""
-    return np.clip(np.rint(np.log10(np.maximum(x, 0.1)) * PER_DECADE) + 16, 1, 255).astype(np.uint8)
+def code_of(p: np.ndarray) -> np.ndarray:
+    """Quantised log10 of probabilities (0 is kept for 'none')."""
+    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-30)) * PER_DECADE) + 1, 1, 255).astype(np.uint8)
 
 
 def value_of(code: np.ndarray) -> np.ndarray:
-    return np.power(10.0, (code.astype(float) - 16) / PER_DECADE)
+    return np.where(code > 0, np.power(10.0, (1 - code.astype(float)) / PER_DECADE), 0.0)
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What pairs seen 0, 1, 2, and 3 or more times lose, from how many pairs
+    were seen one to four times; ``DISCOUNT`` where those say nothing."""
+    n = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].astype(float)
+    out = np.array([0.0, DISCOUNT, DISCOUNT, DISCOUNT])
+    if (n > 0).all():
+        share = n[0] / (n[0] + 2 * n[1])
+        fitted = np.arange(1, 4) - np.arange(2, 5) * share * n[1:] / n[:3]
+        out[1:] = np.where((fitted > 0) & (fitted < np.arange(1, 4)), fitted, DISCOUNT)
+    return out
 
 
 def is_train(doc_id: int | None, mod: int, rest: int) -> bool:
@@ -128,8 +144,9 @@ def short(word: np.ndarray) -> np.ndarray:
     return mix64(word) & U64((1 << 48) - 1)
 
 
-def build_and_answer(shard: int, ids: list[int], data: list[bytes]):
-    """Sum the counts, build the shard's trie and look up what was asked."""
+def build_and_answer(shard: int, ids: list[int], data: list[bytes], train_tokens: int, hot: np.ndarray):
+    """Sum the counts, build the shard's trie and look up what was asked; then
+    (block -1) its number of words and (block -2) the sums of its pieces of hot contexts."""
     got = [unpack(d) for d in data]
     names, name = np.unique(np.concatenate([g["names"] for g in got]), return_inverse=True)
     count = np.bincount(name, np.concatenate([g["count"] for g in got]).astype(float), len(names)).astype(np.int64)
@@ -145,12 +162,44 @@ def build_and_answer(shard: int, ids: list[int], data: list[bytes]):
     total = np.bincount(back, seen, len(key))
     kept = total > 0
     c, w = np.divmod(key[kept], U64(max(len(vocabulary), 1)))
-    trie = Trie(names, np.where(count > 0, code_of(count - DISCOUNT), 0).astype(np.uint8), c, w, code_of(total[kept]), vocabulary)
+    c, total = c.astype(np.int64), total[kept]
+    loss = discounts(total)[np.minimum(total, 3).astype(np.int64)]
+    mass, back_off = np.bincount(c, total, len(names)), np.bincount(c, loss, len(names))
+    single = np.where(count > 0, code_of((count - DISCOUNT) / max(train_tokens, 1)), 0).astype(np.uint8)
+    left = np.where(mass > 0, code_of(back_off / np.maximum(mass, 1)), 0).astype(np.uint8)
+    trie = Trie(names, single, left, c, w, code_of((total - loss) / mass[c]), vocabulary)
     for b, g, f in zip(ids, got, six, strict=True):
         rank = trie.words.find(g["names"])
         codes = trie.context_codes(rank, g["follow"], f)
-        yield b, pack(count=small(count[rank]), word=trie.word_codes[rank], pair=codes)
+        yield b, pack(count=small(count[rank]), word=trie.word_codes[rank], left=trie.left_codes[rank], pair=codes)
     yield -1, int((count > 0).sum()).to_bytes(8, "big")
+    split = np.flatnonzero(np.isin(names, hot) & (mass > 0))
+    if len(split):
+        yield -2, pack(names=names[split], mass=mass[split], left=back_off[split])
+
+
+class HotContexts:
+    """Sums of the contexts that are dealt to several shards, whole and by shard."""
+
+    def __init__(self, pieces: list):
+        got = [(r["shard"], unpack(bytes(r["data"]))) for r in pieces]
+        names = np.concatenate([g["names"] for _, g in got]) if got else np.zeros(0, U64)
+        self.names, at = np.unique(names, return_inverse=True)
+        self.mass, self.left = (np.bincount(at, np.concatenate([g[k] for _, g in got]), len(self.names)) if got else np.zeros(0) for k in ("mass", "left"))
+        self.pieces = {s: (g["names"], g["mass"]) for s, g in got}
+
+    def scale(self, shard: int, context: np.ndarray, pair: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A shard's pair probabilities and back-off masses, those of hot contexts for the whole context."""
+        at = np.minimum(np.searchsorted(self.names, context), max(len(self.names) - 1, 0))
+        hot = np.flatnonzero(self.names[at] == context) if len(self.names) else np.zeros(0, np.int64)
+        if len(hot):
+            whole = at[hot]
+            names, mass = self.pieces.get(shard, (np.zeros(0, U64), np.zeros(0)))
+            piece = np.zeros(len(self.names))
+            piece[np.searchsorted(self.names, names)] = mass
+            pair[hot] *= piece[whole] / self.mass[whole]
+            left[hot] = self.left[whole] / self.mass[whole]
+        return pair, left
 
 
 def hot_contexts(docs: DataFrame) -> np.ndarray:
@@ -181,23 +230,28 @@ def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, bloc
     def ask(t: pa.Table):
         yield from BlockGrams(t, hot, shards, held_mod, held_rest).ask()
 
-    answers = written(answer(send(blocks, ask), build_and_answer), "ngrams")
+    def reply(shard: int, ids: list[int], data: list[bytes]):
+        return build_and_answer(shard, ids, data, train_tokens, hot)
+
+    answers = written(answer(send(blocks, ask), reply), "ngrams")
     kinds = int(answers.where("block = -1").agg(F.sum(F.conv(F.hex("data"), 16, 10).cast("long")).alias("v")).first()["v"] or 0)
+    pieces = HotContexts(answers.where("block = -2").select("shard", "data").collect())  # at most (MOST_HOT + 1) * SPLIT contexts' pieces
 
     def score(block: int, t: pa.Table, ans: pa.Table) -> pa.Table:
         g = BlockGrams(t, hot, shards, held_mod, held_rest)
         got = dict(zip(ans.column("shard").to_pylist(), ans.column("data").to_pylist(), strict=True))
-        count, word, pair = np.zeros(len(g.words), np.int64), np.zeros(len(g.words), np.uint8), np.zeros(len(g.pair_count), np.uint8)
-        for s, w, _, at, p, _ in g.dealt():
+        count, word = np.zeros(len(g.words), np.int64), np.zeros(len(g.words), np.uint8)
+        pair, left = np.zeros(len(g.pair_count)), np.zeros(len(g.pair_count))
+        for s, w, _, at, p, context in g.dealt():
             a = unpack(got[s])
-            count[w], word[w], pair[p] = a["count"][at], a["word"][at], a["pair"]
+            count[w], word[w] = a["count"][at], a["word"][at]
+            pair[p], left[p] = pieces.scale(s, g.words[g.pair_context[p]], value_of(a["pair"]), value_of(a["left"])[context])
         n = max(train_tokens, 1)
         known = count > 0
-        single = np.where(known, value_of(word), DISCOUNT * kinds if kinds else n) / n
+        single = np.where(known, value_of(word), (DISCOUNT * kinds if kinds else n) / n)
         base = np.log10((count + 1) / (train_tokens + kinds + 1))
-        before, one = count[g.pair_context].astype(float), single[g.pair_word]
-        ratio = np.minimum(np.where(pair > 0, value_of(pair), 0.0) / np.maximum(before, 1), 1.0)
-        p = np.log10(np.where(before > 0, LAMBDA * ratio + (1 - LAMBDA) * one, one))
+        one = single[g.pair_word]
+        p = np.log10(np.where(left > 0, np.minimum(pair + left * one, 1.0), one))
         starts = np.r_[0, np.cumsum(g.n)[:-1]].astype(np.int64)
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)  # noqa: E731  every document has an end, so no group is empty
         return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "held_out": pa.array(~g.train), "n_tokens": pa.array(g.n),

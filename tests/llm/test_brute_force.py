@@ -59,6 +59,13 @@ def test_language_model(spark, rows):
     c = Counter(w for i in train for w in tokens[i])
     pairs = Counter(p for i in train for p in zip([b"^", *tokens[i][:-1]], tokens[i]))
     n, v = sum(c.values()), len(c)
+    often = [sum(k == j for k in pairs.values()) for j in range(5)]
+    share = often[1] / (often[1] + 2 * often[2])
+    loss = [0] + [j - (j + 1) * share * often[j + 1] / often[j] for j in (1, 2, 3)]
+    follow, spare = Counter(), Counter()
+    for (a, _), k in pairs.items():
+        follow[a] += k
+        spare[a] += loss[min(k, 3)]
     for i, x in tokens.items():
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(x), sum(c[w] > 0 for w in x), n)
@@ -66,13 +73,33 @@ def test_language_model(spark, rows):
         score = 0.0
         for a, b in zip([b"^", *x[:-1]], x):
             one = (c[b] - 0.5) / n if c[b] else 0.5 * v / n
-            seen = c[b" "] if a == b"^" else c[a]
-            score += math.log10(0.1 * pairs[a, b] / seen + 0.9 * one if seen else one)
+            k = pairs[a, b]
+            score += math.log10(((k - loss[min(k, 3)]) + spare[a] * one) / follow[a] if follow[a] else one)
         assert abs(r["score"] - score) <= 0.035 * len(x)  # quantisation
     held = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_language_model_in_any_layout(spark):
+    """Contexts dealt to several shards have the probabilities of the whole
+    context: with many small blocks scores stay near those of one block."""
+    from abode.llm.language_model import score_documents
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, many = ({r["doc_id"]: r for r in score_documents(docs, block_bytes=b).collect()} for b in (64 << 20, 150_000))
+    assert all(one[i]["base_score"] == pytest.approx(r["base_score"]) for i, r in many.items())
+    assert all(abs(one[i]["score"] - r["score"]) <= 0.05 * r["n_tokens"] for i, r in many.items())
+
+
+def test_discounts():
+    from abode.llm.language_model import DISCOUNT, discounts
+
+    assert discounts(np.array([1, 1, 2])).tolist() == [0, DISCOUNT, DISCOUNT, DISCOUNT]
+    got = discounts(np.repeat([1, 2, 3, 4, 9], [100, 30, 15, 8, 5]))
+    share = 100 / 160
+    assert got[1:] == pytest.approx([1 - 2 * share * 30 / 100, 2 - 3 * share * 15 / 30, 3 - 4 * share * 8 / 15])
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, top in ((1, 5), (1000, 2**60), (5000, 6000), (70_000, 2**40)):
