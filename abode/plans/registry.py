@@ -449,25 +449,41 @@ def q_topk_all_pairs(spark, sf_dir):
     return h.select("q_id", "id", _r6("similarity_score").alias("similarity_score"), "search_rank")
 
 
-@register("topk_ties", O.with_(L) + """,
-corpus AS (SELECT l.id, e.embedding FROM listings l JOIN embeddings e ON e.vec_id = l.id % 50),
+@register("topk_tied_listings", O.with_(L) + """,
+corpus AS (SELECT l.id, e.embedding FROM listings l JOIN embeddings e ON e.vec_id = l.id % (SELECT count(*) FROM embeddings)),
 scored AS (SELECT q.vec_id, c.id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s
   FROM embeddings q, corpus c)
 SELECT vec_id, id, round(s, 6) AS similarity_score,
   (row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, id))::INTEGER AS search_rank
-FROM scored QUALIFY search_rank <= 50""")
-def q_topk_ties(spark, sf_dir):
-    """Every vector against an index of all listings that share 50 vectors:
-    ranks are decided by ties, which go by key in any block layout."""
+FROM scored QUALIFY search_rank <= 25""")
+def q_topk_tied_listings(spark, sf_dir):
+    """Every vector against an index of all listings, each with the vector that
+    its id is dealt to: where listings outnumber vectors, several share one and
+    ties go by key in any block layout."""
     from abode.operators.topk import exact_topk
     e = embeddings(spark, sf_dir).select("vec_id", "embedding")
-    corpus = (listings(spark, sf_dir).select("id", F.pmod("id", F.lit(50)).alias("vec_id"))
-              .join(e.where("vec_id < 50"), "vec_id").select("id", "embedding"))
-    h = exact_topk(e.withColumn("k", F.lit(50)), corpus, qkey="vec_id", qcol="embedding", kcol="k", ckey="id",
+    n = e.agg(F.count("*").alias("n")).scalar()
+    corpus = listings(spark, sf_dir).select("id", n.alias("n")).select("id", F.pmod("id", "n").alias("vec_id")).join(e, "vec_id").select("id", "embedding")
+    h = exact_topk(e.withColumn("k", F.lit(25)), corpus, qkey="vec_id", qcol="embedding", kcol="k", ckey="id",
                    ccol="embedding", score_col="similarity_score", rank_col="search_rank")
     return h.select("vec_id", "id", _r6("similarity_score").alias("similarity_score"), "search_rank")
 
 
+@register("topk_cells", """
+WITH scored AS (SELECT q.vec_id, c.vec_id AS hit_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s
+  FROM embeddings q, embeddings c)
+SELECT vec_id, hit_id, round(s, 6) AS similarity_score,
+  (row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, hit_id))::INTEGER AS search_rank
+FROM scored QUALIFY search_rank <= 10""")
+def q_topk_cells(spark, sf_dir):
+    """Every vector against the whole vector table, by cells that can hold a hit."""
+    from abode.operators.cells import cell_topk
+    e = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    h = cell_topk(e.withColumn("k", F.lit(10)), e.withColumnRenamed("vec_id", "hit_id"), qkey="vec_id", qcol="embedding", kcol="k",
+                  ckey="hit_id", ccol="embedding", score_col="similarity_score", rank_col="search_rank")
+    return h.select("vec_id", "hit_id", _r6("similarity_score").alias("similarity_score"), "search_rank")
+
+
 @register("search_hits", O.with_(L, R, PA, O.vector_hits_cte()) + """
 SELECT h.qid, h.search_rank, l.listing_id, l.title, l.city, l.monthly_rent,
   round(h.similarity_score, 6) AS similarity_score FROM hits h JOIN listings l ON l.id = h.id""")
