@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from abode.constants import FLAG_COLUMNS
 from abode.functions import derive, parse, predicates
-from abode.operators import search, stats
+from abode.operators import partials, search, stats
 from abode.operators.encode import coverage
 from abode.operators.matches import matching_counts
 from abode.operators.topk import inner_product, join_ranked
@@ -545,6 +545,46 @@ def q_stats_overview(spark, sf_dir):
                     _r6("avg_sqft").alias("avg_sqft"), "error")
 
 
+_KEPT = O.with_(L) + """
+SELECT count(*) AS total_properties, count(DISTINCT city::VARCHAR) AS cities,
+  round(avg(TRY_CAST(monthly_rent::VARCHAR AS DOUBLE)), 6) AS avg_rent,
+  min(TRY_CAST(monthly_rent::VARCHAR AS DOUBLE)) AS min_rent, max(TRY_CAST(monthly_rent::VARCHAR AS DOUBLE)) AS max_rent,
+  round(avg(TRY_CAST(sqft::VARCHAR AS DOUBLE)), 6) AS avg_sqft,
+  CASE WHEN count(*) = 0 THEN 'No data loaded' END AS error FROM listings"""
+
+
+def _kept_statistics(spark, sf_dir):
+    """States of three deliveries that together are all listings: the small, the large, and those without a size."""
+    l, out, rooms = listings(spark, sf_dir), fresh_path(spark, "statistics"), F.col("bedrooms")
+    partials.add_all({"small": l.where(rooms < 2), "large": l.where(rooms >= 2), "unknown": l.where(rooms.isNull())}, out)
+    return out
+
+
+@register("stats_kept", _KEPT)
+def q_stats_kept(spark, sf_dir):
+    """The overview of all deliveries from their kept states."""
+    s = partials.overview(partials.merged(spark, _kept_statistics(spark, sf_dir)))
+    return s.select("total_properties", "cities", _r6("avg_rent").alias("avg_rent"), "min_rent", "max_rent",
+                    _r6("avg_sqft").alias("avg_sqft"), "error")
+
+
+@register("stats_kept_counts", O.with_(L) + "\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS measure, {c}::VARCHAR AS value, count(*) AS count FROM listings WHERE {c} IS NOT NULL GROUP BY ALL" for c in partials.VALUES)
+    + " UNION ALL SELECT 'amenity', a, count(*) FROM (SELECT unnest(amenities) AS a FROM listings) WHERE a IS NOT NULL GROUP BY ALL")
+def q_stats_kept_counts(spark, sf_dir):
+    """Every value count of all deliveries from their kept states."""
+    state = partials.merged(spark, _kept_statistics(spark, sf_dir))
+    return state.where(F.col("measure").isin(*partials.VALUES, "amenity")).select("measure", F.col("key").alias("value"), F.col("n").alias("count"))
+
+
+@register("amenity_heavy_hitters", O.with_(L) + """
+SELECT amenity, count(*) AS count FROM (SELECT unnest(amenities) AS amenity FROM listings)
+GROUP BY 1 ORDER BY count DESC, amenity LIMIT 10""")
+def q_amenity_heavy_hitters(spark, sf_dir):
+    """The ten most frequent amenities by the united sketches of all deliveries."""
+    return partials.heavy_hitters(spark, _kept_statistics(spark, sf_dir))
+
+
 @register("stats_public", O.with_(L) + """
 SELECT count(*) AS total_properties, count(DISTINCT city::VARCHAR) AS cities FROM listings""")
 def q_stats_public(spark, sf_dir):

@@ -184,6 +184,29 @@ def corpus_from_files(spark: SparkSession, folder: str, out: str, encoder=None,
     return prepare_corpus(spark, listings, vectors, out, rebuild)
 
 
+def update_corpus(listings: DataFrame, out: str, encode) -> tuple[DataFrame, DataFrame]:
+    """A new version with ``listings`` (unique ids); only listings whose profile
+    text differs from the newest version's, or that are new, are encoded, the
+    others keep their vector.
+
+    ``encode(texts) -> texts with embedding`` may depend on a text alone (a
+    model), not on the corpus.  Vectors carry the digest of the text they were
+    made of; without a version, or with one that has no digests, all are
+    encoded.  A null id is always encoded again."""
+    from abode.operators.search import profile_texts
+
+    spark = listings.sparkSession
+    texts = profile_texts(listings).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    known = load_corpus(spark, out)[1] if _versions(spark, out) else None
+    if known is None or "digest" not in known.columns:
+        vectors = encode(texts).select("id", "embedding", "digest")
+    else:
+        kept = texts.select("id", "digest").join(known.select("id", "digest", "embedding"), ["id", "digest"])
+        new = texts.join(known.select("id", "digest"), ["id", "digest"], "left_anti")
+        vectors = kept.select("id", "embedding", "digest").unionByName(encode(new).select("id", "embedding", "digest"))
+    return prepare_corpus(spark, listings, vectors, out, rebuild=True)
+
+
 def _versions(spark: SparkSession, out: str) -> list[int]:
     """Numbers of the versions whose manifest was written to its end."""
     return sorted(n for n in (int(p.split("=", 1)[1]) for p in _matches(spark, f"{out}/manifest=*")) if _written(spark, f"{out}/manifest={n}"))

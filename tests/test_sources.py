@@ -163,3 +163,28 @@ def test_corpus_from_files_prefers_json(spark, scratch):
     assert sorted(r.id for r in files.corpus_from_files(spark, f"{scratch}/in", f"{scratch}/c2")[0].collect()) == [3, 4, 5]
     assert files.corpus_from_files(spark, f"{scratch}/in", f"{scratch}/c1")[0].count() == 2  # loaded
     assert files.corpus_from_files(spark, f"{scratch}/in", f"{scratch}/c1", rebuild=True)[0].count() == 3
+
+
+def test_update_encodes_changed_listings_only(spark, scratch):
+    """Kept vectors are copied, so what the second encoder says shows what was encoded again."""
+    lst, out = RG.listings(spark, SF001), f"{scratch}/corpus"
+
+    def to(x, y):
+        return lambda texts: texts.withColumn("embedding", F.array(F.lit(x), F.lit(y)))
+
+    files.update_corpus(lst, out, to(1.0, 0.0))
+    changed = lst.where("id <> 7").withColumn("city", F.when(F.col("id") == 5, F.lit("Elsewhere")).otherwise(F.col("city")))
+    new = lst.where("id = 7").withColumn("id", F.lit(10_000_007).cast("long"))
+    l, v = files.update_corpus(changed.unionByName(new), out, to(0.0, 1.0))
+    got = {r.id: list(r.embedding) for r in v.collect()}
+    assert sorted(got) == sorted(r.id for r in l.collect())
+    assert {i for i, e in got.items() if e == [0.0, 1.0]} == {5, 10_000_007}
+
+    def fails(texts):
+        return texts.withColumn("embedding", F.array(F.lit(3.0), F.lit(4.0)))
+
+    with pytest.raises(Exception, match="wrong dimension or norm"):
+        files.update_corpus(lst, out, fails)
+    assert {r.id: list(r.embedding) for r in files.load_corpus(spark, out)[1].collect()} == got
+    files.prepare_corpus(spark, lst, v.drop("digest"), out, rebuild=True)  # a version without digests
+    assert files.update_corpus(lst, out, to(0.0, 1.0))[1].where("embedding[1] = 1").count() == lst.count()
