@@ -4,10 +4,12 @@
    decide first; the longest rule wins.
 2. Per host, paths grow a template tree level by level: a segment with digits
    is generalised at once, any other position becomes a wildcard when its
-   distinct values are many for the rows it holds.
-3. Statistically similar sibling branches merge: siblings with the same
-   template below them whose labelled share agrees with their pool (two-
-   proportion z) take the pool's counts.
+   distinct values are many for the rows it holds.  Segments past ``LEVELS``
+   are levels too, generalised in one round together.
+3. Statistically similar sibling branches merge, at every level: a template's
+   siblings differ in one segment; where its labelled share agrees with that of
+   the rest of their pool (two-proportion z), it takes the pool's counts.  The
+   deepest such level counts.
 4. Shares of bad labels are smoothed down the tree: all labels are the prior
    of the host, the host of its pools and branches, these of the template.  A
    template without labels of its own so has the share of what is around it.
@@ -93,12 +95,13 @@ def fixed_form(segment: Column) -> Column:
 def templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
     """host, path -> template: two small aggregates and a join per level.
 
-    ``paths`` has one row per (host, path) with its number of rows.  Segments
-    past the last level stay joined as one tail, generalised like a segment.
-    Each level is written, as both the next counts and the next paths read it."""
-    cut = F.split(F.substr(F.col("path"), F.lit(2)), "/", levels)
+    ``paths`` has one row per (host, path) with its number of rows.  Each level
+    is written, as both the next counts and the next paths read it; what lies
+    past ``levels`` takes one more round, however deep it is."""
+    cut = F.split(F.substr(F.col("path"), F.lit(2)), "/")
+    depth = paths.agg(F.max(F.size(cut)).alias("d")).first()["d"] or 0
     tree = paths.select("host", "path", "n", F.transform(cut, fixed_form).alias("seg"), F.lit("").alias("tpl"))
-    for d in range(paths.agg(F.max(F.size(cut)).alias("d")).first()["d"] or 0):
+    for d in range(min(depth, levels)):
         tree = written(tree, f"paths-{d}")
         seg = F.get("seg", F.lit(d))
         node = (tree.where(seg.isNotNull()).groupBy("host", "tpl", seg.alias("s")).agg(F.sum("n").alias("n"))
@@ -108,19 +111,45 @@ def templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
         tree = (tree.join(wild, (F.col("host") == F.col("h")) & (F.col("tpl") == F.col("at")), "left")
                 .select("host", "path", "n", "seg",
                         F.when(seg.isNull(), F.col("tpl")).otherwise(F.concat("tpl", F.lit("/"), step)).alias("tpl")))
+    if depth > levels:
+        tree = written(tree, "paths-deep")
+        return tree.where(F.size("seg") <= levels).select("host", "path", F.col("tpl").alias("template")).unionByName(deep_templates(tree, levels))
     return tree.select("host", "path", F.col("tpl").alias("template"))
 
 
+def deep_templates(tree: DataFrame, levels: int) -> DataFrame:
+    """host, path -> template of the paths with more than ``levels`` segments:
+    all further positions at once.  A position is told by the template before
+    ``levels`` and the fixed forms of the segments since, so one below a
+    wildcard is counted for each value of the wildcard alone."""
+    rest = F.slice("seg", F.lit(levels + 1), F.size("seg"))
+    steps = (tree.where(F.size("seg") > levels).select("host", "path", "n", "tpl", rest.alias("rest"))
+             .select("host", "path", "n", "tpl", F.inline(F.transform("rest", lambda s, i: F.struct(
+                 i.alias("pos"), s.alias("s"), F.md5(F.array_join(F.slice("rest", F.lit(1), i), "/")).alias("at"))))))
+    place = ["host", "tpl", "pos", "at"]
+    steps = written(steps, "steps")
+    node = steps.groupBy(*place, "s").agg(F.sum("n").alias("n")).groupBy(*place).agg(F.count("*").alias("kinds"), F.sum("n").alias("rows"))
+    wild = node.where("kinds >= 10 and kinds > sqrt(rows)").select(*place, F.lit(True).alias("wild"))
+    step = F.when(F.col("wild") & (F.col("s") != ""), F.lit("*")).otherwise(F.col("s"))
+    found = steps.join(wild, place, "left").groupBy("host", "path", "tpl").agg(F.array_sort(F.collect_list(F.struct("pos", step.alias("s")))).alias("rest"))
+    return found.select("host", "path", F.concat("tpl", F.lit("/"), F.array_join("rest.s", "/")).alias("template"))
+
+
 def groups_of(template: Column) -> Column:
     """array<struct<rank, before, tail>>: the groups that a template is judged
-    with, widest first: its host, its pool, its branch at each level above it
-    (rank 2 d holds all below the first d segments, 3 is the pool: any first
-    segment with the same ``tail``)."""
+    with, widest first: its host, and at each level its siblings' pool and its
+    branch.  Rank 2 d holds all below the first d - 1 segments, 2 d + 1 is the
+    pool of level d: the same segments ``before`` and the same ``tail`` after any d-th."""
     cut = F.split(template, "/")  # the first part is always empty
-    branch = F.transform(F.sequence(F.lit(1), F.greatest(F.size(cut) - 1, F.lit(1))), lambda d: F.struct(
-        (2 * d).alias("rank"), F.array_join(F.slice(cut, F.lit(1), d), "/").alias("before"), F.lit("").alias("tail")))
-    pool = F.struct(F.lit(3).alias("rank"), F.lit("").alias("before"), F.regexp_replace(template, r"^/[^/]*", "").alias("tail"))
-    return F.array_sort(F.array_append(branch, pool))
+    level = F.sequence(F.lit(1), F.greatest(F.size(cut) - 1, F.lit(1)))
+
+    def before(d: Column) -> Column:
+        return F.array_join(F.slice(cut, F.lit(1), d), "/")
+
+    branch = F.transform(level, lambda d: F.struct((2 * d).alias("rank"), before(d).alias("before"), F.lit("").alias("tail")))
+    pool = F.transform(level, lambda d: F.struct(
+        (2 * d + 1).alias("rank"), before(d).alias("before"), F.array_join(F.transform(F.slice(cut, d + 2, F.size(cut)), lambda x: F.concat(F.lit("/"), x)), "").alias("tail")))
+    return F.array_sort(F.concat(branch, pool))
 
 
 def purity(leaves: DataFrame) -> DataFrame:
@@ -137,14 +166,16 @@ def purity(leaves: DataFrame) -> DataFrame:
     group = member.groupBy(*key).agg(F.sum("labels").alias("gl"), F.sum("bad").alias("gb"))
     around = (member.join(group, key).groupBy("host", "template", "labels", "bad")
               .agg(F.array_sort(F.collect_list(F.struct("rank", "gl", "gb"))).alias("groups")))
-    pool = F.element_at(F.filter("groups", lambda g: g["rank"] == 3), 1)
-    pl, pb = pool["gl"], pool["gb"]
-    p = pb / F.greatest(pl, F.lit(1))
-    q = F.col("bad") / F.greatest(F.col("labels"), F.lit(1))
-    se = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) / F.greatest(F.col("labels"), F.lit(1)))
-    alike = (F.col("labels") > 0) & (F.abs(q - p) <= MERGE_Z * se)  # a branch without labels has nothing to compare
-    own = F.struct(F.lit(2**30).alias("rank"), F.when(alike, pl).otherwise(F.col("labels")).alias("gl"),
-                   F.when(alike, pb).otherwise(F.col("bad")).alias("gb"))
+
+    def alike(g: Column) -> Column:
+        """Whether the template's share agrees with that of the pool's rest; without labels there is nothing to compare."""
+        rest, p = g["gl"] - F.col("labels"), g["gb"] / F.greatest(g["gl"], F.lit(1))
+        apart = F.abs(F.col("bad") / F.greatest(F.col("labels"), F.lit(1)) - (g["gb"] - F.col("bad")) / F.greatest(rest, F.lit(1)))
+        se = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) * (1 / F.greatest(F.col("labels"), F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
+        return (g["rank"] % 2 == 1) & (F.col("labels") > 0) & (rest > 0) & (apart <= MERGE_Z * se)
+
+    pool = F.try_element_at(F.filter("groups", alike), F.lit(-1))
+    own = F.struct(F.coalesce(pool["gl"], F.col("labels")).alias("gl"), F.coalesce(pool["gb"], F.col("bad")).alias("gb"))
 
     def down(at: Column, g: Column) -> Column:
         share = (g["gb"] + PRIOR_WEIGHT * at["share"]) / (g["gl"] + PRIOR_WEIGHT)
@@ -153,7 +184,8 @@ def purity(leaves: DataFrame) -> DataFrame:
                         F.when(firm, share).otherwise(at["support_share"]).alias("support_share"))
 
     start = F.struct(F.lit(float(prior)).alias("share"), F.lit(0).cast("long").alias("support"), F.lit(0.0).alias("support_share"))
-    got = around.select("host", "template", own["gl"].alias("labels"), F.aggregate(F.array_append("groups", own), start, down).alias("x"))
+    got = around.select("host", "template", own.alias("own"), F.aggregate("groups", start, down).alias("above"))
+    got = got.select("host", "template", F.col("own.gl").alias("labels"), down(F.col("above"), F.col("own")).alias("x"))
     return got.select("host", "template", "labels", F.col("x.share").alias("bad_share"), "x.support", "x.support_share")
 
 

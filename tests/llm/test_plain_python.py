@@ -24,19 +24,19 @@ SF = "/root/testdata/sf0.001"
 
 def grown(rows):
     """(host, path) -> template, from the number of rows of each."""
-    seg = {k: [regex.sub("[0-9]+", "{n}", s) for s in k[1][1:].split("/", uf.LEVELS - 1)] for k in rows}
+    seg = {k: [regex.sub("[0-9]+", "{n}", s) for s in k[1][1:].split("/")] for k in rows}
     tpl = dict.fromkeys(rows, "")
     for d in range(max(map(len, seg.values()))):
+        # past LEVELS a position is told by the fixed forms since then
+        place = {k: (k[0], tpl[k]) if d < uf.LEVELS else (k[0], tuple(tpl[k].split("/")[:uf.LEVELS + 1]), *seg[k][uf.LEVELS:d]) for k in rows if d < len(seg[k])}
         below = defaultdict(Counter)
-        for k, n in rows.items():
-            if d < len(seg[k]):
-                below[k[0], tpl[k]][seg[k][d]] += n
+        for k, at in place.items():
+            below[at][seg[k][d]] += rows[k]
         step = {}
-        for k in rows:
-            if d < len(seg[k]):
-                c = below[k[0], tpl[k]]
-                wild = len(c) >= 10 and len(c) > math.sqrt(sum(c.values())) and seg[k][d] != ""
-                step[k] = tpl[k] + "/" + ("*" if wild else seg[k][d])
+        for k, at in place.items():
+            c = below[at]
+            wild = len(c) >= 10 and len(c) > math.sqrt(sum(c.values())) and seg[k][d] != ""
+            step[k] = tpl[k] + "/" + ("*" if wild else seg[k][d])
         tpl |= step
     return tpl
 
@@ -47,8 +47,9 @@ def judged(marks):
 
     def around(host, t):
         cut = t.split("/")
-        out = [(2 * d, "/".join(cut[:d]), "") for d in range(1, max(len(cut) - 1, 1) + 1)]
-        return sorted([*out, (3, "", regex.sub("^/[^/]*", "", t))])
+        levels = range(1, max(len(cut) - 1, 1) + 1)
+        pools = [(2 * d + 1, "/".join(cut[:d]), "".join("/" + x for x in cut[d + 1:])) for d in levels]
+        return sorted([*[(2 * d, "/".join(cut[:d]), "") for d in levels], *pools])
 
     held = defaultdict(lambda: [0, 0])
     for (host, t), (n, b) in marks.items():
@@ -58,11 +59,15 @@ def judged(marks):
     out = {}
     for (host, t), (n, b) in marks.items():
         groups = [held[host, g] for g in around(host, t)]
-        pn, pb = next(held[host, g] for g in around(host, t) if g[0] == 3)
-        p, q = pb / max(pn, 1), b / max(n, 1)
-        alike = n > 0 and abs(q - p) <= uf.MERGE_Z * math.sqrt(max(p * (1 - p), 1e-4) / max(n, 1))
+        own = n, b
+        for g in around(host, t):
+            pn, pb = held[host, g]
+            if g[0] % 2 and n > 0 and pn > n:
+                p = pb / pn
+                if abs(b / n - (pb - b) / (pn - n)) <= uf.MERGE_Z * math.sqrt(max(p * (1 - p), 1e-4) * (1 / n + 1 / (pn - n))):
+                    own = pn, pb
         share, support, firm = prior, 0, 0.0
-        for gn, gb in [*groups, (pn, pb) if alike else (n, b)]:
+        for gn, gb in [*groups, own]:
             share = (gb + uf.PRIOR_WEIGHT * share) / (gn + uf.PRIOR_WEIGHT)
             if gn >= uf.MIN_LABELS:
                 support, firm = gn, share
@@ -76,6 +81,8 @@ def test_url_filter(spark):
     for i in range(1500):
         kind = rng.choice(["spam", "news", "shop", "x"])
         tail = rng.choice([f"item-{rng.randrange(99)}", rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abcdefg"), "", "list/all"])
+        if rng.random() < 0.2:  # deeper than the rounds go
+            tail = f"a/b/c/{rng.choice('de')}/f/g/" + "".join(rng.choices("klmnop", k=2)) + rng.choice(["", f"/end{rng.randrange(9)}"])
         pages.append((i, f"http://h{rng.randrange(4)}.net/{kind}/{tail}" if rng.random() < 0.95 else None))
         if rng.random() < 0.4:
             labels.append((i, int(rng.random() < (0.9 if kind == "spam" else 0.05))))
