@@ -23,7 +23,7 @@ from abode.schema import LISTING_COLUMNS, RESPONSE_FIELDS
 from abode.session import fresh_path
 from abode.sources import files
 from abode.sources.requests import request_log, validate_k, vector_count
-from abode.sources.synth import synth_listings
+from abode.sources.synth import dealt, synth_listings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,7 +59,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def listings(spark, sf_dir) -> DataFrame:
-    return synth_listings(read(spark, sf_dir, "part").select("p_partkey"))
+    return synth_listings(dealt(read(spark, sf_dir, "part").select("p_partkey")))
 
 
 def embeddings(spark, sf_dir) -> DataFrame:
@@ -131,7 +131,7 @@ def q_load_csv(spark, sf_dir):
 
 @register("load_json_array", O.with_(L) + "\n" + LISTING_OUT_SQL + "listings")
 def q_load_json_array(spark, sf_dir):
-    """JSON array documents, one a partition, read back whole."""
+    """JSON array documents of bounded size, read back whole."""
     path = files.save_listings_array(listings(spark, sf_dir), fresh_path(spark, "listings-array"))
     return _listing_out(files.load_listings(spark, path, "json"))
 

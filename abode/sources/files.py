@@ -19,6 +19,9 @@ from abode.schema import LISTING, LISTING_CSV
 
 _JSON_OPTS = {"allowSingleQuotes": "false"}
 
+# records of a written file that is read as one piece (array document, CSV with quoted line ends)
+FILE_ROWS = 50_000
+
 
 def coerce_amenities(col: Column) -> Column:
     """Amenities given as JSON text -> ARRAY<STRING>; anything unparsable
@@ -104,9 +107,11 @@ def with_keys(df: DataFrame) -> DataFrame:
 
 
 def save_listings_csv(df: DataFrame, path: str) -> str:
-    """CSV with header; amenities written as JSON text (CSV has no arrays)."""
+    """CSV with header; amenities written as JSON text (CSV has no arrays).
+    A partition becomes files of at most ``FILE_ROWS`` rows: quoted cells may
+    hold line ends, so a file is read by one task."""
     (df.withColumn("amenities", F.to_json("amenities"))
-       .write.mode("overwrite").option("header", True).option("escape", '"').csv(path))
+       .write.mode("overwrite").option("header", True).option("escape", '"').option("maxRecordsPerFile", FILE_ROWS).csv(path))
     return path
 
 
@@ -117,20 +122,31 @@ def save_listings_json(df: DataFrame, path: str) -> str:
 
 
 def save_listings_array(df: DataFrame, path: str) -> str:
-    """JSON array documents: one file a partition, one record a line."""
-    def document(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(["["])], names=["value"])
-        started = False
+    """JSON array documents, one record a line: a partition becomes documents of
+    at most ``FILE_ROWS`` records (none: an empty one), each a file, as a
+    document is read by one task."""
+    most = FILE_ROWS
+
+    def lines(*values):
+        return pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"])
+
+    def documents(batches):
+        held = 0  # records of the open document
+        yield lines("[")
         for b in batches:
             rows = b.column(0).to_pylist()
-            if rows:
-                rows[1:] = ["," + r for r in rows[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(["," + rows[0] if started else rows[0], *rows[1:]])], names=["value"])
-                started = True
-        yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+            while rows:
+                if held == most:
+                    yield lines("]", "[")
+                    held = 0
+                some, rows = rows[:most - held], rows[most - held:]
+                yield lines(*[r if held + i == 0 else "," + r for i, r in enumerate(some)])
+                held += len(some)
+        yield lines("]")
 
     text = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
-    text.mapInArrow(document, "value string").write.mode("overwrite").text(path)
+    # every document but a partition's last has FILE_ROWS records and two brackets
+    text.mapInArrow(documents, "value string").write.mode("overwrite").option("maxRecordsPerFile", most + 2).text(path)
     return path
 
 

@@ -9,6 +9,8 @@ Spark SQL text built from the constants (parsed once on the JVM).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
 from abode.constants import (AMENITIES, AMENITY_STRIDE, BASE_DATE, BASE_TS, CITIES,
@@ -106,3 +108,18 @@ def synth_listings(keys: DataFrame, key_col: str = "p_partkey") -> DataFrame:
     for stage in _STAGES:
         df = df.selectExpr(*stage)
     return df.select(*[f.name for f in LISTING.fields])
+
+
+# keys of a partition, above which a key table is dealt anew
+PIECE_ROWS = 50_000
+
+
+def dealt(keys: DataFrame) -> DataFrame:
+    """A key table of more than ``PIECE_ROWS`` rows as partitions of about that
+    many, at least one a core: a key is 8 bytes and its listing several hundred, so
+    files whose splits suit their size (or that are one row group) would leave
+    all listings to a few tasks.  Smaller tables keep their splits."""
+    n = keys.count()
+    if n <= PIECE_ROWS:
+        return keys
+    return keys.repartition(max(keys.sparkSession.sparkContext.defaultParallelism, math.ceil(n / PIECE_ROWS)))
