@@ -6,12 +6,12 @@ Plan
    construction, so a hot *value* cannot skew a block).  Query rows are
    replicated to every corpus block, corpus rows to every query block.
 2. ``cogroup(qb, cb).applyInArrow`` scores one (query block x corpus block)
-   tile in numpy — a float64 matrix product for dense vectors, inverted lists
+   tile in numpy — a matrix product for dense vectors, inverted lists
    with skipping for lexical cosine (``postings``) — and emits only that
    tile's top-k per query (ties broken by ascending corpus key, exactly).  A
    matrix product rounds differently per tile shape, so it only picks dense
-   candidates (with a margin over its rounding error); their scores are summed
-   in the order of the dimensions and so are the same in every block layout.
+   candidates (with a margin over its rounding error, ``Dense``); their scores are
+   summed in the order of the dimensions and so are the same in every block layout.
 3. A window ``row_number() over (partition by query order by score desc,
    key)`` merges at most ``blocks_c * k`` candidates per query; its literal
    largest-k bound gives a map-side partial ``WindowGroupLimit``.
@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from abode.operators.postings import Postings
 from abode.session import shared_dir
 
-# rows of the query block scored at once (bounds the tile's working set):
+# rows of a lexical query block scored at once (bounds the tile's working set):
 # at most 512, and at most 16M scores (128 MB) per chunk
 _ROW_CHUNK = 512
 _CHUNK_SCORES = 1 << 24
@@ -87,7 +87,7 @@ def _ordered_products(qv: np.ndarray, cv: np.ndarray, rows: np.ndarray, cols: np
     a pair's score depends on its two vectors alone."""
     d = qv.shape[1]
     out = np.zeros(len(rows))
-    step = max(1, (1 << 21) // max(d, 1))
+    step = max(1, (1 << 18) // max(d, 1))
     for lo in range(0, len(rows), step):
         a, b = qv[rows[lo:lo + step]].T.copy(), cv[cols[lo:lo + step]].T.copy()
         for j in range(d):
@@ -95,26 +95,91 @@ def _ordered_products(qv: np.ndarray, cv: np.ndarray, rows: np.ndarray, cols: np
     return out
 
 
-def _dense_topk(qv: np.ndarray, cv: np.ndarray, k: np.ndarray):
-    """Rows' top-k by inner product, the same for any tile shape.
-
-    The matrix product differs from the ordered sum by at most twice
-    ``d * 2^-53 * |q| * |c|``; candidates are all columns within four times
-    that of the k-th largest product (with room to spare), and their ordered
-    sums decide."""
-    r, c = len(qv), len(cv)
-    kk = np.minimum(k, c)
-    if not r or not c or int(kk.max()) <= 0:
-        e = np.zeros(0, dtype=np.int64)
-        return e, e, np.zeros(0)
-    S = qv @ cv.T
-    if int(kk.max()) < c:
-        part = np.partition(S, np.unique(c - kk), axis=1)
-        error = (qv.shape[1] + 2) * 2.0**-52 * np.linalg.norm(qv, axis=1) * np.linalg.norm(cv, axis=1).max()
-        rows, cols = np.nonzero(S >= (part[np.arange(r), c - kk] - 4 * error)[:, None])
-    else:
-        rows, cols = np.divmod(np.arange(r * c), c)
-    return _ranked(rows, cols, _ordered_products(qv, cv, rows, cols), kk)
+# scores held at once: a step of the queries against a step of the corpus (4 MB in single precision)
+_DENSE_ROWS, _DENSE_COLS = 512, 2048
+
+
+class Dense:
+    """Corpus vectors of one tile, in the order of their keys, for exact top-k
+    in little memory.
+
+    Products in single precision (both sides scaled to about 1) only pick
+    candidates: a pair's product is off by at most ``(d + 4) * 2^-23`` of the
+    vectors' lengths, and every column within four times that of the k-th best
+    so far is kept.  Their ordered sums decide, so rows are the same for any
+    tile shape.  If lengths differ so much that this would keep many columns,
+    products are in double precision.  Of equal vectors only the first ``most``
+    can be hits; the others aren't scored."""
+
+    def __init__(self, cv: np.ndarray, most: int):
+        self.at = _first_copies(cv, most)
+        self.cv = cv if len(self.at) == len(cv) else cv[self.at]
+        self.unit = float(np.abs(self.cv).max(initial=0.0)) or 1.0
+        u = self.cv / self.unit
+        length = np.linalg.norm(u, axis=1)
+        self.longest = float(length.max(initial=0.0))
+        single = len(length) > 0 and float(length.min()) * 64 >= self.longest
+        self.kind, self.error = (np.float32, 2.0**-23) if single else (np.float64, 2.0**-52)
+        self.u = u.astype(self.kind, copy=False)
+
+    def topk(self, qv: np.ndarray, k: np.ndarray, floor: np.ndarray | None = None):
+        """(row, column, score) of each query's first ``k`` by score desc, column;
+        of those with a score of ``floor`` at least, where it is given."""
+        d, parts = qv.shape[1], []
+        for a in range(0, len(qv), _DENSE_ROWS):
+            q, kk = qv[a:a + _DENSE_ROWS], np.minimum(k[a:a + _DENSE_ROWS], len(self.cv))
+            unit = np.abs(q).max(axis=1, initial=0.0)
+            unit[unit == 0] = 1.0
+            u = q / unit[:, None]
+            room = 4 * (d + 4) * self.error * np.linalg.norm(u, axis=1) * self.longest
+            low = np.full(len(q), -np.inf) if floor is None else floor[a:a + _DENSE_ROWS] / (unit * self.unit)
+            low = np.where(kk > 0, low, np.inf)
+            rows, cols = self._candidates(u.astype(self.kind, copy=False), kk, low, room)
+            found = _ranked(rows, cols, _ordered_products(q, self.cv, rows, cols), kk)
+            parts.append((found[0] + a, self.at[found[1]], found[2]))
+        if not parts:
+            e = np.zeros(0, dtype=np.int64)
+            return e, e, np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _candidates(self, u: np.ndarray, kk: np.ndarray, low: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns whose product may be among a row's first ``kk`` and at or above ``low``."""
+        most, n = int(kk.max(initial=0)), len(kk)
+        rows, cols, near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        for lo in range(0, len(self.cv) if most > 0 else 0, _DENSE_COLS):
+            s = u @ self.u[lo:lo + _DENSE_COLS].T
+            if s.shape[1] > most and np.isneginf(low).any():
+                low = np.maximum(low, np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most])
+            r, c = np.nonzero(s >= (low - room).astype(self.kind)[:, None])
+            if not len(r):
+                continue
+            rows, cols, near = np.r_[rows, r], np.r_[cols, c + lo], np.r_[near, s[r, c]]
+            order = np.lexsort((-near, rows))
+            rows, cols, near = rows[order], cols[order], near[order]
+            first = np.searchsorted(rows, np.arange(n + 1))
+            at = first[:-1] + kk - 1
+            full = (kk > 0) & (at < first[1:])
+            low = low.copy()
+            low[full] = np.maximum(low[full], near[at[full]])
+            keep = near >= (low - room)[rows]
+            rows, cols, near = rows[keep], cols[keep], near[keep]
+        return rows, cols
+
+
+def _first_copies(cv: np.ndarray, most: int) -> np.ndarray:
+    """Rows of a matrix without those that equal ``most`` earlier ones."""
+    n = len(cv)
+    mix = np.arange(1, 2 * cv.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (np.ascontiguousarray(cv).view(np.uint64) * mix).sum(axis=1, dtype=np.uint64)
+    order = np.argsort(h, kind="stable")
+    start = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]]) if n else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, n])
+    gone = np.zeros(n, bool)
+    for a, m in zip(start[size > most], size[size > most], strict=True):
+        group = order[a:a + m]
+        same = (cv[group] == cv[group[0]]).all(axis=1)  # a hash may be shared by chance
+        gone[group[same][max(most, 0):]] = True
+    return np.flatnonzero(~gone)
 
 
 def _make_tile_fn(kind: str, qkey: str, ckey: str, qcol: str, ccol: str, kcol: str,
@@ -137,18 +202,15 @@ def _make_tile_fn(kind: str, qkey: str, ckey: str, qcol: str, ccol: str, kcol: s
         qkeys = qt.column(qkey)
         k = qt.column(kcol).to_numpy().astype(np.int64)
         nq, nc = qt.num_rows, ct.num_rows
-        chunk = _row_chunk(nc)
         outs = []
         if kind == "dense":
             cv = _matrix(ct.column(ccol))
             qv_all = _matrix(qt.column(qcol))
             if qv_all.shape[1] != cv.shape[1]:
                 raise ValueError(f"query dim {qv_all.shape[1]} != corpus dim {cv.shape[1]}")
-            for lo in range(0, nq, chunk):
-                hi = min(nq, lo + chunk)
-                rows, cols, sc = _dense_topk(qv_all[lo:hi], cv, k[lo:hi])
-                outs.append((rows + lo, cols, sc))
+            outs.append(Dense(cv, int(k.max())).topk(qv_all, k))
         else:
+            chunk = _row_chunk(nc)
             lists = Postings(ct.column(ccol))
             qtab = qt.column(qcol)
             for lo in range(0, nq, chunk):
@@ -257,11 +319,13 @@ def _topk_of_splits(q: pa.Table, corpus: DataFrame, qkey: str, ckey: str, schema
             if cv.shape[1] != qv.shape[1]:
                 raise ValueError(f"query dim {qv.shape[1]} != corpus dim {cv.shape[1]}")
             order = np.argsort(ck, kind="stable")
-            ck, cv, step = ck[order], cv[order], _row_chunk(len(ck))
-            found = [] if best is None else [best]
-            for lo in range(0, len(k), step):
-                rows, cols, sc = _dense_topk(qv[lo:lo + step], cv, k[lo:lo + step])
-                found.append((rows + lo, ck[cols], sc))
+            ck, cv, floor = ck[order], cv[order], np.full(len(k), -np.inf)
+            if best is not None:  # a row's k-th best score so far: what is below isn't a hit
+                first = np.searchsorted(best[0], np.arange(len(k) + 1))
+                full = (k > 0) & (first[1:] - first[:-1] >= k)
+                floor[full] = best[2][first[:-1][full] + k[full] - 1]
+            rows, cols, sc = Dense(cv, int(k.max(initial=0))).topk(qv, k, floor)
+            found = [(rows, ck[cols], sc)] if best is None else [best, (rows, ck[cols], sc)]
             best = _ranked(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
         if best is not None:
             rows, ck, sc = best
@@ -354,6 +418,35 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, k
     return (out, bound) if with_bound else out
 
 
+def exact_topk_of_members(queries: DataFrame, vectors: DataFrame, members: DataFrame, *, qkey: str, qcol: str, kcol: str,
+                          vkey: str, vcol: str, ckey: str, score_col: str = "score", rank_col: str = "rank") -> DataFrame:
+    """``exact_topk`` of a corpus whose rows (``members``: ckey, vkey; a ckey has
+    one vkey) point to a table of vectors (vkey, vcol), several to one vector
+    or not: each vector is scored once, however many rows point to it.
+
+    Vectors stand in the ranking at their smallest member key.  A vector that k
+    others stand before has no hit, as each of those has a row that stands
+    before all of its own; of the first k, those count that fewer than k members
+    of better vectors stand before, each with its k smallest keys.
+    Returns (qkey, ckey, score DOUBLE, rank INT)."""
+    most = queries.agg(F.max(F.col(kcol)).cast("int")).first()[0] or 0
+    place = Window.partitionBy("__vkey").orderBy(ckey)
+    held = (members.select(F.col(vkey).alias("__vkey"), ckey).where("__vkey is not null")
+            .withColumn("__at", F.row_number().over(place)).where(F.col("__at") <= max(most, 1)))
+    first = held.groupBy("__vkey").agg(F.min(ckey).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    corpus = vectors.select(F.col(vkey).alias("__vkey"), F.col(vcol).alias("__vector")).join(first.drop("__n"), "__vkey").drop("__vkey")
+    ranked = exact_topk(queries, corpus, qkey=qkey, qcol=qcol, kcol=kcol, ckey="__first", ccol="__vector", score_col=score_col, rank_col="__place")
+    ranked = ranked.join(first.select("__first", "__n"), "__first").join(queries.select(F.col(qkey).alias("__q"), F.col(kcol).cast("int").alias("__kq")).distinct(),
+                                                                       F.col(qkey).eqNullSafe(F.col("__q"))).drop("__q")
+    better = Window.partitionBy(qkey).orderBy(F.desc(score_col)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = Window.partitionBy(qkey, score_col)
+    few = ranked.withColumn("__before", F.sum("__n").over(better) - F.sum("__n").over(equal)).where("__before < __kq")
+    rows = few.join(held.join(first.select("__vkey", "__first"), "__vkey").select("__first", ckey), "__first")
+    w = Window.partitionBy(qkey).orderBy(F.desc(score_col), F.asc(ckey))
+    return (rows.withColumn(rank_col, F.row_number().over(w)).where((F.col(rank_col) <= max(most, 1)) & (F.col(rank_col) <= F.col("__kq")))
+            .select(qkey, ckey, score_col, F.col(rank_col).cast("int").alias(rank_col)))
+
+
 # requests per key above which a key's requests are split over several tasks
 SALT_ROWS = 1_000_000
 

@@ -112,3 +112,36 @@ def test_lexical_matches_direct_cosine(spark):
         g = sorted(got.get(t, []))
         assert [x[1] for x in g] == [x[0] for x in sc[:5]]
         assert all(a[2] == b[1] for a, b in zip(g, sc[:5]))  # bit-identical formula
+
+
+def test_topk_of_members_equals_the_joined_corpus(spark):
+    """Rows that share vectors, equal vectors under other keys, vectors without rows, k over the corpus."""
+    from abode.operators.topk import exact_topk_of_members
+    rng = np.random.default_rng(3)
+    base = rng.integers(-2, 3, size=(30, 4)).astype(float)  # many equal scores
+    v = spark.createDataFrame([(i, [float(x) for x in base[i % 25]]) for i in range(30)], "v long, e array<double>")
+    members = [(int(c), int(rng.integers(0, 40)) if c % 3 else 7) for c in rng.permutation(200)]
+    m = spark.createDataFrame(members + [(500, None)], "c long, v long")
+    for k in (1, 6, 300):
+        q = v.where("v < 20").select(F.col("v").alias("q"), "e", F.lit(k).alias("k"))
+        want = exact_topk(q, m.join(v, "v"), qkey="q", qcol="e", kcol="k", ckey="c", ccol="e", block_c=50)
+        got = exact_topk_of_members(q, v, m, qkey="q", qcol="e", kcol="k", vkey="v", vcol="e", ckey="c")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dense_kernel_holds_few_scores(monkeypatch):
+    """Equal to plain numpy in steps of the corpus, with ties, unequal lengths and k = 0; never a whole block of scores."""
+    from abode.operators import topk
+    monkeypatch.setattr(topk, "_DENSE_ROWS", 7)
+    monkeypatch.setattr(topk, "_DENSE_COLS", 11)
+    rng = np.random.default_rng(4)
+    for scale in (np.ones((90, 1)), 10.0 ** rng.integers(-5, 5, (90, 1))):
+        c = rng.integers(-2, 3, size=(90, 5)) * scale
+        c[30:60] = c[0]
+        q, k = rng.integers(-2, 3, size=(40, 5)).astype(float), rng.integers(0, 9, 40)
+        got = topk.Dense(c, int(k.max())).topk(q, k)
+        exact = np.zeros((40, 90))
+        for j in range(5):
+            exact += q[:, j:j + 1] * c[:, j]
+        want = [(r, x, exact[r, x]) for r in range(40) for x in np.lexsort((np.arange(90), -exact[r]))[:k[r]]]
+        assert [tuple(map(float, t)) for t in zip(*got)] == [tuple(map(float, t)) for t in want]
