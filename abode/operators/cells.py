@@ -7,13 +7,16 @@ radius r holds no product above ``q.p + |q| r``.
 
 1. Each query visits the cells with the largest ``q.p`` that together hold k
    rows; its k-th best product there is its threshold.
-2. It then visits every other cell whose bound isn't below the threshold.
+2. It then visits every cell whose bound isn't below the threshold, and only
+   products that reach the threshold leave a task.
 
-Both passes join queries and corpus on (cell, slice of the cell, block of
+Pass one joins queries and corpus on (cell, slice of the cell, block of
 queries): a cell that holds a third of all rows has as many slices as its rows
-need, a cell that every query visits as many query blocks.  The driver sees
-the pivots and one row per cell.  Products are summed in the order of the
-dimensions, so the rows equal those of ``exact_topk``, ties by key included.
+need, a cell that every query visits as many query blocks.  Pass two does so by
+groups of cells that fill a tile, so a query moves once for each group with a
+cell to visit, not for each cell.  The driver sees the pivots and one row per
+cell.  Products are summed in the order of the dimensions, so the rows equal
+those of ``exact_topk``, ties by key included.
 """
 
 from __future__ import annotations
@@ -22,16 +25,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abode.operators.topk import _ARROW, _empty, _make_tile_fn, _matrix, dense_block
+from abode.operators.topk import _ARROW, Dense, _empty, _make_tile_fn, _matrix, dense_block
 from abode.session import shared_dir
 
 MAX_CELLS = 1024
 # relative room for the rounding of bounds; far above 2^-53 times any dimension in use
 ROOM = 1e-10
+# vectors whose products with all pivots are held at once
+STEP = 1024
 
 
 class Cells:
@@ -45,7 +50,8 @@ class Cells:
     def nearest(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell and distance of each vector."""
         self.check(v)
-        cell = np.argmax(v @ self.pivots.T - (self.pivots**2).sum(axis=1) / 2, axis=1)
+        half = (self.pivots**2).sum(axis=1) / 2
+        cell = np.concatenate([np.argmax(v[a:a + STEP] @ self.pivots.T - half, axis=1) for a in range(0, len(v), STEP)] or [np.zeros(0, np.int64)])
         return cell, np.linalg.norm(v - self.pivots[cell], axis=1)
 
     def check(self, v: np.ndarray) -> None:
@@ -63,12 +69,22 @@ class Cells:
         np.put_along_axis(out, order, held < k[:, None], axis=1)
         return out & (self.rows > 0)
 
-    def second(self, q: np.ndarray, k: np.ndarray, threshold: np.ndarray) -> np.ndarray:
-        """Which other cells may hold a product at or above the threshold."""
+    def reached(self, q: np.ndarray, threshold: np.ndarray, cells: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Which of the cells may hold a product at or above the threshold."""
+        pivots, radius = self.pivots[cells], self.radius[cells]
         length = np.linalg.norm(q, axis=1)[:, None]
-        bound = q @ self.pivots.T + length * self.radius
-        bound += ROOM * length * (np.linalg.norm(self.pivots, axis=1) + self.radius)
-        return (bound >= threshold[:, None]) & (self.rows > 0) & ~self.first(q, k)
+        bound = q @ pivots.T + length * radius
+        bound += ROOM * length * (np.linalg.norm(pivots, axis=1) + radius)
+        return (bound >= threshold[:, None]) & (self.rows[cells] > 0)
+
+    def second(self, q: np.ndarray, k: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+        """Which cells but the first may hold a product at or above the threshold."""
+        self.check(q)
+        return self.reached(q, threshold) & ~self.first(q, k)
+
+    def groups(self, side: int) -> np.ndarray:
+        """A group for each cell: neighbours that hold about ``side`` rows together."""
+        return np.unique((np.cumsum(self.rows) - self.rows) // max(side, 1), return_inverse=True)[1].astype(np.int64)
 
 
 def build_cells(corpus: DataFrame, key: str, vector: str, cells: int | None = None) -> tuple[Cells, DataFrame]:
@@ -93,25 +109,67 @@ def build_cells(corpus: DataFrame, key: str, vector: str, cells: int | None = No
     return got, rows
 
 
-def _visits(queries: DataFrame, cells: Cells, key: str, threshold: bool) -> DataFrame:
-    """One row per query and cell to visit; ``queries`` has the columns key, __qv, __kq (, __t)."""
-    schema = T.StructType([*queries.select(key, "__qv", "__kq").schema.fields, T.StructField("__cell", T.IntegerType())])
+def _visits(queries: DataFrame, cells: Cells, key: str, threshold: bool, group: np.ndarray | None = None) -> DataFrame:
+    """One row per query and cell to visit; ``queries`` has the columns key, __qv, __kq (, __t).
+    With ``group``: one row per query and group with a cell that reaches its threshold."""
+    keep = [key, "__qv", "__kq", *(["__t"] if group is not None else [])]
+    schema = T.StructType([*queries.select(*keep).schema.fields, T.StructField("__cell" if group is None else "__group", T.IntegerType())])
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            q, k = _matrix(b.column("__qv")), b.column("__kq").to_numpy().astype(np.int64)
-            go = cells.second(q, k, b.column("__t").to_numpy()) if threshold else cells.first(q, k)
-            row, cell = np.nonzero(go)
-            for lo in range(0, len(row), 1 << 14):
-                at = pa.array(row[lo:lo + (1 << 14)])
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in (key, "__qv", "__kq")), pa.array(cell[lo:lo + (1 << 14)].astype(np.int32))],
-                                                 names=schema.fieldNames())
-
+        for whole in batches:
+            for a in range(0, whole.num_rows, STEP):
+                b = whole.slice(a, STEP)
+                q, k = _matrix(b.column("__qv")), b.column("__kq").to_numpy().astype(np.int64)
+                if group is not None:
+                    cells.check(q)
+                    go = cells.reached(q, b.column("__t").to_numpy())
+                    go = np.add.reduceat(go[:, order], start, axis=1) > 0
+                else:
+                    go = cells.second(q, k, b.column("__t").to_numpy()) if threshold else cells.first(q, k)
+                row, cell = np.nonzero(go)
+                for lo in range(0, len(row), 1 << 14):
+                    at = pa.array(row[lo:lo + (1 << 14)])
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keep), pa.array(cell[lo:lo + (1 << 14)].astype(np.int32))],
+                                                     names=schema.fieldNames())
+
+    if group is not None:
+        order = np.argsort(group, kind="stable")
+        start = np.searchsorted(group[order], np.arange(int(group.max()) + 1))
     return queries.mapInArrow(run, schema)
 
 
+def _make_group_fn(cells: Cells, qkey: str, ckey: str, key_types: tuple):
+    """Hits of the queries of one block in the cells of one group (a slice of each)."""
+    schema = pa.schema([(qkey, key_types[0]), (ckey, key_types[1]), ("__score", pa.float64()), ("__k", pa.int32())])
+
+    def fn(qt: pa.Table, ct: pa.Table) -> pa.Table:
+        if qt.num_rows == 0 or ct.num_rows == 0:
+            return schema.empty_table()
+        # by key, so that columns are in the order of ties
+        ckeys = ct.column(ckey).to_numpy(zero_copy_only=False)
+        order = np.argsort(ckeys, kind="stable")
+        ckeys, cv, cell = ckeys[order], _matrix(ct.column("__cv"))[order], ct.column("__cell").to_numpy()[order]
+        qv, k, floor = _matrix(qt.column("__qv")), qt.column("__kq").to_numpy().astype(np.int64), qt.column("__t").to_numpy()
+        cells.check(qv)
+        here, at = np.unique(cell, return_inverse=True)
+        size, most = np.bincount(at), int(k.max())
+        go = cells.reached(qv, floor, here)
+        found = []
+        if (go * size).sum() * 2 > len(qv) * len(cv):  # most pairs: all in one product
+            found.append(Dense(cv, most).topk(qv, k, floor))
+        else:
+            for i in range(len(here)):
+                q, c = np.flatnonzero(go[:, i]), np.flatnonzero(at == i)
+                if len(q):
+                    rows, cols, score = Dense(cv[c], most).topk(qv[q], k[q], floor[q])
+                    found.append((q[rows], c[cols], score))
+        rows, cols, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        return pa.table({qkey: qt.column(qkey).take(pa.array(rows)), ckey: pa.array(ckeys[cols], type=key_types[1]),
+                         "__score": pa.array(score, type=pa.float64()), "__k": pa.array(k[rows].astype(np.int32))}, schema=schema)
+
+    return fn
+
+
 def cell_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, kcol: str, ckey: str, ccol: str, score_col: str = "score",
               rank_col: str = "rank", cells: int | None = None, block: int | None = None, with_visits: bool = False):
     """The rows of ``exact_topk(kind='dense')``: (qkey, ckey, score, rank).
@@ -131,20 +189,22 @@ def cell_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, kc
         return (empty, q.select(qkey, F.lit(0).alias("pairs"), F.lit(0).alias("visited"))) if with_visits else empty
     got, rows = build_cells(corpus.select(F.col(ckey).alias("__ck"), F.col(ccol).alias("__cv")), "__ck", "__cv", cells)
     side = block or dense_block(got.pivots.shape[1])
-    slices = np.maximum(-(-got.rows // side), 1).tolist()
     n_blocks = max(1, -(-size["n"] // side))
-    of_cell = F.element_at(F.array(*[F.lit(s) for s in slices]), F.col("__cell") + 1)
-    rows = rows.select(F.col("__ck").alias(ckey), "__cv", "__cell", F.pmod(F.xxhash64("__ck"), of_cell).cast("int").alias("__slice"),
-                       F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("__block"))
+    rows = rows.select(F.col("__ck").alias(ckey), "__cv", "__cell")
     fields = [T.StructField(qkey, queries.schema[qkey].dataType), T.StructField(ckey, corpus.schema[ckey].dataType),
               T.StructField("__score", T.DoubleType()), T.StructField("__k", T.IntegerType()), T.StructField("__rank", T.IntegerType())]
-    tile = _make_tile_fn("dense", qkey, ckey, "__qv", "__cv", "__kq", pa.float64(), tuple(kinds))
-    by = ["__cell", "__slice", "__block"]
 
-    def scored(visits: DataFrame) -> DataFrame:
-        there = visits.select("*", F.explode(F.sequence(F.lit(0), of_cell - 1)).alias("__slice"),
-                              F.pmod(F.xxhash64(qkey), F.lit(n_blocks)).cast("int").alias("__block"))
-        return there.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(tile, T.StructType(fields)).select(qkey, ckey, "__score", "__k")
+    def of(numbers, place: str) -> Column:
+        return F.element_at(F.array(*[F.lit(int(n)) for n in numbers]), F.col(place) + 1)
+
+    def tiles(visits: DataFrame, corpus: DataFrame, place: str, slices, blocks, fn, schema) -> DataFrame:
+        """Queries and corpus rows of one place meet by slice of the place and block of queries."""
+        by = [place, "__slice", "__block"]
+        there = visits.select("*", F.explode(F.sequence(F.lit(0), of(slices, place) - 1)).alias("__slice"),
+                              F.pmod(F.xxhash64(qkey), of(blocks, place)).cast("int").alias("__block"))
+        here = corpus.select("*", F.pmod(F.xxhash64(ckey), of(slices, place)).cast("int").alias("__slice"),
+                             F.explode(F.sequence(F.lit(0), of(blocks, place) - 1)).alias("__block"))
+        return there.groupBy(*by).cogroup(here.groupBy(*by)).applyInArrow(fn, schema).select(qkey, ckey, "__score", "__k")
 
     def best(hits: DataFrame) -> DataFrame:
         w = Window.partitionBy(qkey).orderBy(F.desc("__score"), F.asc(ckey))
@@ -152,12 +212,20 @@ def cell_topk(queries: DataFrame, corpus: DataFrame, *, qkey: str, qcol: str, kc
         return hits.withColumn("__rank", F.row_number().over(w)).where((F.col("__rank") <= size["k"]) & (F.col("__rank") <= F.col("__k")))
 
     one = _visits(q, got, qkey, False)
-    found = best(scored(one)).drop("__rank").checkpoint(eager=True)
+    visits = np.zeros(len(got.rows), np.int64)
+    for r in one.groupBy("__cell").count().collect():  # one row a cell
+        visits[r["__cell"]] = r["count"]
+    tile = _make_tile_fn("dense", qkey, ckey, "__qv", "__cv", "__kq", pa.float64(), tuple(kinds))
+    found = best(tiles(one, rows, "__cell", np.maximum(-(-got.rows // side), 1), np.maximum(-(-visits // side), 1), tile, T.StructType(fields)))
     # with fewer rows than k a query has been to every cell, so any threshold will do
-    threshold = found.groupBy(qkey).agg(F.min("__score").alias("__t"))
-    two = _visits(q.join(threshold, qkey), got, qkey, True)
-    out = best(found.unionByName(scored(two))).select(qkey, ckey, F.col("__score").alias(score_col), F.col("__rank").cast("int").alias(rank_col))
+    threshold = found.groupBy(F.col(qkey).alias("__of")).agg(F.min("__score").alias("__t")).checkpoint(eager=True)
+    reach = q.join(threshold, F.col(qkey).eqNullSafe(F.col("__of"))).drop("__of")
+    group = got.groups(side)
+    held = np.bincount(group, got.rows).astype(np.int64)
+    hits = tiles(_visits(reach, got, qkey, True, group), rows.withColumn("__group", of(group, "__cell")), "__group",
+                 np.maximum(-(-held // (2 * side)), 1), np.full(len(held), n_blocks), _make_group_fn(got, qkey, ckey, tuple(kinds)), T.StructType(fields[:4]))
+    out = best(hits).select(qkey, ckey, F.col("__score").alias(score_col), F.col("__rank").cast("int").alias(rank_col))
     if not with_visits:
         return out
-    held = F.element_at(F.array(*[F.lit(int(n)) for n in got.rows]), F.col("__cell") + 1)
-    return out, one.unionByName(two).groupBy(qkey).agg(F.lit(int(got.rows.sum())).alias("pairs"), F.sum(held).alias("visited"))
+    met = one.unionByName(_visits(reach, got, qkey, True)).withColumn("__n", of(got.rows, "__cell"))
+    return out, met.groupBy(qkey).agg(F.lit(int(got.rows.sum())).alias("pairs"), F.sum("__n").alias("visited"))

@@ -74,3 +74,23 @@ def test_second_pass_misses_no_cell():
     seen = first | cells.second(q, k, threshold)
     assert not (seen[:, at] == False)[product >= threshold[:, None]].any()  # noqa: E712
     assert not seen.all()
+
+
+def test_only_what_reaches_the_threshold_leaves_a_group(clustered):
+    """A task of pass two returns no more than the hits at or above the queries' thresholds, and sees a group once."""
+    import pyarrow as pa
+
+    from abode.operators.cells import _make_group_fn
+    queries, corpus = clustered
+    cells = Cells(corpus[::40])
+    cell, far = cells.nearest(corpus)
+    cells.rows = np.bincount(cell, minlength=len(cells.pivots))
+    np.maximum.at(cells.radius, cell, far)
+    assert len(np.unique(cells.groups(500))) <= 4
+    exact = queries @ corpus.T
+    floor = np.sort(exact, axis=1)[:, -10]
+    fn = _make_group_fn(cells, "q", "c", (pa.int64(), pa.int64()))
+    qt = pa.table({"q": range(60), "__qv": list(queries), "__kq": [10] * 60, "__t": floor - 1e-9})
+    got = fn(qt, pa.table({"c": range(1200), "__cv": list(corpus), "__cell": cell.astype(np.int32)}))
+    want = {(int(r), int(c)) for r in range(60) for c in np.lexsort((np.arange(1200), -np.round(exact[r], 9)))[:10]}
+    assert set(zip(got["q"].to_pylist(), got["c"].to_pylist())) == want
