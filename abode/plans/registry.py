@@ -460,12 +460,12 @@ def q_topk_tied_listings(spark, sf_dir):
     """Every vector against an index of all listings, each with the vector that
     its id is dealt to: where listings outnumber vectors, several share one and
     ties go by key in any block layout."""
-    from abode.operators.topk import exact_topk
+    from abode.operators.topk import exact_topk_of_members
     e = embeddings(spark, sf_dir).select("vec_id", "embedding")
     n = e.agg(F.count("*").alias("n")).scalar()
-    corpus = listings(spark, sf_dir).select("id", n.alias("n")).select("id", F.pmod("id", "n").alias("vec_id")).join(e, "vec_id").select("id", "embedding")
-    h = exact_topk(e.withColumn("k", F.lit(25)), corpus, qkey="vec_id", qcol="embedding", kcol="k", ckey="id",
-                   ccol="embedding", score_col="similarity_score", rank_col="search_rank")
+    members = listings(spark, sf_dir).select("id", n.alias("n")).select("id", F.pmod("id", "n").alias("vec_id"))
+    h = exact_topk_of_members(e.withColumn("k", F.lit(25)), e, members, qkey="vec_id", qcol="embedding", kcol="k", vkey="vec_id",
+                              vcol="embedding", ckey="id", score_col="similarity_score", rank_col="search_rank")
     return h.select("vec_id", "id", _r6("similarity_score").alias("similarity_score"), "search_rank")
 
 
