@@ -29,6 +29,7 @@ from abode.functions.derive import profile_text
 from abode.functions.parse import parse_request
 from abode.operators.topk import BROADCAST_BYTES_MAX, est_row_bytes, exact_topk, join_ranked, salted_join
 from abode.schema import RESPONSE_FIELDS
+from abode.session import shared_dir
 from abode.sources.requests import validate_k
 
 LEXICAL_SPLIT = "[^a-z0-9]+"
@@ -103,14 +104,48 @@ def distinct_texts(requests: DataFrame, text_col: str) -> DataFrame:
             .select(text_key("qtext").alias("qkey"), "qtext", "kq"))
 
 
+def signatures(texts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(qkey, kq, skey, terms) of the texts (qkey, kq, terms) that share a term
+    with the corpus: texts with the same counts of such terms and the same
+    length rank alike and get one ``skey``.
+
+    ``terms`` is the struct <terms, weights> of those counts.  What the terms
+    that no listing has add to the length (a whole number) follows as squares
+    under names that no token has, so cosines are the same numbers."""
+    counts = texts.select("qkey", "kq", F.explode("terms").alias("term")).groupBy("qkey", "kq", "term").agg(F.count(F.lit(1)).alias("tf"))
+    held = corpus.select(F.explode("terms").alias("term")).distinct()
+    known = counts.select("term").distinct().join(held, "term", "left_semi").withColumn("known", F.lit(True))
+    pair = F.when(F.col("known"), F.struct("term", "tf"))
+    rows = (counts.join(known, "term", "left").groupBy("qkey", "kq").agg(F.array_sort(F.collect_list(pair)).alias("t"), F.sum(F.expr("tf * tf")).alias("n"))
+            .where(F.size("t") > 0))
+    root = "CAST(floor(sqrt(a.r)) AS BIGINT)"
+    rest = "n - aggregate(t, 0L, (a, x) -> a + x.tf * x.tf)"
+    squares = (f"aggregate(sequence(1, 16), named_struct('r', {rest}, 'w', CAST(array() AS ARRAY<BIGINT>)), (a, i) -> named_struct("
+               f"'r', a.r - {root} * {root}, 'w', IF(a.r > 0, concat(a.w, array({root})), a.w))).w")
+    return rows.withColumn("w", F.expr(squares)).selectExpr(
+        "qkey", "kq", "md5(to_json(struct(t, w))) AS skey",
+        "struct(concat(t.term, transform(w, (x, i) -> concat(' ', CAST(i AS STRING)))) AS terms, concat(t.tf, w) AS weights) AS terms")
+
+
+# distinct signatures to a tile: each block of them builds the listings' inverted lists once
+SIGNATURE_BLOCK = 16384
+
+
 def rank_texts(requests: DataFrame, listings: DataFrame, text_col: str = "enhanced", **topk_opts):
     """Lexical ranking per distinct request text: ((qkey, id, similarity_score,
-    search_rank), proven row bound); ``qkey`` is the text's ``text_key``."""
-    qv = distinct_texts(requests, text_col).select("qkey", "kq", text_tokens(F.col("qtext")).alias("terms"))
-    return exact_topk(qv, profile_corpus(listings), qkey="qkey", qcol="terms", kcol="kq",
-                      ckey="id", ccol="terms", kind="lexical",
-                      score_col="similarity_score", rank_col="search_rank", with_bound=True,
-                      **topk_opts)
+    search_rank), proven row bound); ``qkey`` is the text's ``text_key``.  Texts
+    that no listing can tell apart (``signatures``) are ranked once."""
+    corpus = profile_corpus(listings)
+    shared_dir(requests.sparkSession)
+    texts = distinct_texts(requests, text_col).select("qkey", "kq", text_tokens(F.col("qtext")).alias("terms"))
+    signed = signatures(texts, corpus).checkpoint(eager=True)
+    size = signed.agg(F.count(F.lit(1)).alias("n"), F.max("kq").alias("k")).first()
+    qv = signed.groupBy("skey").agg(F.max("kq").alias("kq"), F.any_value("terms").alias("terms"))
+    ranked = exact_topk(qv, corpus, qkey="skey", qcol="terms", kcol="kq", ckey="id", ccol="terms", kind="lexical",
+                        score_col="similarity_score", rank_col="search_rank", **({"block_q": SIGNATURE_BLOCK} | topk_opts))
+    out = (signed.select("qkey", "kq", "skey").join(ranked, "skey").where("search_rank <= kq")
+           .select("qkey", "id", "similarity_score", "search_rank"))
+    return out, size["n"] * (size["k"] or 0)
 
 
 def profile_texts(listings: DataFrame) -> DataFrame:

@@ -90,3 +90,23 @@ def test_small_query_set_goes_to_the_corpus(spark):
     assert "CoGroup" in tiles._jdf.queryExecution().executedPlan().toString()
     rows = [sorted(map(tuple, x.collect())) for x in (small, exact_topk(q, c, block_c=64, **opts), exact_topk(q, c, **opts), tiles)]
     assert rows[0] == rows[1] == rows[2] == rows[3] and len(rows[0]) == sum(v % 5 + 1 for v in range(0, 500, 3))
+
+
+def test_texts_that_rank_alike_are_ranked_once(spark):
+    """Texts with the same known terms and length share a signature; rankings equal those of the whole texts, bit by bit."""
+    from pyspark.sql import functions as F
+
+    from abode.operators import search
+    from abode.operators.topk import exact_topk
+    from abode.sources.synth import synth_listings
+    listings = synth_listings(spark.range(300).select(F.col("id").alias("p_partkey")))
+    words = ["in with zzq", "with in qqz", "zzq zzq in", "pool gym xx xx xx yy", "yy yy yy pool gym xx", "zzz", "", "2 bhk in mumbai"]
+    texts = spark.createDataFrame([(w, 5 + i) for i, w in enumerate(words)], "enhanced string, max_results int")
+    got, bound = search.rank_texts(texts, listings)
+    qv = search.distinct_texts(texts, "enhanced").select("qkey", "kq", search.text_tokens(F.col("qtext")).alias("terms"))
+    want = exact_topk(qv, search.profile_corpus(listings), qkey="qkey", qcol="terms", kcol="kq", ckey="id", ccol="terms", kind="lexical",
+                      score_col="similarity_score", rank_col="search_rank")
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.select(*got.columns).collect())) and 0 < len(rows) <= bound
+    signed = search.signatures(qv, search.profile_corpus(listings)).collect()
+    assert len(signed) == 6 and len({r["skey"] for r in signed}) == 4
