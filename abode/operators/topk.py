@@ -428,23 +428,26 @@ def exact_topk_of_members(queries: DataFrame, vectors: DataFrame, members: DataF
     others stand before has no hit, as each of those has a row that stands
     before all of its own; of the first k, those count that fewer than k members
     of better vectors stand before, each with its k smallest keys.
+    Query keys may repeat: each query row has hits of its own.
     Returns (qkey, ckey, score DOUBLE, rank INT)."""
+    asked = (queries.groupBy(F.col(qkey).alias("__of"), F.col(qcol).alias("__qv"), F.col(kcol).cast("int").alias("__kq")).agg(F.count(F.lit(1)).alias("__copies"))
+             .withColumn("__q", F.md5(F.to_json(F.struct("__of", "__qv", "__kq")))))
     most = queries.agg(F.max(F.col(kcol)).cast("int")).first()[0] or 0
     place = Window.partitionBy("__vkey").orderBy(ckey)
     held = (members.select(F.col(vkey).alias("__vkey"), ckey).where("__vkey is not null")
             .withColumn("__at", F.row_number().over(place)).where(F.col("__at") <= max(most, 1)))
     first = held.groupBy("__vkey").agg(F.min(ckey).alias("__first"), F.count(F.lit(1)).alias("__n"))
     corpus = vectors.select(F.col(vkey).alias("__vkey"), F.col(vcol).alias("__vector")).join(first.drop("__n"), "__vkey").drop("__vkey")
-    ranked = exact_topk(queries, corpus, qkey=qkey, qcol=qcol, kcol=kcol, ckey="__first", ccol="__vector", score_col=score_col, rank_col="__place")
-    ranked = ranked.join(first.select("__first", "__n"), "__first").join(queries.select(F.col(qkey).alias("__q"), F.col(kcol).cast("int").alias("__kq")).distinct(),
-                                                                       F.col(qkey).eqNullSafe(F.col("__q"))).drop("__q")
-    better = Window.partitionBy(qkey).orderBy(F.desc(score_col)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    equal = Window.partitionBy(qkey, score_col)
+    ranked = exact_topk(asked, corpus, qkey="__q", qcol="__qv", kcol="__kq", ckey="__first", ccol="__vector", score_col=score_col, rank_col="__place")
+    ranked = ranked.join(first.select("__first", "__n"), "__first").join(asked.select("__q", "__of", "__kq", "__copies"), "__q")
+    better = Window.partitionBy("__q").orderBy(F.desc(score_col)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = Window.partitionBy("__q", score_col)
     few = ranked.withColumn("__before", F.sum("__n").over(better) - F.sum("__n").over(equal)).where("__before < __kq")
     rows = few.join(held.join(first.select("__vkey", "__first"), "__vkey").select("__first", ckey), "__first")
-    w = Window.partitionBy(qkey).orderBy(F.desc(score_col), F.asc(ckey))
-    return (rows.withColumn(rank_col, F.row_number().over(w)).where((F.col(rank_col) <= max(most, 1)) & (F.col(rank_col) <= F.col("__kq")))
-            .select(qkey, ckey, score_col, F.col(rank_col).cast("int").alias(rank_col)))
+    w = Window.partitionBy("__q").orderBy(F.desc(score_col), F.asc(ckey))
+    best = rows.withColumn(rank_col, F.row_number().over(w)).where((F.col(rank_col) <= max(most, 1)) & (F.col(rank_col) <= F.col("__kq")))
+    return (best.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)")))
+            .select(F.col("__of").alias(qkey), ckey, score_col, F.col(rank_col).cast("int").alias(rank_col)))
 
 
 # requests per key above which a key's requests are split over several tasks

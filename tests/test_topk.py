@@ -127,6 +127,8 @@ def test_topk_of_members_equals_the_joined_corpus(spark):
         want = exact_topk(q, m.join(v, "v"), qkey="q", qcol="e", kcol="k", ckey="c", ccol="e", block_c=50)
         got = exact_topk_of_members(q, v, m, qkey="q", qcol="e", kcol="k", vkey="v", vcol="e", ckey="c")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    twice = exact_topk_of_members(q.unionByName(q.where("q < 3")), v, m, qkey="q", qcol="e", kcol="k", vkey="v", vcol="e", ckey="c")
+    assert sorted(map(tuple, twice.collect())) == sorted([tuple(r) for r in want.collect()] + [tuple(r) for r in want.where("q < 3").collect()])
 
 
 def test_dense_kernel_holds_few_scores(monkeypatch):
