@@ -1,6 +1,8 @@
-"""Batch text encoder for listing profiles (JVM-only default).
+"""Batch text encoder for listing profiles.
 
-Tokenise -> hashed term frequencies -> IDF -> L2 normalise -> ARRAY<FLOAT>.
+Tokenise -> hashed term frequencies -> IDF -> L2 normalise -> ARRAY<FLOAT>,
+a batch of texts at once in numpy, with the buckets and weights of
+``pyspark.ml.feature`` (``HashingTF``, ``IDF``, ``Normalizer``).
 IDF is one distributed aggregate over the corpus; its result (one weight per
 hash bucket) is bounded by ``num_features``, not by the data.  A model-based
 encoder plugs in through ``batch_encoder`` (``predict_batch_udf``: the model
@@ -14,45 +16,65 @@ An *encoder* is a function ``fit(corpus_texts) -> encode`` where
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from abode.functions.derive import profile_text
+from abode.operators.tokens import buckets
 
 
-def encoder_pipeline(num_features: int = 1024, input_col: str = "text") -> Pipeline:
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=input_col, outputCol="__tok", pattern="[^a-z0-9]+", toLowercase=True),
-        HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features),
-        IDF(inputCol="__tf", outputCol="__idf"),
-        Normalizer(inputCol="__idf", outputCol="__vec", p=2.0),
-    ])
+def _tokens_in(text_col: str) -> Column:
+    """What the tasks split: the text in lower case (null: empty)."""
+    return F.lower(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def encode_texts(model, df: DataFrame, text_col: str = "text") -> DataFrame:
-    out = model.transform(df.withColumnRenamed(text_col, "text") if text_col != "text" else df)
-    return out.select(*[c for c in df.columns if c != text_col],
-                      vector_to_array("__vec", "float32").alias("embedding"))
+def fit_weights(texts: DataFrame, num_features: int, text_col: str = "text") -> np.ndarray:
+    """IDF of each bucket, ``ln((N + 1) / (df + 1))`` over N texts: every task
+    sums its texts, ``num_features`` numbers of them meet."""
+    def held(batches):
+        df, n = np.zeros(num_features, np.int64), 0
+        for b in batches:
+            df += np.bincount(buckets(b.column(0), num_features)[1], minlength=num_features)
+            n += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.arange(num_features), -1]), pa.array(np.r_[df, n])], names=["bucket", "n"])
+
+    sums = texts.select(_tokens_in(text_col)).mapInArrow(held, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    total = F.sum(F.when(F.col("bucket") < 0, F.col("n")))
+    got = sums.agg(total.alias("total"), F.collect_list(F.when(F.col("bucket") >= 0, F.struct("bucket", "n"))).alias("df")).first()
+    if not got["total"]:
+        raise ValueError("no corpus texts to fit the encoder on (empty corpus)")
+    df = np.zeros(num_features)
+    df[[r["bucket"] for r in got["df"]]] = [r["n"] for r in got["df"]]
+    return np.log((got["total"] + 1.0) / (df + 1.0))
+
+
+def encoded(text_col: str, weights: np.ndarray) -> Column:
+    """ARRAY<FLOAT> of a text: counts per bucket times weights, L2-normalised (no weight: zeros)."""
+    size = len(weights)
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vectors(texts: pa.Array) -> pa.Array:
+        row, bucket, count = buckets(texts, size)
+        value = count * weights[bucket]
+        length = np.sqrt(np.bincount(row, value * value, minlength=len(texts)))[row]
+        out = np.zeros((len(texts), size), np.float32)
+        out[row, bucket] = np.divide(value, length, out=np.zeros(len(value)), where=length > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * size), pa.array(out.ravel()))
+
+    return vectors(_tokens_in(text_col))
 
 
 def hashed_tfidf_encoder(num_features: int = 1024):
-    """Default encoder: the JVM pipeline above, fitted on the corpus texts."""
+    """Encoder of hashed term frequencies, fitted on the corpus texts."""
     def fit(corpus_texts: DataFrame):
-        try:
-            model = encoder_pipeline(num_features, "__text").fit(
-                corpus_texts.select(F.coalesce(F.col("text"), F.lit("")).alias("__text")))
-        except Exception as e:  # noqa: BLE001 - the JVM reports an empty corpus this way
-            if "seen any document" in str(e):
-                raise ValueError("no corpus texts to fit the encoder on (empty corpus)") from None
-            raise
+        weights = fit_weights(corpus_texts, num_features)
 
         def encode(df: DataFrame, text_col: str = "text") -> DataFrame:
-            x = df.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-            return model.transform(x).select(*df.columns, vector_to_array("__vec", "float32").alias("embedding"))
+            return df.select(*df.columns, encoded(text_col, weights).alias("embedding"))
         return encode
     return fit
 
@@ -78,10 +100,27 @@ def batch_encoder(make_predict_fn, dim: int, batch_size: int = 256):
 
 
 def encode_profiles(listings: DataFrame, num_features: int = 1024):
-    """Fit the encoder on the profile texts; returns (model, (id, embedding))."""
+    """Fit the encoder on the profile texts; returns (encode, (id, embedding))."""
     texts = listings.select("id", profile_text().alias("text"))
-    model = encoder_pipeline(num_features).fit(texts)
-    return model, encode_texts(model, texts)
+    encode = hashed_tfidf_encoder(num_features)(texts)
+    return encode, encode(texts).select("id", "embedding")
+
+
+def measured(name: str) -> Column:
+    """struct<dim, norm> of ARRAY<FLOAT> vectors, a batch at once: ``size`` and
+    ``norm`` (null: nulls).  Right after an encoder the vectors stay in the task."""
+    @F.arrow_udf("dim int, norm double")
+    def sizes(vectors: pa.Array) -> pa.Array:
+        dim = pc.list_value_length(vectors)
+        size = pc.fill_null(dim, 0).to_numpy(zero_copy_only=False)
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        sums, some = np.zeros(len(size)), size > 0
+        if some.any():
+            sums[some] = np.add.reduceat(x * x, (np.cumsum(size) - size)[some])
+        length = pa.array(np.sqrt(sums), mask=pc.is_null(vectors).to_numpy(zero_copy_only=False))
+        return pa.StructArray.from_arrays([dim.cast(pa.int32()), length], names=["dim", "norm"])
+
+    return sizes(F.col(name))
 
 
 def norm(name: str) -> Column:

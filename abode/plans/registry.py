@@ -523,10 +523,9 @@ def q_encode_profiles(spark, sf_dir):
     to one L2-normalised vector.  The oracle checks the contract (one vector
     per listing, dimension, unit norm); the hashed values themselves are
     checked against a numpy brute force in tests/test_encoder.py."""
-    from abode.operators.encode import encode_profiles
-    model, enc = encode_profiles(listings(spark, sf_dir))
-    return enc.select("id", F.size("embedding").alias("dim"),
-                      (F.abs(F.sqrt(inner_product("embedding", "embedding")) - 1) < 1e-5).alias("unit_norm"))
+    from abode.operators.encode import encode_profiles, measured
+    _, enc = encode_profiles(listings(spark, sf_dir))
+    return enc.select("id", measured("embedding").alias("m")).select("id", "m.dim", (F.abs(F.col("m.norm") - 1) < 1e-5).alias("unit_norm"))
 
 
 # ---------------------------------------------------------------------------
