@@ -31,9 +31,8 @@ def enhance_sql(msg: str) -> str:
 
 def tokens_sql(lq: str) -> str:
     """Python ``str.split()``: whitespace runs folded to one space (pattern
-    compiled once), trimmed, split on one character (no per-row regex)."""
-    s = f"trim(regexp_replace({lq}, {q(WS_CLASS + '+')}, ' '))"
-    return f"CASE WHEN {s} = '' THEN CAST(array() AS ARRAY<STRING>) ELSE split({s}, ' ') END"
+    compiled once, one pass), trimmed, split on one character (no per-row regex)."""
+    return f"array_remove(split(trim(regexp_replace({lq}, {q(WS_CLASS + '+')}, ' ')), ' '), '')"
 
 
 def python_int_sql(t: str) -> str:

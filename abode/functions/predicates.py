@@ -63,21 +63,3 @@ def all_ok(mode: str = "api", c=F.col) -> Column:
             & type_ok(c("want_type"), c("property_type"))
             & flags_ok(want, c)
             & other(want, "pool", c) & other(want, "gym", c))
-
-
-def all_ok_sql(mode: str = "api", x: str = "x") -> str:
-    """``all_ok`` as SQL text with the listing attributes read from struct
-    ``x`` (an element of a ranked array) and the constraints from the row;
-    for use inside a higher-order ``filter`` lambda."""
-    a = f"coalesce({x}.amenities, CAST(array() AS ARRAY<STRING>))"
-    parts = [
-        f"(max_price IS NULL OR coalesce({x}.monthly_rent, 0) <= max_price)",
-        f"(want_bedrooms IS NULL OR CAST(coalesce({x}.bedrooms, 0) AS BIGINT) = want_bedrooms)",
-        f"(want_type IS NULL OR lower(coalesce({x}.property_type, '')) = want_type)",
-    ]
-    parts += [f"(NOT array_contains(want_amenities, {q(f)}) OR coalesce({x}.{f}, false))" for f in FLAG_COLUMNS]
-    for name in ("pool", "gym"):
-        test = (f"exists({a}, a -> contains(lower(a), {q(name)}))" if mode == "api"
-                else f"array_contains(transform({a}, a -> lower(a)), {q(name)})")
-        parts.append(f"(NOT array_contains(want_amenities, {q(name)}) OR {test})")
-    return " AND ".join(parts)

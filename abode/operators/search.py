@@ -27,6 +27,7 @@ from abode.constants import FLAG_COLUMNS, NO_MATCH_UI, UI_MAX_CARDS
 from abode.functions import predicates
 from abode.functions.derive import profile_text
 from abode.functions.parse import parse_request
+from abode.operators.matches import offered_bits, wanted_bits
 from abode.operators.topk import BROADCAST_BYTES_MAX, est_row_bytes, exact_topk, join_ranked, salted_join
 from abode.schema import RESPONSE_FIELDS
 from abode.session import shared_dir
@@ -168,7 +169,9 @@ def rank_encoded(requests: DataFrame, listings: DataFrame, encoder=None, text_co
     search_rank), proven row bound); ``qkey`` is the text's ``text_key``."""
     encode = fitted_encoder(listings, encoder)
     corpus = encode(profile_texts(listings), "text").select("id", "embedding")
-    qv = encode(distinct_texts(requests, text_col), "qtext")
+    shared_dir(requests.sparkSession)
+    # each distinct text once, small next to the log: the encoder's jobs don't read the log again
+    qv = encode(distinct_texts(requests, text_col).checkpoint(eager=True), "qtext")
     return exact_topk(qv, corpus, qkey="qkey", qcol="embedding", kcol="kq", ckey="id", ccol="embedding",
                       kind="lexical" if isinstance(corpus.schema["embedding"].dataType, StructType) else "dense",
                       score_col="similarity_score", rank_col="search_rank", with_bound=True, **topk_opts)
@@ -293,28 +296,40 @@ def _finish(r: DataFrame, answered_at: Column | None, cards: bool) -> DataFrame:
 FILTER_FIELDS = ["monthly_rent", "bedrooms", "property_type", "amenities", *FLAG_COLUMNS]
 
 
+def offers(mode: str) -> list[Column]:
+    """What the post-filter compares of a listing, missing values by their
+    defaults: worked out once per ranked listing, not once per request."""
+    return [F.coalesce("monthly_rent", F.lit(0)).alias("__rent"), F.coalesce("bedrooms", F.lit(0)).cast("bigint").alias("__beds"),
+            F.lower(F.coalesce("property_type", F.lit(""))).alias("__kind"), offered_bits(mode).alias("__bits")]
+
+
+# ``predicates.all_ok`` of a request row and an element ``x`` of its ranking
+_ALL_OK = ("(max_price IS NULL OR x.__rent <= max_price) AND (want_bedrooms IS NULL OR x.__beds = want_bedrooms) "
+           "AND (want_type IS NULL OR x.__kind = want_type) AND x.__bits & __want = __want")
+
+
 def ranked_lists(ranked: DataFrame, bound: int, listings: DataFrame, key: str, payload,
-                 cards: bool = False) -> DataFrame:
-    """(key, __r): each key's ranking with its listing payload as ONE array
-    sorted by rank.  Only keys x k rows are shuffled (never requests x k).
+                 cards: bool = False, mode: str = "api") -> DataFrame:
+    """(key, __r): each key's ranking with its listing payload and ``offers`` as
+    ONE array sorted by rank.  Only keys x k rows are shuffled (never requests x k).
     The listing table streams past a broadcast ranking when the ranking's
     proven bound is small; otherwise both sides shuffle on the listing id."""
     x = attach_listings(ranked, bound, listings)
-    parts = [F.col("search_rank")] + [F.col(c) for c in payload]
+    parts = [F.col("search_rank")] + [F.col(c) for c in payload] + offers(mode)
     if cards:
         parts.append(_card().alias("__card"))
     return x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("__r"))
 
 
 def answer_requests(parsed: DataFrame, lists: DataFrame, key: str, req_key: Column, bound: int,
-                    mode: str, fields, inner, cards: bool) -> DataFrame:
+                    fields, inner, cards: bool) -> DataFrame:
     """One row per request: its key's ranked array, cut to the request's own
     k and post-filtered by its constraints inside the row (higher-order
     ``filter``), then summarised.  The request side is never multiplied by k
     and, with a broadcast ranking, never shuffled; otherwise it shuffles once
     on (key, salt), hot keys split over several tasks (``salted_join``)."""
     lt = lists.schema["__r"].dataType.simpleString()
-    req = parsed.select("qid", "msg", "enhanced", req_key.alias("__key"), "max_results", *CONSTRAINT_COLS)
+    req = parsed.select("qid", "msg", "enhanced", req_key.alias("__key"), "max_results", *CONSTRAINT_COLS[:3], wanted_bits(F.col("want_amenities")).alias("__want"))
     lk = lists.withColumnRenamed(key, "__key")
     width = est_row_bytes(lists.schema["__r"].dataType.elementType) + est_row_bytes(lists.schema[key].dataType)
     if bound * width <= BROADCAST_BYTES_MAX:
@@ -322,7 +337,7 @@ def answer_requests(parsed: DataFrame, lists: DataFrame, key: str, req_key: Colu
     else:
         j = salted_join(req, lk, "__key", "qid", "left")
     h = (f"filter(coalesce(__r, CAST(array() AS {lt})), "
-         f"x -> x.search_rank <= max_results AND {predicates.all_ok_sql(mode, 'x')})")
+         f"x -> x.search_rank <= max_results AND {_ALL_OK})")
     g = j.select("qid", "msg", "enhanced", F.expr(h).alias("__h"))
     return g.selectExpr(*_summary_exprs(fields, inner, cards))
 
@@ -363,10 +378,8 @@ def respond_ranked(parsed: DataFrame, listings: DataFrame, ranked: DataFrame, bo
     search_rank)`` with at most ``bound`` rows (computed now or cached)."""
     need = ["property_type", "city", "monthly_rent"]
     inner = list(fields) + [c for c in need if c not in fields]
-    payload = inner + [c for c in FILTER_FIELDS if c not in inner]
-    lists = ranked_lists(ranked, bound, listings, key, payload, cards)
-    return _finish(answer_requests(parsed, lists, key, req_key, bound, mode, fields, inner, cards),
-                   answered_at, cards)
+    lists = ranked_lists(ranked, bound, listings, key, inner, cards, mode)
+    return _finish(answer_requests(parsed, lists, key, req_key, bound, fields, inner, cards), answered_at, cards)
 
 
 def display_cards(kept: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -13,9 +13,13 @@ holds weigh 0 and, like terms the corpus lacks, aren't in a vector.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from abode.operators.tokens import batch_tokens, counted_places, lists
 from abode.operators.topk import BROADCAST_BYTES_MAX, salted_join
 from abode.session import fresh_path
 
@@ -50,19 +54,24 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 def term_weights(df: DataFrame, words: DataFrame, text_col: str = "text") -> DataFrame:
     """The other columns of ``df`` plus ``embedding``: struct<terms, weights>,
-    by term id.  The first column identifies a row.
-
-    The vocabulary is broadcast if its measured size allows; then the texts
-    move once, by their key.  Otherwise the counts meet it in a join on the
-    term, where a term held by very many texts is split (``salted_join``)."""
+    by term id.  The first column identifies a row; the texts of rows that
+    share it are one text.
+
+    The vocabulary is broadcast if its measured size allows; then no text
+    moves (only keys do, to see that none repeats), each is encoded where it
+    is.  Where keys repeat, texts move by their key and their counts add up.
+    A vocabulary that isn't broadcast meets the counts in a join on the term,
+    where a term held by very many texts is split (``salted_join``)."""
     from abode.operators.search import text_tokens
 
     keep = [c for c in df.columns if c != text_col]
-    size = words.agg(F.sum(F.octet_length("term") + F.lit(48)).alias("b")).first()["b"] or 0
+    small = (words.agg(F.sum(F.octet_length("term") + F.lit(48)).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES_MAX
+    known = words.where("weight > 0").select("term", "term_id", "weight")
+    if small and (df.groupBy(keep[0]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= 1:
+        return df.select(*keep, _encoded(known, F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("embedding"))
     tokens = df.repartition(keep[0]).select(*keep, F.explode_outer(text_tokens(F.col(text_col))).alias("term"))
     counts = tokens.groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf"))
-    known = words.where("weight > 0").select("term", "term_id", "weight")
-    if size <= BROADCAST_BYTES_MAX:
+    if small:
         met = counts.join(F.broadcast(known), "term", "left")
     else:
         met = salted_join(counts, known, "term", keep[0], "left")
@@ -71,6 +80,27 @@ def term_weights(df: DataFrame, words: DataFrame, text_col: str = "text") -> Dat
     return rows.select(*keep, F.struct(F.col("__t.term_id").alias("terms"), F.col("__t.weight").alias("weights")).alias("embedding"))
 
 
+def _encoded(known: DataFrame, low: Column) -> Column:
+    """struct<terms, weights> of lower-cased texts by the (broadcast) vocabulary."""
+    table = known.toArrow().sort_by("term_id")
+    terms = table.column("term").combine_chunks().cast(pa.large_string())
+    ids, weights = (table.column(c).to_numpy().astype(np.int64) for c in ("term_id", "weight"))
+    sent = known.sparkSession.sparkContext.broadcast((terms, ids, weights))
+
+    @F.arrow_udf("terms array<bigint>, weights array<bigint>")
+    def encode(texts: pa.Array) -> pa.Array:
+        terms, ids, weights = sent.value
+        rows, tokens = batch_tokens(texts)
+        enc = tokens.dictionary_encode()
+        at = pc.fill_null(pc.index_in(enc.dictionary, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = at[enc.indices.to_numpy(zero_copy_only=False)]
+        row, at, count = counted_places(rows[at >= 0], at[at >= 0], len(terms))
+        return pa.StructArray.from_arrays([lists(row, len(texts), pa.array(ids[at])), lists(row, len(texts), pa.array(count * weights[at]))],
+                                          names=["terms", "weights"])
+
+    return encode(low)
+
+
 def term_encoder():
     """Encoder (``fit(corpus_texts) -> encode``) over real terms: no two terms
     share a place, and a vector is as long as its text has terms.  Ranked by
